@@ -154,11 +154,11 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
 
 
 def keep_representatives(docs: DataFrame, distance: int = 3, shingle: int = 3) -> DataFrame:
-    """``docs`` less every document that is not the smallest doc_id of its group.
+    """``docs`` less every document that is not the smallest doc_id of its group; same columns.
 
-    Documents without words say nothing about each other and all stay, as do
-    rows with a null doc_id. Of rows that share the kept doc_id all stay.
+    Documents without words are one group like any other. Rows with a null
+    doc_id stay; of rows that share the kept doc_id all stay.
     """
     groups = near_duplicates(docs, distance, shingle)
-    lost = groups.where("doc_id <> component_id and fp <> 0").select("doc_id").distinct()
-    return docs.join(lost, "doc_id", "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    lost = groups.where("doc_id <> component_id").select("doc_id").distinct().hint("shuffle_hash")
+    return docs.join(lost, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
