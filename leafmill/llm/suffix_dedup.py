@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut, text_batches
+from leafmill.llm.shards import by_doc, least, pack, place_base, runs, squeezed, unpack_rows, whole_groups
 
 GRAM = 20
 #: Segments that one shard holds about; segments of one gram above HEAVY are resolved by digests.
@@ -143,70 +144,6 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _pack(doc: np.ndarray, at: np.ndarray, *hashes: np.ndarray) -> bytes:
-    """Rows as bytes: 6 bytes of each hash, then doc ids and places as compressed differences."""
-    thin = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in hashes]
-    steps = np.r_[np.diff(doc, prepend=0), np.diff(at, prepend=0)].astype(np.int64)
-    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(doc).to_bytes(4, "little") + b"".join(thin) + zstandard.ZstdCompressor(1).compress(planes)
-
-
-def _unpack(blob: bytes, hashes: int) -> list[np.ndarray]:
-    n, at, out = int.from_bytes(blob[:4], "little"), 4, []
-    for _ in range(hashes):
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
-        out.append(wide.view(np.uint64)[:, 0])
-        at += 6 * n
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at:]), np.uint8).reshape(8, -1)
-    steps = np.ascontiguousarray(planes.T).view(np.int64)[:, 0]
-    return [np.cumsum(steps[:n]), np.cumsum(steps[n:]), *out]
-
-
-def _runs(*keys: np.ndarray) -> np.ndarray:
-    """Number of the run of equal keys for each of the sorted rows."""
-    new = np.zeros(len(keys[0]), bool)
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return np.cumsum(new)
-
-
-def _least(run: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """Least value of each row's run."""
-    begin = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    return np.minimum.reduceat(value, begin)[run] if len(run) else value
-
-
-def _by_doc(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(doc, *columns) of each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, columns = doc[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]) if len(doc) else []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield (int(doc[a]), *[c[a:b] for c in columns])
-
-
-def _stream(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Whole groups of a sorted stream, as tables of one or more groups."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        keys = batch[key].to_numpy(zero_copy_only=False)
-        if not len(keys):
-            continue
-        if last is not None and keys[0] != last:
-            yield pa.Table.from_batches(held)
-            held = []
-        last = keys[-1]
-        tail = int(np.flatnonzero(keys != last)[-1]) + 1 if (keys != last).any() else 0
-        if tail:
-            yield pa.Table.from_batches([*held, batch.slice(0, tail)])
-            held = []
-        held.append(batch.slice(tail))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def shard_segments(rows: DataFrame, length: int, shards: int, salted: bool) -> DataFrame:
     """(shard, whole, blob): packed segments by shard; within a batch only the smallest doc_id of equal ones is sent on.
 
@@ -227,46 +164,41 @@ def shard_segments(rows: DataFrame, length: int, shards: int, salted: bool) -> D
             doc, at, gram, seg = (np.concatenate(x) for x in (docs, places, grams, segs))
             order = np.lexsort((doc, seg, gram))
             doc, at, gram, seg = doc[order], at[order], gram[order], seg[order]
-            later = doc > _least(_runs(gram, seg), doc)
+            later = doc > least(runs(gram, seg), doc)
             shard = ((gram >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
             out: list[tuple[int, bool, bytes]] = []
-            for d, a in _by_doc(doc[later], at[later]):
-                out.append((d % shards, True, _pack(np.full(len(a), d), np.sort(a))))
+            for d, a in by_doc(doc[later], at[later]):
+                out.append((d % shards, True, pack(np.full(len(a), d), np.sort(a))))
             keep = np.lexsort((at[~later], doc[~later], shard[~later]))
             doc, at, gram, seg, shard = (x[~later][keep] for x in (doc, at, gram, seg, shard))
-            for k, d, a, g, s in _by_doc(shard, doc, at, gram, seg):
-                out.append((k, False, _pack(d, a, g, s)))
+            for k, d, a, g, s in by_doc(shard, doc, at, gram, seg):
+                out.append((k, False, pack(d, a, g, s)))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())], ["shard", "whole", "blob"])
 
     return rows.mapInArrow(run, "shard int, whole boolean, blob binary")
 
 
-def place_base(text: bytes | None, salted: bool) -> int:
-    """Tells the segments of rows that share a doc_id apart; 0 where no doc_id repeats."""
-    return int.from_bytes(hashlib.blake2b(text or b"", digest_size=4).digest(), "little") << 30 if salted else 0
-
-
 def resolve_shards(packed: DataFrame) -> DataFrame:
     """(doc_id, edge, blob): covered segments, and the segments of grams that have several forms with their gram's key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _stream(batches, "shard"):
+        for table in whole_groups(batches, "shard"):
             ids: list[int] = []
             edge: list[bool] = []
             blobs: list[bytes] = []
 
             def put(doc: np.ndarray, at: np.ndarray, key: np.ndarray | None = None) -> None:
-                for d, a, *k in _by_doc(doc, at, *([] if key is None else [key])):
+                for d, a, *k in by_doc(doc, at, *([] if key is None else [key])):
                     ids.append(d)
                     edge.append(key is not None)
-                    blobs.append(_pack(np.full(len(a), d), a, *k))
+                    blobs.append(pack(np.full(len(a), d), a, *k))
 
             for shard in np.unique(table["shard"].to_numpy()):
                 rows = table.filter(pa.compute.equal(table["shard"], int(shard)))
                 parts = []
                 for whole, blob in zip(rows["whole"].to_pylist(), rows["blob"].to_pylist(), strict=True):
-                    got = _unpack(blob, 0 if whole else 2)
+                    got = unpack_rows(blob, 0 if whole else 2)
                     if whole:
                         put(got[0], got[1])
                     else:
@@ -276,11 +208,11 @@ def resolve_shards(packed: DataFrame) -> DataFrame:
                 doc, at, gram, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
                 order = np.lexsort((doc, seg, gram))
                 doc, at, gram, seg = doc[order], at[order], gram[order], seg[order]
-                same, forms = _runs(gram), _runs(gram, seg)
-                later = doc > _least(forms, doc)
+                same, forms = runs(gram), runs(gram, seg)
+                later = doc > least(forms, doc)
                 put(doc[later], at[later])
-                low, high = _least(same, doc), -_least(same, -doc)
-                several = -_least(same, -forms) > _least(same, forms)
+                low, high = least(same, doc), -least(same, -doc)
+                several = -least(same, -forms) > least(same, forms)
                 edges = several & (low < high) & ~later
                 put(doc[edges], at[edges], gram[edges])
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(edge, pa.bool_()), pa.array(blobs, pa.binary())], ["doc_id", "edge", "blob"])
@@ -289,19 +221,6 @@ def resolve_shards(packed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, edge boolean, blob binary")
 
 
-def squeezed(docs: DataFrame, *columns: str) -> DataFrame:
-    """The rows with their text compressed, so that moving them costs about what storing them costs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(3).compress
-        for batch in batches:
-            z = [None if t is None else pack(t) for t in batch["text"].to_pylist()]
-            yield pa.record_batch([*[batch[c] for c in columns], pa.array(z, pa.binary())], [*columns, "z"])
-
-    schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, "text").mapInArrow(run, f"{schema}, z binary")
-
-
 def edge_segments(rows: DataFrame, edges: DataFrame, length: int, salted: bool) -> DataFrame:
     """(gram, doc_id, place, back, n, seg): the bytes of edge segments, from the documents that have some."""
 
@@ -314,7 +233,7 @@ def edge_segments(rows: DataFrame, edges: DataFrame, length: int, salted: bool)
                 base = place_base(text, salted)
                 _, _, first, back, n = segments(text, length)
                 for blob in blobs:
-                    _, at, key = _unpack(blob, 1)
+                    _, at, key = unpack_rows(blob, 1)
                     mine = (at - base >= 0) & (at - base < len(first))
                     for a, k in zip((at[mine] - base).tolist(), key[mine].astype(np.int64).tolist(), strict=True):
                         out.append((k, doc_id, a + base, int(back[a]), int(n[a]), text[first[a] : first[a] + n[a] + length - 1]))
@@ -348,17 +267,17 @@ def covered_strings(segs: DataFrame, length: int) -> DataFrame:
         head = np.c_[group.view(np.uint8).reshape(-1, 4), shift.astype(np.uint8)]
         suffix = np.ascontiguousarray(np.c_[head, strings]).view(f"V{length + 5}")[:, 0]
         order = np.argsort(suffix, kind="stable")  # suffix order, as far as ``length`` bytes
-        run = _runs(suffix[order])
+        run = runs(suffix[order])
         hit = np.zeros(len(owner), bool)
         who = doc[owner[order]]
-        hit[order] = who > _least(run, who)  # a smaller doc_id stands before or after it in the run
+        hit[order] = who > least(run, who)  # a smaller doc_id stands before or after it in the run
         mask = np.zeros(len(n), np.int64)
         np.bitwise_or.at(mask, owner[hit], np.int64(1) << number[hit].astype(np.int64))
         some = mask != 0
         return pa.record_batch([pa.array(doc[some]), pa.array(place[some]), pa.array(mask[some])], ["doc_id", "place", "mask"])
 
     def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _stream(batches, "gram"):
+        for table in whole_groups(batches, "gram"):
             yield search(table)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,8 +294,8 @@ def covered_strings(segs: DataFrame, length: int) -> DataFrame:
     few = segs.join(counts, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
     found = few.mapInArrow(light, "doc_id long, place long, mask long")
     many = segs.join(counts, "gram", "left_semi").mapInArrow(digests, "hi long, lo long, doc_id long, place long, k int")
-    least = many.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("last_doc > first_doc")
-    late = many.join(least, ["hi", "lo"]).where("doc_id > first_doc")
+    lowest = many.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("last_doc > first_doc")
+    late = many.join(lowest, ["hi", "lo"]).where("doc_id > first_doc")
     late = late.groupBy("doc_id", "place").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
     return found.unionByName(late)
 
@@ -428,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             out: list[tuple] = []
             for z, blobs, part in zip(batch["z"].to_pylist(), batch["blobs"].to_pylist(), batch["parts"].to_pylist(), strict=True):
                 text = unpack(z) if z else b""
-                places = np.concatenate([_unpack(b, 0)[1] for b in blobs]) if blobs else np.empty(0, np.int64)
+                places = np.concatenate([unpack_rows(b, 0)[1] for b in blobs]) if blobs else np.empty(0, np.int64)
                 kept, removed, spans = cut_spans(text, places, [(p["place"], p["mask"]) for p in part or []], length, place_base(text, salted))
                 out.append((kept, len(text), removed, spans))
             columns = list(zip(*out, strict=True)) or [()] * 4
