@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, line_dedup, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
+from leafmill.llm import decontam, line_dedup, media, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,3 +105,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentence_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_media")
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_bytes(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = media.read_media(stored)
+    return out.select(
+        "row.row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("fingerprint").cast("long").alias("n_pairs")
+    )
