@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, line_dedup, media, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
+from leafmill.llm import decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -114,3 +114,11 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "row.row.doc_id", "row.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.size("fingerprint").cast("long").alias("n_pairs")
     )
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return out.select("row.doc_id", *map(number, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
