@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
+from leafmill.llm import chat, decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,3 +122,25 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return out.select("row.doc_id", *map(number, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+@query(
+    "op3_chat_format",
+    r"""with m as (select conv_id, turn, role, text from conversations),
+    c as (select conv_id, concat(conv_id, ':', turn) as call_id, turn, text, count(*) as copies from m where role = 'user' group by all),
+    f as (select conv_id, call_id, min(turn) as turn from c group by all),
+    r as (select conv_id, concat(conv_id, ':', turn - 1) as call_id, turn, text, count(*) as copies from m where role = 'assistant' group by all),
+    p as (select conv_id, turn, role, text, count(*) as copies from m where role is null or role not in ('user', 'assistant') group by all)
+    select conv_id, turn, turn as rank, 'call' as kind, call_id,
+        case when exists (select 1 from r where r.conv_id = c.conv_id and r.call_id = c.call_id) then 'linked' else 'unanswered' end as status,
+        concat_ws(',', case when text is null then 'missing:text' end, case when length(text) > 20000 then 'maxLength:text' end, case when length(text) < 1 then 'minLength:text' end,
+            case when turn < 0 then 'minimum:turn' end,
+            case when turn >= 2 and not exists (select 1 from f where f.conv_id = c.conv_id and f.turn = c.turn - 2) then concat('dependency:', conv_id, ':', turn - 2) end) as errors,
+        copies, cast(to_json({'arguments': {'conversation': conv_id, 'text': text, 'turn': turn}, 'id': call_id, 'name': 'reply', 'type': 'call'}) as varchar) as json from c
+    union all select conv_id, turn, turn, 'result', call_id, case when exists (select 1 from f where f.conv_id = r.conv_id and f.call_id = r.call_id) then 'linked' else 'orphan' end, '', copies,
+        cast(to_json({'content': text, 'id': call_id, 'type': 'result'}) as varchar) from r
+    union all select conv_id, turn, turn, 'message', null, 'plain', '', copies, cast(to_json({'content': text, 'role': role, 'type': 'message'}) as varchar) from p""",
+)
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = chat.turns_as_calls(read(spark, sf_dir, "conversations"))
+    return chat.format_chats(*parts, chat.REPLY_SCHEMA)
