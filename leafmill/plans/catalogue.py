@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import dates as D
+from leafmill.functions import text as T
+from leafmill.functions import urls as U
+from leafmill.operators import books as B
+from leafmill.operators import catalogs as C
+from leafmill.operators import changelog as L
+from leafmill.operators import scoring as S
 from leafmill.session import table
+from leafmill.streaming import merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +50,367 @@ def page_head_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.trim(F.regexp_extract(html, r"<title[^>]*>([^<]*)</title>", 1)).alias("title"),
         F.regexp_count(html, F.lit(r"<p[ >]")).cast("long").alias("paragraphs"),
     )
+
+
+@query(
+    "page_host_rollup",
+    r"""select regexp_extract(html, '<html[^>]*\blang="([^"]*)"', 1) as lang, lower(regexp_extract(url, '^https?://(?:www\.)?([^/:?#]+)', 1)) as host,
+    count(*) as pages, cast(sum(strlen(html)) as bigint) as bytes from pages group by all""",
+)
+def page_host_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "pages").select(
+        F.regexp_extract("html", r'<html[^>]*\blang="([^"]*)"', 1).alias("lang"), U.host_of("url").alias("host"), F.octet_length("html").cast("long").alias("bytes")
+    )
+    return df.groupBy("lang", "host").agg(F.count(F.lit(1)).alias("pages"), F.sum("bytes").alias("bytes"))
+
+
+_KEPT = r"""array_to_string(list_filter(string_split(regexp_extract({u}, '\?([^#]*)', 1), '&'), lambda p: p <> '' and not regexp_full_match(lower(split_part(p, '=', 1)), '{t}')), '&')"""
+
+
+@query(
+    "page_canonical_url",
+    rf"""with u as (select page_id, regexp_replace(concat(url, '?utm_source=x&b=', page_id, '&ref=home#top'), '#.*$', '') as u from pages),
+    k as (select page_id, u, {_KEPT.format(u="u", t="|".join(U.TRACKING))} as kept from u)
+    select page_id, case when kept <> '' then concat(regexp_extract(u, '^[^?#]*'), '?', kept) else regexp_extract(u, '^[^?#]*') end as canonical from k""",
+)
+def page_canonical_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.concat("url", F.lit("?utm_source=x&b="), "page_id", F.lit("&ref=home#top"))
+    return table(spark, sf_dir, "pages").select("page_id", U.canonical_url(url).alias("canonical"))
+
+
+@query(
+    "page_article_id",
+    rf"""with k as (select page_id, trim(url) as url, {_KEPT.format(u="regexp_replace(url, '#.*$', '')", t="|".join(U.KEY_TRACKING).lower())} as kept from pages)
+    select page_id, substr(sha256(concat(regexp_replace(regexp_replace(lower(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#]*)', 1)), ':(80|443)$', ''), '^www\.', ''),
+    regexp_replace(regexp_extract(url, '(?i)^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/+$', ''), case when kept <> '' then concat('?', kept) else '' end)), 1, 32) as article_id from k""",
+)
+def page_article_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.article_id("url").alias("article_id"))
+
+
+@query(
+    "doc_word_count",
+    rf"""with c as (select doc_id, len(regexp_extract_all(text, '[^{T.SPACE}{T.CJK}]+')) as w, len(regexp_extract_all(text, '[{T.CJK}]')) as k from documents)
+    select doc_id, cast(w + ceil(k / 2) as int) as words, cast(greatest(1, ceil((w + ceil(k / 2)) / 230)) as int) as minutes from c""",
+)
+def doc_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select("doc_id", T.count_words("text").alias("words"))
+    return df.withColumn("minutes", T.reading_minutes("words"))
+
+
+@query(
+    "doc_direction",
+    r"""with s as (select lang, substr(text, 1, 3000) as t from documents), d as (select lang, case when
+    len(regexp_extract_all(t, '[\x{590}-\x{8FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]')) > len(regexp_extract_all(t, '[A-Za-z\x{C0}-\x{24F}\x{370}-\x{52F}\x{3040}-\x{9FFF}]')) then 'rtl' else 'ltr' end as dir from s)
+    select lang, dir, count(*) as docs from d group by all""",
+)
+def doc_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select("lang", T.direction("text").alias("dir"))
+    return df.groupBy("lang", "dir").agg(F.count(F.lit(1)).alias("docs"))
+
+
+@query(
+    "doc_normalized",
+    rf"""with l as (select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '[{T.ZERO_WIDTH}]', '', 'g'), '\r\n|[\n\r\x{{2028}}\x{{2029}}]'),
+    lambda s: regexp_replace(regexp_replace(s, '[{T.SPACE}]+', ' ', 'g'), '^ | $', '', 'g')), lambda s: s <> '') as l from documents)
+    select doc_id, cast(len(l) as int) as lines, md5(array_to_string(l, chr(10))) as digest from l""",
+)
+def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").select("doc_id", T.normalize_lines("text").alias("t"))
+    lines = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n")))
+    return df.select("doc_id", lines.alias("lines"), F.md5("t").alias("digest"))
+
+
+@query(
+    "doc_tokens_topk",
+    r"""select token, count(*) as n from (select unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as token from documents) group by token order by n desc, token limit 50""",
+)
+def doc_tokens_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.explode(T.tokens("text")).alias("token"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(50)
+
+
+_GRAMS = r"""(select {k}, list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i+3], chr(1))) as g from (select {k}, regexp_extract_all({t}, '[\p{{L}}\p{{N}}_]+') as w from {f}) where len(w) > 0)"""
+
+
+@query(
+    "shingle_overlap_benchmark",
+    rf"""with d as (select doc_id, s, count(*) as n from (select doc_id, unnest(g) as s from {_GRAMS.format(k="doc_id", t="text", f="documents")}) group by all),
+    b as (select item_id, s, count(*) as n from (select item_id, unnest(g) as s from {_GRAMS.format(k="item_id", t="text", f="benchmark")}) group by all),
+    dt as (select doc_id, sum(n) as n from d group by all), bt as (select item_id, sum(n) as n from b group by all),
+    m as (select doc_id, item_id, sum(least(d.n, b.n)) as tp from d join b using (s) group by all)
+    select doc_id, item_id, cast(tp as bigint) as tp, cast(dt.n - tp as bigint) as fp, cast(bt.n - tp as bigint) as fn from m join dt using (doc_id) join bt using (item_id)""",
+)
+def shingle_overlap_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = S.shingle_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    b = S.shingle_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    met = d.join(b.withColumnRenamed("n", "m"), "shingle").groupBy("doc_id", "item_id").agg(F.sum(F.least("n", "m")).alias("tp"))
+    dt, bt = d.groupBy("doc_id").agg(F.sum("n").alias("dn")), b.groupBy("item_id").agg(F.sum("n").alias("bn"))
+    out = met.join(dt, "doc_id").join(bt, "item_id")
+    return out.select("doc_id", "item_id", "tp", (F.col("dn") - F.col("tp")).alias("fp"), (F.col("bn") - F.col("tp")).alias("fn"))
+
+
+@query(
+    "shingle_scores_by_lang",
+    rf"""with p as (select doc_id, lang, text as t, substr(text, 1, length(text) // 2) as p from documents),
+    a as (select doc_id, s, count(*) as n from (select doc_id, unnest(g) as s from {_GRAMS.format(k="doc_id", t="t", f="p")}) group by all),
+    b as (select doc_id, s, count(*) as n from (select doc_id, unnest(g) as s from {_GRAMS.format(k="doc_id", t="p", f="p")}) group by all),
+    m as (select coalesce(a.doc_id, b.doc_id) as doc_id, sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) as tp, sum(greatest(0, coalesce(b.n, 0) - coalesce(a.n, 0))) as fp, sum(greatest(0, coalesce(a.n, 0) - coalesce(b.n, 0))) as fn
+        from a full join b on a.doc_id = b.doc_id and a.s = b.s group by 1),
+    x as (select lang, coalesce(tp, 0) as tp, coalesce(fp, 0) as fp, coalesce(fn, 0) as fn, regexp_extract_all(t, '[\p{{L}}\p{{N}}_]+') = regexp_extract_all(p, '[\p{{L}}\p{{N}}_]+') as exact from p left join m using (doc_id)),
+    s as (select lang, count(*) as docs, coalesce(avg(case when tp + fp > 0 then tp / (tp + fp) end), 0) as pr, coalesce(avg(case when tp + fn > 0 then tp / (tp + fn) end), 0) as rc, avg(exact::int) as accuracy from x group by all)
+    select lang, docs, round(pr, 6) as precision, round(rc, 6) as recall, round(accuracy, 6) as accuracy, round(case when pr + rc > 0 then 2 * pr * rc / (pr + rc) else 0 end, 6) as f1 from s""",
+)
+def shingle_scores_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "text")
+    half = docs.select("id", F.expr("substr(text, 1, length(text) div 2)").alias("text"))
+    out = S.macro_scores(S.shingle_match(half, docs).join(docs.select("id", "lang"), "id"), "lang")
+    return out.select("lang", "docs", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "accuracy", "f1")])
+
+
+@query(
+    "uncovered_lines",
+    rf"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no from documents),
+    w as (select doc_id, line_no, line, regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+') as w from l where len(regexp_extract_all(line, '[\p{{L}}\p{{N}}_]+')) >= 6),
+    g as (select doc_id, line_no, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], chr(1)))) as s from w),
+    o as (select doc_id, s from (select doc_id, unnest(g) as s from {_GRAMS.format(k="doc_id", t="substr(text, 1, length(text) // 2)", f="documents")}) group by all),
+    h as (select doc_id, line_no, count(o.s) as hit, count(*) as total from g left join o using (doc_id, s) group by all)
+    select doc_id, cast(line_no as int) as line_no, hit, total, md5(line) as digest from h join w using (doc_id, line_no) where hit < total * 0.5""",
+)
+def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("substr(text, 1, length(text) div 2)").alias("half"))
+    return S.uncovered_lines(docs, "doc_id", "text", "half").select("doc_id", "line_no", "hit", "total", F.md5("line").alias("digest"))
+
+
+@query(
+    "latency_buckets",
+    r"""with b as (select lang, n_chars, case when n_chars < 50000 then '<50KB' when n_chars < 200000 then '50-200KB' when n_chars < 500000 then '200-500KB' when n_chars < 1000000 then '0.5-1MB' else '>1MB' end as bucket from documents)
+    select lang, bucket, count(*) as pages, cast(median(n_chars) as double) as median, cast(quantile_disc(n_chars, 0.95) as double) as p95, round(avg(n_chars), 6) as mean from b group by all""",
+)
+def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = S.latency_buckets(table(spark, sf_dir, "documents"), "n_chars", "n_chars", "lang")
+    return out.withColumn("median", F.col("median").cast("double")).withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "label_macro_scores",
+    r"""select lang, count(*) as docs, round(avg(quality), 6) as quality, round(avg(toxic), 6) as toxic, coalesce(round(stddev_samp(n_chars), 6), 0) as deviation, round(avg(case when quality = 1 then n_chars end), 6) as good_chars
+    from documents join labels using (doc_id) group by lang""",
+)
+def label_macro_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return df.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("docs"), F.round(F.avg("quality"), 6).alias("quality"), F.round(F.avg("toxic"), 6).alias("toxic"),
+        F.coalesce(F.round(F.stddev_samp("n_chars"), 6), F.lit(0.0)).alias("deviation"), F.round(F.avg(F.when(F.col("quality") == 1, F.col("n_chars"))), 6).alias("good_chars"),
+    )
+
+
+@query(
+    "catalog_search",
+    r"""select p_partkey, p_name, p_brand, p_type from part where contains(lower(p_name), 'an') or contains(lower(p_brand), '#1') or contains(lower(p_type), 'brass')""",
+)
+def catalog_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    hit = C.matches("AN", ["p_name"]) | C.matches("#1", ["p_brand"]) | C.matches("brass", ["p_type"])
+    return part.where(hit).select("p_partkey", "p_name", "p_brand", "p_type")
+
+
+@query(
+    "catalog_page",
+    r"""select p_partkey, p_name, p_retailprice from part where contains(lower(p_name), 'a') order by p_retailprice, p_partkey limit 24 offset 48""",
+)
+def catalog_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = C.ListQuery(q="A", limit=24)
+    third = first.at(C.ListQuery(q="A", limit=24, offset=48).cursor())
+    return C.search(table(spark, sf_dir, "part"), third, ["p_name"], order=["p_retailprice", "p_partkey"]).select("p_partkey", "p_name", "p_retailprice")
+
+
+@query(
+    "catalog_union",
+    r"""with m as (select p_partkey as id, p_name as sha, 'manifest' as origin from part where p_size <= 25), u as (select p_partkey + 10 as id, p_name as sha, 'upload' as origin from part where p_size > 20)
+    select * from m union all select * from u where id not in (select id from m) and sha not in (select sha from m)""",
+)
+def catalog_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    m = part.where("p_size <= 25").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("sha256"), F.lit("manifest").alias("origin"))
+    u = part.where("p_size > 20").select((F.col("p_partkey") + 10).alias("id"), F.col("p_name").alias("sha256"), F.lit("upload").alias("origin"))
+    return C.merge_catalogs(m, u).withColumnRenamed("sha256", "sha")
+
+
+@query(
+    "keyset_pull",
+    r"""with p as (select o_orderkey as rev, o_totalprice from orders where o_orderkey > 1000 order by o_orderkey limit 101), n as (select *, row_number() over (order by rev) as place from p)
+    select rev, o_totalprice, (select max(place) from n) > 100 as more, (select max(rev) from n where place <= 100) as cursor from n where place <= 100""",
+)
+def keyset_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rev"), "o_totalprice")
+    return L.pull_since(orders, 1000, 100)
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a change log: a user's event type is an edition, arrival is the event's number."""
+    return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).select(
+        F.col("user_id").alias("book_id"), F.col("event_type").alias("sha256"), F.lpad(F.col("event_id").cast("string"), 12, "0").alias("change_id"),
+        F.unix_micros("ts").alias("updated_us"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("updated_at"), "value", "event_id", "ts", (F.col("event_id") % 7).alias("device_id"),
+    )
+
+
+@query(
+    "lww_latest",
+    r"""select user_id as book_id, event_type as sha256, arg_max(value, (ts, event_id)) as value, max(epoch_us(ts)) as updated_us from events group by all""",
+)
+def lww_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.last_write(_changes(spark, sf_dir), ["book_id", "sha256"], ["value"]).select("book_id", "sha256", "value", "updated_us")
+
+
+@query(
+    "session_totals",
+    r"""with s as (select event_id % 7 as d, event_id // 3 as c, user_id, event_type, max(cast(floor(value) as bigint)) as ms, max(epoch_us(ts)) as us from events group by all)
+    select user_id as book_id, event_type as sha256, cast(sum(ms) as bigint) as reading_ms, max(us) as updated_us from s group by all""",
+)
+def session_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _changes(spark, sf_dir).withColumn("change_id", F.expr("event_id div 3")).withColumn("reading_ms", F.floor("value"))
+    return L.session_totals(log).select("book_id", "sha256", "reading_ms", "updated_us")
+
+
+@query(
+    "state_snapshot",
+    r"""with p as (select user_id, event_type, arg_max(value, (ts, event_id)) as progress, max(epoch_us(ts)) as pus from events where event_id % 3 = 0 group by all),
+    l as (select user_id, event_type, arg_max(value > 50, (ts, event_id)) as present from events where event_id % 3 = 1 group by all),
+    s as (select user_id, event_type, cast(sum(ms) as bigint) as reading_ms, max(us) as sus from (select event_id % 7, event_id, user_id, event_type, max(cast(floor(value) as bigint)) as ms, max(epoch_us(ts)) as us from events where event_id % 3 = 2 group by all) group by all),
+    k as (select user_id, event_type from p union select user_id, event_type from l union select user_id, event_type from s)
+    select k.user_id as book_id, k.event_type as sha256, present, progress, coalesce(reading_ms, 0) as reading_ms, case when sus is null or pus >= sus then pus else sus end as last_us
+    from k left join p using (user_id, event_type) left join l using (user_id, event_type) left join s using (user_id, event_type)""",
+)
+def state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _changes(spark, sf_dir).withColumn("updated_at", F.col("updated_us")).withColumn("reading_ms", F.floor("value"))
+    key = ["book_id", "sha256"]
+    progress = L.last_write(log.where("event_id % 3 = 0").withColumn("payload", F.col("value")), key, ["payload"])
+    library = L.last_write(log.where("event_id % 3 = 1").select("*", (F.col("value") > 50).alias("present"), F.lit(None).cast("string").alias("added_at")), key, ["present", "added_at"])
+    out = L.state_snapshot(progress, library, L.session_totals(log.where("event_id % 3 = 2")))
+    return out.select("book_id", "sha256", "present", "progress", "reading_ms", F.col("last_opened_at").alias("last_us"))
+
+
+@query(
+    "reading_sessions",
+    r"""with g as (select user_id, ts, case when ts - lag(ts) over w <= interval 10 minutes then 0 else 1 end as new from events window w as (partition by user_id order by ts, event_id)),
+    s as (select user_id, ts, sum(new) over (partition by user_id order by ts rows unbounded preceding) as n from g)
+    select user_id, count(*) as events, epoch_us(min(ts)) as start_us, epoch_us(max(ts)) as end_us, cast(epoch_us(max(ts)) - epoch_us(min(ts)) as bigint) // 1000 as active_ms from s group by user_id, n""",
+)
+def reading_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a session window closes at its end: an event exactly ten minutes later still belongs to the activity
+    return L.reading_sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "600000001 microseconds").select(
+        "user_id", "events", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "active_ms"
+    )
+
+
+@query(
+    "orphan_anti",
+    r"""select distinct user_id as body_sha256 from events where event_type = 'error' and user_id is not null and user_id not in (select user_id from events where event_type = 'purchase')""",
+)
+def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("body_sha256"), "event_type")
+    live = e.where("event_type = 'purchase'").withColumn("deleted_at", F.lit(None).cast("string"))
+    return L.orphan_bodies(e.where("event_type = 'error'"), live)
+
+
+@query(
+    "tombstone_final",
+    r"""with e as (select user_id as id, event_id, event_type, ts, value, event_type = 'error' as deleted from events),
+    d as (select id, min(event_id) as at from e where deleted group by id),
+    f as (select e.id, arg_max(value, (ts, event_id)) as value, max(ts) as ts from e left join d using (id) where not deleted and (d.at is null or e.event_id < d.at) group by e.id)
+    select id, coalesce(cast(round(f.value, 2) as varchar), '') as name, d.at is not null as deleted from (select distinct id from e) k left join f using (id) left join d using (id)""",
+)
+def tombstone_final(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _changes(spark, sf_dir).select(
+        F.col("book_id").alias("id"), F.struct("event_id").alias("turn"), "updated_us", "change_id", "updated_at", F.round("value", 2).cast("string").alias("name"),
+        F.lit("red").alias("color"), F.col("updated_at").alias("created_at"), (F.col("sha256") == "error").alias("deleted"),
+    )
+    return L.merge_categories(log).select("id", "name", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
+@query(
+    "conversation_highlights",
+    r"""with recursive m as (select conv_id, turn, text, strpos(lower(text), 'the ') as loc, 0 as base from conversations where strpos(lower(text), 'the ') > 0
+        union all select conv_id, turn, text, strpos(substr(lower(text), base + loc + 4), 'the '), base + loc + 3 from m where strpos(substr(lower(text), base + loc + 4), 'the ') > 0)
+    select conv_id, turn, cast(base + loc - 1 as int) as start, substr(text, greatest(1, base + loc - 60), least(60, base + loc - 1)) as before, substr(text, base + loc, 4) as hit, substr(text, base + loc + 4, 60) as after,
+        round((base + loc - 1) / length(text), 6) as progression from m""",
+)
+def conversation_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = B.find_in_texts(table(spark, sf_dir, "conversations"), "the ", ["conv_id", "turn"])
+    return out.withColumn("progression", F.round("progression", 6))
+
+
+@query(
+    "conversation_batches",
+    r"""with recursive o as (select conv_id, turn, strlen(text) as s, row_number() over (partition by conv_id order by turn) as i from conversations),
+    f as (select conv_id, turn, i, s as bytes, 1 as n, 0 as batch from o where i = 1
+        union all select o.conv_id, o.turn, o.i, case when f.n >= 3 or f.bytes + o.s > 2000 then o.s else f.bytes + o.s end, case when f.n >= 3 or f.bytes + o.s > 2000 then 1 else f.n + 1 end,
+            case when f.n >= 3 or f.bytes + o.s > 2000 then f.batch + 1 else f.batch end from f join o on o.conv_id = f.conv_id and o.i = f.i + 1)
+    select conv_id, turn, cast(batch as int) as batch from f""",
+)
+def conversation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("bytes"))
+    return L.pack_batches(df, "conv_id", "turn", "bytes", max_rows=3, max_bytes=2000).select("conv_id", "turn", "batch")
+
+
+@query(
+    "segment_plan",
+    r"""with f as (select c_custkey, cast(c_custkey * 300007 as bigint) as size from customer where c_custkey > 0),
+    t as (select *, greatest(0, size - 262144) // 65536 * 65536 as tail from f),
+    z as (select *, cast(ceil(least(16777216, greatest(4194304, ceil(tail / 32))) / 65536) as bigint) * 65536 as step from t)
+    select c_custkey, 0 as fetch, cast(0 as bigint) as start, size as "end" from z where size <= 8388608
+    union all select c_custkey, 0, tail, size from z where size > 8388608
+    union all select c_custkey, cast(i + 1 as int), i * step, least(i * step + step, tail) from (select *, unnest(range(cast(ceil(tail / step) as bigint))) as i from z where size > 8388608)""",
+)
+def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 300007).cast("long").alias("size"))
+    return B.plan_segments(files, "size").select("c_custkey", "fetch", "start", "end")
+
+
+@query(
+    "byte_ranges",
+    r"""with h as (select o_orderkey, o_orderkey * 10 + 1 as size, case o_orderkey % 4 when 0 then concat('bytes=', o_orderkey, '-') when 1 then concat('bytes=-', o_orderkey * 20) when 2 then concat('bytes=5-', o_orderkey) else 'bytes=9-3' end as h from orders where o_orderkey > 0),
+    r as (select *, try_cast(nullif(regexp_extract(h, '^bytes=(\d*)-(\d*)$', 1), '') as bigint) as a, try_cast(nullif(regexp_extract(h, '^bytes=(\d*)-(\d*)$', 2), '') as bigint) as b from h),
+    x as (select *, case when a is null and b > 0 then size - least(b, size) when a < size and coalesce(b, size - 1) >= a then a end as o, case when a is null and b > 0 then size - 1 when a < size and coalesce(b, size - 1) >= a then least(coalesce(b, size - 1), size - 1) end as e from r)
+    select o_orderkey, o as "offset", e - o + 1 as length from x""",
+)
+def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    header = F.when(k % 4 == 0, F.concat(F.lit("bytes="), k, F.lit("-"))).when(k % 4 == 1, F.concat(F.lit("bytes=-"), k * 20)).when(k % 4 == 2, F.concat(F.lit("bytes=5-"), k)).otherwise("bytes=9-3")
+    df = table(spark, sf_dir, "orders").where(k > 0).select("o_orderkey", (k * 10 + 1).alias("size"), header.alias("h"))
+    return df.select("o_orderkey", B.parse_range("h", "size").alias("r")).select("o_orderkey", "r.offset", "r.length")
+
+
+@query("natural_page_order")
+def natural_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select("p_brand", F.concat("p_name", F.lit("/"), F.col("p_partkey") % 100, F.lit(".jpg")).alias("name"))
+    return B.comic_pages(names, "p_brand")
+
+
+@query(
+    "stream_lww",
+    r"""select user_id as book_id, event_type as sha256, arg_max(value, (ts, event_id)) as value, max(epoch_us(ts)) as updated_us from events group by all""",
+)
+def stream_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.replay_last_write(spark, f"{sf_dir}/events.parquet", ["user_id", "event_type"], ["value"]).select(
+        F.col("user_id").alias("book_id"), F.col("event_type").alias("sha256"), "value", "updated_us"
+    )
+
+
+@query(
+    "edition_identity",
+    r"""select o_orderkey, sha256(concat_ws(chr(10), o_orderkey, o_custkey, o_orderstatus)) as edition from orders""",
+)
+def edition_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.sha2(F.concat_ws("\n", "o_orderkey", "o_custkey", "o_orderstatus"), 256).alias("edition"))
+
+
+@query(
+    "order_dates",
+    r"""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') as spelled, epoch_us(o_orderdate) as micros from orders""",
+)
+def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "orders")
+    spelled = D.normalize_date(F.concat(F.lit("Posted "), F.date_format("o_orderdate", "MMMM d"), F.lit("th, "), F.date_format("o_orderdate", "yyyy")))
+    return df.select("o_orderkey", spelled.alias("spelled"), D.iso_micros(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("micros"))
