@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from leafmill.functions import dates as D
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
+from leafmill.operators import articles as A
 from leafmill.operators import books as B
 from leafmill.operators import catalogs as C
 from leafmill.operators import changelog as L
 from leafmill.operators import scoring as S
-from leafmill.session import table
+from leafmill.session import cut, table
+from leafmill.sources.pages import page_nodes
 from leafmill.streaming import merge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,3 +416,36 @@ def order_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "orders")
     spelled = D.normalize_date(F.concat(F.lit("Posted "), F.date_format("o_orderdate", "MMMM d"), F.lit("th, "), F.date_format("o_orderdate", "yyyy")))
     return df.select("o_orderkey", spelled.alias("spelled"), D.iso_micros(F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).alias("micros"))
+
+
+@query("page_metadata")
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return A.metadata(pages, cut(page_nodes(pages))).drop("ld_body")
+
+
+@query("page_articles")
+def page_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.articles(table(spark, sf_dir, "pages"))[0]
+
+
+@query("page_blocks")
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.articles(table(spark, sf_dir, "pages"))[1]
+
+
+@query("page_links")
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.links(table(spark, sf_dir, "pages"))
+
+
+@query(
+    "page_block_counts",
+    r"""select page_id, cast(1 as bigint) as headings, cast(len(list_filter(list_transform(string_split(regexp_extract(html, '(?s)<article>.*?</h1>(.*)</article>', 1), '<p>'), lambda p: trim(regexp_replace(p, '(?s)<[^>]*>', ' ', 'g'), ' ' || chr(10))), lambda p: p <> '')) as bigint) as paragraphs from pages""",
+)
+def page_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structure counts of the article elements: headings and paragraphs by block type."""
+    pages = table(spark, sf_dir, "pages")
+    nodes = cut(page_nodes(pages)).where(F.array_contains("tags", "article"))
+    rows = A.blocks(A.inlines(nodes, pages), nodes)
+    return rows.groupBy("page_id").agg(F.count_if(F.col("type") == "heading").alias("headings"), F.count_if(F.col("type") == "paragraph").alias("paragraphs"))

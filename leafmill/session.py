@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,3 +25,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSes
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the standard tables, read by Spark wherever ``sf_dir`` lives."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialises ``df`` in the folder of spark.checkpoint.dir (a temporary one where it is unset) and cuts its lineage."""
+    spark = df.sparkSession
+    jsc = spark.sparkContext._jsc.sc()
+    if not jsc.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+    return df.checkpoint()
