@@ -107,9 +107,10 @@ def bootstrap_f1(matches: DataFrame, by: str, resamples: int = 1000, seed: int =
 
 def counter_f1(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
     """(key, f1): overlap of two multisets of items, 1 for two empty ones."""
-    tag = lambda df, x, y: df.groupBy(key, item).agg(F.count(F.lit(1)).alias("n")).select(key, item, (F.col("n") * x).alias("p"), (F.col("n") * y).alias("t"))
-    met = tag(a, 1, 0).unionByName(tag(b, 0, 1)).groupBy(key, item).agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
-    out = met.groupBy(key).agg((2 * F.sum(F.least("p", "t")) / F.sum(F.col("p") + F.col("t"))).alias("f1"))
+    named = lambda df: df.select(F.col(key).alias("_key"), F.col(item).alias("_item"))  # noqa: E731  no clash with what is counted
+    tag = lambda df, x, y: named(df).groupBy("_key", "_item").agg(F.count(F.lit(1)).alias("n")).select("_key", "_item", (F.col("n") * x).alias("p"), (F.col("n") * y).alias("t"))
+    met = tag(a, 1, 0).unionByName(tag(b, 0, 1)).groupBy("_key", "_item").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
+    out = met.groupBy(F.col("_key").alias(key)).agg((2 * F.sum(F.least("p", "t")) / F.sum(F.col("p") + F.col("t"))).alias("f1"))
     ids = a.select(key).unionByName(b.select(key)).distinct()
     return ids.join(out, key, "left").select(key, F.coalesce("f1", F.lit(1.0)).alias("f1"))
 

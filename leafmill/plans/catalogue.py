@@ -449,3 +449,126 @@ def page_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = cut(page_nodes(pages)).where(F.array_contains("tags", "article"))
     rows = A.blocks(A.inlines(nodes, pages), nodes)
     return rows.groupBy("page_id").agg(F.count_if(F.col("type") == "heading").alias("headings"), F.count_if(F.col("type") == "paragraph").alias("paragraphs"))
+
+
+@query(
+    "category_pass_rate",
+    r"""with c as (select lang as category, count(*) as checks, count(*) filter (quality = 1) as passed, avg((quality = 1)::int) as rate from documents join labels using (doc_id) group by lang)
+    select category, checks, passed, round(rate, 6) as rate from c union all select null, cast(sum(checks) as bigint), cast(sum(passed) as bigint), round(avg(rate), 6) from c""",
+)
+def category_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select(F.col("lang").alias("category"), (F.col("quality") == 1).alias("passed"))
+    return S.category_pass_rate(checks).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    "outcome_changes",
+    r"""with a as (select o_orderkey, o_orderstatus as v from orders where o_orderkey % 5 <> 0), b as (select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as v from orders where o_orderkey % 11 <> 0)
+    select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'missing' when a.o_orderkey is null then 'extra' else 'changed' end as change
+    from a full join b on a.o_orderkey = b.o_orderkey where b.o_orderkey is null or a.o_orderkey is null or a.v is distinct from b.v""",
+)
+def outcome_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    a = orders.where(k % 5 != 0).select("o_orderkey", F.col("o_orderstatus").alias("v"))
+    b = orders.where(k % 11 != 0).select("o_orderkey", F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("v"))
+    return S.outcome_changes(a, b, ["o_orderkey"], "v")
+
+
+@query(
+    "worst_users",
+    r"""with s as (select event_type as engine, user_id as id, round(avg(value), 6) as score from events group by all),
+    m as (select id, score from s where engine = 'click'), o as (select id, arg_max(engine, (score, 0)) as e, max(score) as best_score from s where engine <> 'click' group by id),
+    b as (select id, min(engine) as best from s join o using (id) where engine <> 'click' and score = best_score group by id)
+    select id, score, best, best_score from m join o using (id) join b using (id) order by best_score - score desc, score, id limit 20""",
+)
+def worst_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("engine"), F.col("user_id").alias("id")).agg(F.round(F.avg("value"), 6).alias("score"))
+    return S.worst_pages(scores, "click")
+
+
+@query(
+    "speed_summary",
+    r"""with r as (select o_orderpriority as engine, sum(o_custkey) as pages, sum(o_totalprice) / sum(o_custkey) as rate from orders group by all)
+    select engine, cast(pages as bigint) as pages, round(rate, 6) as rate, cast(rank() over (order by rate) as int) as rank from r""",
+)
+def speed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("engine"), F.col("o_orderkey").alias("file"), F.col("o_custkey").alias("pages"), F.col("o_totalprice").alias("median_ms"))
+    return S.speed_summary(runs).withColumn("rate", F.round("rate", 6))
+
+
+@query(
+    "counter_f1",
+    r"""with a as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(substr(text, 1, 400), '[\p{L}\p{N}_]+')) as t from documents) group by all),
+    b as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(substr(text, 200, 400), '[\p{L}\p{N}_]+')) as t from documents) group by all),
+    m as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.n, 0) as p, coalesce(b.n, 0) as q from a full join b on a.doc_id = b.doc_id and a.t = b.t)
+    select doc_id, round(2 * sum(least(p, q)) / sum(p + q), 6) as f1 from m group by doc_id""",
+)
+def counter_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    part = lambda at: docs.select("doc_id", F.explode(T.tokens(F.substring("text", at, 400))).alias("t"))
+    return S.counter_f1(part(1), part(200), "doc_id", "t").withColumn("f1", F.round("f1", 6))
+
+
+@query(
+    "category_contents",
+    r"""select n_nationkey as category_id, n_name as name, count(*) filter (c_custkey % 2 = 0) as books, count(*) filter (c_custkey % 2 = 1) as articles
+    from customer join nation on c_nationkey = n_nationkey where n_regionkey <> 1 and c_custkey % 3 <> 0 group by all""",
+)
+def category_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, customer = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    kind = F.when(F.col("c_custkey") % 2 == 0, "book").otherwise("article")
+    categories = nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.lit(0).alias("created_at"), F.when(F.col("n_regionkey") == 1, "t").alias("deleted_at"))
+    filed = customer.select(F.when(F.col("c_custkey") % 3 != 0, F.col("c_nationkey")).alias("category_id"), kind.alias("item_type"), F.col("c_custkey").alias("item_id"))
+    library = customer.select(F.col("c_custkey").alias("key"), kind.alias("kind"), F.col("c_name").alias("title"), F.lit(0).alias("added_us"))
+    return C.category_counts(C.category_contents(categories, filed, library))
+
+
+@query(
+    "library_in_progress",
+    r"""select p_partkey as key, p_name as title from part where p_size > 10 and p_size < 50""",
+)
+def library_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    progress = (F.col("p_size") - 10) / 40
+    library = part.select(F.col("p_partkey").alias("key"), F.lit("book").alias("kind"), F.col("p_name").alias("title"), F.col("p_retailprice").alias("added_us"), F.lit(True).alias("downloaded"), progress.alias("progress"))
+    return C.library_view(library, "inProgress").select("key", "title")
+
+
+@query(
+    "outbox",
+    r"""with c as (select c_custkey as id, c_acctbal as stamp from customer where c_custkey % 13 <> 0), s as (select c_custkey as id, case when c_custkey % 10 = 0 then -1.0 else c_acctbal end as stamp from customer where c_custkey % 17 <> 0)
+    select coalesce(c.id, s.id) as id, c.id is null as removed from c full join s on c.id = s.id where c.id is null or s.id is null or c.stamp is distinct from s.stamp""",
+)
+def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    current = c.where(k % 13 != 0).select(k.alias("id"), F.col("c_acctbal").alias("stamp"))
+    seen = c.where(k % 17 != 0).select(k.alias("id"), F.when(k % 10 == 0, -1.0).otherwise(F.col("c_acctbal")).alias("stamp"))
+    return L.outbox(current, seen, ["id"]).select("id", "removed")
+
+
+@query(
+    "source_kinds",
+    r"""select case when html like '<!DOCTYPE%' then 'page' end as kind, count(*) as pages from pages group by all""",
+)
+def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "pages").select(F.coalesce(B.source_kind(F.col("html").cast("binary")), F.when(F.col("html").startswith("<!DOCTYPE"), "page")).alias("kind"))
+    return df.groupBy("kind").agg(F.count(F.lit(1)).alias("pages"))
+
+
+@query(
+    "hourly_events",
+    r"""select epoch_us(time_bucket(interval 1 hour, ts)) as hour_us, event_type, count(*) as n, round(sum(value), 4) as total from events group by all""",
+)
+def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = e.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return out.select(F.unix_micros("w.start").alias("hour_us"), "event_type", "n", "total")
+
+
+@query("conversation_anchors")
+def conversation_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each turn's middle stands in the turn itself: exact anchors, with the words before as context."""
+    c = table(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    mid = F.greatest(F.lit(1), F.expr("length(text) div 2"))
+    quotes = c.select(F.col("key").alias("quote_id"), "key", F.substr("text", mid, F.lit(30)).alias("quote"), F.substr("text", F.greatest(F.lit(1), mid - 20), F.least(F.lit(20), mid - 1)).alias("before"), F.lit(0.5).alias("hint"))
+    return B.anchor_quotes(quotes.where("quote <> ''"), c.select("key", "text"), "key")
