@@ -165,6 +165,28 @@ def fit_linear(rows: list[np.ndarray], hits: np.ndarray, target: np.ndarray, n_f
     return p[:n_features], p[n_features : n_features + 3], float(p[-1])
 
 
+def out_of_fold(rows: list[np.ndarray], hits: np.ndarray, target: np.ndarray, n_features: int) -> np.ndarray:
+    """Log odds of every row from a classifier that was fitted on the other half of the rows."""
+    z = np.zeros(len(rows))
+    half = np.arange(len(rows)) % 2
+    for k in (0, 1):
+        w, h, b = fit_linear([r for r, f in zip(rows, half, strict=True) if f != k], hits[half != k], target[half != k], n_features)
+        for i in np.flatnonzero(half == k):
+            z[i] = w[rows[i]].sum() + h[hits[i]] + b
+    return z
+
+
+def best_cut(z: np.ndarray, label: np.ndarray) -> float:
+    """The log odds at which most labels are told right: the middle of the widest such stretch."""
+    order = np.argsort(z)
+    z, label = z[order], label[order]
+    right = np.r_[0, np.cumsum(np.where(label == 0, 1, -1))]  # rows below the cut are called 0
+    edges = np.r_[z[0] - 1, (z[1:] + z[:-1]) / 2, z[-1] + 1]
+    wide = np.r_[1.0, np.diff(z), 1.0]
+    best = np.flatnonzero(right == right.max())
+    return float(edges[best[wide[best].argmax()]])
+
+
 def voter_of(feature: str) -> int:
     """Beginnings of one stem share a voter, so that its votes aren't counted again."""
     stem = feature.removeprefix("w:")[: BEGINNINGS[0]]
@@ -192,15 +214,26 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if not n_pos or n_pos == n:
         lexicon = {"w:" + w: 4.0 for w in LEXICON}
         return Model(lexicon, (0.0, 0.0, 0.0), -2.0, frozenset(lexicon))
-    n_neg = n - n_pos
     seen = known.mapInPandas(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     seen = seen.where(F.col("pos") + F.col("neg") >= 4)
-    odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-    z = odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    top = seen.select("f", "pos", "neg", odds.alias("odds"), z.alias("z")).orderBy(F.abs("z").desc(), "f").limit(MAX_FEATURES).collect()
-    index = {r.f: i for i, r in enumerate(top)}
     rate = n_pos / n
-    strong = {r.f: voter_of(r.f) for r in top if r.z > 3 and r.pos / (r.pos + r.neg) > max(0.6, 2 * rate)}
+    both = F.col("pos") + F.col("neg")
+    # deviation of the toxic count from what chance would give; rare features of one class alone rank as they should
+    z = (F.col("pos") - rate * both) / F.sqrt(rate * (1 - rate) * both)
+    ranked = cut(seen.select("f", "pos", "neg", z.alias("z"), F.substring(F.regexp_replace("f", "^w:", ""), 1, BEGINNINGS[0]).alias("stem")))
+    top = ranked.where("z > 0").orderBy(F.col("z").desc(), "f").limit(MAX_FEATURES * 4 // 5).collect()
+    # clean words that begin like toxic ones are what else the classifier has to know
+    stems = sorted({r.stem for r in top if r.z > 4 and r.pos > 0.85 * (r.pos + r.neg)})
+    top += ranked.where((F.col("z") <= 0) & F.col("stem").isin(stems)).orderBy(F.col("f").startswith("w:").desc(), "z", "f").limit(MAX_FEATURES // 5).collect() if stems else []
+    index = {r.f: i for i, r in enumerate(top)}
+    # a beginning that nearly always goes on in one way says no more than its longer form, and less surely
+    longer: Counter[str] = Counter()
+    for r in top:
+        name = r.f.removeprefix("w:")
+        for k in BEGINNINGS:
+            if k < len(name) or (k == len(name) and r.f != name):
+                longer[name[:k]] = max(longer[name[:k]], r.pos)
+    strong = {r.f: voter_of(r.f) for r in top if r.z > 4 and r.pos / (r.pos + r.neg + 0.5) > max(0.85, rate) and (r.f.startswith("w:") or longer[r.f] < 0.95 * r.pos)}
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,7 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     votes = np.c_[np.array([r.votes for r in rows]), np.where(label == 1, 1, -1), np.where(label == 1, 1, -1)]
     post, weight, table = label_model(votes.astype(float), float(np.clip(rate, 0.01, 0.9)))
     hits = np.array([r.hits for r in rows])
-    w, h, b = fit_linear([np.array(r.cols, np.int64) for r in rows], hits, post, len(top))
+    cols = [np.array(r.cols, np.int64) for r in rows]
+    w, h, b = fit_linear(cols, hits, post, len(top))
+    b -= best_cut(out_of_fold(cols, hits, post, len(top)), label)
     names = [f"induced{i}" for i in range(INDUCED_VOTERS)] + ["lexicon", "lexicon2", "hits2", "none", "none_long", "shout", "bang", "label", "label_again"]
     weights = {r.f: float(x) for r, x in zip(top, w, strict=True)}
     return Model(weights, tuple(map(float, h)), b, frozenset(strong), list(zip(names, (table[:, 2] * weight).tolist(), strict=True)))
