@@ -43,28 +43,29 @@ def _attr(name: str, attrs: str = "attrs") -> Column:
 
 def metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row per page: title, site, byline, dates, language, description, lead image, canonical address, and ``ld`` titles."""
-    value = F.trim(F.when(F.col("tag") == "meta", _attr("content")))
+    value = F.trim(_attr("content"))
     key = F.lower(F.coalesce(F.nullif(_attr("property"), F.lit("")), F.nullif(_attr("name"), F.lit("")), F.nullif(_attr("itemprop"), F.lit(""))))
-    named = nodes.where("tag = 'meta'").select("page_id", "node", key.alias("key"), value.alias("value")).where("key is not null and value <> ''")
-    first = named.groupBy("page_id", "key").agg(F.min_by("value", "node").alias("value"))
-    meta = first.groupBy("page_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("meta"))  # a page's head
-    title_text = nodes.where("tag = '#text' and element_at(tags, -1) = 'title'").groupBy("page_id").agg(F.min_by("text", "node").alias("title_text"))
-    one = lambda test, what, name: nodes.where(test).groupBy("page_id").agg(F.min_by(what, "node").alias(name))
-    lang = one("tag = 'html'", _attr("lang"), "html_lang")
-    canonical = one("tag = 'link' and lower(attrs['rel']) = 'canonical'", _attr("href"), "canonical")
-    icon = one("tag = 'link' and lower(attrs['rel']) rlike '(^|\\\\s)icon(\\\\s|$)'", _attr("href"), "icon")
-    clock = one("tag = 'time' and attrs['datetime'] is not null", _attr("datetime"), "clock")
-    ld = nodes.where("tag = 'script' and text is not null").select("page_id", "node", F.regexp_replace("text", r"^\s*(?:<!--|//<!\[CDATA\[)|(?:-->|//\]\]>)\s*$", "").alias("j"))
-    ld = ld.select("page_id", "node", F.expr("try_parse_json(j)").alias("v"))
+    first = lambda test, what, name: F.min_by(what, F.when(test, F.col("node"))).alias(name)
+    tag = F.col("tag")
+    json = F.regexp_replace("text", r"^\s*(?:<!--|//<!\[CDATA\[)|(?:-->|//\]\]>)\s*$", "")
+    heads = nodes.where(tag.isin("meta", "html", "link", "time", "script") | ((tag == "#text") & F.array_contains("tags", "title")))
+    # a page's head is small; one pass gathers all of it
+    heads = heads.groupBy("page_id").agg(
+        F.array_sort(F.collect_list(F.when((tag == "meta") & key.isNotNull() & (value != ""), F.struct("node", key.alias("key"), value.alias("value"))))).alias("metas"),
+        first((tag == "#text") & (F.element_at(F.concat(F.array(F.lit("")), "tags"), -1) == "title"), F.col("text"), "title_text"),
+        first(tag == "html", _attr("lang"), "html_lang"),
+        first((tag == "link") & (F.lower(_attr("rel")) == "canonical"), _attr("href"), "canonical"),
+        first((tag == "link") & F.lower(_attr("rel")).rlike(r"(^|\s)icon(\s|$)"), _attr("href"), "icon"),
+        first((tag == "time") & (_attr("datetime") != ""), _attr("datetime"), "clock"),
+        first((tag == "script") & F.col("text").isNotNull(), json, "j"),
+    )
     pick = lambda p: F.expr(f"coalesce(try_variant_get(v, '$.{p}', 'string'), try_variant_get(v, '$[0].{p}', 'string'), try_variant_get(v, '$[\"@graph\"][0].{p}', 'string'))")
-    ld = ld.groupBy("page_id").agg(
-        F.min_by(F.struct(pick("headline").alias("headline"), F.coalesce(pick("author.name"), pick("author[0].name"), pick("author")).alias("author"), pick("datePublished").alias("published"),
-            pick("dateModified").alias("modified"), pick("publisher.name").alias("publisher"), pick("articleBody").alias("body"), pick("inLanguage").alias("language")), "node").alias("ld")
-    )
-    df = pages.select("page_id", "url")
-    for part in (meta, title_text, lang, canonical, icon, clock, ld):
-        df = df.join(part, "page_id", "left")
-    m = lambda *names: F.coalesce(*[F.nullif(F.try_element_at("meta", F.lit(n)), F.lit("")) for n in names])
+    ld = F.struct(pick("headline").alias("headline"), F.coalesce(pick("author.name"), pick("author[0].name"), pick("author")).alias("author"), pick("datePublished").alias("published"),
+        pick("dateModified").alias("modified"), pick("publisher.name").alias("publisher"), pick("articleBody").alias("body"), pick("inLanguage").alias("language"))
+    heads = heads.withColumn("v", F.expr("try_parse_json(j)")).withColumn("ld", ld).drop("v", "j")
+    df = pages.select("page_id", "url").join(heads, "page_id", "left")
+    named = lambda n: F.try_element_at(F.filter("metas", lambda x: x["key"] == n), F.lit(1))["value"]
+    m = lambda *names: F.coalesce(*map(named, names))
     full = T.collapse(F.coalesce(m("og:title", "twitter:title"), F.col("ld.headline"), "title_text", m("title"), F.lit("")))
     site = T.collapse(F.coalesce(m("og:site_name", "application-name"), F.col("ld.publisher")))
     language = F.lower(F.coalesce(F.nullif("html_lang", F.lit("")), m("og:locale", "language"), F.col("ld.language")))
