@@ -16,26 +16,36 @@ import zstandard
 from pyspark.sql import DataFrame
 
 
-def pack(doc: np.ndarray, at: np.ndarray, *hashes: np.ndarray) -> bytes:
-    """Rows as bytes: 6 bytes of each hash, then doc ids and places as compressed differences."""
-    thin = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() for x in hashes]
+def pack(doc: np.ndarray, at: np.ndarray, *hashes: np.ndarray, width: int = 6) -> bytes:
+    """Rows as bytes: ``width`` low bytes of each hash, then doc ids and places as compressed differences."""
+    thin = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes() for x in hashes]
     steps = np.r_[np.diff(doc, prepend=0), np.diff(at, prepend=0)].astype(np.int64)
     planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
     return len(doc).to_bytes(4, "little") + b"".join(thin) + zstandard.ZstdCompressor(1).compress(planes)
 
 
-def unpack_rows(blob: bytes, hashes: int) -> list[np.ndarray]:
+def unpack_rows(blob: bytes, hashes: int, width: int = 6) -> list[np.ndarray]:
     n, at, out = int.from_bytes(blob[:4], "little"), 4, []
     for _ in range(hashes):
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(-1, 6)
+        wide[:, :width] = np.frombuffer(blob, np.uint8, width * n, at).reshape(-1, width)
         out.append(wide.view(np.uint64)[:, 0])
-        at += 6 * n
+        at += width * n
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[at:]), np.uint8).reshape(8, -1)
     steps = np.ascontiguousarray(planes.T).view(np.int64)[:, 0]
     return [np.cumsum(steps[:n]), np.cumsum(steps[n:]), *out]
 
 
+def shared(hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash stands more than once; one unstable sort, so that only such rows need a full order."""
+    order = np.argsort(hashes)
+    same = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(hashes), bool)
+    out[order[1:][same]] = True
+    out[order[:-1][same]] = True
+    return out
+
+
 def runs(*keys: np.ndarray) -> np.ndarray:
     """Number of the run of equal keys for each of the sorted rows."""
     new = np.zeros(len(keys[0]), bool)
@@ -80,9 +90,18 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def cut_by_doc(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(doc, *bytes) of each document: its longs as they are; for many small groups, which compression would only slow."""
+    order = np.argsort(doc, kind="stable")
+    doc, data = doc[order], [c[order].tobytes() for c in columns]
+    cuts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1], True]).tolist() if len(doc) else []
+    for d, a, b in zip(doc[cuts[:-1]].tolist(), cuts[:-1], cuts[1:], strict=True):
+        yield (d, *[x[8 * a : 8 * b] for x in data])
+
+
 def place_base(text: bytes | None, salted: bool) -> int:
     """Tells the segments of rows that share a doc_id apart; 0 where no doc_id repeats."""
-    return int.from_bytes(hashlib.blake2b(text or b"", digest_size=4).digest(), "little") << 30 if salted else 0
+    return int.from_bytes(hashlib.blake2b(text or b"", digest_size=2).digest(), "little") << 45 if salted else 0
 
 
 def squeezed(docs: DataFrame, *columns: str) -> DataFrame:

@@ -39,14 +39,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import cut, text_batches
-from leafmill.llm.shards import by_doc, least, pack, place_base, runs, squeezed, unpack_rows, whole_groups
+from leafmill.llm.common import stored, text_batches
+from leafmill.llm.shards import by_doc, cut_by_doc, least, pack, place_base, runs, shared, squeezed, unpack_rows, whole_groups
 
 GRAM = 20
 #: Segments that one shard holds about; segments of one gram above HEAVY are resolved by digests.
-SHARD_SEGMENTS = 1_000_000
+SHARD_SEGMENTS = 400_000
 HEAVY = 4_096
 CHUNK = 1 << 20
+#: Bytes of a hash that travel; with the shard they tell more than 2^80 segments apart.
+WIDTH = 5
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,81 +146,80 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def codes(first: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Place, distance of the gram and number of strings of each segment in one long, in order of place."""
+    return (first << 12) | (back << 6) | (n - 1)
+
+
+def decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code = code & ((1 << 44) - 1)
+    return code >> 12, (code >> 6) & 63, (code & 63) + 1
+
+
 def shard_segments(rows: DataFrame, length: int, shards: int, salted: bool) -> DataFrame:
-    """(shard, whole, blob): packed segments by shard; within a batch only the smallest doc_id of equal ones is sent on.
+    """(shard, doc_id, blob): packed segments by shard; within a batch only the smallest doc_id of equal ones is sent on.
 
-    ``whole`` rows name strings that the batch itself has shown to be covered.
+    Rows with a doc_id name its segments that the batch itself has shown to be covered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, places, grams, segs = [], [], [], []
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                gram, seg, *_ = segments(text or b"", length)
+            for doc_id, text in sorted(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True), key=lambda r: r[0]):
+                gram, seg, first, back, n = segments(text or b"", length)
                 docs.append(np.full(len(gram), doc_id, np.int64))
-                places.append(np.arange(len(gram)) + place_base(text, salted))
+                places.append(codes(first, back, n) + place_base(text, salted))
                 grams.append(gram)
                 segs.append(seg)
             if not docs:
                 continue
             doc, at, gram, seg = (np.concatenate(x) for x in (docs, places, grams, segs))
-            order = np.lexsort((doc, seg, gram))
-            doc, at, gram, seg = doc[order], at[order], gram[order], seg[order]
-            later = doc > least(runs(gram, seg), doc)
-            shard = ((gram >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
-            out: list[tuple[int, bool, bytes]] = []
-            for d, a in by_doc(doc[later], at[later]):
-                out.append((d % shards, True, pack(np.full(len(a), d), np.sort(a))))
-            keep = np.lexsort((at[~later], doc[~later], shard[~later]))
-            doc, at, gram, seg, shard = (x[~later][keep] for x in (doc, at, gram, seg, shard))
-            for k, d, a, g, s in by_doc(shard, doc, at, gram, seg):
-                out.append((k, False, pack(d, a, g, s)))
+            often = np.flatnonzero(shared(gram))
+            often = often[np.lexsort((doc[often], seg[often], gram[often]))]
+            later = np.zeros(len(doc), bool)
+            later[often] = doc[often] > least(runs(gram[often], seg[often]), doc[often])
+            out: list[tuple[int, int | None, bytes]] = [(d % shards, d, a) for d, a in cut_by_doc(doc[later], at[later])]
+            doc, at, gram, seg = (x[~later] for x in (doc, at, gram, seg))
+            shard = ((gram >> np.uint64(44)) % np.uint64(shards)).astype(np.int64)
+            keep = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")  # by document and place already
+            for k, d, a, g, s in by_doc(shard[keep], *(x[keep] for x in (doc, at, gram, seg))):
+                out.append((k, None, pack(d, a, g, s, width=WIDTH)))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.bool_()), pa.array(columns[2], pa.binary())], ["shard", "whole", "blob"])
+            yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["shard", "doc_id", "blob"])
 
-    return rows.mapInArrow(run, "shard int, whole boolean, blob binary")
+    return rows.mapInArrow(run, "shard int, doc_id long, blob binary")
 
 
 def resolve_shards(packed: DataFrame) -> DataFrame:
-    """(doc_id, edge, blob): covered segments, and the segments of grams that have several forms with their gram's key."""
+    """(doc_id, blob, keys): longs of covered segments; with ``keys``, segments of grams that have several forms and their grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "shard"):
-            ids: list[int] = []
-            edge: list[bool] = []
-            blobs: list[bytes] = []
-
-            def put(doc: np.ndarray, at: np.ndarray, key: np.ndarray | None = None) -> None:
-                for d, a, *k in by_doc(doc, at, *([] if key is None else [key])):
-                    ids.append(d)
-                    edge.append(key is not None)
-                    blobs.append(pack(np.full(len(a), d), a, *k))
-
-            for shard in np.unique(table["shard"].to_numpy()):
-                rows = table.filter(pa.compute.equal(table["shard"], int(shard)))
-                parts = []
-                for whole, blob in zip(rows["whole"].to_pylist(), rows["blob"].to_pylist(), strict=True):
-                    got = unpack_rows(blob, 0 if whole else 2)
-                    if whole:
-                        put(got[0], got[1])
-                    else:
-                        parts.append(got)
-                if not parts:
-                    continue
-                doc, at, gram, seg = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.lexsort((doc, seg, gram))
+            rows: list[tuple[int, bytes, bytes | None]] = []
+            shards, owners, blobs = (table[c].to_pylist() for c in ("shard", "doc_id", "blob"))
+            parts: dict[int, list] = {}
+            for shard, owner, blob in zip(shards, owners, blobs, strict=True):
+                if owner is not None:
+                    rows.append((owner, blob, None))
+                else:
+                    parts.setdefault(shard, []).append(unpack_rows(blob, 2, WIDTH))
+            for shard, mine in parts.items():
+                doc, at, gram, seg = (np.concatenate(x) for x in zip(*mine, strict=True))
+                often = np.flatnonzero(shared(gram))
+                order = often[np.lexsort((doc[often], seg[often], gram[often]))]
                 doc, at, gram, seg = doc[order], at[order], gram[order], seg[order]
                 same, forms = runs(gram), runs(gram, seg)
                 later = doc > least(forms, doc)
-                put(doc[later], at[later])
+                rows += [(d, a, None) for d, a in cut_by_doc(doc[later], at[later])]
                 low, high = least(same, doc), -least(same, -doc)
                 several = -least(same, -forms) > least(same, forms)
                 edges = several & (low < high) & ~later
-                put(doc[edges], at[edges], gram[edges])
-            yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(edge, pa.bool_()), pa.array(blobs, pa.binary())], ["doc_id", "edge", "blob"])
+                rows += cut_by_doc(doc[edges], at[edges], (np.uint64(shard) << np.uint64(8 * WIDTH)) | gram[edges])
+            columns = list(zip(*rows, strict=True)) or [(), (), ()]
+            yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["doc_id", "blob", "keys"])
 
     placed = packed.repartition("shard").sortWithinPartitions("shard")
-    return placed.mapInArrow(run, "doc_id long, edge boolean, blob binary")
+    return placed.mapInArrow(run, "doc_id long, blob binary, keys binary")
 
 
 def edge_segments(rows: DataFrame, edges: DataFrame, length: int, salted: bool) -> DataFrame:
@@ -231,17 +232,17 @@ def edge_segments(rows: DataFrame, edges: DataFrame, length: int, salted: bool)
             for doc_id, z, blobs in zip(batch["doc_id"].to_pylist(), batch["z"].to_pylist(), batch["blobs"].to_pylist(), strict=True):
                 text = unpack(z) if z else b""
                 base = place_base(text, salted)
-                _, _, first, back, n = segments(text, length)
-                for blob in blobs:
-                    _, at, key = unpack_rows(blob, 1)
-                    mine = (at - base >= 0) & (at - base < len(first))
-                    for a, k in zip((at[mine] - base).tolist(), key[mine].astype(np.int64).tolist(), strict=True):
-                        out.append((k, doc_id, a + base, int(back[a]), int(n[a]), text[first[a] : first[a] + n[a] + length - 1]))
+                for x in blobs:
+                    at, key = np.frombuffer(x["blob"], "<i8"), np.frombuffer(x["keys"], "<u8")
+                    mine = (at - base >= 0) & (at - base < 1 << 44)
+                    first, back, n = decoded(at[mine] - base)
+                    for code, k, a, g, m in zip(at[mine].tolist(), key[mine].view(np.int64).tolist(), first.tolist(), back.tolist(), n.tolist(), strict=True):
+                        out.append((k, doc_id, code, g, m, text[a : a + m + length - 1]))
             columns = list(zip(*out, strict=True)) or [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["gram", "doc_id", "place", "back", "n", "seg"])
 
-    lists = edges.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("blob").alias("blobs")).hint("shuffle_hash")
+    lists = edges.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("blob", "keys")).alias("blobs")).hint("shuffle_hash")
     found = rows.join(lists, rows["doc_id"] == lists["id"]).select("doc_id", "z", "blobs")
     return found.mapInArrow(run, "gram long, doc_id long, place long, back int, n int, seg binary")
 
@@ -304,15 +305,14 @@ def cut_spans(text: bytes, whole: np.ndarray, part: list[tuple[int, int]], lengt
     """(kept bytes, bytes removed, runs removed)."""
     if not len(whole) and not part:
         return text, 0, 0
-    _, _, first, _, n = segments(text, length)
     step = np.zeros(len(text) + 1, np.int32)
     whole = whole - base
-    whole = whole[(whole >= 0) & (whole < len(first))]
-    np.add.at(step, first[whole], 1)
-    np.add.at(step, first[whole] + n[whole] + length - 1, -1)
+    first, _, n = decoded(whole[(whole >= 0) & (whole < 1 << 44)])
+    np.add.at(step, first, 1)
+    np.add.at(step, first + n + length - 1, -1)
     for at, mask in part:
-        if 0 <= at - base < len(first):
-            starts = first[at - base] + np.flatnonzero(np.unpackbits(np.array([mask], "<i8").view(np.uint8), bitorder="little"))
+        if 0 <= at - base < 1 << 44:
+            starts = ((at - base) >> 12) + np.flatnonzero(np.unpackbits(np.array([mask], "<i8").view(np.uint8), bitorder="little"))
             np.add.at(step, starts, 1)
             np.add.at(step, starts + length, -1)
     gone = np.cumsum(step[:-1]) > 0
@@ -334,10 +334,10 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     salted = facts[1] != facts[2]
     shards = max(16, int((facts[0] or 0) / 14 / SHARD_SEGMENTS))
     own = rows.where("doc_id is not null").select("doc_id", "text")
-    marks = cut(resolve_shards(shard_segments(own, length, shards, salted)))
-    segs = cut(edge_segments(squeezed(own, "doc_id"), marks.where("edge").select("doc_id", "blob"), length, salted))
+    marks = stored(resolve_shards(shard_segments(own, length, shards, salted)), "marks")
+    segs = stored(edge_segments(squeezed(own, "doc_id"), marks.where("keys is not null"), length, salted), "segments")
     parts = covered_strings(segs, length).groupBy("doc_id").agg(F.collect_list(F.struct("place", "mask")).alias("parts"))
-    whole = marks.where("not edge").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
+    whole = marks.where("keys is null").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
     found = whole.join(parts, "doc_id", "full").withColumnRenamed("doc_id", "id").hint("shuffle_hash")
     kind = rows.schema["row"].dataType.simpleString()
 
@@ -347,7 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             out: list[tuple] = []
             for z, blobs, part in zip(batch["z"].to_pylist(), batch["blobs"].to_pylist(), batch["parts"].to_pylist(), strict=True):
                 text = unpack(z) if z else b""
-                places = np.concatenate([unpack_rows(b, 0)[1] for b in blobs]) if blobs else np.empty(0, np.int64)
+                places = np.frombuffer(b"".join(blobs), "<i8") if blobs else np.empty(0, np.int64)
                 kept, removed, spans = cut_spans(text, places, [(p["place"], p["mask"]) for p in part or []], length, place_base(text, salted))
                 out.append((kept, len(text), removed, spans))
             columns = list(zip(*out, strict=True)) or [()] * 4
