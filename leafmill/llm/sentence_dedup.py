@@ -39,7 +39,8 @@ from leafmill.llm.common import cut, text_batches
 from leafmill.llm.shards import by_doc, least, pack, place_base, runs, squeezed, unpack_rows, whole_groups
 
 MIN_WORDS, UNIT_WORDS = 16, 24
-SHARD_RUNS = 1_000_000
+#: Runs that one shard holds about, at every size.
+SHARD_RUNS = 100_000
 
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s+|\n\s*")
 _WORD = re.compile(r"\S+")
