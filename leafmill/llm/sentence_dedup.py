@@ -125,7 +125,7 @@ def shard_runs(rows: DataFrame, shards: int, salted: bool, min_words: int, unit_
             for d, p in by_doc(doc[later], at[later]):
                 out.append((d % shards, True, pack(np.full(len(p), d), np.sort(p))))
             doc, at, a, b = (x[first] for x in (doc, at, a, b))
-            shard = ((a >> np.uint64(48)) % np.uint64(shards)).astype(np.int64)
+            shard = ((a >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)  # 32 bits: shards stay of one size at any input
             order = np.lexsort((at, doc, shard))
             for k, d, p, x, y in by_doc(shard[order], *(v[order] for v in (doc, at, a, b))):
                 out.append((k, False, pack(d, p, x, y)))
