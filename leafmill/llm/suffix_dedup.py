@@ -180,7 +180,8 @@ def shard_segments(rows: DataFrame, length: int, shards: int, salted: bool) -> D
             later[often] = doc[often] > least(runs(gram[often], seg[often]), doc[often])
             out: list[tuple[int, int | None, bytes]] = [(d % shards, d, a) for d, a in cut_by_doc(doc[later], at[later])]
             doc, at, gram, seg = (x[~later] for x in (doc, at, gram, seg))
-            shard = ((gram >> np.uint64(44)) % np.uint64(shards)).astype(np.int64)
+            # mixed again, because the least hash of a window has small high bits
+            shard = ((_mix(gram) >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
             keep = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")  # by document and place already
             for k, d, a, g, s in by_doc(shard[keep], *(x[keep] for x in (doc, at, gram, seg))):
                 out.append((k, None, pack(d, a, g, s, width=WIDTH)))
