@@ -32,7 +32,6 @@ from leafmill.llm.common import cut, shared_path, text_batches
 BLANK = b" \t\n\r\x0b\x0c"
 #: References that one filter shard serves about; hot shards are split for lookups.
 SHARD_KEYS = 200_000
-MAX_SHARDS = 4096
 SLOTS = 4
 
 
@@ -169,7 +168,7 @@ def build_filters(counts: DataFrame, shards: int) -> DataFrame:
 
 
 def shards_for(keys: int) -> int:
-    return max(1, min(MAX_SHARDS, -(-keys // SHARD_KEYS)))
+    return max(1, -(-keys // SHARD_KEYS))
 
 
 def probe(postings: DataFrame, filters: DataFrame, shards: int, splits: int = 8) -> DataFrame:
