@@ -9,7 +9,8 @@ one bit left out, variants meet by equality, and what meets is verified.
 Equal fingerprints are one node before anything is joined. In a bucket of a
 variant no pairs are emitted: a search from node to node over what is still
 unreached gives a spanning forest, one link for each node at most, which keeps
-the components whole.
+the components whole. A bucket of more than WIDE fingerprints is first cut by
+the bits it differs in, so that its search grows far slower than its square.
 
 Defined results: null and empty texts have no shingles and the zero
 fingerprint, linked like any other. Texts of one or two words have one shingle.
@@ -31,6 +32,8 @@ from leafmill.llm.common import cut, text_batches
 from leafmill.llm.graph import connected_components
 
 BITS = 64
+#: Distinct fingerprints of a bucket above which it is searched part by part.
+WIDE = 2_048
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -84,6 +87,27 @@ def forest(fps: np.ndarray, distance: int, block: int = 256) -> list[tuple[int,
     return links
 
 
+def wide_forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """``forest`` of a wide bucket: its varying bits are cut into ``distance + 1`` parts.
+
+    Two linked fingerprints agree on one part at least, so that every link lies
+    in a group that is equal on some part, and only those groups are searched.
+    """
+    varying = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    places = [i for i in range(BITS) if varying >> i & 1]
+    links: list[tuple[int, int]] = []
+    for k in range(distance + 1):
+        mask = np.uint64(sum(1 << i for i in places[k :: distance + 1]))
+        part = fps & mask
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1], True])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > 1:
+                mine = order[a:b]
+                links += [(int(mine[i]), int(mine[j])) for i, j in forest(fps[mine], distance)]
+    return links
+
+
 def variants(distance: int) -> F.Column:
     """Array of (segment, wildcard, rest) keys of column fp."""
     segments = max(1, (distance + 1) // 2)
@@ -114,7 +138,8 @@ def fingerprint_links(nodes: DataFrame, distance: int = 3) -> DataFrame:
             two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
             a, b = [fps[two]], [fps[two + 1]]
             for at, n in zip(edges[:-1][size > 2], size[size > 2], strict=True):
-                links = forest(group := fps[at : at + n], distance)
+                group = fps[at : at + n]
+                links = forest(group, distance) if n <= WIDE else wide_forest(group, distance)
                 if links:
                     pairs = np.array(links)
                     a.append(group[pairs[:, 0]])
