@@ -105,6 +105,15 @@ def test_packing_round_trip():
     assert shards.shared(np.array([4, 1, 4, 2], np.uint64)).tolist() == [True, False, True, False]
 
 
+def test_shards_grow_in_number_not_in_size(frame):
+    """Far more shards than 16 or 20 bits of a hash could name are in use."""
+    rows = frame.select("doc_id", F.col("text").cast("binary").alias("text"))
+    runs = sentence_dedup.shard_runs(rows, 20_000_000, False, 16, 24).where("not later").agg(F.max("shard")).first()[0]
+    segments = suffix_dedup.shard_segments(rows, 50, 16_000_000, False).where("doc_id is null").agg(F.max("shard")).first()[0]
+    assert runs > 10_000_000 and segments > 8_000_000
+    assert line_dedup.shards_for(10**12) == 10**12 // line_dedup.SHARD_KEYS
+
+
 def units(text):
     out, at = [], 0
     for m in [*sentence_dedup._END.finditer(text), None]:
@@ -174,6 +183,30 @@ def test_simhash_links_every_pair_within_distance(spark):
     assert got == {frozenset((signed[i], signed[40 + i])) for i in range(40) if i % 4 < 3}
 
 
+def test_wide_forest_keeps_components():
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 1 << 24, 400).astype(np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 33, (400, 3)).astype(np.uint64)
+    fps = np.unique(np.r_[near, near ^ flips[:, 0], near ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2]])
+
+    def components(links):
+        root = list(range(len(fps)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for i, j in links:
+            assert int(fps[i] ^ fps[j]).bit_count() <= 3
+            root[max(find(i), find(j))] = min(find(i), find(j))
+        return [find(i) for i in range(len(fps))]
+
+    every = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 3]
+    assert components(simhash.wide_forest(fps, 3)) == components(simhash.forest(fps, 3)) == components(every)
+
+
 def test_forest_spans_components():
     fps = np.array([0, 1, 3, 7, 3 << 40, 255], np.uint64)
     assert {frozenset(x) for x in simhash.forest(fps, 1)} == {frozenset((0, 1)), frozenset((0, 2)), frozenset((0, 3))}
