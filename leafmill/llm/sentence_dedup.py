@@ -2,7 +2,14 @@
 
 A text is cut into sentences after ``.!?`` and closing marks before white
 space, and at line breaks; a sentence of more than ``unit_words`` words counts
-as several pieces of so many. Every run of several consecutive sentences with
+as several pieces. With ``content_cuts`` it is cut after the word of least hash
+(the last of equal ones) of every ``unit_words`` consecutive words, so pieces
+have at most so many words and fall into step inside a copied passage, whatever
+stands before it: between the first and the last window that lie in the passage
+all cuts agree, and a passage of ``3 * unit_words`` words without any sentence
+end is found; up to ``unit_words`` words at either end of it stay. Without it,
+pieces of ``unit_words`` words are counted from the sentence's start, and copies
+after different lead-in words agree only by chance. Every run of several consecutive sentences with
 ``min_words`` words is hashed: from each sentence forwards to the first that
 completes it, and from each sentence backwards, of two sentences at least. So
 every sentence of a repeated passage of ``2 * min_words + unit_words`` words
@@ -46,7 +53,15 @@ _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s+|\n\s*")
 _WORD = re.compile(r"\S+")
 
 
-def sentences(text: str, unit_words: int = UNIT_WORDS) -> tuple[np.ndarray, np.ndarray, str, np.ndarray]:
+def content_starts(words: list[str], width: int) -> list[int]:
+    """Where the pieces of more than ``width`` words begin: at 0, and after the last least hash of every ``width`` words."""
+    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], np.uint64)
+    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], width)  # reversed: argmin takes the last of equal ones
+    at = len(words) - np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
+    return [0, *at[at < len(words)][::-1].tolist()]
+
+
+def sentences(text: str, unit_words: int = UNIT_WORDS, content_cuts: bool = False) -> tuple[np.ndarray, np.ndarray, str, np.ndarray]:
     """(ends, words so far, text for comparing, its ends) of a text's sentences; each ends where the next begins."""
     ends, counts, plain = [], [], []
     at = 0
@@ -56,9 +71,10 @@ def sentences(text: str, unit_words: int = UNIT_WORDS) -> tuple[np.ndarray, np.n
         words = text[at:end].lower().split()
         if len(words) > unit_words:
             starts = [m.start() for m in _WORD.finditer(text, at, end)]
-            for k in range(0, len(words), unit_words):
-                part = words[k : k + unit_words]
-                ends.append(starts[k + unit_words] if k + unit_words < len(starts) else end)
+            cuts = content_starts(words, unit_words) if content_cuts else list(range(0, len(words), unit_words))
+            for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
+                part = words[a:b]
+                ends.append(starts[b] if b < len(starts) else end)
                 counts.append(len(part))
                 plain.append(" ".join(part))
         elif words or not ends:
@@ -86,9 +102,9 @@ def spans(words_so_far: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndar
     return key // n, key % n
 
 
-def run_hashes(text: str, min_words: int, unit_words: int) -> tuple[np.ndarray, np.ndarray]:
+def run_hashes(text: str, min_words: int, unit_words: int, content_cuts: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every run of a text, in order."""
-    _, words, plain, ends = sentences(text, unit_words)
+    _, words, plain, ends = sentences(text, unit_words, content_cuts)
     first, last = spans(words, min_words)
     if not len(first):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
@@ -99,7 +115,7 @@ def run_hashes(text: str, min_words: int, unit_words: int) -> tuple[np.ndarray,
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def shard_runs(rows: DataFrame, shards: int, salted: bool, min_words: int, unit_words: int) -> DataFrame:
+def shard_runs(rows: DataFrame, shards: int, salted: bool, min_words: int, unit_words: int, content_cuts: bool = False) -> DataFrame:
     """(shard, later, blob): runs packed by shard; ``later`` rows are runs that their own batch shows to be no first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +123,7 @@ def shard_runs(rows: DataFrame, shards: int, salted: bool, min_words: int, unit_
             docs, places, one, two = [], [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 text = text or b""
-                a, b = run_hashes(text.decode("utf-8", "replace"), min_words, unit_words)
+                a, b = run_hashes(text.decode("utf-8", "replace"), min_words, unit_words, content_cuts)
                 docs.append(np.full(len(a), doc_id, np.int64))
                 places.append(np.arange(len(a)) + place_base(text, salted))
                 one.append(a)
@@ -165,9 +181,9 @@ def later_runs(packed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, blob binary")
 
 
-def cut_runs(text: str, places: np.ndarray, min_words: int, unit_words: int) -> tuple[str, int, int]:
+def cut_runs(text: str, places: np.ndarray, min_words: int, unit_words: int, content_cuts: bool = False) -> tuple[str, int, int]:
     """(rest, sentences, sentences removed)."""
-    ends, words, _, _ = sentences(text, unit_words)
+    ends, words, _, _ = sentences(text, unit_words, content_cuts)
     if not len(places):
         return text, len(ends), 0
     first, last = spans(words, min_words)
@@ -181,7 +197,7 @@ def cut_runs(text: str, places: np.ndarray, min_words: int, unit_words: int) ->
     return rest, len(ends), int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, content_cuts: bool = False) -> DataFrame:
     """The other columns of ``docs`` in struct ``row``, kept (string), n_sentences and n_removed."""
     rows = text_batches(docs).select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
@@ -190,7 +206,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int
     salted = facts[1] != facts[2]
     shards = max(16, int((facts[0] or 0) / 50 / SHARD_RUNS))
     own = rows.where("doc_id is not null").select("doc_id", "text")
-    marks = later_runs(shard_runs(own, shards, salted, min_words, unit_words))
+    marks = later_runs(shard_runs(own, shards, salted, min_words, unit_words, content_cuts))
     lists = marks.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("blob").alias("blobs")).hint("shuffle_hash")
     kind = rows.schema["row"].dataType.simpleString()
 
@@ -201,7 +217,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int
             for z, blobs in zip(batch["z"].to_pylist(), batch["blobs"].to_pylist(), strict=True):
                 data = unpack(z) if z else b""
                 places = np.concatenate([unpack_rows(b, 0)[1] for b in blobs]) if blobs else np.empty(0, np.int64)
-                out.append(cut_runs(data.decode("utf-8", "replace"), places - place_base(data, salted), min_words, unit_words))
+                out.append(cut_runs(data.decode("utf-8", "replace"), places - place_base(data, salted), min_words, unit_words, content_cuts))
             columns = list(zip(*out, strict=True)) or [()] * 3
             kinds = [pa.string(), pa.int64(), pa.int64()]
             yield pa.record_batch([batch["row"], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["row", "kept", "n_sentences", "n_removed"])

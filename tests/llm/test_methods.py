@@ -150,6 +150,21 @@ def test_sentence_spans_equal_brute_force(frame, copies):
         assert r.kept == "".join(t[a:b] for k, (a, b, _) in enumerate(u) if k not in gone)
 
 
+def test_sentence_passage_after_different_lead_in_words(spark):
+    """No sentence ends in the passage; the query's cuts fall into step in it."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = " ".join(word() for _ in range(200))
+    rows = [(n, " ".join([*[word() for _ in range(n)], passage])) for n in (3, 1, 24, 50, 0)]
+    for text in [rows[0][1], "to be or not to be " * 40, "a " * 90]:
+        starts = sentence_dedup.content_starts(text.split(), 24)
+        assert max(np.diff([*starts, len(text.split())])) <= 24 and starts[0] == 0 and min(np.diff(starts)) > 0
+    out = {r.row.doc_id: r for r in sentence_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), content_cuts=True).collect()}
+    assert out[0].kept == rows[4][1]
+    for n, text in rows[:4]:
+        assert len(out[n].kept.split()) <= n + 24 and out[n].kept.split()[:n] == text.split()[:n]
+
+
 def test_simhash_equals_brute_force(frame, copies):
     def fp(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
