@@ -103,7 +103,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op2_sentence_dedup")
 def op2_sentence_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = sentence_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), content_cuts=True)
+    out = sentence_dedup.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"), content_cuts=True, few_sentences=3)
     return out.select("row.doc_id", "n_sentences", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 

@@ -1,7 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences after ``.!?`` and closing marks before white
-space, and at line breaks; a sentence of more than ``unit_words`` words counts
+space, after the marks ``。！？`` with or without it, and at line breaks; each
+ideograph or kana counts as a word. A sentence of more than ``unit_words`` words counts
 as several pieces. With ``content_cuts`` it is cut after the word of least hash
 (the last of equal ones) of every ``unit_words`` consecutive words, so pieces
 have at most so many words and fall into step inside a copied passage, whatever
@@ -13,7 +14,12 @@ after different lead-in words agree only by chance. Every run of several consecu
 ``min_words`` words is hashed: from each sentence forwards to the first that
 completes it, and from each sentence backwards, of two sentences at least. So
 every sentence of a repeated passage of ``2 * min_words + unit_words`` words
-lies in some run of the passage. Words are compared lower-cased, with one space
+lies in some run of the passage. With ``few_sentences`` the runs of so many whole
+sentences that have fewer words are hashed as well, and so is a text that is
+shorter or one sentence, as a whole. What stays then: in texts that differ,
+fewer repeated sentences than that with fewer than ``min_words`` words together,
+single repeated sentences, and all but whole lines, sentences and texts in
+scripts other than Chinese and Japanese that set no spaces. Words are compared lower-cased, with one space
 between them.
 
 Runs are joined over the whole corpus by their hashes; the first occurrence, by
@@ -49,8 +55,11 @@ MIN_WORDS, UNIT_WORDS = 16, 24
 #: Runs that one shard holds about, at every size.
 SHARD_RUNS = 100_000
 
-_END = re.compile(r"[.!?…。！？][\"'”’»)\]]*\s+|\n\s*")
+_END = re.compile(r"[.!?…][\"'”’»)\]]*\s+|[。！？｡．][\"'”’»)\]」』）】》〉〕]*\s*|\n\s*")
 _WORD = re.compile(r"\S+")
+#: Ideographs and kana, which are written without spaces between words; each, with the marks after it, is a word.
+_WIDE = "\u3005-\u3007\u3041-\u3096\u30a1-\u30fa\u30fc-\u30fe\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_HAS_WIDE, _WIDE_WORD = re.compile(f"[{_WIDE}]"), re.compile(rf"[{_WIDE}][^\w\s]*|[^\s{_WIDE}]+")
 
 
 def content_starts(words: list[str], width: int) -> list[int]:
@@ -61,16 +70,20 @@ def content_starts(words: list[str], width: int) -> list[int]:
     return [0, *at[at < len(words)][::-1].tolist()]
 
 
-def sentences(text: str, unit_words: int = UNIT_WORDS, content_cuts: bool = False) -> tuple[np.ndarray, np.ndarray, str, np.ndarray]:
-    """(ends, words so far, text for comparing, its ends) of a text's sentences; each ends where the next begins."""
-    ends, counts, plain = [], [], []
+def sentences(text: str, unit_words: int = UNIT_WORDS, content_cuts: bool = False) -> tuple[np.ndarray, np.ndarray, str, np.ndarray, np.ndarray]:
+    """(ends, words so far, text for comparing, its ends) of a text's sentences, each of which ends where the next begins; and which of them begin a whole one."""
+    ends, counts, plain, whole = [], [], [], []
     at = 0
+    wide = not text.isascii() and _HAS_WIDE.search(text)
+    word, split = (_WIDE_WORD, _WIDE_WORD.findall) if wide else (_WORD, str.split)
     for end in [*[m.end() for m in _END.finditer(text)], len(text)]:
         if end == at:
             continue
-        words = text[at:end].lower().split()
+        words = split(text[at:end].lower())
+        if words or not ends:
+            whole.append(len(ends))
         if len(words) > unit_words:
-            starts = [m.start() for m in _WORD.finditer(text, at, end)]
+            starts = [m.start() for m in word.finditer(text, at, end)]
             cuts = content_starts(words, unit_words) if content_cuts else list(range(0, len(words), unit_words))
             for a, b in zip(cuts, [*cuts[1:], len(words)], strict=True):
                 part = words[a:b]
@@ -85,12 +98,14 @@ def sentences(text: str, unit_words: int = UNIT_WORDS, content_cuts: bool = Fals
             ends[-1] = end
         at = end
     plain_ends = np.cumsum([len(p) + 1 for p in plain]) if plain else np.empty(0, np.int64)
-    return np.array(ends, np.int64), np.cumsum(counts, dtype=np.int64), " ".join(plain), plain_ends.astype(np.int64)
+    return np.array(ends, np.int64), np.cumsum(counts, dtype=np.int64), " ".join(plain), plain_ends.astype(np.int64), np.array(whole, np.int64)
 
 
-def spans(words_so_far: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) sentence of every run, in order of first and last."""
+def spans(words_so_far: np.ndarray, min_words: int = MIN_WORDS, whole: np.ndarray | None = None, few_sentences: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) sentence of every run, in order of first and last; with ``few_sentences`` also the short runs of so many whole ones, and a short text."""
     n = len(words_so_far)
+    if n == 1 and few_sentences and words_so_far[0]:
+        return np.zeros(1, np.int64), np.zeros(1, np.int64)
     if n < 2:
         return np.empty(0, np.int64), np.empty(0, np.int64)
     before = np.r_[0, words_so_far[:-1]]
@@ -98,14 +113,19 @@ def spans(words_so_far: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndar
     last = np.maximum(np.searchsorted(words_so_far, before + min_words), i + 1)
     first = np.minimum(np.searchsorted(before, words_so_far - min_words, side="right") - 1, i - 1)
     ahead, behind = last < n, first >= 0
-    key = np.unique(np.r_[i[ahead] * n + last[ahead], first[behind] * n + i[behind]])
+    key = np.r_[i[ahead] * n + last[ahead], first[behind] * n + i[behind]]
+    if few_sentences:  # runs of min_words cover all that is longer
+        begin, end = whole[: len(whole) - few_sentences + 1], np.r_[whole[1:], n][few_sentences - 1 :] - 1
+        short = words_so_far[end] - before[begin] < min_words
+        key = np.r_[key, begin[short] * n + end[short], [n - 1] if words_so_far[-1] < min_words else []].astype(np.int64)
+    key = np.unique(key)
     return key // n, key % n
 
 
-def run_hashes(text: str, min_words: int, unit_words: int, content_cuts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def run_hashes(text: str, min_words: int, unit_words: int, content_cuts: bool = False, few_sentences: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of every run of a text, in order."""
-    _, words, plain, ends = sentences(text, unit_words, content_cuts)
-    first, last = spans(words, min_words)
+    _, words, plain, ends, whole = sentences(text, unit_words, content_cuts)
+    first, last = spans(words, min_words, whole, few_sentences)
     if not len(first):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     begin = np.r_[0, ends[:-1]][first]
@@ -115,7 +135,7 @@ def run_hashes(text: str, min_words: int, unit_words: int, content_cuts: bool =
     return both[:, 0].copy(), both[:, 1].copy()
 
 
-def shard_runs(rows: DataFrame, shards: int, salted: bool, min_words: int, unit_words: int, content_cuts: bool = False) -> DataFrame:
+def shard_runs(rows: DataFrame, shards: int, salted: bool, min_words: int, unit_words: int, content_cuts: bool = False, few_sentences: int = 0) -> DataFrame:
     """(shard, later, blob): runs packed by shard; ``later`` rows are runs that their own batch shows to be no first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +143,7 @@ def shard_runs(rows: DataFrame, shards: int, salted: bool, min_words: int, unit_
             docs, places, one, two = [], [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 text = text or b""
-                a, b = run_hashes(text.decode("utf-8", "replace"), min_words, unit_words, content_cuts)
+                a, b = run_hashes(text.decode("utf-8", "replace"), min_words, unit_words, content_cuts, few_sentences)
                 docs.append(np.full(len(a), doc_id, np.int64))
                 places.append(np.arange(len(a)) + place_base(text, salted))
                 one.append(a)
@@ -181,12 +201,12 @@ def later_runs(packed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, blob binary")
 
 
-def cut_runs(text: str, places: np.ndarray, min_words: int, unit_words: int, content_cuts: bool = False) -> tuple[str, int, int]:
+def cut_runs(text: str, places: np.ndarray, min_words: int, unit_words: int, content_cuts: bool = False, few_sentences: int = 0) -> tuple[str, int, int]:
     """(rest, sentences, sentences removed)."""
-    ends, words, _, _ = sentences(text, unit_words, content_cuts)
+    ends, words, _, _, whole = sentences(text, unit_words, content_cuts)
     if not len(places):
         return text, len(ends), 0
-    first, last = spans(words, min_words)
+    first, last = spans(words, min_words, whole, few_sentences)
     places = places[(places >= 0) & (places < len(first))]
     step = np.zeros(len(ends) + 1, np.int64)
     np.add.at(step, first[places], 1)
@@ -197,7 +217,7 @@ def cut_runs(text: str, places: np.ndarray, min_words: int, unit_words: int, con
     return rest, len(ends), int(gone.sum())
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, content_cuts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int = UNIT_WORDS, content_cuts: bool = False, few_sentences: int = 0) -> DataFrame:
     """The other columns of ``docs`` in struct ``row``, kept (string), n_sentences and n_removed."""
     rows = text_batches(docs).select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
@@ -206,7 +226,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int
     salted = facts[1] != facts[2]
     shards = max(16, int((facts[0] or 0) / 50 / SHARD_RUNS))
     own = rows.where("doc_id is not null").select("doc_id", "text")
-    marks = later_runs(shard_runs(own, shards, salted, min_words, unit_words, content_cuts))
+    marks = later_runs(shard_runs(own, shards, salted, min_words, unit_words, content_cuts, few_sentences))
     lists = marks.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list("blob").alias("blobs")).hint("shuffle_hash")
     kind = rows.schema["row"].dataType.simpleString()
 
@@ -217,7 +237,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, unit_words: int
             for z, blobs in zip(batch["z"].to_pylist(), batch["blobs"].to_pylist(), strict=True):
                 data = unpack(z) if z else b""
                 places = np.concatenate([unpack_rows(b, 0)[1] for b in blobs]) if blobs else np.empty(0, np.int64)
-                out.append(cut_runs(data.decode("utf-8", "replace"), places - place_base(data, salted), min_words, unit_words, content_cuts))
+                out.append(cut_runs(data.decode("utf-8", "replace"), places - place_base(data, salted), min_words, unit_words, content_cuts, few_sentences))
             columns = list(zip(*out, strict=True)) or [()] * 3
             kinds = [pa.string(), pa.int64(), pa.int64()]
             yield pa.record_batch([batch["row"], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["row", "kept", "n_sentences", "n_removed"])

@@ -165,6 +165,17 @@ def test_sentence_passage_after_different_lead_in_words(spark):
         assert len(out[n].kept.split()) <= n + 24 and out[n].kept.split()[:n] == text.split()[:n]
 
 
+def test_sentence_copies_without_spaces_or_of_few_words(spark):
+    zh = "天气很好。我们去公园散步！你想一起来吗？他说：“好的。”然后大家出发了。"
+    five = "One two three four five. Six seven eight nine ten. Red green blue grey pink. "
+    texts = [zh, zh, "前面还有别的话。" + zh + "后面也有。", five + "An end of its own.", "Some other words here first. " + five, "Not long.", "Not long.", "", " "]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.row.doc_id: (r.kept, r.n_sentences) for r in sentence_dedup.remove_repeats(frame, content_cuts=True, few_sentences=3).collect()}
+    assert [out[i][0] for i in range(9)] == [zh, "", "前面还有别的话。后面也有。", texts[3], "Some other words here first. ", "Not long.", "", "", " "]
+    assert out[0][1] == 5 and sentence_dedup.sentences(zh)[1][-1] == 28
+    assert sentence_dedup.spans(np.array([5, 10, 15, 20]), 16, np.arange(4), 3)[0].tolist() == [0, 0, 1]
+
+
 def test_simhash_equals_brute_force(frame, copies):
     def fp(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t.lower())
