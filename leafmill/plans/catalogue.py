@@ -509,6 +509,20 @@ def counter_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.counter_f1(part(1), part(200), "doc_id", "t").withColumn("f1", F.round("f1", 6))
 
 
+@query(
+    "counter_f1_texts",
+    r"""with a as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(substr(text, 1, length(text) // 2), '[\p{L}\p{N}_]+')) as t from documents) group by all),
+    b as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) as t from documents) group by all),
+    m as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.n, 0) as p, coalesce(b.n, 0) as q from a full join b on a.doc_id = b.doc_id and a.t = b.t)
+    select doc_id, round(2 * sum(least(p, q)) / sum(p + q), 6) as f1 from m group by doc_id""",
+)
+def counter_f1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As counter_f1, over whole texts: the first half against the whole."""
+    docs = table(spark, sf_dir, "documents")
+    part = lambda text: docs.select("doc_id", F.explode(T.tokens(F.expr(text))).alias("t"))
+    return S.counter_f1(part("substr(text, 1, length(text) div 2)"), part("text"), "doc_id", "t").withColumn("f1", F.round("f1", 6))
+
+
 @query(
     "category_contents",
     r"""select n_nationkey as category_id, n_name as name, count(*) filter (c_custkey % 2 = 0) as books, count(*) filter (c_custkey % 2 = 1) as articles

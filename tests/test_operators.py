@@ -166,3 +166,13 @@ def test_search_and_anchors(spark):
     assert [r.start for r in B.find_in_texts(texts, "TWO", ["key"]).orderBy("start").collect()] == [4, 9, 20]
     quotes = spark.createDataFrame([(1, "k", "two", "three, ", 0.0), (2, "k", "TWO THREE", "", 0.0), (3, "k", "none", "", 0.0)], "quote_id int, key string, quote string, before string, hint double")
     assert {(r.quote_id, r.start, r.end, r.how) for r in B.anchor_quotes(quotes, texts, "key").collect()} == {(1, 20, 23, "exact"), (2, 9, 18, "lower")}
+
+
+def test_counter_f1_reads_whole_texts(spark, tmp_path):
+    from leafmill.plans.catalogue import QUERIES
+
+    same = " ".join(["word"] * 120)  # 599 characters; what differs stands behind them
+    texts = [(1, f"{same} {same}"), (2, f"{same} {'x' * 2000}")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.f1 for r in QUERIES["counter_f1_texts"](spark, str(tmp_path)).collect()}
+    assert got == {1: round(240 / 360, 6), 2: round(240 / 242, 6)}
