@@ -9,10 +9,15 @@ written as array aggregates over that key's sorted changes. Orders are on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.dates import iso_micros
+from leafmill.session import cut
 
 #: Sizes and shapes that a change must keep to.
 KINDS = "progress session preferences library highlight article articleProgress category categoryItem".split()
@@ -229,27 +234,37 @@ def merge_articles(changes: DataFrame) -> DataFrame:
     return out.select("id", "s.row.url", "s.row.title", "s.row.updated_at", "s.row.deleted_at", "s.row.position", "s.row.change_id", "s.accepted")
 
 
-def merge_categories(changes: DataFrame) -> DataFrame:
-    """Categories by id: a tombstone is final, whatever its clock; live rows are last-write-wins and keep their first created_at."""
-    logs = _ordered(changes, "id", "name", "color", "created_at", "deleted")
-    row = "struct<name:string,color:string,created_at:string,updated_at:string,updated_us:bigint,change_id:string,deleted_at:string>"
-    turn = changes.schema["turn"].dataType.simpleString()
-    state = F.struct(F.lit(None).cast(row).alias("row"), F.array().cast(f"array<{turn}>").alias("accepted"))
-
-    def step(s: Column, x: Column) -> Column:
-        r = s["row"]
-        ok = r.isNull() | (r["deleted_at"].isNull() & (x["deleted"] | _newer(x, r)))
-        new = F.struct(
-            F.when(x["deleted"], F.coalesce(r["name"], F.lit(""))).otherwise(F.trim(x["name"])).alias("name"),
-            F.when(x["deleted"], F.coalesce(r["color"], F.lit(""))).otherwise(x["color"]).alias("color"),
-            F.coalesce(r["created_at"], F.when(x["deleted"], x["updated_at"]).otherwise(x["created_at"])).alias("created_at"),
-            x["updated_at"].alias("updated_at"), x["updated_us"].alias("updated_us"), x["change_id"].alias("change_id"),
-            F.when(x["deleted"], x["updated_at"]).alias("deleted_at"),
-        )
-        return F.when(ok, F.struct(new.cast(row).alias("row"), F.concat(s["accepted"], F.array(x["turn"])).alias("accepted"))).otherwise(s)
+def merge_categories(changes: DataFrame, accepted: bool = True) -> DataFrame:
+    """Categories by id: a tombstone is final, whatever its clock; live rows are last-write-wins and keep their first created_at.
 
-    out = logs.select("id", F.aggregate("log", state, step).alias("s"))
-    return out.select("id", "s.row.name", "s.row.color", "s.row.created_at", "s.row.updated_at", "s.row.deleted_at", "s.row.change_id", "s.accepted")
+    Aggregates that Spark combines, so no row holds a key's history: the first
+    tombstone of each id, and the last write before it; of equal clocks the
+    first to arrive. Clocks and change ids are never null (``validate``).
+    ``accepted=False`` leaves out the turns of accepted writes, an array as long
+    as what was accepted of the key (``accepted_categories`` has them as rows).
+    """
+    dead = F.coalesce("deleted", F.lit(False))
+    graves = changes.where(dead).groupBy("id").agg(F.min_by(F.struct("turn", "updated_at", "change_id"), "turn").alias("grave"))
+    before = changes.where(~dead).join(graves.select("id", F.col("grave.turn").alias("end")), "id", "left").where("end is null or turn < end")
+    clock = ["updated_us", "change_id"]
+    same = before.groupBy("id", *clock).agg(F.min_by(F.struct("turn", "name", "color", "created_at", "updated_at"), "turn").alias("row"))
+    live = same.groupBy("id").agg(F.max_by(F.struct("row", "change_id"), F.struct(*clock)).alias("top"), F.min_by("row.created_at", "row.turn").alias("created_at"))
+    both = live.join(graves, "id", "full")
+    text = lambda c: F.when(F.col("grave").isNull(), c).otherwise(F.coalesce(c, F.lit("")))
+    last = lambda c, live: F.when(F.col("grave").isNotNull(), F.col(f"grave.{c}")).otherwise(F.col(live))
+    out = both.select("id", text(F.trim("top.row.name")).alias("name"), text(F.col("top.row.color")).alias("color"), F.coalesce("created_at", "grave.updated_at").alias("created_at"),
+        last("updated_at", "top.row.updated_at").alias("updated_at"), F.col("grave.updated_at").alias("deleted_at"), last("change_id", "top.change_id").alias("change_id"))
+    if not accepted:
+        return out
+    return out.join(accepted_categories(changes).groupBy("id").agg(F.array_sort(F.collect_list("turn")).alias("accepted")), "id")
+
+
+def accepted_categories(changes: DataFrame) -> DataFrame:
+    """(id, turn) of the accepted writes of ``merge_categories``, a row each."""
+    past = Window.partitionBy("id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    dead, clock = F.coalesce("deleted", F.lit(False)), F.struct("updated_us", "change_id")
+    seen = changes.select("id", "turn", dead.alias("dead"), clock.alias("clock"), F.max(clock).over(past).alias("top"), F.max(dead).over(past).alias("over"))
+    return seen.where("top is null or not over and (dead or clock > top)").select("id", "turn")
 
 
 def with_revisions(*states: DataFrame, after: int = 0) -> list[DataFrame]:
@@ -312,22 +327,97 @@ def outbox(current: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return joined.where(F.col("here").isNull() | ~F.col("stamp").eqNullSafe(F.col("sent"))).withColumn("removed", F.col("here").isNull()).drop("here", "sent")
 
 
+def _next_starts(total: np.ndarray, empty: np.ndarray, max_rows: int, max_bytes: int) -> np.ndarray:
+    """Where the batch after the one that starts at each row starts; ``total``: bytes before each row, ``empty``: rows without a size."""
+    at = np.arange(len(empty))
+    over = np.maximum(np.searchsorted(total, total[:-1] + max_bytes, side="right") - 1, at + 1)
+    unknown = np.minimum.accumulate(np.where(empty, at, len(at))[::-1])[::-1]  # from a row without a size on only rows count
+    return np.where(over >= unknown, at + max_rows, np.minimum(over, at + max_rows))
+
+
+def _first_start(n: int, held: int | None, total: list[int], unknown: int, max_rows: int, max_bytes: int) -> int:
+    """Where the first new batch of a stretch starts, after an open batch of ``n`` rows and ``held`` bytes; ``total``: bytes up to each row."""
+    if n == 0:
+        return 0
+    over = max_rows - n if held is None else next((j for j, t in enumerate(total) if held + t > max_bytes), max_rows)
+    return max_rows - n if over >= unknown else min(over, max_rows - n)
+
+
 def pack_batches(changes: DataFrame, key: str, order: str, size: str, max_rows: int = BATCH_CHANGES, max_bytes: int = BATCH_BYTES) -> DataFrame:
     """``changes`` with ``batch``: filled in order until the next row would pass the rows or bytes of a batch.
 
-    Where a batch ends depends on all before it in the key, so each key's sizes
-    are folded in order; only sizes are held, not rows.
+    Where a batch ends depends on all before it in the key, but a long key is no
+    one task's work: rows are dealt by ranges of (key, order). A range that lies
+    in one key says where it would end for each of the ``max_rows`` places at
+    which its first batch may start; the driver goes through these few numbers
+    of each range, and every range is then numbered by itself. Sizes are not negative.
     """
-    logs = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("s")))).alias("log"))
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<int>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= max_rows) | (a["bytes"] + x["s"] > max_bytes))
-        batch = F.when(full, a["batch"] + 1).otherwise(a["batch"])
-        return F.struct(batch.alias("batch"), F.when(full, 1).otherwise(a["n"] + 1).alias("n"), F.when(full, x["s"]).otherwise(a["bytes"] + x["s"]).alias("bytes"), F.concat(a["out"], F.array(batch)).alias("out"))
-
-    packed = logs.select(key, F.col("log.o").alias("o"), F.aggregate("log", start, step)["out"].alias("b"))
-    place = packed.select(key, F.explode(F.arrays_zip("o", "b")).alias("z")).select(key, F.col("z.o").alias(order), F.col("z.b").alias("batch"))
+    slim = changes.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(size).cast("long").alias("s"))
+    placed = cut(slim.repartitionByRange("k", "o", "s").sortWithinPartitions("k", "o", "s").withColumn("part", F.spark_partition_id()).withColumn("name", F.col("k").cast("string")))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+        """The partition's keys: rows, bytes before each row, rows without a size, next starts."""
+        table = pa.Table.from_batches(held) if (held := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        names = table["name"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        ends = [*(np.flatnonzero(names[1:] != names[:-1]) + 1).tolist(), len(names)]
+        empty = table["s"].is_null().to_numpy()
+        sizes = table["s"].fill_null(0).to_numpy()
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            total = np.r_[0, np.cumsum(sizes[a:b])]
+            yield table.slice(a, b - a), total, empty[a:b], _next_starts(total, empty[a:b], max_rows, max_bytes)
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = last = None
+        for n_keys, last in enumerate(stretches(batches)):
+            first = first or last
+        if first is None:
+            return
+        table, total, empty, following = last
+        n = len(empty)
+        step, count, end = following.tolist(), [1] * n, list(range(n))
+        for i in range(n - 1, -1, -1):
+            if step[i] < n:
+                count[i], end[i] = count[step[i]] + 1, end[step[i]]
+        many = min(n, max_rows) if n_keys == 0 else 1  # the last of several keys begins here
+        blank = int(np.flatnonzero(empty)[-1]) if empty.any() else -1
+        row = {
+            "part": table["part"][0].as_py(), "first": first[0]["name"][0].as_py(), "last": table["name"][0].as_py(), "alone": n_keys == 0, "n": n, "unknown": int(np.flatnonzero(empty)[0]) if blank >= 0 else n,
+            "total": total[1 : max_rows + 1].tolist(), "starts": count[:many], "open": [n - e for e in end[:many]], "held": [None if e <= blank else int(total[n] - total[e]) for e in end[:many]],
+        }
+        yield pa.RecordBatch.from_pylist([row], outlines)
+
+    longs = pa.list_(pa.int64())
+    outlines = pa.schema([("part", pa.int32()), ("first", pa.string()), ("last", pa.string()), ("alone", pa.bool_()), ("n", pa.int64()), ("unknown", pa.int64()), ("total", longs), ("starts", longs), ("open", longs), ("held", longs)])
+    carried: dict[int, tuple[int, int | None, int]] = {}  # by partition: rows, bytes and number of the batch that is open before it
+    name, fresh = None, (0, 0, -1)
+    now = fresh
+    kinds = "part int, first string, last string, alone boolean, n long, unknown long, total array<long>, starts array<long>, open array<long>, held array<long>"
+    for r in sorted(placed.mapInArrow(outline, kinds).collect(), key=lambda r: r.part):
+        now = now if carried and r.first == name else fresh
+        carried[r.part] = now
+        p = _first_start(now[0], now[1], r.total, r.unknown, max_rows, max_bytes) if r.alone else 0
+        if p < r.n:
+            now = (r.open[p], r.held[p], (now[2] if r.alone else -1) + r.starts[p])
+        else:  # no batch starts here
+            now = (now[0] + r.n, None if now[1] is None or r.unknown < r.n else now[1] + r.total[r.n - 1], now[2])
+        name = r.last
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, (table, total, empty, following) in enumerate(stretches(batches)):
+            n, held, batch = carried[table["part"][0].as_py()] if i == 0 else fresh
+            unknown = int(np.flatnonzero(empty)[0]) if empty.any() else len(empty)
+            at, step = _first_start(n, held, total[1 : max_rows + 1].tolist(), unknown, max_rows, max_bytes), following.tolist()
+            new = np.zeros(len(empty), np.int32)
+            while at < len(empty):
+                new[at] = 1
+                at = step[at]
+            out = table.select(["k", "o"]).append_column("batch", pa.array(np.cumsum(new, dtype=np.int32) + np.int32(batch), pa.int32()))
+            yield from out.combine_chunks().to_batches()
+
+    kind = lambda c: placed.schema[c].dataType.simpleString()
+    place = placed.mapInArrow(number, f"k {kind('k')}, o {kind('o')}, batch int").select(F.col("k").alias(key), F.col("o").alias(order), "batch")
     return changes.join(place.distinct(), [key, order])
 
 

@@ -328,7 +328,7 @@ def tombstone_final(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("book_id").alias("id"), F.struct("event_id").alias("turn"), "updated_us", "change_id", "updated_at", F.round("value", 2).cast("string").alias("name"),
         F.lit("red").alias("color"), F.col("updated_at").alias("created_at"), (F.col("sha256") == "error").alias("deleted"),
     )
-    return L.merge_categories(log).select("id", "name", F.col("deleted_at").isNotNull().alias("deleted"))
+    return L.merge_categories(log, accepted=False).select("id", "name", F.col("deleted_at").isNotNull().alias("deleted"))
 
 
 @query(

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -176,3 +177,37 @@ def test_counter_f1_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.f1 for r in QUERIES["counter_f1_texts"](spark, str(tmp_path)).collect()}
     assert got == {1: round(240 / 360, 6), 2: round(240 / 242, 6)}
+
+
+def test_histories_of_a_hot_key_are_no_single_row(spark, monkeypatch):
+    """Against plain folds; a third of the rows and more is one key's, and no function gathers a key's rows."""
+    rng = random.Random(7)
+    rows = [(rng.choice("aaabc"), i, rng.choice([None, 0, 1, 5, 9, 13, 30])) for i in range(900)]
+    rows += [("d", i, 1) for i in range(5)] + [("e", i, None) for i in range(300)]
+    frame = spark.createDataFrame(rows, "k string, i int, s long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges of one key
+    with monkeypatch.context() as m:
+        m.setattr(F, "collect_list", None)
+        for max_rows, max_bytes in ((3, 20), (100, 240), (1000, 10**9), (1, 1)):
+            got = {(r.k, r.i): r.batch for r in L.pack_batches(frame, "k", "i", "s", max_rows, max_bytes).collect()}
+            assert len(got) == len(rows)
+            state = {}
+            for k, i, s in sorted(rows, key=lambda r: r[:2]):
+                batch, n, held = state.get(k, (0, 0, 0))
+                full = n > 0 and (n >= max_rows or (held is not None and s is not None and held + s > max_bytes))
+                held = None if s is None or not full and held is None else s if full else held + s
+                state[k] = (batch + full, 1 if full else n + 1, held)
+                assert got[k, i] == batch + full
+
+        log_rows = [(rng.choice("aaabc"), i, rng.randint(0, 40), rng.choice("xy"), f"t{i}", f" n{i} ", "red", f"c{i}", rng.random() < 0.01) for i in range(300)] + [("z", 301, 1, "x", "t", None, None, None, True)]
+        cats = log(spark, log_rows, "id string, seq int, updated_us long, change_id string, updated_at string, name string, color string, created_at string, deleted boolean")
+        got = {r.id: (r.name, r.color, r.created_at, r.updated_at, r.deleted_at, r.change_id) for r in L.merge_categories(cats, accepted=False).collect()}
+        turns = sorted((r.id, r.turn.seq) for r in L.accepted_categories(cats).collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, accepted = {}, []
+    for k, seq, us, change, at, name, color, made, deleted in log_rows:
+        r = want.get(k)
+        if r is None or not r[4] and (deleted or (us, change) > r[6]):
+            accepted.append((k, seq))
+            want[k] = (r[0] if r else "", r[1] if r else "", r[2] if r else at, at, at, change, None) if deleted else (name.strip(), color, r[2] if r else made, at, None, change, (us, change))
+    assert got == {k: v[:6] for k, v in want.items()} and turns == sorted(accepted)
