@@ -18,7 +18,8 @@ Only DataFrame functions are used. Benchmark-side tables are broadcast when
 they are counted to be small and are joined by shuffles beyond that.
 
 Defined results: null and empty texts have no words; null item texts and null
-item_ids are ignored; items of equal text each count. Rows that share a doc_id
+item_ids are ignored; items of equal text each count, and so does each text of
+an item_id that has several. Rows that share a doc_id
 are judged each on its own text. Rows with a null doc_id are judged as well. An
 empty benchmark marks nothing. Extra columns are ignored, or kept by
 ``remove_contaminated``.
@@ -46,10 +47,10 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(item_id, words, start, n): the windows of every item that has words."""
+    """(item_id, key, words, start, n): the windows of every item that has words; ``key`` tells texts of one item_id apart."""
     base = items.where("item_id is not null").select(F.col("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
     last = F.greatest(F.size("words") - width, F.lit(0))
-    return base.distinct().select("item_id", "words", F.explode(F.sequence(F.lit(0), last)).alias("start"), F.least(F.size("words"), F.lit(width)).alias("n"))
+    return base.distinct().select("item_id", F.xxhash64("words").alias("key"), "words", F.explode(F.sequence(F.lit(0), last)).alias("start"), F.least(F.size("words"), F.lit(width)).alias("n"))
 
 
 def corpus_words(docs: DataFrame) -> DataFrame:
@@ -64,21 +65,21 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def rarest_anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, item_id, pair, place, which): the places of the two rarest terms of each window.
+    """(term, item_id, key, pair, place, which): the places of the two rarest terms of each window.
 
     Windows that hold a term which the corpus lacks occur nowhere and have
     none. A window of one distinct term names the same place twice.
     """
-    terms = windows.select("item_id", "start", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("place"), F.element_at("words", F.col("start") + i + 1).alias("term")))).alias("t"))
-    ranked = terms.select("item_id", "start", "t.*").join(small_enough(counts, BROADCAST_ROWS), "term")
-    ranked = ranked.groupBy("item_id", "start").agg(F.sort_array(F.collect_list(F.struct("df", "term", "place"))).alias("r"))  # at most WIDTH each
+    terms = windows.select("item_id", "key", "start", F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct((F.col("start") + i).alias("place"), F.element_at("words", F.col("start") + i + 1).alias("term")))).alias("t"))
+    ranked = terms.select("item_id", "key", "start", "t.*").join(small_enough(counts, BROADCAST_ROWS), "term")
+    ranked = ranked.groupBy("item_id", "key", "start").agg(F.sort_array(F.collect_list(F.struct("df", "term", "place"))).alias("r"))  # at most WIDTH each
     first = F.col("r")[0]
     second = F.coalesce(F.try_element_at(F.filter("r", lambda x: x["term"] != F.col("r")[0]["term"]), F.lit(1)), first)
-    pairs = ranked.where(first["df"] > 0).select("item_id", first.alias("a"), second.alias("b")).distinct()
+    pairs = ranked.where(first["df"] > 0).select("item_id", "key", first.alias("a"), second.alias("b")).distinct()
     pair = F.concat_ws(":", F.col("a.place"), F.col("b.place"))
     end = lambda c, n: F.struct(F.col(f"{c}.term").alias("term"), F.col(f"{c}.place").alias("place"), F.lit(n).alias("which"))
-    both = pairs.select("item_id", pair.alias("pair"), F.explode(F.array(end("a", 1), end("b", 2))).alias("e"))
-    return both.select(F.col("e.term").alias("term"), "item_id", "pair", F.col("e.place").alias("place"), F.col("e.which").alias("which"))
+    both = pairs.select("item_id", "key", pair.alias("pair"), F.explode(F.array(end("a", 1), end("b", 2))).alias("e"))
+    return both.select(F.col("e.term").alias("term"), "item_id", "key", "pair", F.col("e.place").alias("place"), F.col("e.which").alias("which"))
 
 
 def store_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -87,10 +88,10 @@ def store_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def alignments(postings: DataFrame, anchors: DataFrame) -> DataFrame:
-    """(doc_id, item_id, delta): where the shifted lists of both rarest terms of a window intersect."""
-    shifted = postings.join(small_enough(anchors, BROADCAST_ROWS), "term").select("doc_id", "item_id", "pair", (F.col("pos") - F.col("place")).alias("delta"), "which")
-    met = shifted.groupBy("doc_id", "item_id", "pair", "delta").agg(F.bit_or("which").alias("which")).where("which = 3")
-    return met.select("doc_id", "item_id", "delta").distinct()
+    """(doc_id, item_id, key, delta): where the shifted lists of both rarest terms of a window intersect."""
+    shifted = postings.join(small_enough(anchors, BROADCAST_ROWS), "term").select("doc_id", "item_id", "key", "pair", (F.col("pos") - F.col("place")).alias("delta"), "which")
+    met = shifted.groupBy("doc_id", "item_id", "key", "pair", "delta").agg(F.bit_or("which").alias("which")).where("which = 3")
+    return met.select("doc_id", "item_id", "key", "delta").distinct()
 
 
 def index_and_align(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
@@ -119,8 +120,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Dat
     ``starts`` are the exact places of the item's windows of n words in the document.
     """
     windows, aligned = index_and_align(docs, items, width)
-    texts = windows.select("item_id", F.col("words").alias("item")).distinct()
-    found = aligned.join(small_enough(texts, BROADCAST_ROWS), "item_id")
+    texts = windows.select("item_id", "key", F.col("words").alias("item")).distinct()
+    found = aligned.join(small_enough(texts, BROADCAST_ROWS), ["item_id", "key"])
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "item", "delta")).alias("found"))
     found = found.withColumnRenamed("doc_id", "found_doc").hint("shuffle_hash")
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), docs["doc_id"].alias("own"))
@@ -159,9 +160,9 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 3, width: i
     postings = store_postings(docs, anchors.select("term").distinct())
     shifted = postings.join(small_enough(anchors, BROADCAST_ROWS), "term").withColumn("delta", F.col("pos") - F.col("place"))
     block = F.floor(F.col("delta") / (2 * slop + 1))
-    left = shifted.where("which = 1").select("doc_id", "item_id", "pair", "pos", F.col("delta").alias("d1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = shifted.where("which = 2").select("doc_id", "item_id", "pair", F.col("pos").alias("near"), F.col("delta").alias("d2"), block.alias("block"))
-    met = left.join(right, ["doc_id", "item_id", "pair", "block"]).where(F.abs(F.col("d1") - F.col("d2")) <= slop)
+    left = shifted.where("which = 1").select("doc_id", "item_id", "key", "pair", "pos", F.col("delta").alias("d1"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    right = shifted.where("which = 2").select("doc_id", "item_id", "key", "pair", F.col("pos").alias("near"), F.col("delta").alias("d2"), block.alias("block"))
+    met = left.join(right, ["doc_id", "item_id", "key", "pair", "block"]).where(F.abs(F.col("d1") - F.col("d2")) <= slop)
     return met.select("doc_id", "item_id", "pair", "pos", "near").distinct()
 
 

@@ -244,6 +244,15 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[k] == 3 for k in [3, 7, *range(200, 240)]) and len(got) == 41 + 42
 
 
+def test_texts_of_one_item_id_each_count(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(15)) for c in "pq")
+    items = spark.createDataFrame([("i", one), ("i", two), ("i", "short text"), ("i", one)], "item_id string, text string")
+    docs = spark.createDataFrame([(1, f"lead {one} end"), (2, f"{two} and {one}"), (3, "no such words"), (4, "a short text here")], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_hit, list(r["items"])) for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: (15, ["i"]), 2: (30, ["i"]), 3: (0, []), 4: (2, ["i"])}
+    assert {r.doc_id for r in decontam.proximity_matches(docs, items).collect()} == {1, 2, 4}
+
+
 def test_proximity_and_phrases(spark):
     docs = spark.createDataFrame([(1, "zz alpha beta xx gamma yy"), (2, "alpha beta gamma"), (3, "gamma alpha q q q q q q beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
