@@ -15,9 +15,9 @@ that equal strings meet:
    segment. Segments go, as packed hashes, to the shard of their gram.
 2. In a shard, segments that equal one of a smaller doc_id are covered whole;
    grams with several different segments are edges of copies.
-3. Only the edges' bytes are sent. Their strings are put in suffix order gram by
-   gram; within the run of suffixes that share ``length`` bytes, a previous or
-   next suffix of a smaller doc_id makes the factor long enough. Grams with very many
+3. Only the edges' bytes are sent. Their strings are sorted gram by gram, as far
+   as ``length`` bytes, and grouped; a string goes if its group has a smaller
+   doc_id. No factor and no smaller position is computed. Grams with very many
    segments are resolved by grouping their strings' digests instead, which
    Spark combines before it shuffles.
 4. Covered strings return to their documents and are cut out.
