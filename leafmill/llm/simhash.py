@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import cut, text_batches
-from leafmill.llm.graph import connected_components
+from leafmill.llm.graph import connected_components, with_least
 
 BITS = 64
 #: Distinct fingerprints of a bucket above which it is searched part by part.
@@ -70,20 +70,26 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, fp long")
 
 
-def forest(fps: np.ndarray, distance: int, block: int = 256) -> list[tuple[int, int]]:
-    """Links (i, j) that span the components of fingerprints within ``distance``."""
+def forest(fps: np.ndarray, distance: int, block: int = 64, span: int = 1 << 16) -> list[tuple[int, int]]:
+    """Links (i, j) within ``distance`` that span the components of the fingerprints.
+
+    At most ``block * span`` pairs are compared at a time, whatever the bucket's size.
+    """
     links: list[tuple[int, int]] = []
     left = np.arange(len(fps))
     while len(left) > 1:
-        root, left = int(left[0]), left[1:]
-        front = np.array([root])
+        front, left = left[:1], left[1:]
         while len(front) and len(left):
             now, front = front[:block], front[block:]
-            near = np.bitwise_count(fps[now][:, None] ^ fps[left][None, :]) <= distance
-            hit = near.any(0)
-            links += [(root, int(j)) for j in left[hit]]
-            front = np.r_[front, left[hit]]
-            left = left[~hit]
+            missed, reached = [], [front]
+            for at in range(0, len(left), span):
+                part = left[at : at + span]
+                near = np.bitwise_count(fps[now][:, None] ^ fps[part][None, :]) <= distance
+                hit = near.any(0)
+                links += zip(now[near[:, hit].argmax(0)].tolist(), part[hit].tolist(), strict=True)
+                reached.append(part[hit])
+                missed.append(part[~hit])
+            front, left = np.concatenate(reached), np.concatenate(missed)
     return links
 
 
@@ -173,8 +179,8 @@ def near_duplicates(docs: DataFrame, distance: int = 3, shingle: int = 3) -> Dat
     groups = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     classes = connected_components(fingerprint_links(groups.select("fp"), distance))
     named = groups.join(classes, groups["fp"] == classes["node"], "left").select(groups["fp"], "least", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "component").select("fp", "component_id")
+    named = cut(named)
+    by_print = with_least(named, "component", "least", named.count()).select("fp", F.col("m").alias("component_id"))
     return marked.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -182,7 +188,8 @@ def keep_representatives(docs: DataFrame, distance: int = 3, shingle: int = 3) -
     """``docs`` less every document that is not the smallest doc_id of its group; same columns.
 
     Documents without words are one group like any other. Rows with a null
-    doc_id stay; of rows that share the kept doc_id all stay.
+    doc_id stay; of rows that share the kept doc_id all stay. Rows go by their
+    doc_id: where one of several rows of a doc_id is a lost copy, all go.
     """
     groups = near_duplicates(docs, distance, shingle)
     lost = groups.where("doc_id <> component_id").select("doc_id").distinct().hint("shuffle_hash")

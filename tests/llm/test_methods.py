@@ -235,7 +235,8 @@ def test_wide_forest_keeps_components():
 
 def test_forest_spans_components():
     fps = np.array([0, 1, 3, 7, 3 << 40, 255], np.uint64)
-    assert {frozenset(x) for x in simhash.forest(fps, 1)} == {frozenset((0, 1)), frozenset((0, 2)), frozenset((0, 3))}
+    assert {frozenset(x) for x in simhash.forest(fps, 1)} == {frozenset((0, 1)), frozenset((1, 2)), frozenset((2, 3))}
+    assert sorted(simhash.forest(fps, 1)) == sorted(simhash.forest(fps, 1, block=1, span=2))
 
 
 def test_components_of_chains_and_stars(spark):
@@ -244,6 +245,27 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 100 for i in range(100, 141)) and all(got[k] == 3 for k in [3, 7, *range(200, 240)]) and len(got) == 41 + 42
 
 
+def test_components_of_hubs_are_the_same(spark, monkeypatch):
+    """Nodes with many links take their minimum from a broadcast; here most nodes are hubs."""
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 90, (70, 2))] + [(5, 100 + k) for k in range(60)] + [(900, 901 + k) for k in range(30)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    want = sorted(map(tuple, graph.connected_components(frame).collect()))
+    parent = list(range(1000))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert want == sorted((x, root(x)) for x in linked)
+    monkeypatch.setattr(graph, "HUB_ROWS", 1)
+    assert sorted(map(tuple, graph.connected_components(frame).collect())) == want
+
+
 def test_texts_of_one_item_id_each_count(spark):
     one, two = (" ".join(f"{c}{k}" for k in range(15)) for c in "pq")
     items = spark.createDataFrame([("i", one), ("i", two), ("i", "short text"), ("i", one)], "item_id string, text string")
