@@ -69,6 +69,35 @@ def by_doc(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
         yield (int(doc[a]), *[c[a:b] for c in columns])
 
 
+class Seen:
+    """The least document of 128-bit keys that the batches of a task repeat, the newest ``size`` of them.
+
+    What it forgets is only sent on again, so its bound changes no result.
+    """
+
+    def __init__(self, size: int = 1 << 16):
+        self.size = size
+        self.one, self.two, self.doc = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)
+
+    def later(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Whether a smaller document than ``doc`` is known for each key."""
+        if not len(self.one):
+            return np.zeros(len(one), bool)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return (self.one[at] == one) & (self.two[at] == two) & (self.doc[at] < doc)
+
+    def add(self, one: np.ndarray, two: np.ndarray, doc: np.ndarray) -> None:
+        if not len(one):
+            return
+        held = slice(-self.size // 2, None) if len(self.one) > self.size // 2 else slice(None)
+        one, two, doc = one[-self.size :], two[-self.size :], doc[-self.size :]
+        one, two, doc = np.r_[self.one[held], one], np.r_[self.two[held], two], np.r_[self.doc[held], doc]
+        order = np.lexsort((doc, one))
+        one, two, doc = one[order], two[order], doc[order]
+        first = np.r_[True, one[1:] != one[:-1]]
+        self.one, self.two, self.doc = one[first], two[first], doc[first]
+
+
 def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Whole groups of a sorted stream, as tables of one or more groups."""
     held: list[pa.RecordBatch] = []

@@ -4,24 +4,30 @@ A byte of a document goes if it is covered by a ``length``-byte string that
 also starts in a document of smaller doc_id; texts are UTF-8 bytes and matches
 never cross documents.
 
-``longest_previous_factor`` is the plain form: suffixes in order, the previous
-and next suffix of a smaller position with their common prefixes, and the
-longer of both as the factor. A corpus has no one suffix array; it is cut so
-that equal strings meet:
+In suffix order every suffix has a previous and a next suffix of a smaller
+document, with a common prefix each; the longer of both is its factor
+(``previous_factors``), and a string goes if its factor reaches ``length``.
+A corpus has no one suffix array; it is cut so that equal strings meet:
 
 1. Each ``length``-byte string names the smallest hash of its 20-byte grams,
    the leftmost of equal ones. Equal strings name the same gram at the same
    place in them, and neighbouring strings that name the same gram form one
-   segment. Segments go, as packed hashes, to the shard of their gram.
-2. In a shard, segments that equal one of a smaller doc_id are covered whole;
-   grams with several different segments are edges of copies.
-3. Only the edges' bytes are sent. Their strings are sorted gram by gram, as far
-   as ``length`` bytes, and grouped; a string goes if its group has a smaller
-   doc_id. No factor and no smaller position is computed. Grams with very many
-   segments are resolved by grouping their strings' digests instead, which
-   Spark combines before it shuffles.
+   segment. Segments go to the shard of their gram under a name of 128 bits.
+2. In a shard, equal names are blocks that are known to be equal, as in a round
+   of prefix doubling: ordered by gram and name, a segment shares its whole
+   length with its like. Segments whose factor is their length are covered
+   whole; what is left of grams with several names are edges of copies.
+3. Only the edges' bytes are sent, to their gram. There the suffixes of all
+   edges are sorted by doubling, with their common prefixes, and the factor
+   decides for every string. A gram with more than SPLIT edges is dealt out by
+   the strings themselves, through the same arrays; a map batch runs them first,
+   so that a string that very many documents hold leaves a batch once.
 4. Covered strings return to their documents and are cut out.
 
+A task remembers the least document of segments and strings that its batches
+repeat (``Seen``), so that a passage of a third of all documents reaches its
+shard about once for each task.
+
 Defined results: null and empty texts have no bytes and lose none; texts
 shorter than ``length`` lose none. Rows with a null doc_id are neither searched
 nor changed. Rows that share a doc_id are one document: none covers another.
@@ -30,7 +36,6 @@ An empty table gives an empty result. Extra columns stay in struct ``row``.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,64 +45,92 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm.common import stored, text_batches
-from leafmill.llm.shards import by_doc, cut_by_doc, least, pack, place_base, runs, shared, squeezed, unpack_rows, whole_groups
+from leafmill.llm.shards import Seen, by_doc, cut_by_doc, least, pack, place_base, runs, shared, squeezed, unpack_rows, whole_groups
 
 GRAM = 20
-#: Segments that one shard holds about; segments of one gram above HEAVY are resolved by digests.
+#: Segments that one shard holds about, at every size; edges of one gram above which they are dealt out by their strings.
 SHARD_SEGMENTS = 400_000
-HEAVY = 4_096
+SPLIT = 4_096
 CHUNK = 1 << 20
-#: Bytes of a hash that travel; with the shard they tell more than 2^80 segments apart.
-WIDTH = 5
+#: A segment's name: 40 bits of its gram and 24 of its own hash in one word, 64 of its hash in the other.
+GRAM_BITS = 40
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(0, 1 << 63, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def longest_previous_factor(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(suffix array, LPF, place of the earlier match or -1) of a text of moderate size.
+def suffix_order(data: np.ndarray, left: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(``chosen`` suffixes in order, length of the prefix that each shares with the one before it).
 
-    Prefix doubling sorts the suffixes; a stack over suffix order finds the
-    previous and next smaller positions.
+    ``data`` holds texts side by side; ``left`` counts the bytes from each place
+    to the end of its text, where its suffix ends. Prefix doubling from seven
+    bytes a word; the ranks of each round give the common prefixes.
     """
-    n = len(data)
-    rank = np.frombuffer(data, np.uint8).astype(np.int64)
-    sa, k = np.argsort(rank, kind="stable"), 1
-    while n and k < 2 * n:
-        nxt = np.full(n, -1)
-        nxt[: n - k] = rank[k:] if k < n else nxt[: n - k]
-        sa = np.lexsort((nxt, rank))
-        new = np.r_[0, np.cumsum((rank[sa[1:]] != rank[sa[:-1]]) | (nxt[sa[1:]] != nxt[sa[:-1]]))]
-        rank = np.empty(n, np.int64)
-        rank[sa] = new
-        if new[-1] == n - 1:
+    n, width = len(data), 7
+    key = np.zeros(n, np.uint64)
+    for k in range(width):
+        symbol = np.zeros(n, np.uint64)
+        symbol[: max(0, n - k)] = data[k:] + np.uint64(1)
+        symbol[left <= k] = 0
+        key = key << np.uint64(9) | symbol
+    ranks = []
+    while True:
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
+        ranks.append((width, rank))
+        if not n or width >= left.max():
             break
-        k *= 2
-    lcp = np.zeros(n, np.int64)  # with the suffix before in order
-    h = 0
-    for i in range(n):
-        if rank[i]:
-            j = sa[rank[i] - 1]
-            while i + h < n and j + h < n and data[i + h] == data[j + h]:
-                h += 1
-            lcp[rank[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
-    lpf, source = np.zeros(n, np.int64), np.full(n, -1)
-    for order in (range(n), range(n - 1, -1, -1)):
-        stack: list[tuple[int, int]] = []  # (position, common prefix with the suffix below it)
-        for r in order:
-            common = int(lcp[r] if order.step > 0 else (lcp[r + 1] if r + 1 < n else 0)) if stack else 0
-            while stack and stack[-1][0] > sa[r]:
-                common = min(common, stack.pop()[1])
-            if not stack:
-                common = 0
-            elif common > lpf[sa[r]]:
-                lpf[sa[r]], source[sa[r]] = common, stack[-1][0]
-            stack.append((int(sa[r]), common))
-    return sa, lpf, source
+        ahead = np.zeros(n, np.uint64)
+        ahead[: max(0, n - width)] = rank[width:]
+        ahead[left <= width] = 0
+        key, width = rank << np.uint64(32) | ahead, 2 * width
+    order = chosen[np.argsort(ranks[-1][1][chosen], kind="stable")]
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), np.int64)
+    room = np.minimum(left[a], left[b])
+    for step, rank in [*ranks[::-1], *[(1, data)] * 6]:
+        near = common < room
+        x, y = np.minimum(a + common, n - 1), np.minimum(b + common, n - 1)
+        common += step * (near & (rank[x] == rank[y]))
+    return order, np.r_[0, np.minimum(common, room)] if len(order) else common
+
+
+def _smaller_before(doc: np.ndarray, common: np.ndarray, floor: int) -> np.ndarray:
+    """Prefix shared with the nearest suffix before of a smaller document; 0 where it is under ``floor``.
+
+    Every suffix points to the one before; while that is of no smaller document
+    it takes over its pointer, under the lesser of both prefixes.
+    """
+    to, prefix = np.arange(len(doc)) - 1, common.copy()
+    open_ = np.flatnonzero(prefix >= floor)
+    prefix[prefix < floor] = 0
+    while len(open_):
+        open_ = open_[doc[to[open_]] >= doc[open_]]
+        via = to[open_]
+        to[open_], prefix[open_] = to[via], np.minimum(prefix[open_], prefix[via])
+        lost = prefix[open_] < floor
+        prefix[open_[lost]] = 0
+        open_ = open_[~lost]
+    return prefix
+
+
+def previous_factors(doc: np.ndarray, common: np.ndarray, floor: int = 1) -> np.ndarray:
+    """Longest prefix of each suffix, in suffix order, that a suffix of a smaller document shares; 0 where it is under ``floor``.
+
+    ``common[r]`` is shared by suffixes r - 1 and r. The longest match stands
+    next to the suffix among those of smaller documents, before or after it.
+    """
+    after = np.r_[common[1:], 0][::-1] if len(common) else common
+    return np.maximum(_smaller_before(doc, common, floor), _smaller_before(doc[::-1], after, floor)[::-1])
+
+
+def longest_previous_factor(data: bytes) -> np.ndarray:
+    """The LPF array of one text: of each place the longest prefix that also starts at a smaller place."""
+    n = len(data)
+    order, common = suffix_order(np.frombuffer(data, np.uint8), n - np.arange(n), np.arange(n))
+    factors = np.zeros(n, np.int64)
+    factors[order] = previous_factors(order, common)
+    return factors
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +151,7 @@ def _grams(data: np.ndarray) -> np.ndarray:
 
 
 def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, segment hash, first string, gram's distance from it, strings) of each segment of a text."""
+    """(both words of its name, first string, gram's distance from it, strings) of each segment of a text."""
     parts = []
     for at in range(0, max(1, len(text) - length + 1), CHUNK - length + 1):
         data = np.frombuffer(text, np.uint8)[at : at + CHUNK]
@@ -138,9 +171,11 @@ def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
         gram = gram[first]
         size = n + length - 1
         seg = n.astype(np.uint64) * _MUL[7] + (gram - first).astype(np.uint64) * _MUL[10]
+        more = seg * _MUL[9]
         for k in range(0, 2 * length, GRAM - 5):  # overlapping grams up to the segment's end
-            seg = _mix(seg * _MUL[11] + h[first + np.minimum(k, size - GRAM)])
-        parts.append((h[gram], seg, first + at, gram - first, n))
+            piece = h[first + np.minimum(k, size - GRAM)]
+            seg, more = _mix(seg * _MUL[11] + piece), (more + piece) * _MUL[8] ^ (more >> np.uint64(29))
+        parts.append((h[gram] << np.uint64(64 - GRAM_BITS) | _mix(more) >> np.uint64(GRAM_BITS), seg, first + at, gram - first, n))
     if not parts:
         return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
@@ -156,35 +191,44 @@ def decoded(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return code >> 12, (code >> 6) & 63, (code & 63) + 1
 
 
+def named_factors(doc: np.ndarray, one: np.ndarray, two: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Factors of whole segments, ordered by name and document: equal names share all their strings, ``n`` of them."""
+    same = np.r_[False, (one[1:] == one[:-1]) & (two[1:] == two[:-1])] if len(doc) else np.empty(0, bool)
+    return previous_factors(doc, np.where(same, n, 0))
+
+
 def shard_segments(rows: DataFrame, length: int, shards: int, salted: bool) -> DataFrame:
-    """(shard, doc_id, blob): packed segments by shard; within a batch only the smallest doc_id of equal ones is sent on.
+    """(shard, doc_id, blob): packed segments by shard; of equal ones a batch sends on the smallest doc_id at most.
 
-    Rows with a doc_id name its segments that the batch itself has shown to be covered.
+    Rows with a doc_id name its segments that the task itself has shown to be covered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
-            docs, places, grams, segs = [], [], [], []
+            docs, places, ones, twos = [], [], [], []
             for doc_id, text in sorted(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True), key=lambda r: r[0]):
-                gram, seg, first, back, n = segments(text or b"", length)
-                docs.append(np.full(len(gram), doc_id, np.int64))
+                one, two, first, back, n = segments(text or b"", length)
+                docs.append(np.full(len(one), doc_id, np.int64))
                 places.append(codes(first, back, n) + place_base(text, salted))
-                grams.append(gram)
-                segs.append(seg)
+                ones.append(one)
+                twos.append(two)
             if not docs:
                 continue
-            doc, at, gram, seg = (np.concatenate(x) for x in (docs, places, grams, segs))
-            often = np.flatnonzero(shared(gram))
-            often = often[np.lexsort((doc[often], seg[often], gram[often]))]
+            doc, at, one, two = (np.concatenate(x) for x in (docs, places, ones, twos))
+            often = np.flatnonzero(shared(two))
+            often = often[np.lexsort((doc[often], two[often], one[often]))]
             later = np.zeros(len(doc), bool)
-            later[often] = doc[often] > least(runs(gram[often], seg[often]), doc[often])
+            later[often] = named_factors(doc[often], one[often], two[often], decoded(at[often])[2]) > 0
+            later |= seen.later(one, two, doc)
+            seen.add(one[often], two[often], doc[often])
             out: list[tuple[int, int | None, bytes]] = [(d % shards, d, a) for d, a in cut_by_doc(doc[later], at[later])]
-            doc, at, gram, seg = (x[~later] for x in (doc, at, gram, seg))
+            doc, at, one, two = (x[~later] for x in (doc, at, one, two))
             # mixed again, because the least hash of a window has small high bits
-            shard = ((_mix(gram) >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
+            shard = ((_mix(one >> np.uint64(64 - GRAM_BITS)) >> np.uint64(24)) % np.uint64(shards)).astype(np.int64)
             keep = np.argsort(shard.astype(np.uint16) if shards < 65536 else shard, kind="stable")  # by document and place already
-            for k, d, a, g, s in by_doc(shard[keep], *(x[keep] for x in (doc, at, gram, seg))):
-                out.append((k, None, pack(d, a, g, s, width=WIDTH)))
+            for k, d, a, x, y in by_doc(shard[keep], *(v[keep] for v in (doc, at, one, two))):
+                out.append((k, None, pack(d, a, x, y, width=8)))
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.record_batch([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], ["shard", "doc_id", "blob"])
 
@@ -192,7 +236,7 @@ def shard_segments(rows: DataFrame, length: int, shards: int, salted: bool) -> D
 
 
 def resolve_shards(packed: DataFrame) -> DataFrame:
-    """(doc_id, blob, keys): longs of covered segments; with ``keys``, segments of grams that have several forms and their grams."""
+    """(doc_id, blob, keys): longs of covered segments; with ``keys``, edges and their grams, the lowest bit set where they are to be dealt out by strings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, "shard"):
@@ -203,19 +247,22 @@ def resolve_shards(packed: DataFrame) -> DataFrame:
                 if owner is not None:
                     rows.append((owner, blob, None))
                 else:
-                    parts.setdefault(shard, []).append(unpack_rows(blob, 2, WIDTH))
+                    parts.setdefault(shard, []).append(unpack_rows(blob, 2, 8))
             for shard, mine in parts.items():
-                doc, at, gram, seg = (np.concatenate(x) for x in zip(*mine, strict=True))
-                often = np.flatnonzero(shared(gram))
-                order = often[np.lexsort((doc[often], seg[often], gram[often]))]
-                doc, at, gram, seg = doc[order], at[order], gram[order], seg[order]
-                same, forms = runs(gram), runs(gram, seg)
-                later = doc > least(forms, doc)
+                doc, at, one, two = (np.concatenate(x) for x in zip(*mine, strict=True))
+                often = np.flatnonzero(shared(one >> np.uint64(64 - GRAM_BITS)))
+                order = often[np.lexsort((doc[often], two[often], one[often]))]
+                doc, at, one, two = doc[order], at[order], one[order], two[order]
+                later = named_factors(doc, one, two, decoded(at)[2]) > 0
                 rows += [(d, a, None) for d, a in cut_by_doc(doc[later], at[later])]
+                gram = one >> np.uint64(64 - GRAM_BITS)
+                same, forms = runs(gram), runs(one, two)
                 low, high = least(same, doc), -least(same, -doc)
                 several = -least(same, -forms) > least(same, forms)
                 edges = several & (low < high) & ~later
-                rows += cut_by_doc(doc[edges], at[edges], (np.uint64(shard) << np.uint64(8 * WIDTH)) | gram[edges])
+                many = np.bincount(same, edges)[same] > SPLIT if len(same) else edges
+                key = (np.uint64(shard) << np.uint64(GRAM_BITS + 1)) | gram << np.uint64(1) | many
+                rows += cut_by_doc(doc[edges], at[edges], key[edges])
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["doc_id", "blob", "keys"])
 
@@ -223,83 +270,115 @@ def resolve_shards(packed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, "doc_id long, blob binary, keys binary")
 
 
+def _binaries(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    """The slices of ``data`` as a binary column."""
+    ends = np.cumsum(size)
+    offsets = np.r_[0, ends].astype(np.int32)
+    bytes_ = data[np.repeat(start - (ends - size), size) + np.arange(offsets[-1])]
+    return pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(bytes_.tobytes())])
+
+
+def covered_masks(segs: pa.Array, n: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """One long for each segment: bit k is set where string k has a factor of ``length`` or more."""
+    mask = np.zeros(len(n), np.int64)
+    if not len(n):
+        return mask
+    data = np.frombuffer(b"".join(segs.to_pylist()), np.uint8)
+    size = n + length - 1
+    owner = np.repeat(np.arange(len(n)), size)
+    left = np.cumsum(size)[owner] - np.arange(len(data))
+    # a suffix of fewer than ``length`` bytes can neither go nor cover another
+    order, common = suffix_order(data, left, np.flatnonzero(left >= length))
+    who = owner[order]
+    hit = previous_factors(doc[who], common, length) >= length
+    who, at = who[hit], order[hit]
+    number = size[who] - left[at]
+    np.bitwise_or.at(mask, who, np.int64(1) << number)
+    return mask
+
+
+EDGES = "key long, doc_id long, place long, n int, seg binary, mask long"
+
+
 def edge_segments(rows: DataFrame, edges: DataFrame, length: int, salted: bool) -> DataFrame:
-    """(gram, doc_id, place, back, n, seg): the bytes of edge segments, from the documents that have some."""
+    """EDGES: the bytes of the edges, from the documents that have some; rows with a mask are decided already."""
+    names = [c.split()[0] for c in EDGES.split(", ")]
+
+    def dealt(data: np.ndarray, start: np.ndarray, doc: np.ndarray, place: np.ndarray, seen: Seen) -> list[pa.RecordBatch]:
+        """Single strings under keys of their own; those whose batch or task has a smaller document are decided."""
+        if not len(start):
+            return []
+        strings = data[start[:, None] + np.arange(length)]
+        words = np.zeros((len(start), -(-length // 8) * 8), np.uint8)
+        words[:, :length] = strings
+        one, two = np.full(len(start), _MUL[0]), np.full(len(start), _MUL[1])
+        for word in words.view(np.uint64).T:
+            one, two = _mix(one + word), (two ^ word) * _MUL[2] ^ (two >> np.uint64(27))
+        two = _mix(two)
+        segs = _binaries(data, start, np.full(len(start), length))
+        n = np.ones(len(start), np.int64)
+        hit = (covered_masks(segs, n, doc, length) > 0) | seen.later(one, two, doc)
+        often = np.flatnonzero(shared(one))
+        seen.add(one[often], two[often], doc[often])
+        sides = []
+        for take, done in ((hit, True), (~hit, False)):
+            m = int(take.sum())
+            body, mask = (pa.nulls(m, pa.binary()), pa.array(np.ones(m, np.int64))) if done else (segs.filter(pa.array(take)), pa.nulls(m, pa.int64()))
+            sides.append(pa.record_batch([pa.array(one[take].view(np.int64)), pa.array(doc[take]), pa.array(place[take]), pa.array(n[take].astype(np.int32)), body, mask], names))
+        return sides
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        seen = Seen()
         for batch in batches:
-            out: list[tuple] = []
+            texts, starts, codes_, keys, docs, base_at = [], [], [], [], [], 0
             for doc_id, z, blobs in zip(batch["doc_id"].to_pylist(), batch["z"].to_pylist(), batch["blobs"].to_pylist(), strict=True):
                 text = unpack(z) if z else b""
                 base = place_base(text, salted)
-                for x in blobs:
-                    at, key = np.frombuffer(x["blob"], "<i8"), np.frombuffer(x["keys"], "<u8")
-                    mine = (at - base >= 0) & (at - base < 1 << 44)
-                    first, back, n = decoded(at[mine] - base)
-                    for code, k, a, g, m in zip(at[mine].tolist(), key[mine].view(np.int64).tolist(), first.tolist(), back.tolist(), n.tolist(), strict=True):
-                        out.append((k, doc_id, code, g, m, text[a : a + m + length - 1]))
-            columns = list(zip(*out, strict=True)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["gram", "doc_id", "place", "back", "n", "seg"])
+                at = np.frombuffer(b"".join(x["blob"] for x in blobs), "<i8")
+                key = np.frombuffer(b"".join(x["keys"] for x in blobs), "<u8")
+                mine = (at - base >= 0) & (at - base < 1 << 44)
+                texts.append(text)
+                starts.append(decoded(at[mine] - base)[0] + base_at)
+                codes_.append(at[mine])
+                keys.append(key[mine])
+                docs.append(np.full(int(mine.sum()), doc_id, np.int64))
+                base_at += len(text)
+            if not texts:
+                continue
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            start, place, key, doc = (np.concatenate(x) for x in (starts, codes_, keys, docs))
+            _, _, n = decoded(place)
+            many = (key & np.uint64(1)).astype(bool)
+            few = ~many
+            yield pa.record_batch(
+                [pa.array(key[few].view(np.int64)), pa.array(doc[few]), pa.array(place[few]), pa.array(n[few].astype(np.int32)), _binaries(data, start[few], n[few] + length - 1), pa.nulls(int(few.sum()), pa.int64())], names
+            )
+            size = n[many]
+            number = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            single = (np.repeat(place[many], size) & ~np.int64(63)) + (number << 12)  # a segment of one string, at its own place
+            for at in range(0, len(number), 100_000):
+                part = slice(at, at + 100_000)
+                yield from dealt(data, (np.repeat(start[many], size) + number)[part], np.repeat(doc[many], size)[part], single[part], seen)
 
     lists = edges.groupBy(F.col("doc_id").alias("id")).agg(F.collect_list(F.struct("blob", "keys")).alias("blobs")).hint("shuffle_hash")
     found = rows.join(lists, rows["doc_id"] == lists["id"]).select("doc_id", "z", "blobs")
-    return found.mapInArrow(run, "gram long, doc_id long, place long, back int, n int, seg binary")
-
-
-def _strings(seg: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(owner, number in its segment, bytes) of every string of the segments."""
-    data = np.frombuffer(b"".join(seg), np.uint8)
-    size = n + length - 1
-    owner = np.repeat(np.arange(len(n)), n)
-    number = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    start = (np.cumsum(size) - size)[owner] + number
-    return owner, number, data[start[:, None] + np.arange(length)]
+    return found.mapInArrow(run, EDGES)
 
 
 def covered_strings(segs: DataFrame, length: int) -> DataFrame:
     """(doc_id, place, mask): bit k of mask is set where string k of the segment starts in a smaller doc_id too."""
 
-    def search(table: pa.Table) -> pa.RecordBatch:
-        gram, doc, place, back, n = (table[c].to_numpy() for c in ("gram", "doc_id", "place", "back", "n"))
-        owner, number, strings = _strings(table["seg"].to_pylist(), n.astype(np.int64), length)
-        group = np.unique(gram, return_inverse=True)[1].astype(">u4")[owner]
-        shift = (back[owner] - number).astype(np.int64)
-        head = np.c_[group.view(np.uint8).reshape(-1, 4), shift.astype(np.uint8)]
-        suffix = np.ascontiguousarray(np.c_[head, strings]).view(f"V{length + 5}")[:, 0]
-        order = np.argsort(suffix, kind="stable")  # suffix order, as far as ``length`` bytes
-        run = runs(suffix[order])
-        hit = np.zeros(len(owner), bool)
-        who = doc[owner[order]]
-        hit[order] = who > least(run, who)  # a smaller doc_id stands before or after it in the run
-        mask = np.zeros(len(n), np.int64)
-        np.bitwise_or.at(mask, owner[hit], np.int64(1) << number[hit].astype(np.int64))
-        some = mask != 0
-        return pa.record_batch([pa.array(doc[some]), pa.array(place[some]), pa.array(mask[some])], ["doc_id", "place", "mask"])
-
-    def light(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "gram"):
-            yield search(table)
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            back, n = batch["back"].to_numpy(), batch["n"].to_numpy().astype(np.int64)
-            owner, number, strings = _strings(batch["seg"].to_pylist(), n, length)
-            shift = (back[owner] - number).astype(np.int64).tolist()
-            keys = b"".join(hashlib.blake2b(s.tobytes(), digest_size=16, salt=bytes([o])).digest() for s, o in zip(strings, shift, strict=True))
-            both = np.frombuffer(keys, "<i8").reshape(-1, 2)
-            take = lambda c: pa.array(batch[c].to_numpy()[owner])
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1]), take("doc_id"), take("place"), pa.array(number.astype(np.int32))], ["hi", "lo", "doc_id", "place", "k"])
-
-    counts = segs.groupBy("gram").agg(F.count(F.lit(1)).alias("n_segs")).where(F.col("n_segs") > HEAVY).select("gram")
-    few = segs.join(counts, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    found = few.mapInArrow(light, "doc_id long, place long, mask long")
-    many = segs.join(counts, "gram", "left_semi").mapInArrow(digests, "hi long, lo long, doc_id long, place long, k int")
-    lowest = many.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("last_doc > first_doc")
-    late = many.join(lowest, ["hi", "lo"]).where("doc_id > first_doc")
-    late = late.groupBy("doc_id", "place").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("mask"))
-    return found.unionByName(late)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "key"):
+            doc, place, n = (table[c].to_numpy() for c in ("doc_id", "place", "n"))
+            mask = covered_masks(table["seg"], n.astype(np.int64), doc, length)
+            some = mask != 0
+            yield pa.record_batch([pa.array(doc[some]), pa.array(place[some]), pa.array(mask[some])], ["doc_id", "place", "mask"])
+
+    open_ = segs.where("mask is null").drop("mask").repartition("key").sortWithinPartitions("key")
+    decided = segs.where("mask is not null").select("doc_id", "place", "mask")
+    return open_.mapInArrow(run, "doc_id long, place long, mask long").unionByName(decided)
 
 
 def cut_spans(text: bytes, whole: np.ndarray, part: list[tuple[int, int]], length: int, base: int = 0) -> tuple[bytes, int, int]:
@@ -333,7 +412,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     )
     facts = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.countDistinct("doc_id")).first()
     salted = facts[1] != facts[2]
-    shards = max(16, int((facts[0] or 0) / 14 / SHARD_SEGMENTS))
+    shards = max(16, int((facts[0] or 0) / 14 / SHARD_SEGMENTS))  # a segment for about 14 bytes
     own = rows.where("doc_id is not null").select("doc_id", "text")
     marks = stored(resolve_shards(shard_segments(own, length, shards, salted)), "marks")
     segs = stored(edge_segments(squeezed(own, "doc_id"), marks.where("keys is not null"), length, salted), "segments")

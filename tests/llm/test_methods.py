@@ -82,20 +82,70 @@ def test_suffix_dedup_equals_brute_force(frame, copies):
         assert (r.n_removed, r.n_spans) == (len(gone), sum(k - 1 not in gone for k in gone))
 
 
-def test_suffix_dedup_resolves_heavy_grams_alike(frame, monkeypatch):
+def test_suffix_dedup_deals_hot_grams_out_alike(frame, monkeypatch):
     want = sorted((r.row.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(frame).collect())
-    monkeypatch.setattr(suffix_dedup, "HEAVY", 1)
+    monkeypatch.setattr(suffix_dedup, "SPLIT", 1)
     assert sorted((r.row.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(frame).collect()) == want
 
 
+@pytest.mark.parametrize("split", [1, 4096])
+def test_suffix_dedup_of_repetitive_and_hot_texts(spark, monkeypatch, split):
+    """Texts of few symbols, of one repeated word, and a passage in two thirds of all documents after different words."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT", split)
+    hot = words(25)
+    rows = [(i, "".join(RNG.choice("ab") for _ in range(RNG.randint(0, 400)))) for i in range(12)]
+    rows += [(20 + i, "ha " * RNG.randint(5, 90)) for i in range(8)]
+    rows += [(40 + i, words(3)[: RNG.randint(1, 20)] + hot[RNG.randint(0, 9) :] + words(2)) for i in range(60)]
+    rows += [(200, "\0" * 90), (201, "\0" * 70 + "x"), (202, "日本" * 40), (199, "本日" * 40)]
+    first = {}
+    for d, t in sorted(rows):
+        b = t.encode()
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], d)
+    for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        b = dict(rows)[r.row.doc_id].encode()
+        gone = {k for i in range(len(b) - 49) if first[b[i : i + 50]] < r.row.doc_id for k in range(i, i + 50)}
+        assert bytes(r.kept) == bytes(c for k, c in enumerate(b) if k not in gone), r.row.doc_id
+        assert (r.n_removed, r.n_spans) == (len(gone), sum(k - 1 not in gone for k in gone))
+
+
 def test_longest_previous_factor():
-    for _ in range(100):
-        d = bytes(RNG.choice(b"ab") for _ in range(RNG.randint(0, 25)))
-        sa, lpf, source = suffix_dedup.longest_previous_factor(d)
-        assert list(sa) == sorted(range(len(d)), key=lambda i: d[i:])
+    for _ in range(200):
+        d = bytes(RNG.choice(b"ab\0") for _ in range(RNG.randint(0, 60)))
+        lpf = suffix_dedup.longest_previous_factor(d)
         for i in range(len(d)):
-            best = max([next((k for k in range(len(d) - i) if d[i + k] != d[j + k]), len(d) - i) for j in range(i)], default=0)
-            assert best == lpf[i] and (best == 0 or d[source[i] : source[i] + best] == d[i : i + best])
+            assert lpf[i] == max([next((k for k in range(len(d) - i) if d[i + k] != d[j + k]), len(d) - i) for j in range(i)], default=0)
+
+
+def test_factors_over_documents():
+    """Several texts side by side: suffixes in order, common prefixes, and the factor against every suffix of a smaller document."""
+    for _ in range(60):
+        texts = [bytes(RNG.choice(b"ab\0") for _ in range(RNG.randint(0, 12))) for _ in range(RNG.randint(1, 8))]
+        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        ends = np.cumsum([len(t) for t in texts])
+        left = ends[owner] - np.arange(len(owner)) if len(owner) else np.empty(0, np.int64)
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        order, common = suffix_dedup.suffix_order(data, left, np.arange(len(data)))
+        suffix = [bytes(data[i : i + left[i]]) for i in range(len(data))]
+        assert [suffix[i] for i in order] == sorted(suffix)
+        shared = lambda a, b: next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert common.tolist()[1:] == [shared(suffix[a], suffix[b]) for a, b in zip(order, order[1:])]
+        ids = np.array([RNG.randint(0, 4) for _ in texts])
+        for floor in (1, 3):
+            got = suffix_dedup.previous_factors(ids[owner[order]], common, floor)
+            for i, f in zip(order, got):
+                want = max([shared(suffix[i], suffix[j]) for j in range(len(data)) if ids[owner[j]] < ids[owner[i]]], default=0)
+                assert f == (want if want >= floor else 0)
+
+
+def test_seen_keys_tell_later_documents():
+    seen = shards.Seen(4)
+    key = lambda *x: np.array(x, np.uint64)
+    assert not seen.later(key(1), key(1), np.array([5])).any()
+    seen.add(key(1, 1, 2), key(1, 1, 2), np.array([7, 5, 9]))
+    assert seen.later(key(1, 1, 1, 2, 3), key(1, 2, 1, 2, 3), np.array([6, 6, 5, 10, 99])).tolist() == [True, False, False, True, False]
+    seen.add(key(*range(10, 20)), key(*range(10, 20)), np.arange(10))
+    assert len(seen.one) <= 6
 
 
 def test_packing_round_trip():
