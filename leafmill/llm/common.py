@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: What one Arrow batch carries to Python at most; texts may be megabytes long.
@@ -13,11 +13,13 @@ BATCH_ROWS, BATCH_BYTES = 2000, "8m"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     jsc = spark.sparkContext._jsc.sc()
     if not root:
         have = jsc.getCheckpointDir()
+        if not have.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = have.get() if have.isDefined() else tempfile.mkdtemp(prefix="leafmill-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(root)
@@ -49,9 +51,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_enough(df: DataFrame, rows: int) -> DataFrame:
-    """Marks ``df`` for broadcast if it is counted to have at most ``rows`` rows; else Spark shuffles it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small_enough(df: DataFrame, rows: int, size: Column | None = None, most: int = 16 << 20) -> DataFrame:
+    """Marks ``df`` for broadcast if it has at most ``rows`` rows and, by ``size`` (bytes of a row that vary), ``most`` bytes; else Spark shuffles it."""
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(F.lit(0) if size is None else size)).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= most else df
 
 
 def packed(df: DataFrame, *derived) -> DataFrame:

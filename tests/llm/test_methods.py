@@ -325,6 +325,28 @@ def test_texts_of_one_item_id_each_count(spark):
     assert {r.doc_id for r in decontam.proximity_matches(docs, items).collect()} == {1, 2, 4}
 
 
+def test_long_items_stay_linear(spark):
+    """An item of 20,000 words has so many rows of terms, and one row of words; every window of it is found."""
+    rng = random.Random(3)
+    text = [rng.choice("abcdefghij") + str(rng.randint(0, 4000)) for _ in range(20_000)]
+    items = spark.createDataFrame([(1, " ".join(text)), (2, " ".join(text[100:113]))], "item_id long, text string")
+    texts = decontam.benchmark_items(items)
+    assert decontam.item_terms(texts).count() == 20_013
+    docs = spark.createDataFrame([(1, ", ".join(["lead", *text[5000:5600], "end."])), (2, " ".join(text[40:52])), (3, "\u2014" + " ".join(text[100:113])), (4, "(" + " ".join(text[100:113]) + ")")], "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontam.contamination(docs, items).collect()}
+    assert got == {1: (602, 600, ["1"]), 2: (12, 0, []), 3: (13, 0, []), 4: (13, 13, ["1", "2"])}  # the dash is a letter of its word
+    starts = {r.row.doc_id: [(m.item_id, m.starts) for m in r.matches] for r in decontam.phrase_matches(docs, items).collect()}
+    assert sorted(starts[4]) == [(1, [0]), (2, [0])] and sum(len(s) for _, s in starts[1]) == 588 and min(s[0] for _, s in starts[1]) == 1
+
+
+def test_items_too_large_to_broadcast_are_shuffled(spark):
+    from leafmill.llm import common
+
+    big = spark.range(3).select(F.repeat(F.lit("x"), 1000).alias("term"))
+    assert common.small_enough(big, 2) is big and common.small_enough(big, 3, F.octet_length("term"), 2999) is big
+    assert common.small_enough(big, 3, F.octet_length("term"), 3000) is not big
+
+
 def test_proximity_and_phrases(spark):
     docs = spark.createDataFrame([(1, "zz alpha beta xx gamma yy"), (2, "alpha beta gamma"), (3, "gamma alpha q q q q q q beta")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
