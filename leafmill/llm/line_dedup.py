@@ -5,11 +5,14 @@ lower-cased; keys under ``min_chars`` code points are never touched. A key held
 by several documents stays in the smallest doc_id that holds it, with all its
 lines there, and goes from the others.
 
-``LineIndex`` keeps two tables in a shared folder: references (one row per key
-and document) and one cuckoo filter per shard over the live keys. New documents
-ask the filters first; only the keys that a filter knows reach the exact table.
+``LineIndex`` keeps three tables in a shared folder: references (one row per key
+and document), exact counts (documents that hold a key, and the smallest of
+them) and one cuckoo filter per shard over the live keys. New documents ask the
+filters first; only the keys that a filter knows reach the exact table.
 Documents can be deleted again: their references go, keys without references
-leave the filters, and lines that they had displaced come back.
+leave the filters, and lines that they had displaced come back. A change reads
+and writes only the parts of the tables that its keys fall into, and ends with a
+version file, so that an index can be opened again by any later job.
 
 Defined results: a null or empty text is one empty line. Rows with a null
 doc_id hold no references and keep all their lines. Rows that share a doc_id
@@ -20,6 +23,8 @@ name are kept by ``dedup_documents`` and ignored elsewhere.
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +35,11 @@ from pyspark.sql import functions as F
 from leafmill.llm.common import cut, shared_path, text_batches
 
 BLANK = b" \t\n\r\x0b\x0c"
-#: References that one filter shard serves about; hot shards are split for lookups.
+#: Keys of one filter shard about, and postings that one piece of a shard's lookups takes about.
 SHARD_KEYS = 200_000
+PIECE = 1_000_000
+#: Fewer shards than this can hold a HOT_SHARDS-th of all postings each: the bound of a broadcast.
+HOT_SHARDS = 100_000
 SLOTS = 4
 
 
@@ -171,12 +179,13 @@ def shards_for(keys: int) -> int:
     return max(1, -(-keys // SHARD_KEYS))
 
 
-def probe(postings: DataFrame, filters: DataFrame, shards: int, splits: int = 8) -> DataFrame:
-    """The postings whose key a filter may know.
+def probe(postings: DataFrame, filters: DataFrame, shards: int, sizes: DataFrame) -> DataFrame:
+    """The postings whose key a filter may know; ``sizes`` (shard, postings) counts them.
 
-    Each shard is looked up in ``splits`` pieces: its filter row goes first in
-    every piece and the postings stream past it, so a hot shard is spread and a
-    task holds one filter at a time.
+    Each shard is looked up in as many pieces as its postings fill: its filter
+    row goes first in every piece and the postings stream past it, so a shard of
+    a line that a third of all documents hold is spread over as many tasks as it
+    needs, and a task holds one filter at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,9 +205,14 @@ def probe(postings: DataFrame, filters: DataFrame, shards: int, splits: int = 8)
                     take[begin:b] = held.holds(lo[begin:b])
             yield batch.select(["hi", "lo", "doc_id"]).filter(pa.array(take))
 
-    none = F.lit(None).cast("binary")
-    rows = postings.select(shard_of(shards).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(splits)).cast("int").alias("split"), "hi", "lo", "doc_id", none.alias("payload"))
-    heads = filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(0).cast("long").alias("hi"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("doc_id"), "payload")
+    total = sizes.agg(F.sum("postings")).first()[0] or 0
+    most = max(PIECE, total // HOT_SHARDS)
+    hot = F.broadcast(cut(sizes.where(F.col("postings") > most).select(F.col("shard").alias("hot"), F.ceil(F.col("postings") / PIECE).alias("pieces"))))
+    pieces = F.coalesce(F.col("pieces"), F.lit(-(-most // PIECE)))
+    none, zero = F.lit(None).cast("binary"), F.lit(0).cast("long")
+    rows = postings.withColumn("shard", shard_of(shards)).join(hot, F.col("shard") == F.col("hot"), "left")
+    rows = rows.select("shard", F.pmod(F.xxhash64("doc_id"), pieces).cast("long").alias("split"), "hi", "lo", "doc_id", none.alias("payload"))
+    heads = filters.join(hot, F.col("shard") == F.col("hot"), "left").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), (pieces - 1).cast("long"))).alias("split"), zero.alias("hi"), zero.alias("lo"), zero.alias("doc_id"), "payload")
     both = heads.unionByName(rows).withColumn("body", F.col("payload").isNull())
     placed = both.repartition("shard", "split").sortWithinPartitions("shard", "split", "body")
     return placed.select("shard", "hi", "lo", "doc_id", "payload").mapInArrow(run, "hi long, lo long, doc_id long")
@@ -212,7 +226,8 @@ def repeats(postings: DataFrame, counts: DataFrame) -> DataFrame:
     """
     many = counts.where("docs > 1")
     shards = shards_for(many.count())
-    maybe = probe(postings, build_filters(many, shards), shards)
+    sizes = counts.groupBy(shard_of(shards).alias("shard")).agg(F.sum("docs").alias("postings"))
+    maybe = probe(postings, build_filters(many, shards), shards, sizes)
     exact = many.select("hi", "lo", "first_doc")
     return maybe.join(exact, ["hi", "lo"]).where("doc_id > first_doc").select("hi", "lo", "doc_id")
 
@@ -270,68 +285,133 @@ def dedup_documents(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 class LineIndex:
-    """Incremental, reversible line dedup: reference and filter tables below ``path``.
+    """Incremental, reversible line dedup: tables of references, counts and filters below ``path``.
 
-    Each change writes a new version beside the old one and then moves the
-    pointer, so a failed job leaves the index as it was.
+    The tables lie in at most PARTS parts by key. A change writes the parts it
+    touches under a name of its own and then a version file that says which name
+    each part has; a job that fails before that leaves the index as it was. The
+    newest version is read when an index is opened. One writer at a time.
     """
 
+    PARTS = 256
+    TABLES = {"references": "hi long, lo long, doc_id long", "counts": "hi long, lo long, docs long, first_doc long", "filters": "shard int, n long, payload binary"}
+
     def __init__(self, spark: SparkSession, path: str | None = None, min_chars: int = 10):
-        self.spark, self.min_chars = spark, min_chars
-        self.path, self.version, self.shards = path or shared_path(spark, "lines"), 0, 1
-        self.write(spark.createDataFrame([], "hi long, lo long, doc_id long"))
+        self.spark, self.path = spark, (path or shared_path(spark, "lines")).rstrip("/")
+        self.state = {"version": 0, "shards": 1, "keys": 0, "min_chars": min_chars, "parts": {}}
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            found = [json.loads(r.value) for r in spark.read.text(f"{self.path}/version-*").collect()]  # one row a version
+            self.state = max(found, key=lambda v: v["version"])
+        else:
+            self._point(self.state)
+
+    def _point(self, state: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(state),)], "value string").coalesce(1).write.text(f"{self.path}/version-{state['version']}")
+        self.state = state
+
+    @property
+    def min_chars(self) -> int:
+        return self.state["min_chars"]
+
+    @property
+    def shards(self) -> int:
+        return self.state["shards"]
+
+    def _part(self, shards: int, shard: F.Column | None = None) -> F.Column:
+        return F.pmod(shard_of(shards) if shard is None else shard, F.lit(self.PARTS)).alias("part")
+
+    def table(self, name: str, parts: set[int] | None = None) -> DataFrame:
+        """One of TABLES, or only some parts of it."""
+        paths = [f"{self.path}/{name}/{gen}/part={p}" for p, gen in self.state["parts"].items() if parts is None or int(p) in parts]
+        return self.spark.read.schema(self.TABLES[name]).parquet(*paths) if paths else self.spark.createDataFrame([], self.TABLES[name])
 
     def references(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/references-{self.version}")
+        return self.table("references")
 
     def filters(self) -> DataFrame:
-        return self.spark.read.schema("shard int, n long, payload binary").parquet(f"{self.path}/filters-{self.version}")
-
-    def write(self, references: DataFrame) -> None:
-        n = self.version + 1
-        references.write.parquet(f"{self.path}/references-{n}")
-        counts = reference_counts(self.spark.read.parquet(f"{self.path}/references-{n}"))
-        shards = shards_for(counts.count())
-        build_filters(counts, shards).write.parquet(f"{self.path}/filters-{n}")
-        self.version, self.shards = n, shards
+        return self.table("filters")
 
     def insert(self, docs: DataFrame) -> None:
         """Adds the documents' lines; a document that is there already is replaced."""
         new = cut(line_postings(docs, self.min_chars).distinct())
-        ids = docs.select("doc_id").where("doc_id is not null").distinct()
-        self.write(self.references().join(ids, "doc_id", "left_anti").select("hi", "lo", "doc_id").unionByName(new))
+        self._change(self._held(docs), new)
 
     def delete(self, ids: DataFrame) -> None:
-        """Takes the documents of column doc_id out; keys without references leave the tables.
-
-        Only shards that lose a key get a new filter, the old one less the
-        fingerprints of those keys.
-        """
-        gone = ids.select("doc_id").distinct()
-        old, n = self.references(), self.version + 1
-        old.join(gone, "doc_id", "left_anti").select("hi", "lo", "doc_id").write.parquet(f"{self.path}/references-{n}")
-        left = self.spark.read.parquet(f"{self.path}/references-{n}")
-        dead = old.select("hi", "lo").distinct().join(left.select("hi", "lo").distinct(), ["hi", "lo"], "left_anti")
-        dead = dead.groupBy(shard_of(self.shards).alias("shard")).agg(F.collect_list("lo").alias("dead"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for shard, n_keys, payload, lo in zip(*(batch[c].to_pylist() for c in ("shard", "n", "payload", "dead")), strict=True):
-                    if lo:
-                        f = Cuckoo.load(payload)
-                        f.delete(np.array(lo, np.int64).view(np.uint64))
-                        payload, n_keys = f.dump(), n_keys - len(lo)
-                    yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([n_keys], pa.int64()), pa.array([payload], pa.binary())], ["shard", "n", "payload"])
-
-        filters = self.filters().join(dead, "shard", "left").select("shard", "n", "payload", "dead")
-        filters.mapInArrow(run, "shard int, n long, payload binary").write.parquet(f"{self.path}/filters-{n}")
-        self.version = n
+        """Takes the documents of column doc_id out; keys without references leave the tables."""
+        self._change(self._held(ids), self.spark.createDataFrame([], self.TABLES["references"]))
+
+    def _held(self, docs: DataFrame) -> DataFrame:
+        """The references of these documents: all parts are read for it, none is written."""
+        ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+        return cut(self.references().join(ids, "doc_id", "left_semi").select("hi", "lo", "doc_id"))
+
+    def _change(self, gone: DataFrame, new: DataFrame) -> None:
+        keys = self.state["keys"] + new.select("hi", "lo").distinct().count()
+        shards = self.shards if keys <= 4 * self.shards * SHARD_KEYS else shards_for(keys)
+        touched = None  # all parts, where the number of shards grows
+        if shards == self.shards:
+            touched = {r.part for r in gone.unionByName(new).select(self._part(shards)).distinct().collect()}  # at most PARTS
+            if not touched:
+                return
+        gen = uuid.uuid4().hex
+        put = lambda df, name, part: df.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(f"{self.path}/{name}/{gen}")
+        left = self.table("references", touched).join(gone, ["hi", "lo", "doc_id"], "left_anti").unionByName(new)
+        put(left, "references", self._part(shards))
+
+        group = lambda df, n, low: df.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias(n), F.min("doc_id").alias(low))
+        step = self.table("counts", touched).join(group(new, "more", "more_first"), ["hi", "lo"], "full").join(group(gone, "less", "less_first"), ["hi", "lo"], "left")
+        zero = lambda c: F.coalesce(c, F.lit(0))
+        docs = (zero("docs") + zero("more") - zero("less")).alias("now")
+        step = cut(step.select("hi", "lo", docs, F.col("docs").isNull().alias("added"), F.least("first_doc", "more_first").alias("first"), F.coalesce(F.col("less_first") <= F.col("first_doc"), F.lit(False)).alias("unsure")))
+        stored = self.spark.read.schema(self.TABLES["references"]).parquet(f"{self.path}/references/{gen}")
+        again = stored.join(step.where("unsure and now > 0").select("hi", "lo"), ["hi", "lo"], "left_semi").groupBy("hi", "lo").agg(F.min("doc_id").alias("again"))
+        live = step.where("now > 0").join(again, ["hi", "lo"], "left")
+        put(live.select("hi", "lo", F.col("now").alias("docs"), F.coalesce("again", "first").alias("first_doc")), "counts", self._part(shards))
+        counts = self.spark.read.schema(self.TABLES["counts"]).parquet(f"{self.path}/counts/{gen}")
+
+        if shards == self.shards:
+            moved = step.where("added or now = 0").select(shard_of(shards).alias("shard"), "lo", (F.col("now") > 0).alias("add"))
+            filters = cut(self._refill(self.table("filters", touched), moved))
+            full = filters.where("payload is null").select("shard")
+            whole = build_filters(counts.join(full, shard_of(shards) == F.col("shard"), "left_semi"), shards)
+            filters = filters.where("payload is not null").unionByName(whole)
+        else:
+            filters = build_filters(counts, shards)
+        put(filters.where("n > 0"), "filters", self._part(shards, F.col("shard")))
+
+        state = step.agg(F.sum(F.when(F.col("now") > 0, 1).otherwise(0) - F.when(~F.col("added"), 1).otherwise(0))).first()[0] or 0
+        kept = {} if touched is None else {p: g for p, g in self.state["parts"].items() if int(p) not in touched}
+        kept |= {str(r.part): gen for r in counts.select(self._part(shards)).distinct().collect()}  # at most PARTS
+        self._point(self.state | {"version": self.state["version"] + 1, "shards": shards, "keys": self.state["keys"] + state, "parts": kept})
+
+    @staticmethod
+    def _refill(filters: DataFrame, moved: DataFrame) -> DataFrame:
+        """Filters less the keys that died, and with the new ones; a filter that is full has a null payload."""
+
+        def run(old, keys):
+            import pandas as pd
+
+            if not len(keys):
+                return old
+            lo, add = keys["lo"].to_numpy(np.int64).view(np.uint64), keys["add"].to_numpy(bool)
+            n = (int(old["n"].iloc[0]) if len(old) else 0) + int(add.sum()) - int((~add).sum())
+            payload = None
+            if len(old):
+                f = Cuckoo.load(old["payload"].iloc[0])
+                f.delete(lo[~add])
+                payload = f.dump() if f.insert(lo[add]) else None
+            elif add.all():
+                payload = Cuckoo.build(lo).dump()
+            return pd.DataFrame({"shard": [keys["shard"].iloc[0]], "n": [n], "payload": [payload]})
+
+        return filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(run, "shard int, n long, payload binary")
 
     def known(self, docs: DataFrame) -> DataFrame:
         """(hi, lo, doc_id, first_doc) of the lines of ``docs`` that the index holds: filter first, then the exact table."""
-        asked = line_postings(docs, self.min_chars).distinct()
-        maybe = probe(asked, self.filters(), self.shards)
-        return maybe.join(reference_counts(self.references()).select("hi", "lo", "first_doc"), ["hi", "lo"])
+        asked = cut(line_postings(docs, self.min_chars).distinct())
+        sizes = asked.groupBy(shard_of(self.shards).alias("shard")).agg(F.count(F.lit(1)).alias("postings"))
+        return probe(asked, self.filters(), self.shards, sizes).join(self.table("counts").select("hi", "lo", "first_doc"), ["hi", "lo"])
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """As ``dedup_lines``, against the index: lines that a smaller doc_id of the index holds go."""

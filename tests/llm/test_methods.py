@@ -70,6 +70,46 @@ def test_line_index_is_reversible(spark):
     assert kept() == "new words here"
 
 
+def test_line_index_opens_again_and_equals_a_rebuild(spark, tmp_path, monkeypatch):
+    """Closed and opened between changes; counts and known lines are those of an index built at once; other parts stay as they are."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 6)
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    line = lambda k: f"line number {k} of the texts"
+    first = [(i, "\n".join(line(k) for k in range(i, i + 6))) for i in range(30)]
+    path = str(tmp_path / "index")
+    line_dedup.LineIndex(spark, path).insert(frame(first))
+    index = line_dedup.LineIndex(spark, path)
+    assert index.shards == 6 and index.state["version"] == 1
+    index.insert(frame([(50, line(3) + "\n" + line(100)), (4, line(4))]))  # document 4 is replaced
+    before = dict(line_dedup.LineIndex(spark, path).state["parts"])
+    index = line_dedup.LineIndex(spark, path)
+    index.delete(frame([(0, ""), (50, "")]))
+    after = line_dedup.LineIndex(spark, path)
+    assert {p for p in before if after.state["parts"].get(p) == before[p]}
+    rows = [r for r in first if r[0] not in (0, 4)] + [(4, line(4))]
+    rebuilt = line_dedup.LineIndex(spark)
+    rebuilt.insert(frame(rows))
+    asked = frame([(90, "\n".join(line(k) for k in range(0, 120, 3)))])
+    content = lambda t: sorted(map(tuple, t.collect()))
+    for one in (after, index):
+        assert content(one.table("counts")) == content(rebuilt.table("counts")) and content(one.references()) == content(rebuilt.references())
+        assert content(one.known(asked)) == content(rebuilt.known(asked)) and one.state["keys"] == rebuilt.state["keys"]
+        assert bytes(one.dedup(asked).first().new_text) == bytes(rebuilt.dedup(asked).first().new_text)
+    after.insert(frame([(i, "\n".join(line(k) for k in range(200 + 40 * i, 240 + 40 * i))) for i in range(200, 206)]))  # filters and shards grow
+    assert after.shards > 6 and after.known(frame([(999, line(8210))])).count() == 1
+    after.delete(after.references().select("doc_id"))
+    assert after.state["keys"] == 0 and after.table("counts").count() == 0 and after.known(asked).count() == 0
+
+
+def test_hot_line_spreads_by_its_count(spark, monkeypatch):
+    """A line in every document fills as many pieces as its postings need, and the result is the same."""
+    rows = [(i, f"the line that all of them hold\n{i} has a line of its own") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(line_dedup, "PIECE", 10)
+    got = {r.row.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == {i: int(i > 0) for i in range(300)}
+
+
 def test_suffix_dedup_equals_brute_force(frame, copies):
     first = {}
     for d, t in copies:
