@@ -16,6 +16,7 @@ Lines of any length are decoded whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -98,7 +99,7 @@ def shapes(token: str) -> tuple[str, str, str]:
     if hexes:
         return "hex", "hex", key
     fine = []
-    for r in _RUNS.findall(token[:80]):
+    for r in _RUNS.findall(token):
         c = r[0]
         if c.isdigit():
             fine.append(f"d{min(len(r), 12)}")
@@ -109,7 +110,8 @@ def shapes(token: str) -> tuple[str, str, str]:
     mixed = len(core) >= 16 and any(c.isdigit() for c in core) and any(c.isalpha() for c in core) and core.replace("-", "").replace("_", "").isalnum()
     digits = sum(c.isdigit() for c in core)
     coarse = "mixed" if mixed else f"n{min(digits, 12)}" if digits and not any(c.isalpha() for c in core) else "@" if "@" in core else "xd" if digits else "x" if any(c.isalpha() for c in core) else "p"
-    return "".join(fine)[:24], coarse, key
+    shape = "".join(fine)  # a long shape is known by its digest, all of it
+    return shape if len(shape) <= 24 else hashlib.blake2b(shape.encode("utf-8", "replace"), digest_size=8).hexdigest(), coarse, key
 
 
 _KEYS = frozenset(KEYWORDS)

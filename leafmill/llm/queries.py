@@ -121,7 +121,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(read(spark, sf_dir, "documents").select("doc_id", "text"))
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return out.select("row.doc_id", *map(number, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    return out.select("row.doc_id", *map(number, ("email", "ip", "card", "phone")), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @query(
