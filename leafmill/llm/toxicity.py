@@ -5,7 +5,10 @@ induced from labelled rows, and patterns of spelling. A generative label model
 estimates by expectation-maximisation how often each voter is right in each
 class and how strongly voters agree beyond what the class explains; correlated
 voters share their weight. Its posterior labels train a linear classifier over
-words and word beginnings, whose score is what comes out.
+words and word beginnings, whose score is what comes out. Human labels of
+learning rows choose the induced lexicons, set the prior of the label model, and
+place the cut of the classifier over scores from folds that have not seen the
+row; they are no voter, and no target of the classifier.
 
 Only labelled rows with ``crc32(doc_id as text) % 5 <> 0`` are learned from, at
 most ``max_labelled`` of them, taken in the order of a hash of doc_id (the bound
@@ -41,7 +44,11 @@ loser lowlife moron pathetic pig retard scum scumbag shameless sick stupid trash
 """.split()
 
 MAX_LABELLED = 12_000
-MAX_FEATURES = 3_000
+#: Rows that a feature needs, and its deviation from chance; the number of features has no other bound than the labelled rows.
+MIN_ROWS, MIN_Z = 4, 2.0
+#: Deviation and share of toxic rows from which a feature is a voter's.
+STRONG_Z, STRONG_SHARE = 4.0, 0.9
+FOLDS = 4
 INDUCED_VOTERS = 16
 BEGINNINGS = (4, 5, 6, 7, 8)
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
@@ -64,13 +71,14 @@ def features_of(text: str | None) -> set[str]:
 
 @dataclass
 class Model:
-    """What scoring needs: a few thousand features with weights, and the intercept."""
+    """What scoring needs: features with weights, and the intercept; ``agreement`` is the share of learning rows whose posterior tells their label."""
 
     weights: dict[str, float] = field(default_factory=dict)
     hit_weights: tuple[float, ...] = (0.0, 0.0, 0.0)
     intercept: float = -2.0
     strong: frozenset[str] = frozenset()
     accuracies: list[tuple[str, float]] = field(default_factory=list)
+    agreement: float = 0.0
 
     def score(self, text: str | None) -> float:
         present = 0.0
@@ -115,20 +123,22 @@ def votes_of(text: str | None, present: set[str], strong: dict[str, int]) -> lis
     ]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, prior: float, rounds: int = 50, settle: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(posterior of class 1, weight of each voter, log odds of each voter and vote) by EM.
 
     ``votes``: rows x voters of -1, 0, 1. The model gives each voter a chance of
     each vote in each class. Correlations: the voters' residual products, given
     the posterior, become excess agreement; a voter's log odds are divided by
-    one plus its agreement with the others.
+    one plus its agreement with the others. The first ``settle`` rounds take the
+    voters as independent, because residuals mean nothing while the posterior is
+    still undecided.
     """
     n, m = votes.shape
     onehot = np.stack([votes == v for v in (-1, 0, 1)], 2).astype(float)
     post = np.clip(prior + 0.35 * np.sign(votes.sum(1)), 0.02, 0.98)
     weight = np.ones(m)
     odds = np.zeros((m, 3))
-    for _ in range(rounds):
+    for turn in range(rounds):
         p1 = (np.einsum("n,nmv->mv", post, onehot) + 0.5) / (post.sum() + 1.5)
         p0 = (np.einsum("n,nmv->mv", 1 - post, onehot) + 0.5) / ((1 - post).sum() + 1.5)
         odds = np.log(p1) - np.log(p0)
@@ -137,10 +147,11 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.n
         scale = np.sqrt((left**2).mean(0)) + 1e-6
         corr = np.abs(left.T @ left / n / scale[:, None] / scale[None, :])
         np.fill_diagonal(corr, 0)
-        weight = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1))
+        if turn >= settle:
+            weight = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(1))
         z = np.log(prior / (1 - prior)) + np.einsum("nmv,mv,m->n", onehot, odds, weight)
         new = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        if np.abs(new - post).max() < 1e-4:
+        if turn > settle and np.abs(new - post).max() < 1e-4:
             post = new
             break
         post = new
@@ -166,12 +177,12 @@ def fit_linear(rows: list[np.ndarray], hits: np.ndarray, target: np.ndarray, n_f
 
 
 def out_of_fold(rows: list[np.ndarray], hits: np.ndarray, target: np.ndarray, n_features: int) -> np.ndarray:
-    """Log odds of every row from a classifier that was fitted on the other half of the rows."""
+    """Log odds of every row from a classifier that was fitted on the rows of the other folds."""
     z = np.zeros(len(rows))
-    half = np.arange(len(rows)) % 2
-    for k in (0, 1):
-        w, h, b = fit_linear([r for r, f in zip(rows, half, strict=True) if f != k], hits[half != k], target[half != k], n_features)
-        for i in np.flatnonzero(half == k):
+    fold = np.arange(len(rows)) % FOLDS
+    for k in range(FOLDS):
+        w, h, b = fit_linear([r for r, f in zip(rows, fold, strict=True) if f != k], hits[fold != k], target[fold != k], n_features)
+        for i in np.flatnonzero(fold == k):
             z[i] = w[rows[i]].sum() + h[hits[i]] + b
     return z
 
@@ -215,16 +226,16 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         lexicon = {"w:" + w: 4.0 for w in LEXICON}
         return Model(lexicon, (0.0, 0.0, 0.0), -2.0, frozenset(lexicon))
     seen = known.mapInPandas(count, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    seen = seen.where(F.col("pos") + F.col("neg") >= 4)
+    seen = seen.where(F.col("pos") + F.col("neg") >= MIN_ROWS)
     rate = n_pos / n
     both = F.col("pos") + F.col("neg")
     # deviation of the toxic count from what chance would give; rare features of one class alone rank as they should
     z = (F.col("pos") - rate * both) / F.sqrt(rate * (1 - rate) * both)
     ranked = cut(seen.select("f", "pos", "neg", z.alias("z"), F.substring(F.regexp_replace("f", "^w:", ""), 1, BEGINNINGS[0]).alias("stem")))
-    top = ranked.where("z > 0").orderBy(F.col("z").desc(), "f").limit(MAX_FEATURES * 4 // 5).collect()
+    top = ranked.where(F.col("z") >= MIN_Z).orderBy(F.col("z").desc(), "f").collect()  # words of at most max_labelled texts
     # clean words that begin like toxic ones are what else the classifier has to know
-    stems = sorted({r.stem for r in top if r.z > 4 and r.pos > 0.85 * (r.pos + r.neg)})
-    top += ranked.where((F.col("z") <= 0) & F.col("stem").isin(stems)).orderBy(F.col("f").startswith("w:").desc(), "z", "f").limit(MAX_FEATURES // 5).collect() if stems else []
+    stems = sorted({r.stem for r in top if r.z > STRONG_Z and r.pos > STRONG_SHARE * (r.pos + r.neg)})
+    top += ranked.where((F.col("z") <= 0) & F.col("stem").isin(stems)).orderBy("z", "f").collect() if stems else []
     index = {r.f: i for i, r in enumerate(top)}
     # a beginning that nearly always goes on in one way says no more than its longer form, and less surely
     longer: Counter[str] = Counter()
@@ -233,7 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
         for k in BEGINNINGS:
             if k < len(name) or (k == len(name) and r.f != name):
                 longer[name[:k]] = max(longer[name[:k]], r.pos)
-    strong = {r.f: voter_of(r.f) for r in top if r.z > 4 and r.pos / (r.pos + r.neg + 0.5) > max(0.85, rate) and (r.f.startswith("w:") or longer[r.f] < 0.95 * r.pos)}
+    strong = {r.f: voter_of(r.f) for r in top if r.z > STRONG_Z and r.pos / (r.pos + r.neg + 0.5) > max(STRONG_SHARE, rate) and (r.f.startswith("w:") or longer[r.f] < 0.95 * r.pos)}
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -246,16 +257,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 
     rows = known.mapInPandas(vote, "votes array<int>, cols array<int>, hits int, toxic int").collect()  # bounded by max_labelled
     label = np.array([r.toxic for r in rows])
-    # the human label is one more voter of the label model, wrong now and then like the others
-    votes = np.c_[np.array([r.votes for r in rows]), np.where(label == 1, 1, -1), np.where(label == 1, 1, -1)]
-    post, weight, table = label_model(votes.astype(float), float(np.clip(rate, 0.01, 0.9)))
+    post, weight, table = label_model(np.array([r.votes for r in rows]).astype(float), float(np.clip(rate, 0.01, 0.9)))
     hits = np.array([r.hits for r in rows])
     cols = [np.array(r.cols, np.int64) for r in rows]
     w, h, b = fit_linear(cols, hits, post, len(top))
     b -= best_cut(out_of_fold(cols, hits, post, len(top)), label)
-    names = [f"induced{i}" for i in range(INDUCED_VOTERS)] + ["lexicon", "lexicon2", "hits2", "none", "none_long", "shout", "bang", "label", "label_again"]
+    names = [f"induced{i}" for i in range(INDUCED_VOTERS)] + ["lexicon", "lexicon2", "hits2", "none", "none_long", "shout", "bang"]
     weights = {r.f: float(x) for r, x in zip(top, w, strict=True)}
-    return Model(weights, tuple(map(float, h)), b, frozenset(strong), list(zip(names, (table[:, 2] * weight).tolist(), strict=True)))
+    voters = list(zip(names, (table[:, 2] * weight).tolist(), strict=True))
+    return Model(weights, tuple(map(float, h)), b, frozenset(strong), voters, float(((post > 0.5) == label).mean()))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

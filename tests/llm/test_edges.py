@@ -68,6 +68,35 @@ def test_stages_keep_columns(name, spark, bench, labels):
     assert STAGES[name](docs(spark, []), bench, labels).count() == 0
 
 
+def test_trained_toxicity_of_odd_rows(spark):
+    """Both classes, so that the classifier is trained: null texts, ids and labels, repeated labels of both kinds, repeated rows, extra columns."""
+    good, bad = "what a fine day it is to read a book in the garden", "you are a stupid worthless idiot and everybody knows it"
+    rows = [(i, (bad if i % 3 == 0 else good) + f" number {i}") for i in range(60)] + [(6, bad), (61, None), (62, ""), (None, bad), (63, LONG)]
+    d = docs(spark, rows)
+    marks = [(i, 1, int(i % 3 == 0)) for i in range(60)] + [(9, 1, 0), (9, 1, 1), (61, 0, 0), (62, None, 0), (None, 1, 1), (40, 1, None), (900, 1, 1)]
+    model = toxicity.fit(d, spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("text", F.lit("label's own")).withColumn("score", F.lit(1)))
+    assert len(model.accuracies) > 0 and model.agreement > 0.9
+    out = toxicity.score(d, model).select("row.doc_id", "row.text", "row.score", F.col("score").alias("p")).collect()
+    assert len(out) == len(rows) and all(0 <= r.p <= 1 and r.score == 0.5 for r in out)
+    by = {}
+    for r in out:
+        by.setdefault(r.text, set()).add(r.p)
+    assert all(len(v) == 1 for v in by.values()) and len(by[None] | by[""]) == 1
+    assert all((r.p >= 0.5) == ("stupid" in r.text) for r in out if r.text and r.text != LONG)
+    kept = toxicity.reject_toxic(d, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert kept.columns == d.columns and kept.count() == len(rows) - 22
+
+
+def test_chat_of_very_long_texts(spark):
+    long = 'a "quoted" \\ line\n' * 20000
+    m = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long), (1, 2, "system", long)], "conv_id long, turn long, role string, text string")
+    got = {(r.turn, r.kind): r for r in chat.format_chats(*chat.turns_as_calls(m), chat.REPLY_SCHEMA).collect()}
+    import json
+
+    assert got[0, "call"].errors == "maxLength:text" and got[0, "call"].status == "linked"
+    assert json.loads(got[0, "call"].json)["arguments"]["text"] == json.loads(got[1, "result"].json)["content"] == json.loads(got[2, "message"].json)["content"] == long
+
+
 def test_defined_results(spark, bench, labels):
     d = docs(spark)
     hit = {(r.row.doc_id, r.row.text): r for r in decontam.contamination(d, bench).collect()}
