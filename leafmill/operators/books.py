@@ -15,9 +15,9 @@ from pyspark.sql.types import StringType
 
 #: Endings of comic pages.
 PAGE_ENDINGS = "jpg jpeg png gif webp avif bmp".split()
-ALIGN, TAIL = 64 * 1024, 256 * 1024
-MIN_SEGMENT, MAX_SEGMENT, TARGET_SEGMENTS, SINGLE = 4 << 20, 16 << 20, 32, 8 << 20
-MAX_RESULTS = 200
+#: Segments start at multiples of ALIGN; a ZIP file's end is within its last TAIL bytes.
+ALIGN, TAIL = 64 * 1024, 22 + 65535
+MIN_SEGMENT, MAX_SEGMENT, TARGET_SEGMENTS, SINGLE = 4 << 20, 16 << 20, 32, 4 << 20
 
 
 def source_kind(content: Column | str) -> Column:

@@ -7,13 +7,15 @@ import hashlib
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.dates import iso_micros
 
 #: Bounds of a list query.
 DEFAULT_LIMIT, MAX_LIMIT, MAX_QUERY = 24, 100, 100
+#: Fixed value: bytes of a cover.
+MAX_COVER = 10_000_000
 
 
 @dataclass(frozen=True)
@@ -71,18 +73,50 @@ def public(books: DataFrame) -> DataFrame:
 
 
 def valid_book() -> Column:
-    """Whether a manifest row is a proper book."""
-    date = iso_micros("updated_at").isNotNull() | F.col("updated_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[+-]\d{2}:\d{2}$")
-    subjects = (F.size("subjects") <= 100) & F.forall("subjects", lambda s: F.length(s).between(1, 200))
-    safe = F.col("object_key").rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$") & ~F.contains("object_key", F.lit(".."))
+    """Whether a manifest row is a proper book; ``cover`` is a struct or null, and agrees with cover_id and cover_url.
+
+    Columns: id, format, version, title, author, description, language,
+    subjects, cover_id, cover_url, download_url, file_size, sha256, updated_at,
+    object_key, cover (object_key, content_type, file_size, etag).
+    """
+    c = F.col
+    filled = lambda x, most: F.length(x).between(1, most)
+    plain = lambda x: ~x.rlike(r"[\x00-\x1F\x7F]")
+    key = lambda x: filled(x, 512) & x.rlike(r"^[A-Za-z0-9][A-Za-z0-9._/-]*$") & ~F.contains(x, F.lit("//")) & ~F.array_contains(F.split(x, "/"), "..")
+    own = lambda name: F.concat(F.lit("/v1/books/"), c("id"), F.lit("/" + name))
+    ending = F.when(F.coalesce("format", F.lit("epub")) == "epub", ".epub").when(c("format") == "comic", ".cbz")
+    milliseconds = c("updated_at").rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{3}Z$") & iso_micros("updated_at").isNotNull()
+    subjects = (F.size("subjects") <= 32) & F.forall("subjects", lambda s: filled(s, 100))
+    cover = c("cover")
+    etag = cover["etag"].isNull() | filled(cover["etag"], 512)
+    image = key(cover["object_key"]) & filled(cover["content_type"], 100) & plain(cover["content_type"]) & cover["content_type"].startswith("image/") & cover["file_size"].between(1, MAX_COVER) & etag
+    art = F.when(cover.isNull(), c("cover_url").isNull() & c("cover_id").isNull()).otherwise(
+        image & (c("cover_url") == own("cover")) & (c("cover_id").isNull() | (c("cover_id") == F.concat(F.lit("cover-"), c("sha256"))))
+    )
     return F.coalesce(
-        F.col("id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & (F.length("id") <= 128) & F.length("title").between(1, 500) & F.length("author").between(1, 500)
-        & (F.length("description") <= 10_000) & F.col("language").rlike("^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*$") & subjects & F.col("sha256").rlike("^[0-9a-f]{64}$")
-        & (F.col("file_size") > 0) & date & safe & F.col("download_url").rlike(r"^https://\S+$"),
+        filled(c("id"), 128) & c("id").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") & ending.isNotNull() & filled(c("version"), 64) & filled(c("title"), 300) & plain(c("title"))
+        & filled(c("author"), 300) & (F.length("description") <= 4000) & filled(c("language"), 35) & c("language").rlike("^[A-Za-z]{2,3}(?:-[A-Za-z0-9]{2,8})*$") & subjects
+        & art & (c("download_url") == own("download")) & (c("file_size") > 0) & c("sha256").rlike("^[0-9a-f]{64}$") & milliseconds & key(c("object_key")) & c("object_key").endswith(ending),
         F.lit(False),
     )
 
 
+def union_keep_first(lists: Column | str) -> Column:
+    """Distinct names of an array, ignoring case and outer space, as first written."""
+    x = F.col(lists) if isinstance(lists, str) else lists
+    x = F.filter(F.transform(x, lambda s: F.trim(s)), lambda s: s != "")
+    seen = F.transform(x, lambda s: F.lower(s))
+    return F.filter(x, lambda s, i: F.array_position(seen, F.lower(s)) == i + 1)
+
+
+def highlights_by_edition(highlights: DataFrame, library: DataFrame) -> DataFrame:
+    """Live highlights of the editions at hand (by sha256), in reading order: (key, id, position, created_at, place)."""
+    live = highlights.where("deleted_at is null")
+    joined = live.join(library.select("key", "sha256"), "sha256")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("position", "created_at", "id"))
+    return joined.select("key", "id", "position", "created_at", place.alias("place"))
+
+
 def merge_catalogs(manifest: DataFrame, uploads: DataFrame) -> DataFrame:
     """The manifest, and the uploads that share neither id nor checksum with it."""
     rest = uploads.join(manifest.select("id"), "id", "left_anti").join(manifest.select("sha256"), "sha256", "left_anti")

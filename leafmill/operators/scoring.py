@@ -6,12 +6,15 @@ neither a text nor a shingle is ever collected.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.session import broadcastable
 
 #: Weights of the combined curated score; missing parts are dropped and the rest renormalised.
 COMBINED_WEIGHTS = {"include": 0.5, "exclude": 0.2, "title": 0.1, "structure": 0.2}
@@ -20,8 +23,8 @@ SIZE_BUCKETS = [("<50KB", 50_000), ("50-200KB", 200_000), ("200-500KB", 500_000)
 
 
 def shingle_counts(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
-    """(key, shingle, n): multiset of the word n-grams of each text."""
-    grams = df.select(key, F.explode(T.ngrams(T.tokens(text), n)).alias("shingle"))
+    """(key, shingle, n): multiset of the word n-grams of each text, by their keys."""
+    grams = df.select(key, F.explode(T.ngram_keys(T.tokens(text), n)).alias("shingle"))
     return grams.groupBy(key, "shingle").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -44,6 +47,23 @@ def shingle_match(outputs: DataFrame, truth: DataFrame, key: str = "id", text: s
     return exact.join(sums, key, "left").select(key, share("tp"), share("fp"), share("fn"), "exact")
 
 
+def shingle_overlap(docs: DataFrame, key: str, items: DataFrame, item: str, text: str = "text", n: int = 4) -> DataFrame:
+    """(key, item, tp, fp, fn): shared and other shingles of every pair of a text and an item that share some.
+
+    A text's shingles are looked up among the items' before anything is counted
+    or shuffled; only those that some item has go on.
+    """
+    b = shingle_counts(items, item, text, n).withColumnRenamed("n", "m")
+    known = broadcastable(b.select("shingle").distinct(), F.lit(16))
+    grams = docs.select(key, F.explode(T.ngram_keys(T.tokens(text), n)).alias("shingle"))
+    hits = grams.join(known, "shingle", "left_semi").groupBy(key, "shingle").agg(F.count(F.lit(1)).alias("n"))
+    met = hits.join(broadcastable(b, F.lit(40)), "shingle").groupBy(key, item).agg(F.sum(F.least("n", "m")).alias("tp"))
+    count = F.greatest(F.size(T.tokens(text)) - n + 1, F.lit(1)).cast("long")
+    sizes = docs.select(key, count.alias("dn"))
+    out = met.join(sizes, key).join(b.groupBy(item).agg(F.sum("m").alias("bn")), item)
+    return out.select(key, item, "tp", (F.col("dn") - F.col("tp")).alias("fp"), (F.col("bn") - F.col("tp")).alias("fn"))
+
+
 def precision(tp: Column, fp: Column, fn: Column) -> Column:
     """1 where both sides are empty, 0 where only the prediction is."""
     return F.when(tp + fp + fn == 0, 1.0).when(tp + fp == 0, 0.0).otherwise(tp / F.nullif(tp + fp, F.lit(0.0)))
@@ -79,30 +99,53 @@ def mulberry32(seed: int):
         yield ((t ^ (t >> 14)) & 0xFFFFFFFF) / 4294967296
 
 
-def bootstrap_f1(matches: DataFrame, by: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
-    """(by, low, high, deviation): percentile interval of the macro F1, one group (an engine's documents) to a task.
+def bootstrap_scores(matches: DataFrame, by: str, resamples: int = 1000, seed: int = 1) -> DataFrame:
+    """(by, low, high, f1_std, precision_std, recall_std, accuracy_std): 95 % percentile interval of the macro F1 and deviations.
 
-    A benchmark has hundreds of documents, so a group is small by nature.
+    The draws are one seeded sequence, so the resamples of an engine are made in
+    order; the interval's ends are the values of ranks 2.5 % and 97.5 % (rounded
+    up, less one). One group is an engine's documents of a benchmark: hundreds.
     """
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         tp, fp, fn = (frame[c].to_numpy() for c in ("tp", "fp", "fn"))
+        exact = frame["exact"].to_numpy(float)
         n, draw = len(frame), mulberry32(seed)
         with np.errstate(invalid="ignore"):
             p, r = np.where(tp + fp > 0, tp / (tp + fp), np.nan), np.where(tp + fn > 0, tp / (tp + fn), np.nan)
-        scores = []
+        rows = []
         for _ in range(resamples):
             at = np.array([int(next(draw) * n) for _ in range(n)])
             a, b = p[at][~np.isnan(p[at])], r[at][~np.isnan(r[at])]
             a, b = (a.mean() if len(a) else 0.0), (b.mean() if len(b) else 0.0)
-            scores.append(2 * a * b / (a + b) if a + b else 0.0)
-        scores = np.sort(scores)
-        pick = lambda q: float(scores[min(len(scores) - 1, int(q * len(scores)))])
-        return pd.DataFrame({by: [frame[by].iloc[0]], "low": [pick(0.025)], "high": [pick(0.975)], "deviation": [float(np.std(scores, ddof=1)) if resamples > 1 else 0.0]})
+            rows.append((2 * a * b / (a + b) if a + b else 0.0, a, b, exact[at].mean()))
+        scores = np.array(rows)
+        ranked = np.sort(scores[:, 0])
+        spread = scores.std(0, ddof=1) if resamples > 1 else np.zeros(4)
+        ends = [float(ranked[int(0.025 * resamples)]), float(ranked[math.ceil(0.975 * resamples) - 1])]
+        return pd.DataFrame([[frame[by].iloc[0], *ends, *map(float, spread)]], columns=[by, "low", "high", "f1_std", "precision_std", "recall_std", "accuracy_std"])
+
+    rows = matches.select(by, F.col("id").cast("string").alias("id"), "tp", "fp", "fn", F.col("exact").cast("double").alias("exact"))
+    return rows.groupBy(by).applyInPandas(run, f"{by} {matches.schema[by].dataType.simpleString()}, low double, high double, f1_std double, precision_std double, recall_std double, accuracy_std double")
+
 
-    rows = matches.select(by, F.col("id").cast("string").alias("id"), "tp", "fp", "fn")
-    return rows.groupBy(by).applyInPandas(run, f"{by} {matches.schema[by].dataType.simpleString()}, low double, high double, deviation double")
+def multiset_matches(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, matched, first, second): items that two multisets share, as often as both hold them, and the sizes of both."""
+    named = lambda df, x, y: df.groupBy(F.col(key).alias("_key"), F.col(item).alias("_item")).agg(F.count(F.lit(1)).alias("n")).select("_key", "_item", (F.col("n") * x).alias("p"), (F.col("n") * y).alias("t"))
+    met = named(a, 1, 0).unionByName(named(b, 0, 1)).groupBy("_key", "_item").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
+    return met.groupBy(F.col("_key").alias(key)).agg(F.sum(F.least("p", "t")).alias("matched"), F.sum("p").alias("first"), F.sum("t").alias("second"))
+
+
+def warning_groups(warnings: DataFrame, *by: str) -> DataFrame:
+    """(by, message, pages): the pages of each message, in order, each once."""
+    return warnings.groupBy(*by, "message").agg(F.array_sort(F.collect_set("page")).alias("pages"))
+
+
+def top_candidates(scores: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """The ``n`` best candidates of each ``key``, by falling score and then place in the document; (key, place, score, rank)."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc(), "place"))  # Spark keeps n rows a key before it shuffles
+    return scores.select(key, "place", "score", place.alias("rank")).where(F.col("rank") <= n)
 
 
 def counter_f1(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
@@ -119,7 +162,7 @@ def uncovered_lines(df: DataFrame, key: str, text: str, other: str, n: int = 4)
     """(key, line_no, line, hit, total): lines of six tokens or more of which fewer than half the n-grams are in the other text."""
     lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
     lines = lines.withColumn("words", T.tokens("line")).where(F.size("words") >= 6)
-    grams = lines.select(key, "line_no", F.explode(T.ngrams("words", n)).alias("shingle"))
+    grams = lines.select(key, "line_no", F.explode(T.ngram_keys("words", n)).alias("shingle"))
     there = shingle_counts(df, key, other, n).select(key, "shingle", F.lit(1).alias("there"))
     hits = grams.join(there, [key, "shingle"], "left").groupBy(key, "line_no").agg(F.count("there").alias("hit"), F.count(F.lit(1)).alias("total"))
     return hits.where(F.col("hit") < F.col("total") * 0.5).join(lines.select(key, "line_no", "line"), [key, "line_no"])
@@ -146,7 +189,8 @@ def curated_scores(outputs: DataFrame, annotations: DataFrame) -> DataFrame:
     has_footnotes, has_embeds.
     """
     want = annotations.where(F.size("must_include") > 0).select(*[F.col(c).alias(f"w_{c}") for c in annotations.columns])
-    df = outputs.join(F.broadcast(want) if _few(want) else want, F.col("id") == F.col("w_id"))
+    size = F.aggregate(F.concat("w_must_include", F.coalesce("w_must_exclude", F.array().cast("array<string>"))), F.lit(200), lambda n, x: n + F.octet_length(x))
+    df = outputs.join(broadcastable(want, size), F.col("id") == F.col("w_id"))
     key = T.match_key("text")
     df = df.withColumn("key", key).withColumn("inc", F.transform("w_must_include", T.fold_typography)).withColumn("exc", F.transform(F.coalesce("w_must_exclude", F.array().cast("array<string>")), T.fold_typography))
     has = lambda c: F.size(F.filter(c, lambda s: F.contains(F.col("key"), s)))
@@ -175,10 +219,6 @@ def curated_scores(outputs: DataFrame, annotations: DataFrame) -> DataFrame:
     return df.withColumn("combined", value / weight).drop("has_text")
 
 
-def _few(df: DataFrame, rows: int = 50_000) -> bool:
-    return df.limit(rows + 1).count() <= rows
-
-
 def curated_summary(scores: DataFrame, *by: str) -> DataFrame:
     """Means of the curated scores in all, or by tier, category or both in one pass of grouping sets."""
     measures = [

@@ -144,12 +144,7 @@ _GRAMS = r"""(select {k}, list_transform(range(1, greatest(len(w) - 3, 1) + 1),
     select doc_id, item_id, cast(tp as bigint) as tp, cast(dt.n - tp as bigint) as fp, cast(bt.n - tp as bigint) as fn from m join dt using (doc_id) join bt using (item_id)""",
 )
 def shingle_overlap_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = S.shingle_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    b = S.shingle_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    met = d.join(b.withColumnRenamed("n", "m"), "shingle").groupBy("doc_id", "item_id").agg(F.sum(F.least("n", "m")).alias("tp"))
-    dt, bt = d.groupBy("doc_id").agg(F.sum("n").alias("dn")), b.groupBy("item_id").agg(F.sum("n").alias("bn"))
-    out = met.join(dt, "doc_id").join(bt, "item_id")
-    return out.select("doc_id", "item_id", "tp", (F.col("dn") - F.col("tp")).alias("fp"), (F.col("bn") - F.col("tp")).alias("fn"))
+    return S.shingle_overlap(table(spark, sf_dir, "documents"), "doc_id", table(spark, sf_dir, "benchmark"), "item_id")
 
 
 @query(
@@ -308,10 +303,12 @@ def reading_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "orphan_anti",
-    r"""select distinct user_id as body_sha256 from events where event_type = 'error' and user_id is not null and user_id not in (select user_id from events where event_type = 'purchase')""",
+    r"""with b as (select concat(user_id, ':', hour(ts)) as body_sha256, event_type from events)
+    select distinct body_sha256 from b where event_type = 'error' and body_sha256 not in (select body_sha256 from b where event_type = 'purchase')""",
 )
 def orphan_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("body_sha256"), "event_type")
+    """Bodies named by user and hour: those of errors that no purchase holds."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws(":", "user_id", F.hour(F.col("ts").cast("timestamp"))).alias("body_sha256"), "event_type")
     live = e.where("event_type = 'purchase'").withColumn("deleted_at", F.lit(None).cast("string"))
     return L.orphan_bodies(e.where("event_type = 'error'"), live)
 
@@ -359,11 +356,11 @@ def conversation_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "segment_plan",
     r"""with f as (select c_custkey, cast(c_custkey * 300007 as bigint) as size from customer where c_custkey > 0),
-    t as (select *, greatest(0, size - 262144) // 65536 * 65536 as tail from f),
+    t as (select *, greatest(0, size - 65557) // 65536 * 65536 as tail from f),
     z as (select *, cast(ceil(least(16777216, greatest(4194304, ceil(tail / 32))) / 65536) as bigint) * 65536 as step from t)
-    select c_custkey, 0 as fetch, cast(0 as bigint) as start, size as "end" from z where size <= 8388608
-    union all select c_custkey, 0, tail, size from z where size > 8388608
-    union all select c_custkey, cast(i + 1 as int), i * step, least(i * step + step, tail) from (select *, unnest(range(cast(ceil(tail / step) as bigint))) as i from z where size > 8388608)""",
+    select c_custkey, 0 as fetch, cast(0 as bigint) as start, size as "end" from z where size <= 4194304
+    union all select c_custkey, 0, tail, size from z where size > 4194304
+    union all select c_custkey, cast(i + 1 as int), i * step, least(i * step + step, tail) from (select *, unnest(range(cast(ceil(tail / step) as bigint))) as i from z where size > 4194304)""",
 )
 def segment_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 300007).cast("long").alias("size"))
@@ -384,7 +381,12 @@ def byte_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", B.parse_range("h", "size").alias("r")).select("o_orderkey", "r.offset", "r.length")
 
 
-@query("natural_page_order")
+@query(
+    "natural_page_order",
+    r"""with n as (select p_brand, concat(p_name, '/', p_partkey % 100, '.jpg') as name from part),
+    k as (select *, list_transform(regexp_extract_all(name, '[0-9]+|[^0-9]+'), lambda x: case when regexp_full_match(x, '[0-9]+') then lpad(ltrim(x, '0'), 20, '0') else x end) as k from n)
+    select p_brand, name, cast(row_number() over (partition by p_brand order by k, name) - 1 as int) as page from k""",
+)
 def natural_page_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "part").select("p_brand", F.concat("p_name", F.lit("/"), F.col("p_partkey") % 100, F.lit(".jpg")).alias("name"))
     return B.comic_pages(names, "p_brand")
@@ -498,15 +500,17 @@ def speed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "counter_f1",
-    r"""with a as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(substr(text, 1, 400), '[\p{L}\p{N}_]+')) as t from documents) group by all),
-    b as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(substr(text, 200, 400), '[\p{L}\p{N}_]+')) as t from documents) group by all),
-    m as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.n, 0) as p, coalesce(b.n, 0) as q from a full join b on a.doc_id = b.doc_id and a.t = b.t)
-    select doc_id, round(2 * sum(least(p, q)) / sum(p + q), 6) as f1 from m group by doc_id""",
+    r"""with a as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(substr(text, 1, length(text) // 2), '[\p{L}\p{N}_]+')) as t from documents) group by all),
+    b as (select doc_id, t, count(*) as n from (select doc_id, unnest(regexp_extract_all(substr(text, length(text) // 2 + 1), '[\p{L}\p{N}_]+')) as t from documents) group by all),
+    m as (select coalesce(a.doc_id, b.doc_id) as doc_id, coalesce(a.n, 0) as p, coalesce(b.n, 0) as q from a full join b on a.doc_id = b.doc_id and a.t = b.t),
+    f as (select doc_id, round(2 * sum(least(p, q)) / sum(p + q), 6) as f1 from m group by doc_id), k as (select doc_id from a union select doc_id from b)
+    select doc_id, f1 from f""",
 )
 def counter_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlap of the words of both halves of every text."""
     docs = table(spark, sf_dir, "documents")
-    part = lambda at: docs.select("doc_id", F.explode(T.tokens(F.substring("text", at, 400))).alias("t"))
-    return S.counter_f1(part(1), part(200), "doc_id", "t").withColumn("f1", F.round("f1", 6))
+    part = lambda text: docs.select("doc_id", F.explode(T.tokens(F.expr(text))).alias("t"))
+    return S.counter_f1(part("substr(text, 1, length(text) div 2)"), part("substr(text, length(text) div 2 + 1)"), "doc_id", "t").withColumn("f1", F.round("f1", 6))
 
 
 @query(
@@ -560,13 +564,22 @@ def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.outbox(current, seen, ["id"]).select("id", "removed")
 
 
+#: First bytes of eight kinds of files, in hex, and the kind that each is.
+_HEADS = [
+    ("504B0304", "zip"), ("526172211A0700", "rar"), ("526172211A070100", "rar"), ("00" * 60 + "424F4F4B4D4F4249", "mobi"), ("377ABCAF271C", "unsupported:7z"),
+    ("00" * 257 + "7573746172", "unsupported:tar"), ("255044462D312E37", "pdf"), ("3C68746D6C3E", None),
+]
+
+
 @query(
     "source_kinds",
-    r"""select case when html like '<!DOCTYPE%' then 'page' end as kind, count(*) as pages from pages group by all""",
+    "select o_orderkey, case o_orderkey % 8 " + " ".join(f"when {i} then '{k}'" for i, (_, k) in enumerate(_HEADS) if k) + " end as kind from orders",
 )
 def source_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "pages").select(F.coalesce(B.source_kind(F.col("html").cast("binary")), F.when(F.col("html").startswith("<!DOCTYPE"), "page")).alias("kind"))
-    return df.groupBy("kind").agg(F.count(F.lit(1)).alias("pages"))
+    """Every order as a file that starts like one of eight kinds."""
+    heads = F.array(*[F.lit(h) for h, _ in _HEADS])
+    content = F.unhex(F.concat(F.get(heads, (F.col("o_orderkey") % 8).cast("int")), F.hex(F.encode(F.col("o_orderkey").cast("string"), "UTF-8"))))
+    return table(spark, sf_dir, "orders").select("o_orderkey", B.source_kind(content).alias("kind"))
 
 
 @query(

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
@@ -28,9 +29,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the folder of spark.checkpoint.dir (a temporary one where it is unset) and cuts its lineage."""
+    """Materialises ``df`` in the folder of spark.checkpoint.dir and cuts its lineage; only a local session without one gets a temporary folder."""
     spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="leafmill-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="leafmill-"))
     return df.checkpoint()
+
+
+def broadcastable(df: DataFrame, size: Column, most: int = 16 << 20) -> DataFrame:
+    """Marks ``df`` for broadcast if its rows, of ``size`` bytes each, come to at most ``most``; else Spark shuffles it."""
+    held = df.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(df) if held <= most else df

@@ -113,9 +113,22 @@ def test_scores(spark):
     assert got["b"] == (0, 0, 0, True) and got["c"] == (1, 0, 0, True) and got["d"] == (0, 0, 1, False)
     assert all(abs(x - third) < 1e-12 for x in got["a"][:3])
     m = S.shingle_match(out, truth).withColumn("engine", F.lit("e"))
-    ci = S.bootstrap_f1(m, "engine", 200).first()
+    ci = S.bootstrap_scores(m, "engine", 200).first()
     f1 = S.macro_scores(m, "engine").first().f1
     assert ci.low <= f1 <= ci.high
+    rows, draw = sorted((r.id, r.tp, r.fp, r.fn, r.exact) for r in m.collect()), S.mulberry32(1)
+    samples = []
+    for _ in range(200):
+        picked = [rows[int(next(draw) * len(rows))] for _ in rows]
+        mean = lambda xs: sum(xs) / len(xs) if xs else 0.0
+        p = mean([tp / (tp + fp) for _, tp, fp, _, _ in picked if tp + fp > 0])
+        r = mean([tp / (tp + fn) for _, tp, _, fn, _ in picked if tp + fn > 0])
+        samples.append((2 * p * r / (p + r) if p + r else 0.0, p, r, mean([float(e) for *_, e in picked])))
+    ranked = sorted(x[0] for x in samples)
+    assert abs(ci.low - ranked[5]) < 1e-12 and abs(ci.high - ranked[194]) < 1e-12  # of 200: ranks 5 and 195 from 1
+    for k, name in enumerate(("f1_std", "precision_std", "recall_std", "accuracy_std")):
+        xs = [x[k] for x in samples]
+        assert abs(ci[name] - (sum((x - mean(xs)) ** 2 for x in xs) / 199) ** 0.5) < 1e-9
 
 
 def test_mulberry32_draws_in_unit_interval_and_repeats():

@@ -1,5 +1,6 @@
 import pytest
 
+from leafmill.plans import rules  # noqa: F401  registers its queries
 from leafmill.plans.catalogue import ORACLES, QUERIES
 from tests.conftest import SF
 
