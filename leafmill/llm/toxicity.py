@@ -48,7 +48,7 @@ MAX_LABELLED = 12_000
 MIN_ROWS, MIN_Z = 4, 2.0
 #: Deviation and share of toxic rows from which a feature is a voter's.
 STRONG_Z, STRONG_SHARE = 4.0, 0.9
-FOLDS = 4
+FOLDS = 2
 INDUCED_VOTERS = 16
 BEGINNINGS = (4, 5, 6, 7, 8)
 HELD_OUT = "pmod(crc32(cast(doc_id as string)), 5) = 0"
