@@ -55,9 +55,13 @@ def _numeric_date(v: Column) -> Column:
     return F.when(shape.startswith("9999-99-99"), dashed).when(run, F.concat_ws("-", F.substring(v, 1, 4), F.substring(v, 5, 2), F.substring(v, 7, 2)))
 
 
-def _spelled_date(v: Column) -> Column:
+def _once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _spelled_date(words: Column) -> Column:
     """Three words in a row that are month, day, year, or day, month, year."""
-    words = F.split(v, r"\s+")
     at = F.when(F.size(words) > 2, F.sequence(F.lit(0), F.size(words) - 3)).otherwise(F.array().cast("array<int>"))
     word = lambda i, k: F.get(words, i + k)
     month = lambda w: month_number(F.regexp_extract(w, r"([A-Za-z]+)[.]?,?$", 1))
@@ -70,8 +74,7 @@ def _spelled_date(v: Column) -> Column:
 
 def normalize_date(x: Column | str) -> Column:
     """ISO form of a value that is, or plainly spells, a date; null otherwise."""
-    v = trim_space(x)
-    return F.coalesce(_numeric_date(v), _spelled_date(v))
+    return _once(trim_space(x), lambda v: F.coalesce(_numeric_date(v), _once(F.split(v, r"\s+"), _spelled_date)))
 
 
 def iso_micros(x: Column | str) -> Column:

@@ -66,17 +66,22 @@ def metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     df = pages.select("page_id", "url").join(heads, "page_id", "left")
     named = lambda n: F.try_element_at(F.filter("metas", lambda x: x["key"] == n), F.lit(1))["value"]
     m = lambda *names: F.coalesce(*map(named, names))
-    full = T.collapse(F.coalesce(m("og:title", "twitter:title"), F.col("ld.headline"), "title_text", m("title"), F.lit("")))
-    site = T.collapse(F.coalesce(m("og:site_name", "application-name"), F.col("ld.publisher")))
-    language = F.lower(F.coalesce(F.nullif("html_lang", F.lit("")), m("og:locale", "language"), F.col("ld.language")))
-    return df.select(
-        "page_id", "url", clean_title(full, site).alias("title"), site.alias("site_name"),
-        T.collapse(F.regexp_replace(F.coalesce(m("author", "article:author", "parsely-author"), F.col("ld.author")), r"(?i)^by\s+", "")).alias("byline"),
-        D.normalize_date(F.coalesce(m("article:published_time", "datepublished", "date", "pubdate"), F.col("ld.published"), "clock")).alias("published_at"),
-        D.normalize_date(F.coalesce(m("article:modified_time", "datemodified"), F.col("ld.modified"))).alias("modified_at"),
-        F.nullif(F.regexp_replace(language, "_", "-"), F.lit("")).alias("language"), T.collapse(m("og:description", "description", "twitter:description")).alias("description"),
-        absolute(m("og:image", "twitter:image"), F.col("url")).alias("lead_image"), absolute(F.nullif("icon", F.lit("")), F.col("url")).alias("favicon"),
-        U.canonical_url(F.coalesce(absolute(F.nullif("canonical", F.lit("")), F.col("url")), m("og:url"), "url")).alias("canonical"), F.col("ld.body").alias("ld_body"),
+    # what the tags say, each worked out once, before it is put into form
+    said = df.select(
+        "page_id", "url", T.collapse(F.coalesce(m("og:title", "twitter:title"), F.col("ld.headline"), "title_text", m("title"), F.lit(""))).alias("full"),
+        T.collapse(F.coalesce(m("og:site_name", "application-name"), F.col("ld.publisher"))).alias("site_name"),
+        F.coalesce(m("author", "article:author", "parsely-author"), F.col("ld.author")).alias("author"),
+        F.coalesce(m("article:published_time", "datepublished", "date", "pubdate"), F.col("ld.published"), "clock").alias("published"),
+        F.coalesce(m("article:modified_time", "datemodified"), F.col("ld.modified")).alias("modified"),
+        F.lower(F.coalesce(F.nullif("html_lang", F.lit("")), m("og:locale", "language"), F.col("ld.language"))).alias("language"),
+        T.collapse(m("og:description", "description", "twitter:description")).alias("description"), m("og:image", "twitter:image").alias("image"),
+        F.nullif("icon", F.lit("")).alias("icon"), F.nullif("canonical", F.lit("")).alias("link"), m("og:url").alias("og_url"), F.col("ld.body").alias("ld_body"),
+    )
+    return said.select(
+        "page_id", "url", clean_title(F.col("full"), F.col("site_name")).alias("title"), "site_name", T.collapse(F.regexp_replace("author", r"(?i)^by\s+", "")).alias("byline"),
+        D.normalize_date("published").alias("published_at"), D.normalize_date("modified").alias("modified_at"), F.nullif(F.regexp_replace("language", "_", "-"), F.lit("")).alias("language"), "description",
+        absolute(F.col("image"), F.col("url")).alias("lead_image"), absolute(F.col("icon"), F.col("url")).alias("favicon"),
+        U.canonical_url(F.coalesce(absolute(F.col("link"), F.col("url")), "og_url", "url")).alias("canonical"), "ld_body",
     )
 
 
@@ -135,7 +140,7 @@ def content_roots(nodes: DataFrame) -> DataFrame:
     nearest ancestors get 1, 1/2 and 1/(3 * level) of that, less their share of
     link text.
     """
-    stats = subtree_text(nodes)
+    stats = cut(subtree_text(nodes))
     leaf = nodes.where(F.col("tag").isin(LEAVES)).join(stats, ["page_id", "node"]).where("chars >= 25")
     gain = 2 + F.col("commas") + F.least(F.floor(F.col("chars") / 100), F.lit(3))
     up = F.slice(F.reverse("path"), 1, 5)
@@ -156,7 +161,7 @@ def content_roots(nodes: DataFrame) -> DataFrame:
 
 def content_nodes(nodes: DataFrame) -> DataFrame:
     """The nodes below a page's content roots. A page without scored content keeps its pruned body."""
-    clean = pruned(nodes)
+    clean = cut(pruned(nodes))  # five branches of the scoring read it
     roots = content_roots(clean).groupBy("page_id").agg(F.collect_list("node").alias("roots"))  # few to a page
     df = clean.join(roots, "page_id", "left")
     return df.where(F.col("roots").isNull() | F.arrays_overlap("path", "roots") | F.array_contains("roots", F.col("node"))).drop("roots")
@@ -278,7 +283,7 @@ def articles(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     body of over 500 characters, the body's paragraphs are the blocks.
     """
     nodes = cut(page_nodes(pages))  # many branches read the nodes; pages are parsed once
-    meta = metadata(pages, nodes)
+    meta = cut(metadata(pages, nodes))
     body = cut(content_nodes(nodes))
     rows = cut(tidy(blocks(inlines(body, pages), nodes), meta))
     size = rows.groupBy("page_id").agg(F.sum(F.length("text")).alias("chars"))

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -127,17 +128,32 @@ class Tree(HTMLParser):
             self.put("#text", {}, data)
 
 
+_COLUMNS = {
+    "page_id": pa.int64(), "node": pa.int32(), "parent": pa.int32(), "path": pa.list_(pa.int32()), "tags": pa.list_(pa.string()), "tag": pa.string(),
+    "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string(),
+}
+
+
 def page_nodes(pages: DataFrame, rows: int = 64) -> DataFrame:
-    """The node table of ``pages`` (page_id, html). Null pages have no nodes; a page is parsed whole."""
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """The node table of ``pages`` (page_id, html). Null pages have no nodes; a page is parsed whole.
+
+    Pages are dealt out by page_id before they are parsed, because a file of
+    pages has fewer splits than there are cores; about ``rows`` pages make one
+    batch of nodes.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for page, html in zip(batch["page_id"], batch["html"], strict=True):
-                if html:
-                    t = Tree()
-                    t.feed(html)
-                    t.close()
-                    yield pd.DataFrame([[page, *r] for r in t.rows], columns=["page_id", "node", "parent", "path", "tags", "tag", "attrs", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, NODE_SCHEMA)
+            ids, html = batch["page_id"].to_pylist(), batch["html"].to_pylist()
+            for at in range(0, len(ids), rows):
+                out: list[tuple] = []
+                for page, text in zip(ids[at : at + rows], html[at : at + rows], strict=True):
+                    if text:
+                        t = Tree()
+                        t.feed(text)
+                        t.close()
+                        out += [(page, *r) for r in t.rows]
+                if out:
+                    yield pa.record_batch([pa.array([list(x.items()) for x in c] if k == "attrs" else c, kind) for c, (k, kind) in zip(zip(*out, strict=True), _COLUMNS.items(), strict=True)], list(_COLUMNS))
+
+    return pages.select("page_id", "html").repartition("page_id").mapInArrow(run, NODE_SCHEMA)
