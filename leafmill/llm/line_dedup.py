@@ -37,7 +37,7 @@ from leafmill.llm.common import cut, shared_path, text_batches
 BLANK = b" \t\n\r\x0b\x0c"
 #: Keys of one filter shard about, and postings that one piece of a shard's lookups takes about.
 SHARD_KEYS = 200_000
-PIECE = 1_000_000
+PIECE = 250_000
 #: Fewer shards than this can hold a HOT_SHARDS-th of all postings each: the bound of a broadcast.
 HOT_SHARDS = 100_000
 SLOTS = 4
