@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import dates as D
+from leafmill.functions import furniture as N
+from leafmill.functions import images as I
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
 from leafmill.session import cut
@@ -60,7 +62,8 @@ def metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
         first((tag == "script") & F.col("text").isNotNull(), json, "j"),
     )
     pick = lambda p: F.expr(f"coalesce(try_variant_get(v, '$.{p}', 'string'), try_variant_get(v, '$[0].{p}', 'string'), try_variant_get(v, '$[\"@graph\"][0].{p}', 'string'))")
-    ld = F.struct(pick("headline").alias("headline"), F.coalesce(pick("author.name"), pick("author[0].name"), pick("author")).alias("author"), pick("datePublished").alias("published"),
+    listed = [f"transform(try_variant_get(v, '{at}.author', 'array<variant>'), a -> coalesce(try_variant_get(a, '$.name', 'string'), try_variant_get(a, '$', 'string')))" for at in ("$", "$[0]", "$[\"@graph\"][0]")]
+    ld = F.struct(F.coalesce(*map(F.expr, listed)).alias("authors"), pick("headline").alias("headline"), F.coalesce(pick("author.name"), pick("author[0].name"), pick("author")).alias("author"), pick("datePublished").alias("published"),
         pick("dateModified").alias("modified"), pick("publisher.name").alias("publisher"), pick("articleBody").alias("body"), pick("inLanguage").alias("language"))
     heads = heads.withColumn("v", F.expr("try_parse_json(j)")).withColumn("ld", ld).drop("v", "j")
     df = pages.select("page_id", "url").join(heads, "page_id", "left")
@@ -70,15 +73,18 @@ def metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     said = df.select(
         "page_id", "url", T.collapse(F.coalesce(m("og:title", "twitter:title"), F.col("ld.headline"), "title_text", m("title"), F.lit(""))).alias("full"),
         T.collapse(F.coalesce(m("og:site_name", "application-name"), F.col("ld.publisher"))).alias("site_name"),
-        F.coalesce(m("author", "article:author", "parsely-author"), F.col("ld.author")).alias("author"),
+        F.coalesce(F.array_compact(F.array(m("author", "article:author", "parsely-author"))), F.array()).alias("tagged"), F.coalesce("ld.authors", F.array("ld.author")).alias("listed"),
         F.coalesce(m("article:published_time", "datepublished", "date", "pubdate"), F.col("ld.published"), "clock").alias("published"),
         F.coalesce(m("article:modified_time", "datemodified"), F.col("ld.modified")).alias("modified"),
         F.lower(F.coalesce(F.nullif("html_lang", F.lit("")), m("og:locale", "language"), F.col("ld.language"))).alias("language"),
         T.collapse(m("og:description", "description", "twitter:description")).alias("description"), m("og:image", "twitter:image").alias("image"),
         F.nullif("icon", F.lit("")).alias("icon"), F.nullif("canonical", F.lit("")).alias("link"), m("og:url").alias("og_url"), F.col("ld.body").alias("ld_body"),
     )
+    # names that the tags hold; where they hold none, those of the structured data
+    names, other = N.author_names(F.col("tagged")), N.author_names(F.array_compact("listed"))
+    byline = F.nullif(F.array_join(F.when(F.size(names) > 0, names).otherwise(other), ", "), F.lit(""))
     return said.select(
-        "page_id", "url", clean_title(F.col("full"), F.col("site_name")).alias("title"), "site_name", T.collapse(F.regexp_replace("author", r"(?i)^by\s+", "")).alias("byline"),
+        "page_id", "url", clean_title(F.col("full"), F.col("site_name")).alias("title"), "site_name", byline.alias("byline"),
         D.normalize_date("published").alias("published_at"), D.normalize_date("modified").alias("modified_at"), F.nullif(F.regexp_replace("language", "_", "-"), F.lit("")).alias("language"), "description",
         absolute(F.col("image"), F.col("url")).alias("lead_image"), absolute(F.col("icon"), F.col("url")).alias("favicon"),
         U.canonical_url(F.coalesce(absolute(F.col("link"), F.col("url")), "og_url", "url")).alias("canonical"), "ld_body",
@@ -174,20 +180,29 @@ def _nearest(names: list[str]) -> Column:
 
 
 def inlines(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """(page_id, node, block, block_tag, type, text, marks, href, src, alt): texts, breaks and images in order, with their block."""
+    """(page_id, node, block, block_tag, type, text, marks, href, src, small, alt): texts, breaks and images in order, with their block.
+
+    Placeholders, tracking pixels and decorative images are left out."""
     base = nodes.where((F.col("tag").isin("#text", "br", "img", "hr", "iframe", "math", "video", "audio")) & ~(F.col("tag").eqNullSafe("#text") & F.element_at(F.concat(F.array(F.lit("")), "tags"), -1).isin("ul", "ol", "table", "tr", "tbody", "thead", "dl", "html")))
     near = F.when(F.size("path") > 0, _nearest(_BLOCKS))
     kinds = F.create_map(*[F.lit(v) for k, x in MARKS.items() for v in (k, x)])
     marks = F.array_distinct(F.array_compact(F.transform("tags", lambda t: F.try_element_at(kinds, t))))
     ordered = F.filter(F.array(*[F.lit(m) for m in MARK_ORDER]), lambda m: F.array_contains(marks, m))
+    media = F.lower(_attr("media"))
+    offered = nodes.where("tag = 'source'").where(~F.lower(_attr("type")).isin("image/avif", "image/jxl") & ~(media.contains("max-width") & ~media.contains("min-width")))
+    offered = offered.withColumn("offer", I.source_set(F.col("attrs"))).where("offer is not null").groupBy("page_id", "parent").agg(F.min_by("offer", "node").alias("offer"))
     links = nodes.where("tag = 'a'").select("page_id", F.col("node").alias("a"), _attr("href").alias("raw_href"))
-    df = base.select("page_id", "node", near["node"].alias("block"), near["tag"].alias("block_tag"), "tag", "text", "attrs", "path", "tags", ordered.alias("marks"), F.when(_has(F.col("tags"), ["a"]), _nearest(["a"])["node"]).alias("a"))
-    df = df.join(links, ["page_id", "a"], "left").join(pages.select("page_id", "url"), "page_id")
+    df = base.select("page_id", "node", near["node"].alias("block"), near["tag"].alias("block_tag"), "tag", "parent", "text", "attrs", "path", "tags", ordered.alias("marks"), F.when(_has(F.col("tags"), ["a"]), _nearest(["a"])["node"]).alias("a"))
+    df = df.join(links, ["page_id", "a"], "left").join(offered, ["page_id", "parent"], "left").join(pages.select("page_id", "url"), "page_id")
+    attrs = F.col("attrs")
+    df = df.withColumn("found", F.when(F.col("tag") == "img", I.candidates(F.coalesce(I.source_set(attrs), "offer"))))
     kind = F.when(F.col("tag") == "#text", "text").when(F.col("tag") == "br", "break").when(F.col("tag") == "img", "image").when(F.col("tag") == "hr", "rule").when(F.col("tag") == "iframe", "embed").otherwise(F.col("tag"))
-    src = F.coalesce(F.nullif(_attr("data-src"), F.lit("")), F.nullif(_attr("src"), F.lit("")), F.nullif(F.regexp_extract(_attr("srcset"), r"^\s*(\S+)", 1), F.lit("")))
+    src = F.when(F.col("tag") == "img", I.shown(attrs, F.col("found"))).otherwise(F.coalesce(F.nullif(_attr("data-src"), F.lit("")), F.nullif(_attr("src"), F.lit(""))))
+    df = df.withColumn("src", F.when(F.col("tag").isin("img", "iframe", "video", "audio"), absolute(src, F.col("url")))).withColumn("href", absolute(F.col("raw_href"), F.col("url")))
+    chrome = I.is_pixel(attrs, F.col("src")) | I.is_decorative(attrs, F.col("src"), F.col("href")) | F.col("src").isNull()
+    df = df.where((F.col("tag") != "img") | ~chrome)
     return df.select(
-        "page_id", "node", "block", "block_tag", kind.alias("type"), "text", "marks", absolute(F.col("raw_href"), F.col("url")).alias("href"),
-        F.when(F.col("tag").isin("img", "iframe", "video", "audio"), absolute(src, F.col("url"))).alias("src"), F.nullif(_attr("alt"), F.lit("")).alias("alt"), "path", "tags",
+        "page_id", "node", "block", "block_tag", kind.alias("type"), "text", "marks", "href", "src", ((F.col("tag") == "img") & I.is_small(attrs)).alias("small"), F.nullif(_attr("alt"), F.lit("")).alias("alt"), "path", "tags",
     )
 
 
@@ -225,13 +240,15 @@ def blocks(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     item = F.struct("node", "type", "text", "marks", "href", "src", "alt")
     df = runs.groupBy("page_id", "block", "part").agg(
         F.min("node").alias("ordinal"), F.first("block_tag").alias("tag"), F.array_sort(F.collect_list(item)).alias("runs"), F.first(depth).alias("depth"),
-        F.first(lists).alias("list"), F.bool_or(F.col("type") == "rule").alias("rule"), F.bool_or(F.col("type") == "image").alias("image"),
+        F.first(lists).alias("list"), F.bool_or(F.col("type") == "rule").alias("rule"), F.bool_or((F.col("type") == "image") & ~F.col("small")).alias("image"),
         F.bool_or(F.col("type") == "embed").alias("embed"), F.bool_or(_has(F.col("tags"), ["pre"])).alias("pre"), F.bool_or(_has(F.col("tags"), ["blockquote"])).alias("quoted"),
         F.first(F.when(_has(F.col("tags"), ["table"]), _nearest(["table"])["node"])).alias("table"), F.first(F.when(_has(F.col("tags"), ["tr"]), _nearest(["tr"])["node"])).alias("row"),
     )
     raw = F.array_join(F.transform("runs", lambda x: F.when(x["type"] == "text", x["text"]).when(x["type"] == "break", "\n").otherwise("")), "")
     flat = F.regexp_replace(F.regexp_replace(raw, r"[\t\f\r ]*\n[\t\f\r ]*", "\n"), r"[\t\f\r ]+", " ")
     text = F.when(F.col("pre"), F.regexp_replace(raw, r"^\n|\s+$", "")).otherwise(T.trim_space(F.regexp_replace(flat, r"\n+", " ")))
+    shown_chars = lambda keep: F.aggregate(F.filter("runs", lambda x: (x["type"] == "text") & keep(x)), F.lit(0), lambda n, x: n + F.length(F.trim(x["text"])))
+    share = F.coalesce(F.try_divide(shown_chars(lambda x: x["href"].isNotNull()), shown_chars(lambda x: F.lit(True))), F.lit(0.0))
     types = F.create_map(*[F.lit(v) for k, x in _TYPES.items() for v in (k, x)])
     kind = F.when(F.col("rule"), "rule").when(F.col("pre"), "code").when(F.col("embed"), "embed").otherwise(F.coalesce(F.try_element_at(types, "tag"), F.when(F.col("quoted"), "quote"), F.lit("paragraph")))
     kind = F.when((kind == "paragraph") & F.col("image") & (text == ""), "figure").otherwise(kind)
@@ -245,7 +262,7 @@ def blocks(runs: DataFrame, nodes: DataFrame) -> DataFrame:
     level = F.when(kind == "heading", F.substring("tag", 2, 1).cast("int"))
     indent = F.repeat(F.lit("  "), F.greatest(F.lit(0), F.col("depth") - 1))
     fence = F.when(F.contains("body", F.lit("```")), "~~~").otherwise("```")
-    df = df.withColumn("body", text).select("page_id", "ordinal", "block", "table", "row", "list", "depth", kind.alias("type"), level.alias("level"), "body", inner.alias("inner"), language.alias("language"), fence.alias("fence"), indent.alias("indent"), "runs")
+    df = df.withColumn("body", text).select("page_id", "ordinal", "block", "table", "row", "list", "depth", kind.alias("type"), level.alias("level"), "body", inner.alias("inner"), language.alias("language"), fence.alias("fence"), indent.alias("indent"), share.alias("link_share"), "runs")
     markdown = (
         F.when(F.col("type") == "heading", F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), "inner"))
         .when(F.col("type") == "list", F.concat("indent", F.when(F.col("list") == "ol", "1. ").otherwise("- "), F.replace("inner", F.lit("\\\n"), F.concat(F.lit("\\\n"), "indent", F.lit("  ")))))
@@ -254,7 +271,7 @@ def blocks(runs: DataFrame, nodes: DataFrame) -> DataFrame:
         .when(F.col("type") == "embed", F.concat(F.lit("<"), F.filter("runs", lambda r: r["type"] == "embed")[0]["src"], F.lit(">"))).otherwise(F.regexp_replace("inner", r"^([#>+-]|\d+[.)])(\s)", r"\\$1$2"))
     )
     out = df.withColumn("markdown", markdown).where((F.col("body") != "") | F.col("type").isin("rule", "figure", "embed"))
-    return out.select("page_id", "ordinal", "type", "level", F.col("body").alias("text"), "markdown", (F.col("list") == "ol").alias("ordered"), "depth", "language", "table", "row")
+    return out.select("page_id", "ordinal", "type", "level", F.col("body").alias("text"), "markdown", (F.col("list") == "ol").alias("ordered"), "depth", "language", "table", "row", "link_share")
 
 
 def tables(block_rows: DataFrame) -> DataFrame:
@@ -266,13 +283,22 @@ def tables(block_rows: DataFrame) -> DataFrame:
 
 
 def tidy(block_rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """Blocks without the title repeated as a heading, lines of dates alone, and paragraphs said twice in a row."""
+    """Blocks without the title repeated as a heading, lines of dates alone, and paragraphs said twice in a row.
+
+    Paragraphs that only lead to other pages go, pitches among the first three
+    and last three blocks, and contacts among the last three.
+    """
     order = Window.partitionBy("page_id").orderBy("ordinal")
-    df = block_rows.join(meta.select("page_id", "title"), "page_id").withColumn("place", F.row_number().over(order)).withColumn("before", F.lag("text").over(order))
+    df = block_rows.join(meta.select("page_id", "title"), "page_id").withColumn("place", F.row_number().over(order)).withColumn("before", F.lag("text").over(order)).withColumn("left", F.count(F.lit(1)).over(Window.partitionBy("page_id")) - F.col("place"))
     title = (F.col("place") <= 3) & F.col("type").isin("heading", "paragraph") & (T.comparable("text") == T.comparable("title"))
     twice = (F.length("text") >= 40) & (F.col("text") == F.col("before"))
     dated = (F.col("place") <= 6) & (F.col("type") == "paragraph") & D.is_date_line("text")
-    return df.where(~F.coalesce(title, F.lit(False)) & ~F.coalesce(twice, F.lit(False)) & ~F.coalesce(dated, F.lit(False))).drop("title", "before", "place")
+    plain, text = F.col("type") == "paragraph", F.col("text")
+    pointer = plain & N.is_pointer(text, F.col("link_share"))
+    pitch = ((F.col("place") <= 3) | (F.col("left") < 3)) & F.col("type").isin("paragraph", "list") & N.is_pitch(text)
+    contact = (F.col("left") < 3) & plain & N.is_contact(text)
+    bad = [title, twice, dated, pointer, pitch, contact]
+    return df.where(~F.greatest(*[F.coalesce(b, F.lit(False)) for b in bad])).drop("title", "before", "place", "left")
 
 
 def articles(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -290,7 +316,7 @@ def articles(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     poor = meta.where(F.length("ld_body") > 500).join(size, "page_id", "left").where(F.coalesce("chars", F.lit(0)) < 0.3 * F.length("ld_body")).select("page_id", "ld_body")
     told = poor.select("page_id", F.posexplode(F.filter(F.transform(F.split("ld_body", r"\n+"), T.collapse), lambda p: p != "")).alias("ordinal", "text"))
     told = told.select("page_id", "ordinal", F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), "text", F.col("text").alias("markdown"), F.lit(None).cast("boolean").alias("ordered"),
-        F.lit(0).alias("depth"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("int").alias("table"), F.lit(None).cast("int").alias("row"))
+        F.lit(0).alias("depth"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("int").alias("table"), F.lit(None).cast("int").alias("row"), F.lit(0.0).alias("link_share"))
     rows = rows.join(poor.select("page_id"), "page_id", "left_anti").unionByName(told)
     join = lambda c, sep: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", c))), lambda x: x[c]), sep)
     paragraphs = F.transform(F.array_sort(F.collect_list(F.when(F.col("type") == "paragraph", F.struct("ordinal", "text")))), lambda x: x["text"])

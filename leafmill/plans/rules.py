@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import dates as D
+from leafmill.functions import furniture as N
 from leafmill.functions import geometry as G
+from leafmill.functions import images as I
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
 from leafmill.operators import books as B
@@ -604,3 +606,76 @@ def comic_spread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("page")
     pages = table(spark, sf_dir, "part").select("p_brand", place, (F.col("p_size") > 44).alias("wide"))
     return B.comic_spreads(pages, "p_brand").select("p_brand", "spread", F.array_join("pages", ",").alias("pages"))
+
+
+# images, names and furniture of pages ---------------------------------------------------------------------------------
+
+
+_IMAGES = [
+    # attributes by name, and the address that is shown
+    ({"srcset": "/{n}-400.jpg 400w, /{n}-1200.jpg 1200w,/{n}-2400.jpg 2400w", "src": "/{n}.jpg"}, "/{n}-1200.jpg"),
+    ({"srcset": "/{n}-2000.jpg 2000w, /{n}-1800.jpg 1800w", "src": "/{n}.jpg"}, "/{n}-1800.jpg"),
+    ({"srcset": "/{n}-400.jpg 400w", "src": "/{n}.jpg"}, "/{n}.jpg"),
+    ({"srcset": "/{n}.jpg, /{n}@2x.jpg 2x, /{n}@3x.jpg 3x", "src": "/blank.gif"}, "/{n}@2x.jpg"),
+    ({"srcset": "/w_40,h_30/{n}.jpg 3x", "src": ""}, "/w_40,h_30/{n}.jpg"),
+    ({"src": "data:image/gif;base64,R0lGOD", "data-src": "/{n}.png"}, "/{n}.png"),
+    ({"src": "/{n}.png", "data-original": "/{n}-full.png"}, "/{n}-full.png"),
+    ({"src": "/img/placeholder-{n}.png"}, None),
+    ({"src": "/{n}.png", "srcset": "javascript:x 2x"}, "/{n}.png"),
+    ({"alt": "none"}, None),
+]
+
+
+@query("image_sources", "select p_partkey, replace(" + sql_case([v for _, v in _IMAGES], "p_partkey") + ", '{n}', p_partkey::varchar) as shown from part")
+def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The address that an image element shows, of elements spelled from every part."""
+    kinds = F.array(*[F.create_map(*[F.lit(x) for kv in a.items() for x in kv]) for a, _ in _IMAGES])
+    named = F.transform_values(F.get(kinds, (F.col("p_partkey") % len(_IMAGES)).cast("int")), lambda k, v: F.replace(v, F.lit("{n}"), F.col("p_partkey").cast("string")))
+    df = table(spark, sf_dir, "part").select("p_partkey", named.alias("attrs")).withColumn("found", I.candidates(I.source_set(F.col("attrs"))))
+    return df.select("p_partkey", I.shown(F.col("attrs"), F.col("found")).alias("shown"))
+
+
+@query(
+    "image_sizes",
+    """select p_partkey, case when p_size * 10 < 20000 then p_size * 10 end as width, p_size * 10 <= 48 or p_partkey % 4 = 1 as small, p_partkey % 4 = 2 or (p_partkey % 4 = 3 and p_size * 10 <= 160) as decorative from part""",
+)
+def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Widths, icons and chrome among image elements spelled from every part."""
+    k, size = F.col("p_partkey") % 4, (F.col("p_size") * 10).cast("string")
+    attrs = F.create_map(F.lit("width"), F.concat(size, F.when(k == 0, "px").otherwise("")), F.lit("class"), F.when(k == 1, "wp-smiley x").when(k == 2, "site-logo").otherwise("logos"), F.lit("alt"), F.when(k == 3, "Portrait of a part").otherwise("a part"))
+    df = table(spark, sf_dir, "part").select("p_partkey", attrs.alias("attrs"))
+    a, none = F.col("attrs"), F.lit(None).cast("string")
+    return df.select("p_partkey", I.dimension(a, "width").cast("int").alias("width"), I.is_small(a).alias("small"), I.is_decorative(a, none, none).alias("decorative"))
+
+
+@query(
+    "author_names",
+    """select p_partkey, case p_partkey % 4 when 0 then p_mfgr || '|' || p_type when 1 then p_type when 2 then p_name || '|' || p_type else p_type end as names
+    from (select p_partkey, 'Ann Able' as p_mfgr, p_type, 'Jo Doe' as p_name from part)""",
+)
+def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names out of bylines that are spelled from every part, in four forms."""
+    k, name = F.col("p_partkey") % 4, F.col("p_type")
+    line = (
+        F.when(k == 0, F.array(F.concat(F.lit("By  Ann Able and "), name, F.lit(" |")))).when(k == 1, F.array(name, F.lower(name), F.lit("@someone"), F.lit("Staff 2024")))
+        .when(k == 2, F.array(F.concat(F.lit("Jo Doe; "), name, F.lit(", JO DOE")))).otherwise(F.array(F.concat(F.lit("Von: "), name), F.lit("https://example.org/jo"), F.lit("Email us")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(N.author_names(line), "|").alias("names"))
+
+
+_FURNITURE = [
+    # a line, the share of its text that is linked, and what it is
+    ("Read more: {c}", 0.0, "pointer"), ("Related: {c} " + "and so on " * 14, 0.1, None), ("Related: {c} " + "and so on " * 14, 0.5, "pointer"), ("You may also like", 0.0, "pointer"), ("{c}", 0.95, "pointer"), ("{c}", 0.5, None),
+    ("Sign up for the letter of {c}.", 0.0, "pitch"), ("“Sign up for the letter,” said {c}.", 0.0, None), ("Abonnez-vous, {c}", 0.0, "pitch"), ("{c} will subscribe to " + "one thing after the other " * 12, 0.0, None),
+    ("@somebody", 0.0, "contact"), ("a.b+{k}@example.org", 0.0, "contact"), ("Follow {c} on Twitter", 0.0, "contact"), ("https://www.threads.net/x{k}", 0.0, "contact"), ("{c} wrote to a.b@example.org once", 0.0, None),
+]
+
+
+@query("page_furniture", f"select o_orderkey, {sql_case([v for *_, v in _FURNITURE], 'o_orderkey')} as kind from orders")
+def page_furniture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pointers, pitches and contacts among lines spelled from every order."""
+    line = F.replace(F.replace(pick([t for t, *_ in _FURNITURE], F.col("o_orderkey")), F.lit("{c}"), F.col("o_orderpriority")), F.lit("{k}"), F.col("o_orderkey").cast("string"))
+    share = pick([str(s) for _, s, _ in _FURNITURE], F.col("o_orderkey")).cast("double")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", line.alias("line"), share.alias("share"))
+    x = F.col("line")
+    return df.select("o_orderkey", F.when(N.is_pointer(x, F.col("share")), "pointer").when(N.is_pitch(x), "pitch").when(N.is_contact(x), "contact").alias("kind"))

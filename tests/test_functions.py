@@ -1,7 +1,9 @@
 from pyspark.sql import functions as F
 
 from leafmill.functions import dates as D
+from leafmill.functions import furniture as N
 from leafmill.functions import geometry as G
+from leafmill.functions import images as I
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
 
@@ -62,3 +64,36 @@ def test_geometry(spark):
     a, b = (G.rect(*[F.lit(float(x)) for x in v]) for v in ((0, 0, 2, 2), (1, 1, 3, 3)))
     row = spark.range(1).select(G.overlap(a, b).alias("o"), G.intersects(a, b).alias("i"), G.contains(a, b).alias("c"), G.position_of(F.lit(3.25), F.lit(10)).alias("p"), G.round_half_up(F.lit(-0.5), 0).alias("r")).first()
     assert (row.o, row.i, row.c, tuple(row.p), row.r) == (1.0, True, False, (3, 0.25, 0.325), 0.0)
+
+
+def test_images(spark):
+    found = lambda x: [tuple(c) for c in one(spark, x, lambda c: I.candidates(F.col(c)))]
+    assert found("/a,b.jpg 2x,/c.jpg 300w 200h, /d.jpg,") == [("/a,b.jpg", 0, 2.0), ("/c.jpg", 300, 1.0), ("/d.jpg", 0, 1.0)]
+    assert found(None) == found("") == found(" , ,") == found("ftp://x/y.png 2x") == []
+    best = lambda x: (one(spark, x, lambda c: I.best(I.candidates(F.col(c)))) or {"url": None})["url"]
+    assert best("/a 400w, /b 1600w, /c 1600w, /d 4000w") == "/b"
+    assert (best("/a 3000w, /b 2000w"), best("/a 3x, /b 4x"), best("/a, /b 2x, /c 3x"), best(None)) == ("/b", "/a", "/b", None)
+    size = lambda v: one(spark, v, lambda c: I.dimension(F.create_map(F.lit("width"), F.col(c)), "width"))
+    assert [size(v) for v in (" 12.5px ", "20000", "0", "50%", "9" * 30, None)] == [12, None, None, None, None, None]
+
+
+def test_furniture(spark):
+    names = lambda x: one(spark, x, lambda c: N.author_names(F.array(F.col(c))))
+    assert names("By Jo Doe, Ann Able and JO DOE |") == ["Jo Doe", "Ann Able"]
+    assert names("Von: Max Rand und Ida Land") == ["Max Rand", "Ida Land"]
+    assert names(None) in (None, []) and names("") == [] and names("x@z.org, a b c d e f g h i") == []
+    assert one(spark, "Read more: this", lambda c: N.is_pointer(F.col(c), F.lit(0.0))) is True
+    assert one(spark, "", lambda c: N.is_pointer(F.col(c), F.lit(1.0))) is False
+    assert one(spark, "Subscribe now", lambda c: N.is_pitch(F.col(c))) is True
+    assert one(spark, "a.b@example.org", lambda c: N.is_contact(F.col(c))) is True
+
+
+def test_picture_sources_and_chrome(spark):
+    from leafmill.operators import articles as A
+    from leafmill.sources.pages import page_nodes
+
+    html = """<body><article><p>Some text that stands here.</p><picture><source type="image/avif" srcset="/x.avif 800w"><source srcset="/s-700.jpg 700w, /s-900.jpg 900w"><img src="/s.jpg"></picture>
+    <img src="/logo.png" class="site-logo"><img src="/t.gif" width="1" height="1"><p>In line <img src="/e.png" width="16"> here</p></article></body>"""
+    pages = spark.createDataFrame([(1, "https://a.org/p/", html)], "page_id long, url string, html string")
+    got = A.inlines(page_nodes(pages), pages).where("type = 'image'").orderBy("node").select("src", "small").collect()
+    assert [tuple(r) for r in got] == [("https://a.org/s-900.jpg", False), ("https://a.org/e.png", True)]
