@@ -208,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     """Fits voters, label model and classifier on a bounded sample of labelled rows."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(f"not ({HELD_OUT})").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    marks = F.broadcast(marks.withColumnRenamed("doc_id", "id"))  # at most max_labelled rows
-    known = docs.join(marks, docs["doc_id"] == marks["id"]).select("doc_id", "text", "toxic")
+    marks = F.broadcast(marks)  # at most max_labelled rows
+    known = docs.select("doc_id", "text").join(marks, "doc_id")  # other columns of docs may have the marks' names
     known = cut(text_batches(known.groupBy("doc_id").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -5,14 +5,14 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import chat, decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, keys string, score double, blobs string, z string, id long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, fp long, keys string, score double, blobs string, z string, id long, toxic string, quality string, pos long, cols string, votes string"
 LONG = "some words that go on and on in a very long text\n" * 3000
 PASSAGE = "a passage of many words that is copied from one text to another and says the same thing in each of them, again and again"
 TEXTS = [(1, None), (2, ""), (3, LONG), (4, PASSAGE), (5, PASSAGE), (5, PASSAGE), (6, "x"), (None, PASSAGE), (7, "\n\n \t\n"), (8, "a\n" + PASSAGE + "\nb"), (9, "日本語 😀 ▁ \u0000 é")]
 
 
 def docs(spark, rows=TEXTS):
-    return spark.createDataFrame([(i, t, None, "s", len(t or ""), "r", 1, "k", 0.5, "b", "z", 3) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, None, "s", len(t or ""), "r", 1, "k", 0.5, "b", "z", 3, "t", "q", 1, "c", "v") for i, t in rows], SCHEMA)
 
 
 BENCH = "item_id long, text string, doc_id long"
