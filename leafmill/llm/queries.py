@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity
+from leafmill.llm import chat, decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,3 +144,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = chat.turns_as_calls(read(spark, sf_dir, "conversations"))
     return chat.format_chats(*parts, chat.REPLY_SCHEMA)
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained"))
+    rows = out.select("row.vec_id", "n", "deviation", "identity_error", "residual", each.alias("k", "v"))
+    return rows.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "v.whitened", "v.explained", "identity_error", "residual")
