@@ -47,7 +47,7 @@ def test_lobpcg_of_close_eigenvalues(dims, wanted):
 
     x, got, residual, _ = whitening.lobpcg(product, dims, min(wanted, dims))
     assert np.allclose(got, values[: len(got)], rtol=1e-12) and residual < 1e-11
-    assert np.abs(x.T @ x - np.eye(len(got))).max() < 1e-12 and max(products) <= 2 * wanted
+    assert np.abs(x.T @ x - np.eye(len(got))).max() < 1e-12 and max(products) <= 4 * wanted and len(products) < 60
 
 
 def test_edge_rows(spark):
