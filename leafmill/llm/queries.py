@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity, whitening
+from leafmill.llm import chat, collocations, decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -152,3 +152,25 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = F.posexplode(F.arrays_zip("whitened", "explained"))
     rows = out.select("row.vec_id", "n", "deviation", "identity_error", "residual", each.alias("k", "v"))
     return rows.select("vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "v.whitened", "v.explained", "identity_error", "residual")
+
+
+@query(
+    "op12_collocations",
+    r"""with d as (select coalesce(lang, 'und') as lang, row_number() over () as i, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+    p as (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from d),
+    w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as ws from p),
+    g as (select lang, m as size, unnest(list_transform(range(1, len(ws) - m + 2), lambda s: array_to_string(ws[s : s + m - 1], ' '))) as phrase from w, (values (1), (2), (3)) v(m) where len(ws) >= m),
+    f as (select lang, size, phrase, count(*) as f from g group by all),
+    n as (select lang, cast(sum(f) as bigint) as n from f where size = 1 group by lang),
+    c as (select lang, size, phrase, f as a, string_split(phrase, ' ') as ws from f where size > 1 and f >= 10),
+    k as (select *, unnest(range(1, size)) as k from c),
+    s as (select k.lang, k.phrase, k.size, k.a, k.k, l.f as l, r.f as r, 1000000 * k.a::hugeint * k.a::hugeint // (l.f::hugeint * r.f::hugeint) as score from k
+        join f l on l.lang = k.lang and l.phrase = array_to_string(ws[1 : k], ' ') join f r on r.lang = k.lang and r.phrase = array_to_string(ws[k + 1 : k.size], ' ')),
+    b as (select * from s qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    i as (select lang, phrase, max(a) as longer from (select lang, a, unnest([array_to_string(ws[1 : 2], ' '), array_to_string(ws[2 : 3], ' ')]) as phrase from c where size = 3) group by all),
+    x as (select b.* from b left join i using (lang, phrase) where coalesce(100 * longer < 50 * a, true))
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, cast(score as bigint) as score
+    from x join n using (lang) qualify rank <= 2000""",
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))

@@ -119,6 +119,15 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def single_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The groups of a sorted stream, each as a table."""
+    for table in whole_groups(batches, key):
+        keys = table[key].to_numpy()
+        edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]).tolist()
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield table.slice(a, b - a)
+
+
 def cut_by_doc(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
     """(doc, *bytes) of each document: its longs as they are; for many small groups, which compression would only slow."""
     order = np.argsort(doc, kind="stable")
