@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import chat, collocations, decontam, line_dedup, media, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity, whitening
+from leafmill.llm import chat, collocations, decontam, line_dedup, media, mixing, pii, sentence_dedup, sentencepiece, simhash, suffix_dedup, toxicity, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -174,3 +174,8 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(read(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op13_mixing")
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"))
