@@ -2,9 +2,10 @@
 
 A change is (device_id, change_id, book_id, sha256, kind, updated_at, payload as
 JSON, and ``seq``, its place of arrival). Merges whose result doesn't depend on
-arrival are aggregates; the others are folds over each key's changes in order,
-written as array aggregates over that key's sorted changes. Orders are on
-(updated_us, change_id); ids are ASCII, so byte order is theirs.
+arrival are aggregates; in the others, what a change meets is told by running
+maxima over the earlier changes of its key (``_earlier_max``), in ranges, so that
+no row or task holds a key's history. Orders are on (updated_us, change_id); ids
+are ASCII, so byte order is theirs.
 """
 
 from __future__ import annotations
@@ -162,38 +163,75 @@ def unsent_total(acknowledged: DataFrame, sessions: DataFrame) -> DataFrame:
     return acknowledged.join(gain, "book_id", "full").select("book_id", (F.coalesce("total_ms", F.lit(0)) + F.coalesce("gain", F.lit(0))).alias("total_ms"))
 
 
-def _ordered(changes: DataFrame, key: str, *columns: str) -> DataFrame:
-    """(key, log): each key's changes in the order of their arrival.
+def _ranged(changes: DataFrame) -> DataFrame:
+    """``changes`` with ``part``, the number of a range of (id, turn); a key with very many changes has several ranges."""
+    return cut(changes.repartitionByRange("id", "turn").withColumn("part", F.spark_partition_id()))
 
-    A key is one highlight, article or category: its log is as long as its
-    history, and ``turn`` makes the order total.
+
+def _earlier_max(ranged: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """``name``: the greatest ``value`` that isn't null on earlier turns of the keys.
+
+    Within a range a window finds it; the ranges before count by their maxima, of
+    which there is one row for each key and range.
     """
-    return changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("turn", "updated_us", "change_id", "updated_at", *columns))).alias("log"))
+    held = ranged.withColumn("value_", value)
+    tops = held.groupBy(*keys, "part").agg(F.max("value_").alias("top_"))
+    before = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "part", F.max("top_").over(before).alias("before_"))
+    inside = Window.partitionBy(*keys, "part").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    seen = held.withColumn("inside_", F.max("value_").over(inside)).join(tops, [*keys, "part"])
+    return seen.withColumn(name, F.greatest("before_", "inside_")).drop("value_", "inside_", "before_")
+
+
+_CLOCK = ["updated_us", "change_id"]
 
 
-def _newer(x: Column, s: Column) -> Column:
-    return (x["updated_us"] > s["updated_us"]) | ((x["updated_us"] == s["updated_us"]) & (x["change_id"] > s["change_id"]))
+def _last(changes: DataFrame, *columns: str) -> DataFrame:
+    """(id, top): each key's write with the greatest clock; of equal clocks the first to arrive."""
+    same = changes.groupBy("id", *_CLOCK).agg(F.min_by(F.struct("turn", "updated_at", *columns), "turn").alias("row"))
+    return same.groupBy("id").agg(F.max_by(F.struct("row.*", "change_id"), F.struct(*_CLOCK)).alias("top"))
+
+
+def _own_edition(changes: DataFrame) -> DataFrame:
+    """Writes for the book and edition of each highlight's first row, with ``made``, the created_at of that row."""
+    first = changes.groupBy("id").agg(F.min_by(F.struct("book_id", "sha256", "created_at"), "turn").alias("first"))
+    same = changes.join(first, "id").where((F.col("book_id") == F.col("first.book_id")) & (F.col("sha256") == F.col("first.sha256")))
+    return same.select("*", F.col("first.created_at").alias("made")).drop("first")
 
 
 def merge_highlights(changes: DataFrame) -> DataFrame:
     """Highlights by id: last write wins within the book and edition of the first row, whose created_at stays.
 
     ``changes``: id, turn, updated_us, change_id, updated_at, book_id, sha256,
-    text, color, note, created_at, deleted. ``accepted``: the turns of accepted
-    writes, from which revisions are numbered.
+    text, color, note, created_at, deleted. ``turn``: that of the last accepted
+    write; ``accepted_highlights`` has all of them. A first row without book or
+    edition (``validate`` lets none pass) leaves no highlight.
     """
-    logs = _ordered(changes, "id", "book_id", "sha256", "text", "color", "note", "created_at", "deleted")
-    first = F.col("log")[0]
-    state = F.struct(first.alias("row"), F.array(first["turn"]).alias("accepted"))
+    top = _last(_own_edition(changes), "book_id", "sha256", "text", "color", "note", "made", "deleted")
+    row = lambda c: F.col(f"top.{c}")
+    return top.select("id", row("book_id"), row("sha256"), row("text"), row("color"), row("note"), row("made").alias("created_at"), row("updated_at"), F.when(row("deleted"), row("updated_at")).alias("deleted_at"), row("change_id"), row("turn"))
+
 
-    def step(s: Column, x: Column) -> Column:
-        ok = _newer(x, s["row"]) & (x["book_id"] == s["row"]["book_id"]) & (x["sha256"] == s["row"]["sha256"])
-        kept = x.withField("created_at", s["row"]["created_at"])
-        return F.when(ok, F.struct(kept.alias("row"), F.concat(s["accepted"], F.array(x["turn"])).alias("accepted"))).otherwise(s)
+def accepted_highlights(changes: DataFrame) -> DataFrame:
+    """(id, turn) of the accepted writes of ``merge_highlights``, a row each."""
+    clock = F.struct(*_CLOCK)
+    return _earlier_max(_ranged(_own_edition(changes)), ["id"], clock, "top").where(F.col("top").isNull() | (clock > F.col("top"))).select("id", "turn")
 
-    out = logs.select("id", F.aggregate(F.slice("log", 2, F.size("log")), state, step).alias("s"))
-    return out.select("id", "s.row.book_id", "s.row.sha256", "s.row.text", "s.row.color", "s.row.note", "s.row.created_at", "s.row.updated_at",
-        F.when(F.col("s.row.deleted"), F.col("s.row.updated_at")).alias("deleted_at"), "s.row.change_id", "s.accepted")
+
+def _accepted_article_rows(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepted saves and tombstones, with ``starts`` where a save begins a life of the article; accepted moves, with ``life``, the turn of that save."""
+    clock, dead = F.struct(*_CLOCK), F.coalesce("deleted", F.lit(False))
+    is_row = F.col("kind") == "article"
+    seen = cut(_earlier_max(_ranged(changes), ["id"], F.when(is_row, clock), "top"))
+    ok = is_row & (F.col("top").isNull() | (clock > F.col("top")))
+    # the state that a change meets is that of the last accepted row before it
+    seen = cut(_earlier_max(seen.withColumn("ok", ok), ["id"], F.when(F.col("ok"), F.struct("turn", dead.alias("dead"))), "state"))
+    live = F.coalesce(~F.col("state.dead"), F.lit(False))
+    seen = seen.withColumn("starts", F.col("ok") & ~dead & ~live)
+    rows = seen.where("ok")
+    moves = _earlier_max(seen, ["id"], F.when(F.col("starts"), F.col("turn")), "life").where((F.col("kind") == "articleProgress") & live)
+    moves = _earlier_max(cut(moves), ["id", "life"], clock, "moved")
+    return rows, moves.where(F.col("moved").isNull() | (clock > F.col("moved")))
 
 
 def merge_articles(changes: DataFrame) -> DataFrame:
@@ -203,86 +241,72 @@ def merge_articles(changes: DataFrame) -> DataFrame:
     row's; a newer tombstone keeps the metadata; positions have their own clock
     and move live rows only. ``changes``: id, turn, updated_us, change_id,
     updated_at, kind (article, articleProgress), deleted, url, title, position.
+    ``accepted_articles`` has the turns of accepted writes.
     """
-    logs = _ordered(changes, "id", "kind", "deleted", "url", "title", "position")
-    row = "struct<url:string,title:string,updated_at:string,updated_us:bigint,change_id:string,deleted_at:string,position:string,position_us:bigint,position_change:string>"
-    turn = changes.schema["turn"].dataType.simpleString()
-    none = F.lit(None)
-    state = F.struct(none.cast(row).alias("row"), F.array().cast(f"array<{turn}>").alias("accepted"))
-
-    def step(s: Column, x: Column) -> Column:
-        r = s["row"]
-        save = (x["kind"] == "article") & (r.isNull() | _newer(x, r))
-        live = r.isNotNull() & r["deleted_at"].isNull()
-        keep = lambda c: F.when(live, r[c])
-        saved = F.struct(
-            F.when(x["deleted"], F.coalesce(r["url"], F.lit(""))).otherwise(x["url"]).alias("url"),
-            F.when(x["deleted"], F.coalesce(r["title"], F.lit(""))).otherwise(x["title"]).alias("title"),
-            x["updated_at"].alias("updated_at"), x["updated_us"].alias("updated_us"), x["change_id"].alias("change_id"),
-            F.when(x["deleted"], x["updated_at"]).alias("deleted_at"),
-            F.when(x["deleted"], r["position"]).otherwise(keep("position")).alias("position"),
-            F.when(x["deleted"], r["position_us"]).otherwise(keep("position_us")).alias("position_us"),
-            F.when(x["deleted"], r["position_change"]).otherwise(keep("position_change")).alias("position_change"),
-        )
-        later = r["position_us"].isNull() | (x["updated_us"] > r["position_us"]) | ((x["updated_us"] == r["position_us"]) & (x["change_id"] > r["position_change"]))
-        move = (x["kind"] == "articleProgress") & live & later
-        moved = r.withField("position", x["position"]).withField("position_us", x["updated_us"]).withField("position_change", x["change_id"])
-        accepted = F.concat(s["accepted"], F.array(x["turn"]))
-        return F.when(save, F.struct(saved.cast(row).alias("row"), accepted.alias("accepted"))).when(move, F.struct(moved.cast(row).alias("row"), accepted.alias("accepted"))).otherwise(s)
-
-    out = logs.select("id", F.aggregate("log", state, step).alias("s")).where("s.row is not null")
-    return out.select("id", "s.row.url", "s.row.title", "s.row.updated_at", "s.row.deleted_at", "s.row.position", "s.row.change_id", "s.accepted")
-
-
-def merge_categories(changes: DataFrame, accepted: bool = True) -> DataFrame:
+    rows, moves = _accepted_article_rows(changes)
+    dead = F.coalesce("deleted", F.lit(False))
+    state = rows.groupBy("id").agg(
+        F.max_by(F.struct("updated_at", "change_id", dead.alias("dead"), "turn"), "turn").alias("top"),
+        F.max_by(F.when(~dead, F.struct("url", "title")), F.when(~dead, F.col("turn"))).alias("saved"),
+        F.max(F.when(F.col("starts"), F.col("turn"))).alias("life"),
+    )
+    # the accepted moves of a life have rising clocks: the last one counts
+    places = moves.groupBy("id", "life").agg(F.max_by(F.struct("position", "turn"), "turn").alias("place"))
+    out = state.join(places, ["id", "life"], "left")
+    known = lambda c: F.when(F.col("saved").isNull(), F.lit("")).otherwise(F.when(F.col("top.dead"), F.coalesce(F.col(f"saved.{c}"), F.lit(""))).otherwise(F.col(f"saved.{c}")))
+    return out.select("id", known("url").alias("url"), known("title").alias("title"), "top.updated_at", F.when(F.col("top.dead"), F.col("top.updated_at")).alias("deleted_at"), "place.position", "top.change_id",
+        F.greatest("top.turn", "place.turn").alias("turn"))
+
+
+def accepted_articles(changes: DataFrame) -> DataFrame:
+    """(id, turn) of the accepted writes of ``merge_articles``, a row each."""
+    rows, moves = _accepted_article_rows(changes)
+    return rows.select("id", "turn").unionByName(moves.select("id", "turn"))
+
+
+def merge_categories(changes: DataFrame) -> DataFrame:
     """Categories by id: a tombstone is final, whatever its clock; live rows are last-write-wins and keep their first created_at.
 
     Aggregates that Spark combines, so no row holds a key's history: the first
     tombstone of each id, and the last write before it; of equal clocks the
     first to arrive. Clocks and change ids are never null (``validate``).
-    ``accepted=False`` leaves out the turns of accepted writes, an array as long
-    as what was accepted of the key (``accepted_categories`` has them as rows).
+    ``turn``: that of the last accepted write; ``accepted_categories`` has all.
     """
     dead = F.coalesce("deleted", F.lit(False))
     graves = changes.where(dead).groupBy("id").agg(F.min_by(F.struct("turn", "updated_at", "change_id"), "turn").alias("grave"))
     before = changes.where(~dead).join(graves.select("id", F.col("grave.turn").alias("end")), "id", "left").where("end is null or turn < end")
-    clock = ["updated_us", "change_id"]
-    same = before.groupBy("id", *clock).agg(F.min_by(F.struct("turn", "name", "color", "created_at", "updated_at"), "turn").alias("row"))
-    live = same.groupBy("id").agg(F.max_by(F.struct("row", "change_id"), F.struct(*clock)).alias("top"), F.min_by("row.created_at", "row.turn").alias("created_at"))
-    both = live.join(graves, "id", "full")
+    made = before.groupBy("id").agg(F.min_by("created_at", "turn").alias("created_at"))
+    both = _last(before, "name", "color").join(made, "id").join(graves, "id", "full")
     text = lambda c: F.when(F.col("grave").isNull(), c).otherwise(F.coalesce(c, F.lit("")))
-    last = lambda c, live: F.when(F.col("grave").isNotNull(), F.col(f"grave.{c}")).otherwise(F.col(live))
-    out = both.select("id", text(F.trim("top.row.name")).alias("name"), text(F.col("top.row.color")).alias("color"), F.coalesce("created_at", "grave.updated_at").alias("created_at"),
-        last("updated_at", "top.row.updated_at").alias("updated_at"), F.col("grave.updated_at").alias("deleted_at"), last("change_id", "top.change_id").alias("change_id"))
-    if not accepted:
-        return out
-    return out.join(accepted_categories(changes).groupBy("id").agg(F.array_sort(F.collect_list("turn")).alias("accepted")), "id")
+    last = lambda c: F.when(F.col("grave").isNotNull(), F.col(f"grave.{c}")).otherwise(F.col(f"top.{c}")).alias(c)
+    return both.select("id", text(F.trim("top.name")).alias("name"), text(F.col("top.color")).alias("color"), F.coalesce("created_at", "grave.updated_at").alias("created_at"),
+        last("updated_at"), F.col("grave.updated_at").alias("deleted_at"), last("change_id"), last("turn"))
 
 
 def accepted_categories(changes: DataFrame) -> DataFrame:
     """(id, turn) of the accepted writes of ``merge_categories``, a row each."""
-    past = Window.partitionBy("id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    dead, clock = F.coalesce("deleted", F.lit(False)), F.struct("updated_us", "change_id")
-    seen = changes.select("id", "turn", dead.alias("dead"), clock.alias("clock"), F.max(clock).over(past).alias("top"), F.max(dead).over(past).alias("over"))
-    return seen.where("top is null or not over and (dead or clock > top)").select("id", "turn")
+    dead, clock = F.coalesce("deleted", F.lit(False)), F.struct(*_CLOCK)
+    seen = cut(_earlier_max(_ranged(changes), ["id"], clock, "top"))
+    seen = _earlier_max(seen, ["id"], dead, "over")
+    return seen.where(F.col("top").isNull() | ~F.col("over") & (dead | (clock > F.col("top")))).select("id", "turn")
 
 
-def with_revisions(*states: DataFrame, after: int = 0) -> list[DataFrame]:
-    """Each state with ``rev``: the number of its last accepted write among all accepted writes of the states, in order.
+def with_revisions(*merged: tuple[DataFrame, DataFrame], after: int = 0) -> list[DataFrame]:
+    """Each state with ``rev``: the number of its last accepted write among all accepted writes, in order.
 
-    The numbers come from range partitions: each partition counts its rows, and
-    the few counts are summed before it.
+    ``merged``: a state with ``turn``, and the accepted writes it was merged
+    from. The numbers come from range partitions: each partition counts its
+    rows, and the few counts are summed before it.
     """
     all_turns = None
-    for s in states:
-        t = s.select(F.explode("accepted").alias("turn"))
+    for _, accepted in merged:
+        t = accepted.select("turn")
         all_turns = t if all_turns is None else all_turns.unionByName(t)
-    placed = all_turns.repartitionByRange("turn").sortWithinPartitions("turn").withColumn("part", F.spark_partition_id())
-    placed = placed.withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = cut(all_turns.repartitionByRange("turn").sortWithinPartitions("turn").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
     starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "start")
     revs = placed.join(F.broadcast(starts), "part").select("turn", (F.col("start") + F.col("place") + 1 + after).alias("rev"))
-    return [s.withColumn("turn", F.array_max("accepted")).join(revs, "turn").drop("turn", "accepted") for s in states]
+    return [state.join(revs, "turn").drop("turn") for state, _ in merged]
 
 
 def state_snapshot(progress: DataFrame, library: DataFrame, sessions: DataFrame) -> DataFrame:

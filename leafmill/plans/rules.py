@@ -359,7 +359,7 @@ def shared_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two tables of highlights draw their revisions from one sequence, after 1,000."""
     log = _log(spark, sf_dir).select("*", F.lit("book").alias("book_id"), F.col("event_type").alias("sha256"), F.lit("red").alias("color"), F.lit("").alias("note"), F.lit("").alias("created_at"))
     one = F.col("event_type").isin("error", "purchase")
-    a, b = L.with_revisions(L.merge_highlights(log.where(one)), L.merge_highlights(log.where(~one)), after=1000)
+    a, b = L.with_revisions(*[(L.merge_highlights(part), L.accepted_highlights(part)) for part in (log.where(one), log.where(~one))], after=1000)
     return a.select(F.lit(True).alias("first_state"), "id", "rev").unionByName(b.select(F.lit(False).alias("first_state"), "id", "rev"))
 
 

@@ -56,23 +56,28 @@ def test_articles_merge(spark):
         ("x", 4, 13, "c4", "t13", "article", True, None, None, None), ("x", 5, 20, "c5", "t20", "articleProgress", None, None, None, "p2"), ("x", 6, 12, "c6", "t12", "article", False, "u3", "stale", None),
         ("y", 7, 1, "c7", "t1", "articleProgress", None, None, None, "p"), ("z", 8, 1, "c8", "t1", "article", True, None, None, None), ("z", 9, 2, "c9", "t2", "article", False, "u", "back", None),
     ]
-    out = {r.id: r for r in L.merge_articles(log(spark, rows, "id string, seq int, updated_us long, change_id string, updated_at string, kind string, deleted boolean, url string, title string, position string")).collect()}
+    changes = log(spark, rows, "id string, seq int, updated_us long, change_id string, updated_at string, kind string, deleted boolean, url string, title string, position string")
+    out = {r.id: r for r in L.merge_articles(changes).collect()}
+    turns = sorted((r.id, r.turn.seq) for r in L.accepted_articles(changes).collect())
     assert set(out) == {"x", "z"}
-    assert (out["x"].title, out["x"].deleted_at, out["x"].position, [t.seq for t in out["x"].accepted]) == ("two", "t13", "p1", [1, 2, 3, 4])
+    assert (out["x"].title, out["x"].deleted_at, out["x"].position) == ("two", "t13", "p1")
+    assert turns == [("x", 1), ("x", 2), ("x", 3), ("x", 4), ("z", 8), ("z", 9)] and out["x"].turn.seq == 4
     assert (out["z"].title, out["z"].deleted_at) == ("back", None)
 
 
 def test_highlights_and_categories(spark):
     h = [("h", 1, 5, "a", "t5", "b1", "s", "first", "red", None, "t0", False), ("h", 2, 6, "b", "t6", "b2", "s", "moved", "red", None, "t9", False), ("h", 3, 5, "b", "t5", "b1", "s", "tie", "red", None, "t9", True)]
     schema = "id string, seq int, updated_us long, change_id string, updated_at string, book_id string, sha256 string, text string, color string, note string, created_at string, deleted boolean"
-    state = L.merge_highlights(log(spark, h, schema))
+    highlights = log(spark, h, schema)
+    state = L.merge_highlights(highlights)
     r = state.first()
     assert (r.text, r.created_at, r.deleted_at, r.book_id) == ("tie", "t0", "t5", "b1")
     c = [("c", 4, 5, "a", "t5", " n ", "red", "t1", False), ("c", 5, 1, "b", "t1", None, None, None, True), ("c", 6, 9, "c", "t9", "later", "red", "t1", False)]
-    cats = L.merge_categories(log(spark, c, "id string, seq int, updated_us long, change_id string, updated_at string, name string, color string, created_at string, deleted boolean"))
+    changes = log(spark, c, "id string, seq int, updated_us long, change_id string, updated_at string, name string, color string, created_at string, deleted boolean")
+    cats = L.merge_categories(changes)
     r = cats.first()
     assert (r.name, r.deleted_at) == ("n", "t1")
-    first, second = L.with_revisions(state, cats)
+    first, second = L.with_revisions((state, L.accepted_highlights(highlights)), (cats, L.accepted_categories(changes)))
     assert (first.first().rev, second.first().rev) == (2, 4)
 
 
@@ -214,7 +219,7 @@ def test_histories_of_a_hot_key_are_no_single_row(spark, monkeypatch):
 
         log_rows = [(rng.choice("aaabc"), i, rng.randint(0, 40), rng.choice("xy"), f"t{i}", f" n{i} ", "red", f"c{i}", rng.random() < 0.01) for i in range(300)] + [("z", 301, 1, "x", "t", None, None, None, True)]
         cats = log(spark, log_rows, "id string, seq int, updated_us long, change_id string, updated_at string, name string, color string, created_at string, deleted boolean")
-        got = {r.id: (r.name, r.color, r.created_at, r.updated_at, r.deleted_at, r.change_id) for r in L.merge_categories(cats, accepted=False).collect()}
+        got = {r.id: (r.name, r.color, r.created_at, r.updated_at, r.deleted_at, r.change_id) for r in L.merge_categories(cats).collect()}
         turns = sorted((r.id, r.turn.seq) for r in L.accepted_categories(cats).collect())
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want, accepted = {}, []
@@ -224,3 +229,39 @@ def test_histories_of_a_hot_key_are_no_single_row(spark, monkeypatch):
             accepted.append((k, seq))
             want[k] = (r[0] if r else "", r[1] if r else "", r[2] if r else at, at, at, change, None) if deleted else (name.strip(), color, r[2] if r else made, at, None, change, (us, change))
     assert got == {k: v[:6] for k, v in want.items()} and turns == sorted(accepted)
+
+
+def test_merges_of_a_hot_key_against_folds(spark, monkeypatch):
+    """200,000 changes, a third of them one key's: highlights and articles by plain folds; nothing gathers a key's rows."""
+    rng = random.Random(11)
+    ids = ["hot" if rng.random() < 0.34 else f"k{rng.randrange(400)}" for _ in range(200_000)]
+    rows = [(k, i, rng.randint(0, 500_000), rng.choice("xy"), f"t{i}", rng.choice(["article"] * 2 + ["articleProgress"] * 3), rng.random() < 0.2, f"u{i}", "t", f"p{i}", rng.choice("abb"), "s", f"c{i}") for i, k in enumerate(ids)]
+    schema = "id string, seq int, updated_us long, change_id string, updated_at string, kind string, deleted boolean, url string, title string, position string, book_id string, sha256 string, created_at string"
+    changes = log(spark, rows, schema).withColumns({"text": F.col("url"), "color": F.lit("red"), "note": F.lit(None).cast("string")}).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    with monkeypatch.context() as m:
+        for gather in ("collect_list", "collect_set"):
+            m.setattr(F, gather, None)
+        articles = {r.id: (r.url, r.change_id, r.deleted_at, r.position, r.turn.seq) for r in L.merge_articles(changes).collect()}
+        article_turns = sorted(r.turn.seq for r in L.accepted_articles(changes).collect())
+        highlights = {r.id: (r.text, r.created_at, r.deleted_at, r.turn.seq) for r in L.merge_highlights(changes).collect()}
+        highlight_turns = sorted(r.turn.seq for r in L.accepted_highlights(changes).collect())
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, turns, notes, note_turns = {}, [], {}, []
+    for k, i, us, change, at, kind, dead, url, _, position, book, _, made in rows:
+        r = want.get(k)
+        if kind == "article" and (r is None or (us, change) > r["clock"]):
+            alive = r is not None and not r["dead"]
+            place = (r["place"] if r else None) if dead or alive else None
+            want[k] = {"clock": (us, change), "dead": dead, "at": at, "url": (r["url"] if r else "") if dead else url, "place": place, "turn": i}
+            turns.append(i)
+        elif kind != "article" and r is not None and not r["dead"] and (r["place"] is None or (us, change) > r["place"][0]):
+            r["place"], r["turn"] = ((us, change), position), i
+            turns.append(i)
+        n = notes.get(k)
+        if n is None or book == n[0] and (us, change) > n[1]:
+            notes[k] = (book, (us, change), url, n[3] if n else made, at if dead else None, i)
+            note_turns.append(i)
+    assert articles == {k: (r["url"], r["clock"][1], r["at"] if r["dead"] else None, r["place"] and r["place"][1], r["turn"]) for k, r in want.items()}
+    assert highlights == {k: n[2:] for k, n in notes.items()}
+    assert article_turns == turns and highlight_turns == note_turns and ids.count("hot") > 66_000
