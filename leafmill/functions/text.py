@@ -7,9 +7,10 @@ collapses.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import LongType, StringType
 
 SPACE = r"\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 HTML_SPACE = r"\t\n\f\r "
@@ -76,7 +77,8 @@ def utf16_length(x: Column | str) -> Column:
 def count_words(x: Column | str) -> Column:
     """White-space-separated words; CJK characters split words and count half, rounded up."""
     words = F.regexp_count(_c(x), F.lit(f"[^{SPACE}{CJK}]+"))
-    return (words + F.ceil(F.regexp_count(_c(x), F.lit(f"[{CJK}]")) / 2)).cast("int")
+    # most texts have none of these, and finding that out is quicker than counting
+    return F.when(_c(x).rlike(f"[{CJK}]"), words + F.ceil(F.regexp_count(_c(x), F.lit(f"[{CJK}]")) / 2)).otherwise(words).cast("int")
 
 
 def reading_minutes(words: Column | str) -> Column:
@@ -124,10 +126,12 @@ def ngram_keys(words: Column | str, n: int) -> Column:
 
 def normalize_lines(x: Column | str) -> Column:
     """Lines without zero-width characters, collapsed and trimmed, empty ones dropped."""
-    clean = F.regexp_replace(_c(x), f"[{ZERO_WIDTH}]", "")
-    lines = F.split(clean, r"\r\n|[\n\r\x{2028}\x{2029}]")
-    lines = F.transform(lines, lambda s: trim_space(F.regexp_replace(s, f"[{SPACE}]+", " ")))
-    return F.array_join(F.filter(lines, lambda s: F.length(s) > 0), "\n")
+    clean = F.when(_c(x).rlike(f"[{ZERO_WIDTH}]"), F.regexp_replace(_c(x), f"[{ZERO_WIDTH}]", "")).otherwise(_c(x))
+    # white space within lines at once, before the lines are told apart; what isn't a single space already is rare
+    inner = rf"{SPACE}&&[^\n\r\x{{2028}}\x{{2029}}]"
+    flat = F.regexp_replace(clean, rf"[{inner}&&[^ ]][{inner}]*| [{inner}]+", " ")
+    lines = F.transform(F.split(flat, r"\r\n|[\n\r\x{2028}\x{2029}]"), F.trim)
+    return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
 def fold_typography(x: Column | str) -> Column:
@@ -209,9 +213,25 @@ def title_from_file_name(x: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(base, r"\.[^.]+$", ""), "_+", " "))
 
 
+def decode_numeric(x: Column | str) -> Column:
+    """Numeric entities, decimal or hex, as their characters; numbers that are no character stay as they are."""
+
+    def one(part: Column) -> Column:
+        """A piece that began with ``&#``."""
+        digits = F.regexp_extract(part, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
+        number = F.when(F.lower(F.left(digits, F.lit(1))) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(digits).try_cast("int")
+        fits = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        # the four bytes of UTF-32 say the character
+        char = F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32")
+        return F.when((digits != "") & fits, F.concat(char, F.substring(part, F.length(digits) + 2, F.length(part)))).otherwise(F.concat(F.lit("&#"), part))
+
+    pieces = F.split(_c(x), "&#", -1)
+    return F.when(F.contains(_c(x), F.lit("&#")), F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), one), ""))).otherwise(_c(x))
+
+
 def decode_entities(x: Column | str) -> Column:
-    """The five XML entities and the no-break space; numeric ones are decoded by ``decode_numeric``."""
-    s = _c(x)
+    """The five XML entities and the no-break space, and numeric entities."""
+    s = decode_numeric(x)
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", "\u00a0"), ("amp", "&")):
         s = F.replace(s, F.lit(f"&{name};"), F.lit(char))
     return s
@@ -236,11 +256,69 @@ def format_bytes(x: Column | str) -> Column:
     )
 
 
-def edit_accuracy(a: Column | str, b: Column | str, limit: int = 20_000) -> Column:
-    """1 - Levenshtein / longer length; null beyond ``limit`` characters, where it would be quadratic."""
+def edit_distance(a: str, b: str, near: int = 200) -> int:
+    """Levenshtein distance of texts of any length.
+
+    Up to ``near`` edits by furthest reaching diagonals, which take as many steps
+    as the square of the edits; beyond that a bit for each character of the
+    shorter text in one whole number, a step for each of the longer.
+    """
+    if len(a) > len(b):
+        a, b = b, a
+    m, n = len(a), len(b)
+
+    def alike(i: int, j: int) -> int:
+        """How far both texts agree from i and j on: pieces that double while they are equal, then halve."""
+        start, step = i, 64
+        while step:
+            if i + step <= m and j + step <= n and a[i : i + step] == b[j : j + step]:
+                i, j, step = i + step, j + step, step * 2
+            else:
+                step //= 2
+        return i - start
+
+    reach = {0: alike(0, 0)}
+    for edits in range(near + 1):
+        if edits:
+            wider = {}
+            for d in range(-edits, edits + 1):  # d: how much further along b than along a
+                i = max(reach.get(d, -2) + 1, reach.get(d + 1, -2) + 1, reach.get(d - 1, -2))
+                if 0 <= i <= m and i + d <= n:
+                    wider[d] = i + alike(i, i + d)
+                elif i > m and m + d <= n:
+                    wider[d] = m
+            reach = wider
+        if reach.get(n - m, -1) >= m:
+            return edits
+    if not m:
+        return n
+    place: dict[str, int] = {}
+    for i, c in enumerate(a):
+        place[c] = place.get(c, 0) | 1 << i
+    whole, last = (1 << m) - 1, 1 << m - 1
+    more, less, score = whole, 0, m
+    for c in b:
+        eq = place.get(c, 0)
+        down = (((eq & more) + more) ^ more) | eq | less
+        up, fall = less | ~(down | more) & whole, more & down
+        score += bool(up & last) - bool(fall & last)
+        up, fall = (up << 1 | 1) & whole, fall << 1 & whole
+        more, less = fall | ~(down | up) & whole, up & down
+    return score
+
+
+@F.pandas_udf(LongType())
+def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def edit_accuracy(a: Column | str, b: Column | str, short: int = 2_000) -> Column:
+    """1 - Levenshtein / longer length, of texts of any length; beyond ``short`` characters the distance is worked out in Arrow batches, by bits."""
     a, b = _c(a), _c(b)
     longest = F.greatest(F.length(a), F.length(b))
-    return F.when(longest == 0, 1.0).when(longest <= limit, 1 - F.levenshtein(a, b) / longest)
+    far = longest > short
+    distance = F.when(far, _long_distance(F.when(far, a), F.when(far, b))).otherwise(F.levenshtein(a, b))
+    return F.when(longest == 0, 1.0).otherwise(1 - distance / longest)
 
 
 def fragment_coverage(x: Column | str, text: Column | str, width: int = 32) -> Column:

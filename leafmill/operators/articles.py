@@ -25,7 +25,7 @@ UNLIKELY = (
 )
 LIKELY = r"(?i)(?:^|[\s_-])(?:article\w*|blog|body|column|content|entry|main|page|post|story|text)(?:$|[\s_-])"
 NO_CONTENT_TAGS = "nav footer aside form dialog menu".split()
-NO_CONTENT_ROLES = "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search".split()
+NO_CONTENT_ROLES = "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search tooltip".split()
 TAG_SCORES = {"div": 5, "article": 10, "main": 8, "section": 2, "pre": 3, "td": 3, "blockquote": 3, "ol": -3, "ul": -3, "dl": -3, "form": -3, "th": -5}
 LEAVES = "p pre td blockquote li h1 h2 h3 h4 h5 h6 dd figcaption".split()
 MARKS = {"strong": "bold", "b": "bold", "em": "italic", "i": "italic", "code": "code", "kbd": "code", "samp": "code", "sub": "sub", "sup": "sup", "s": "strike", "del": "strike", "u": "underline", "mark": "highlight", "a": "link"}
@@ -339,9 +339,13 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def store_bodies(article_rows: DataFrame, path: str) -> DataFrame:
-    """Writes each distinct article body once, by its SHA-256; returns (page_id, body_sha256, body_size) of bodies of at most 4 MB."""
+    """Writes each distinct article body of at most 4 MB once, by its SHA-256; returns (page_id, body_sha256, body_size, status).
+
+    A larger body isn't stored, by the store's rule; its row says ``too large``.
+    """
     body = F.to_json(F.struct("schema", "title", "text", "markdown"))
-    rows = article_rows.select("page_id", body.alias("body")).select("page_id", "body", F.sha2("body", 256).alias("body_sha256"), F.octet_length("body").alias("body_size")).where("body_size <= 4194304")
-    once = rows.groupBy("body_sha256").agg(F.first("body").alias("body"))
+    rows = article_rows.select("page_id", body.alias("body")).select("page_id", "body", F.sha2("body", 256).alias("body_sha256"), F.octet_length("body").alias("body_size"))
+    rows = rows.withColumn("status", F.when(F.col("body_size") <= 4194304, "stored").otherwise("too large"))
+    once = rows.where("status = 'stored'").groupBy("body_sha256").agg(F.first("body").alias("body"))
     once.write.option("compression", "gzip").mode("append").parquet(path)
-    return rows.select("page_id", "body_sha256", "body_size")
+    return rows.select("page_id", "body_sha256", "body_size", "status")

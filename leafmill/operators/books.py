@@ -52,8 +52,8 @@ def archive_entries(files: DataFrame, key: str = "path", content: str = "content
     return files.select(F.col(key).alias("k"), F.col(content).alias("c")).mapInPandas(run, f"k {kind}, name string, size long, packed long, crc long, place long, status string").withColumnRenamed("k", key)
 
 
-def archive_texts(files: DataFrame, key: str = "path", content: str = "content", endings: tuple[str, ...] = (".xml", ".opf", ".ncx", ".xhtml", ".html", ".htm"), limit: int = 16 << 20) -> DataFrame:
-    """(key, name, text): the text entries of every ZIP file; an entry beyond ``limit`` bytes is left out."""
+def archive_texts(files: DataFrame, key: str = "path", content: str = "content", endings: tuple[str, ...] = (".xml", ".opf", ".ncx", ".xhtml", ".html", ".htm")) -> DataFrame:
+    """(key, name, text): the text entries of every ZIP file, each whole; encrypted entries and broken files give none (``archive_entries`` has their status)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,7 +62,7 @@ def archive_texts(files: DataFrame, key: str = "path", content: str = "content",
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as z:
                         for e in z.infolist():
-                            if e.filename.lower().endswith(endings) and e.file_size <= limit and not e.flag_bits & 1:
+                            if e.filename.lower().endswith(endings) and not e.flag_bits & 1:
                                 out.append((k, e.filename, z.read(e).decode("utf-8-sig", "replace")))
                 except (zipfile.BadZipFile, ValueError, TypeError, NotImplementedError):
                     pass
@@ -200,24 +200,19 @@ def comic_pages(entries: DataFrame, key: str = "path") -> DataFrame:
 
 
 def comic_spreads(pages: DataFrame, key: str = "path") -> DataFrame:
-    """(key, spread, pages): the cover alone, wide pages alone, others two by two; a comic's pages are folded in order."""
-    books = pages.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("page", "wide"))).alias("p"))
-    start = F.struct(F.array().cast("array<array<int>>").alias("done"), F.array().cast("array<int>").alias("open"))
-
-    def step(a: Column, x: Column) -> Column:
-        page = F.array(x["page"].cast("int"))
-        closed = F.when(F.size(a["open"]) > 0, F.concat(a["done"], F.array(a["open"]))).otherwise(a["done"])
-        none = F.array().cast("array<int>")
-        alone = (x["page"] == 0) | x["wide"]
-        return (
-            F.when(alone, F.struct(F.concat(closed, F.array(page)).alias("done"), none.alias("open")))
-            .when(F.size(a["open"]) == 1, F.struct(F.concat(a["done"], F.array(F.concat(a["open"], page))).alias("done"), none.alias("open")))
-            .otherwise(F.struct(a["done"].alias("done"), page.alias("open")))
-        )
-
-    s = F.aggregate("p", start, step)
-    all_spreads = F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-    return books.select(key, F.posexplode(all_spreads).alias("spread", "pages"))
+    """(key, spread, pages): the cover alone, wide pages alone, others two by two in their order.
+
+    ``pages``: key, page from 0, wide. Pages between two that stand alone are
+    counted from the first of them; each even one opens a spread.
+    """
+    order = Window.partitionBy(key).orderBy("page")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    alone = (F.col("page") == 0) | F.coalesce("wide", F.lit(False))
+    df = pages.select(key, "page", alone.alias("alone"), F.row_number().over(order).alias("at"))
+    df = df.withColumn("since", F.col("at") - F.coalesce(F.max(F.when(F.col("alone"), F.col("at"))).over(so_far), F.lit(0)))
+    opens = F.col("alone") | (F.col("since") % 2 == 1)
+    df = df.withColumn("spread", (F.sum(opens.cast("int")).over(so_far) - 1).cast("int"))
+    return df.groupBy(key, "spread").agg(F.array_sort(F.collect_list(F.col("page").cast("int"))).alias("pages"))  # two at most
 
 
 def plan_segments(df: DataFrame, size: str) -> DataFrame:
@@ -247,16 +242,26 @@ def parse_range(header: Column | str, size: Column | str) -> Column:
     return F.when(a.isNull() & (b > 0), suffix).when((a < n) & (F.coalesce(b, n - 1) >= a), plain)
 
 
+def _quoted(x: Column) -> Column:
+    """A pattern of exactly ``x``: an end of a quotation inside it is spelled out."""
+    return F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+
+
+def _places(df: DataFrame, body: Column, look: Column, rows: list[str]) -> DataFrame:
+    """``df`` with ``start``, a row for each place of ``look`` in ``body`` that doesn't overlap the one before; ``rows`` tell the rows of ``df`` apart."""
+    pieces = F.transform(F.split(body, _quoted(look), -1), lambda p: F.length(p))
+    cut_up = df.select("*", F.length(look).alias("_n"), F.posexplode(pieces).alias("_at", "_length"))
+    before = Window.partitionBy(*rows).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = cut_up.withColumn("start", (F.sum("_length").over(before) + F.col("_at") * F.col("_n")).cast("int"))
+    # the last piece ends with the text, not with a place
+    return found.withColumn("_last", F.lead("_at").over(Window.partitionBy(*rows).orderBy("_at")).isNull()).where(~F.col("_last")).drop("_at", "_length", "_n", "_last")
+
+
 def find_in_texts(texts: DataFrame, needle: str, keys: list[str], text: str = "text", context: int = 60) -> DataFrame:
     """(keys, start, before, hit, after, progression): every place of ``needle``, ignoring case, with text around it."""
     low, n = needle.lower(), len(needle)
-    t = F.col(text)
-    parts = F.split(F.lower(t), F.concat(F.lit("\\Q"), F.lit(low), F.lit("\\E")))
-    ends = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<int>"),
-        lambda a, p: F.concat(a, F.array(F.when(F.size(a) == 0, F.length(p)).otherwise(F.element_at(a, F.greatest(F.lit(1), F.size(a))) + n + F.length(p)))),
-    )
-    found = texts.where(F.contains(F.lower(t), F.lit(low))).select(*keys, t.alias("t"), F.explode(ends).alias("start"))
+    rows = texts.where(F.contains(F.lower(F.col(text)), F.lit(low))).select(*keys, F.col(text).alias("t")).withColumn("_row", F.monotonically_increasing_id())
+    found = _places(rows, F.lower("t"), F.lit(low), ["_row"]).drop("_row")
     return found.select(
         *keys, "start", F.substr("t", F.greatest(F.lit(1), F.col("start") + 1 - context), F.least(F.lit(context), F.col("start"))).alias("before"),
         F.substr("t", F.col("start") + 1, F.lit(n)).alias("hit"), F.substr("t", F.col("start") + 1 + n, F.lit(context)).alias("after"),
@@ -279,13 +284,7 @@ def anchor_quotes(quotes: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     look = F.when(F.col("how") == "exact", q).when(F.col("how") == "lower", F.lower(q)).otherwise(head)
     body = F.when(F.col("how") == "lower", F.lower(t)).otherwise(t)
     df = df.withColumn("look", look).withColumn("body", body)
-    parts = F.split("body", F.concat(F.lit("\\Q"), "look", F.lit("\\E")))
-    n = F.length("look")
-    starts = F.aggregate(
-        F.slice(parts, 1, F.size(parts) - 1), F.array().cast("array<int>"),
-        lambda a, p: F.concat(a, F.array(F.when(F.size(a) == 0, F.length(p)).otherwise(F.element_at(a, F.greatest(F.lit(1), F.size(a))) + n + F.length(p)))),
-    )
-    df = df.withColumn("start", F.explode(starts))
+    df = _places(df.withColumn("_row", F.monotonically_increasing_id()), F.col("body"), F.col("look"), ["_row"])
     same = (F.substr("text", F.greatest(F.lit(1), F.col("start") + 1 - F.length("before")), F.least(F.length("before"), F.col("start"))) == F.col("before")).cast("int")
     far = F.abs(F.col("start") / F.greatest(F.lit(1), F.length("text")) - F.coalesce("hint", F.lit(0.0)))
     end = F.when(F.col("how") == "ends", F.col("start") + F.instr(F.substr("text", F.col("start") + 1), tail) - 1 + F.length(tail)).otherwise(F.col("start") + F.length("look"))

@@ -109,6 +109,16 @@ def union_keep_first(lists: Column | str) -> Column:
     return F.filter(x, lambda s, i: F.array_position(seen, F.lower(s)) == i + 1)
 
 
+def union_names(df: DataFrame, key: str, name: str, order: str) -> DataFrame:
+    """(key, names): the distinct names of each key, ignoring case and outer space, as first written by ``order``.
+
+    A name is one row before a key's names are put together, however often it stands.
+    """
+    plain = df.select(key, F.trim(name).alias("n_"), F.col(order).alias("o_")).where("n_ <> ''")
+    once = plain.groupBy(key, F.lower("n_").alias("folded_")).agg(F.min(F.struct("o_", "n_")).alias("first_"))
+    return once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("first_")), lambda s: s["n_"]).alias("names"))
+
+
 def highlights_by_edition(highlights: DataFrame, library: DataFrame) -> DataFrame:
     """Live highlights of the editions at hand (by sha256), in reading order: (key, id, position, created_at, place)."""
     live = highlights.where("deleted_at is null")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.dates import iso_micros
-from leafmill.session import cut
+from leafmill.session import cut, numbered
 
 #: Sizes and shapes that a change must keep to.
 KINDS = "progress session preferences library highlight article articleProgress category categoryItem".split()
@@ -295,17 +295,13 @@ def with_revisions(*merged: tuple[DataFrame, DataFrame], after: int = 0) -> list
     """Each state with ``rev``: the number of its last accepted write among all accepted writes, in order.
 
     ``merged``: a state with ``turn``, and the accepted writes it was merged
-    from. The numbers come from range partitions: each partition counts its
-    rows, and the few counts are summed before it.
+    from.
     """
     all_turns = None
     for _, accepted in merged:
         t = accepted.select("turn")
         all_turns = t if all_turns is None else all_turns.unionByName(t)
-    placed = cut(all_turns.repartitionByRange("turn").sortWithinPartitions("turn").withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # one row a partition
-    starts = sizes.withColumn("start", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "start")
-    revs = placed.join(F.broadcast(starts), "part").select("turn", (F.col("start") + F.col("place") + 1 + after).alias("rev"))
+    revs = numbered(all_turns, "rev", "turn").select("turn", (F.col("rev") + after).alias("rev"))
     return [state.join(revs, "turn").drop("turn") for state, _ in merged]
 
 

@@ -7,9 +7,12 @@ neither a text nor a shingle is ever collected.
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -159,13 +162,32 @@ def counter_f1(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
 
 
 def uncovered_lines(df: DataFrame, key: str, text: str, other: str, n: int = 4) -> DataFrame:
-    """(key, line_no, line, hit, total): lines of six tokens or more of which fewer than half the n-grams are in the other text."""
-    lines = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("words", T.tokens("line")).where(F.size("words") >= 6)
-    grams = lines.select(key, "line_no", F.explode(T.ngram_keys("words", n)).alias("shingle"))
-    there = shingle_counts(df, key, other, n).select(key, "shingle", F.lit(1).alias("there"))
-    hits = grams.join(there, [key, "shingle"], "left").groupBy(key, "line_no").agg(F.count("there").alias("hit"), F.count(F.lit(1)).alias("total"))
-    return hits.where(F.col("hit") < F.col("total") * 0.5).join(lines.select(key, "line_no", "line"), [key, "line_no"])
+    """(key, line_no, line, hit, total): lines of six tokens or more of which fewer than half the n-grams are in the other text.
+
+    Both texts stand in one row, so nothing is shuffled; membership in a set has
+    no column function that isn't a scan, hence Arrow batches.
+    """
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(r"\w+").findall
+        for batch in batches:
+            out: list[tuple] = []
+            for k, mine, theirs in zip(*(batch[i].to_pylist() for i in range(3)), strict=True):
+                words = find(theirs or "")
+                there = set(zip(*(words[i:] for i in range(n)), strict=False))
+                for line_no, line in enumerate((mine or "").split("\n")):
+                    words = find(line)
+                    if len(words) >= 6:
+                        grams = list(zip(*(words[i:] for i in range(n)), strict=False))
+                        hit = sum(map(there.__contains__, grams))
+                        if hit < len(grams) * 0.5:
+                            out.append((k, line_no, line, hit, len(grams)))
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (batch.schema.field(0).type, pa.int32(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["k", "line_no", "line", "hit", "total"])
+
+    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("mine"), F.col(other).cast("string").alias("theirs"))
+    return rows.mapInArrow(run, f"k {kind}, line_no int, line string, hit long, total long").withColumnRenamed("k", key)
 
 
 def latency_buckets(df: DataFrame, size: str, millis: str, *by: str) -> DataFrame:

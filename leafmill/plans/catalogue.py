@@ -15,7 +15,7 @@ from leafmill.operators import books as B
 from leafmill.operators import catalogs as C
 from leafmill.operators import changelog as L
 from leafmill.operators import scoring as S
-from leafmill.session import cut, table
+from leafmill.session import cut, spread, table
 from leafmill.sources.pages import page_nodes
 from leafmill.streaming import merge
 
@@ -96,7 +96,7 @@ def page_article_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, cast(w + ceil(k / 2) as int) as words, cast(greatest(1, ceil((w + ceil(k / 2)) / 230)) as int) as minutes from c""",
 )
 def doc_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", T.count_words("text").alias("words"))
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.count_words("text").alias("words"))
     return df.withColumn("minutes", T.reading_minutes("words"))
 
 
@@ -118,7 +118,7 @@ def doc_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, cast(len(l) as int) as lines, md5(array_to_string(l, chr(10))) as digest from l""",
 )
 def doc_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "documents").select("doc_id", T.normalize_lines("text").alias("t"))
+    df = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", T.normalize_lines("text").alias("t"))
     lines = F.when(F.col("t") == "", 0).otherwise(F.size(F.split("t", "\n")))
     return df.select("doc_id", lines.alias("lines"), F.md5("t").alias("digest"))
 
@@ -175,7 +175,7 @@ def shingle_scores_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     select doc_id, cast(line_no as int) as line_no, hit, total, md5(line) as digest from h join w using (doc_id, line_no) where hit < total * 0.5""",
 )
 def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.expr("substr(text, 1, length(text) div 2)").alias("half"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.expr("substr(text, 1, length(text) div 2)").alias("half"))
     return S.uncovered_lines(docs, "doc_id", "text", "half").select("doc_id", "line_no", "hit", "total", F.md5("line").alias("digest"))
 
 
@@ -465,15 +465,15 @@ def category_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "outcome_changes",
-    r"""with a as (select o_orderkey, o_orderstatus as v from orders where o_orderkey % 5 <> 0), b as (select o_orderkey, case when o_orderkey % 7 = 0 then 'X' else o_orderstatus end as v from orders where o_orderkey % 11 <> 0)
-    select coalesce(a.o_orderkey, b.o_orderkey) as o_orderkey, case when b.o_orderkey is null then 'missing' when a.o_orderkey is null then 'extra' else 'changed' end as change
-    from a full join b on a.o_orderkey = b.o_orderkey where b.o_orderkey is null or a.o_orderkey is null or a.v is distinct from b.v""",
+    r"""with a as (select l_orderkey, max(l_returnflag) as v from lineitem where l_linestatus = 'F' group by l_orderkey), b as (select l_orderkey, max(l_returnflag) as v from lineitem where l_linestatus = 'O' group by l_orderkey)
+    select coalesce(a.l_orderkey, b.l_orderkey) as l_orderkey, case when b.l_orderkey is null then 'missing' when a.l_orderkey is null then 'extra' else 'changed' end as change
+    from a full join b on a.l_orderkey = b.l_orderkey where b.l_orderkey is null or a.l_orderkey is null or a.v is distinct from b.v""",
 )
 def outcome_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
-    a = orders.where(k % 5 != 0).select("o_orderkey", F.col("o_orderstatus").alias("v"))
-    b = orders.where(k % 11 != 0).select("o_orderkey", F.when(k % 7 == 0, "X").otherwise(F.col("o_orderstatus")).alias("v"))
-    return S.outcome_changes(a, b, ["o_orderkey"], "v")
+    """Orders by their finished lines against orders by their open ones."""
+    lines = table(spark, sf_dir, "lineitem")
+    run = lambda status: lines.where(F.col("l_linestatus") == status).groupBy("l_orderkey").agg(F.max("l_returnflag").alias("v"))
+    return S.outcome_changes(run("F"), run("O"), ["l_orderkey"], "v")
 
 
 @query(
@@ -554,14 +554,14 @@ def library_in_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "outbox",
-    r"""with c as (select c_custkey as id, c_acctbal as stamp from customer where c_custkey % 13 <> 0), s as (select c_custkey as id, case when c_custkey % 10 = 0 then -1.0 else c_acctbal end as stamp from customer where c_custkey % 17 <> 0)
+    r"""with c as (select o_custkey as id, max(o_orderpriority) as stamp from orders where o_orderstatus = 'O' group by 1), s as (select o_custkey as id, max(o_orderpriority) as stamp from orders where o_orderstatus = 'F' group by 1)
     select coalesce(c.id, s.id) as id, c.id is null as removed from c full join s on c.id = s.id where c.id is null or s.id is null or c.stamp is distinct from s.stamp""",
 )
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
-    current = c.where(k % 13 != 0).select(k.alias("id"), F.col("c_acctbal").alias("stamp"))
-    seen = c.where(k % 17 != 0).select(k.alias("id"), F.when(k % 10 == 0, -1.0).otherwise(F.col("c_acctbal")).alias("stamp"))
-    return L.outbox(current, seen, ["id"]).select("id", "removed")
+    """Customers' open orders against the finished ones as what was sent last."""
+    orders = table(spark, sf_dir, "orders")
+    stamps = lambda status: orders.where(F.col("o_orderstatus") == status).groupBy(F.col("o_custkey").alias("id")).agg(F.max("o_orderpriority").alias("stamp"))
+    return L.outbox(stamps("O"), stamps("F"), ["id"]).select("id", "removed")
 
 
 #: First bytes of eight kinds of files, in hex, and the kind that each is.

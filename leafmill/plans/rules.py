@@ -22,7 +22,7 @@ from leafmill.operators import changelog as L
 from leafmill.operators import matching as M
 from leafmill.operators import scoring as S
 from leafmill.plans.catalogue import query
-from leafmill.session import table
+from leafmill.session import numbered, table
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -427,8 +427,8 @@ def author_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The types of each brand in one list, in three spellings; each counts once, as first written."""
     k = F.col("p_partkey") % 3
     name = F.when(k == 0, F.upper("p_type")).when(k == 1, F.concat(F.lit(" "), "p_type")).otherwise(F.col("p_type"))
-    lists = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", name.alias("n")))), lambda s: s["n"]).alias("names"))
-    return lists.select("p_brand", F.array_join(C.union_keep_first("names"), ";").alias("names"))
+    names = C.union_names(table(spark, sf_dir, "part").select("p_brand", "p_partkey", name.alias("name")), "p_brand", "name", "p_partkey")
+    return names.select("p_brand", F.array_join("names", ";").alias("names"))
 
 
 @query(
@@ -447,7 +447,7 @@ def highlight_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("library_downloaded", "select p_partkey as key, cast(row_number() over (order by p_retailprice desc, p_partkey) as int) as place from part where p_size > 25")
 def library_downloaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     library = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.col("p_retailprice").alias("added_us"), (F.col("p_size") > 25).alias("downloaded"), F.lit(0.5).alias("progress"), F.lit("book").alias("kind"))
-    return C.library_view(library, "downloaded").select("key", F.row_number().over(Window.orderBy(F.col("added_us").desc(), "key")).alias("place"))
+    return numbered(C.library_view(library, "downloaded"), "place", F.col("added_us").desc(), F.col("key")).select("key", F.col("place").cast("int"))
 
 
 @query("last_opened", "select max(o_orderkey) as key, epoch_us(o_orderdate) as last_opened_us from orders where o_orderdate = (select max(o_orderdate) from orders) group by o_orderdate")
@@ -532,13 +532,13 @@ def curated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "cell_scores",
-    """with p as (select l_orderkey % 500 as page, l_linenumber as t, l_quantity as r, cast(l_tax * 100 as int) as c, count(*) as n from lineitem where l_returnflag <> 'N' group by all), q as (select l_orderkey % 500 as page, l_linenumber as t, l_quantity as r, cast(l_tax * 100 as int) as c, count(*) as n from lineitem where l_returnflag <> 'A' group by all),
+    """with p as (select l_orderkey as page, l_linenumber as t, l_quantity as r, cast(l_tax * 100 as int) as c, count(*) as n from lineitem where l_returnflag <> 'N' group by all), q as (select l_orderkey as page, l_linenumber as t, l_quantity as r, cast(l_tax * 100 as int) as c, count(*) as n from lineitem where l_returnflag <> 'A' group by all),
     tp as (select p.page, p.t as p_table, q.t as r_table, sum(least(p.n, q.n)) as tp from p join q on p.page = q.page and p.r = q.r and p.c = q.c group by all), ps as (select page, t, sum(n) as n from p group by all), qs as (select page, t, sum(n) as n from q group by all)
     select tp.page, p_table, r_table, round(2 * tp / (ps.n + qs.n), 6) as f1 from tp join ps on tp.page = ps.page and p_table = ps.t join qs on tp.page = qs.page and r_table = qs.t""",
 )
 def cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 500).alias("page"), F.col("l_linenumber").alias("table"), F.col("l_quantity").alias("row"), (F.col("l_tax") * 100).cast("int").alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.lit("").alias("text"), "l_returnflag"
+        F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("table"), F.col("l_quantity").alias("row"), (F.col("l_tax") * 100).cast("int").alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.lit("").alias("text"), "l_returnflag"
     )
     out = M.pair_scores(cells.where("l_returnflag <> 'N'").drop("l_returnflag"), cells.where("l_returnflag <> 'A'").drop("l_returnflag"), ["page"])
     return out.select("page", "p_table", "r_table", F.round("f1", 6).alias("f1"))
@@ -546,10 +546,10 @@ def cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _page_boxes(df: DataFrame, extra: str) -> DataFrame:
     x, y = F.col("l_quantity"), F.round(F.col("l_discount") * 100)
-    return df.select((F.col("l_orderkey") % 2000).alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(extra), G.rect(x, y, x + 6.0, y + 4.0).alias("box"))
+    return df.select(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias(extra), G.rect(x, y, x + 6.0, y + 4.0).alias("box"))
 
 
-_BOXES = "select l_orderkey % 2000 as page, l_orderkey * 10 + l_linenumber as id, l_quantity as x, round(l_discount * 100) as y, l_returnflag as f from lineitem"
+_BOXES = "select l_orderkey as page, l_orderkey * 10 + l_linenumber as id, l_quantity as x, round(l_discount * 100) as y, l_returnflag as f from lineitem"
 
 
 @query(
@@ -597,15 +597,16 @@ def comic_page_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "comic_spread_pages",
-    """with recursive p as (select p_brand, row_number() over (partition by p_brand order by p_partkey) - 1 as page, p_size > 44 as wide from part),
-    f as (select p_brand, page, wide, 0 as spread, page = 0 or wide as full from p where page = 0 union all
-        select p.p_brand, p.page, p.wide, case when f.full or p.wide then f.spread + 1 else f.spread end, p.wide or not f.full from f join p on p.p_brand = f.p_brand and p.page = f.page + 1)
-    select p_brand, cast(spread as int) as spread, string_agg(cast(page as varchar), ',' order by page) as pages from f group by all""",
+    """with recursive p as (select p_partkey // 40 as book, row_number() over (partition by p_partkey // 40 order by p_partkey) - 1 as page, p_size > 44 as wide from part),
+    f as (select book, page, wide, 0 as spread, page = 0 or wide as full from p where page = 0 union all
+        select p.book, p.page, p.wide, case when f.full or p.wide then f.spread + 1 else f.spread end, p.wide or not f.full from f join p on p.book = f.book and p.page = f.page + 1)
+    select book, cast(spread as int) as spread, string_agg(cast(page as varchar), ',' order by page) as pages from f group by all""",
 )
 def comic_spread_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).alias("page")
-    pages = table(spark, sf_dir, "part").select("p_brand", place, (F.col("p_size") > 44).alias("wide"))
-    return B.comic_spreads(pages, "p_brand").select("p_brand", "spread", F.array_join("pages", ",").alias("pages"))
+    """Forty parts make a comic, the large ones its wide pages."""
+    place = (F.row_number().over(Window.partitionBy("book").orderBy("p_partkey")) - 1).alias("page")
+    pages = table(spark, sf_dir, "part").withColumn("book", F.floor(F.col("p_partkey") / 40)).select("book", place, (F.col("p_size") > 44).alias("wide"))
+    return B.comic_spreads(pages, "book").select("book", "spread", F.array_join("pages", ",").alias("pages"))
 
 
 # images, names and furniture of pages ---------------------------------------------------------------------------------

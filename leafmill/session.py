@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -40,6 +40,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals ``df`` out to all cores where it has fewer partitions: a file of one row group is one split, however much work its rows are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """``df`` with ``name``: its place in the order, from 1.
+
+    Rows are dealt out by ranges of the order; each range counts its rows, and
+    the few counts of the ranges before it are added.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id())
+    placed = cut(placed.withColumn("at_", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"))  # one row a partition
+    starts = sizes.select("part_", (F.sum("n_").over(Window.orderBy("part_")) - F.col("n_")).alias("start_"))
+    return placed.join(F.broadcast(starts), "part_").withColumn(name, F.col("start_") + F.col("at_") + 1).drop("part_", "at_", "start_")
+
+
 def broadcastable(df: DataFrame, size: Column, most: int = 16 << 20) -> DataFrame:
     """Marks ``df`` for broadcast if its rows, of ``size`` bytes each, come to at most ``most``; else Spark shuffles it."""
     held = df.agg(F.sum(size)).first()[0] or 0
