@@ -100,20 +100,32 @@ def clean_title(title: Column, site: Column) -> Column:
     return F.when((F.size(pieces) > 1) & is_site(F.element_at(pieces, -1)), kept).when((F.size(pieces) > 1) & is_site(pieces[0]), lead).otherwise(title)
 
 
+def _once(value: Column, make) -> Column:  # noqa: ANN001
+    """``make`` of a value that is worked out once and named once in the plan."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def absolute(href: Column, base: Column) -> Column:
     """``href`` resolved against a page's address; null for schemes other than http(s), mailto, tel and data."""
+
+    def joined(x: Column) -> Column:
+        out = F.concat(x["origin"], F.when(x["folder"] == "", "/").otherwise(x["folder"]), x["h"])
+        for _ in range(4):  # ../ steps
+            out = F.regexp_replace(out, r"(://[^/]+(?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
+        return F.regexp_replace(out, r"/(?:\./)+", "/")
+
+    def resolved(x: Column) -> Column:
+        h, base = x["h"], x["base"]
+        return (
+            F.when(h == "", None).when(h.rlike("(?i)^(?:https?://|mailto:|tel:|data:)"), h).when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
+            .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]+:", 0), h)).when(h.startswith("/"), F.concat(x["origin"], h))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), h)).when(h.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h)).otherwise(joined(x))
+        )
+
     h = F.replace(F.regexp_replace(F.trim(href), r"[\t\n\r]", ""), F.lit(" "), F.lit("%20"))
     origin = F.regexp_extract(base, r"(?i)^https?://[^/?#]+", 0)
     folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"(?i)^https?://[^/]+(/.*/|/)", 1)
-    joined = F.concat(origin, F.when(folder == "", "/").otherwise(folder), h)
-    for _ in range(4):  # ../ steps
-        joined = F.regexp_replace(joined, r"(://[^/]+(?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-    joined = F.regexp_replace(joined, r"/(?:\./)+", "/")
-    return (
-        F.when(h == "", None).when(h.rlike("(?i)^(?:https?://|mailto:|tel:|data:)"), h).when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), None)
-        .when(h.startswith("//"), F.concat(F.regexp_extract(base, "^[^:]+:", 0), h)).when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), h)).when(h.startswith("?"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h)).otherwise(joined)
-    )
+    return F.when(href.isNotNull(), _once(F.struct(h.alias("h"), base.alias("base"), origin.alias("origin"), folder.alias("folder")), resolved))
 
 
 def unlikely_nodes(nodes: DataFrame) -> DataFrame:
@@ -197,12 +209,16 @@ def inlines(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     attrs = F.col("attrs")
     df = df.withColumn("found", F.when(F.col("tag") == "img", I.candidates(F.coalesce(I.source_set(attrs), "offer"))))
     kind = F.when(F.col("tag") == "#text", "text").when(F.col("tag") == "br", "break").when(F.col("tag") == "img", "image").when(F.col("tag") == "hr", "rule").when(F.col("tag") == "iframe", "embed").otherwise(F.col("tag"))
-    src = F.when(F.col("tag") == "img", I.shown(attrs, F.col("found"))).otherwise(F.coalesce(F.nullif(_attr("data-src"), F.lit("")), F.nullif(_attr("src"), F.lit(""))))
-    df = df.withColumn("src", F.when(F.col("tag").isin("img", "iframe", "video", "audio"), absolute(src, F.col("url")))).withColumn("href", absolute(F.col("raw_href"), F.col("url")))
-    chrome = I.is_pixel(attrs, F.col("src")) | I.is_decorative(attrs, F.col("src"), F.col("href")) | F.col("src").isNull()
+    # each long expression is a column before another one repeats it: plans grow with repetition
+    given = F.coalesce(F.nullif(_attr("data-src"), F.lit("")), F.nullif(_attr("src"), F.lit("")))
+    df = df.withColumn("raw_src", F.when(F.col("tag") == "img", I.shown(attrs, F.col("found"))).when(F.col("tag").isin("iframe", "video", "audio"), given))
+    df = df.withColumn("width", F.when(F.col("tag") == "img", I.dimension(attrs, "width"))).withColumn("height", F.when(F.col("tag") == "img", I.dimension(attrs, "height")))
+    df = df.withColumn("src", absolute(F.col("raw_src"), F.col("url"))).withColumn("href", absolute(F.col("raw_href"), F.col("url")))
+    sides = {"width": F.col("width"), "height": F.col("height")}
+    chrome = I.is_pixel(attrs, F.col("src"), **sides) | I.is_decorative(attrs, F.col("src"), F.col("href"), F.col("width")) | F.col("src").isNull()
     df = df.where((F.col("tag") != "img") | ~chrome)
     return df.select(
-        "page_id", "node", "block", "block_tag", kind.alias("type"), "text", "marks", "href", "src", ((F.col("tag") == "img") & I.is_small(attrs)).alias("small"), F.nullif(_attr("alt"), F.lit("")).alias("alt"), "path", "tags",
+        "page_id", "node", "block", "block_tag", kind.alias("type"), "text", "marks", "href", "src", ((F.col("tag") == "img") & I.is_small(attrs, **sides)).alias("small"), F.nullif(_attr("alt"), F.lit("")).alias("alt"), "path", "tags",
     )
 
 
