@@ -15,6 +15,7 @@ from leafmill.functions import furniture as N
 from leafmill.functions import images as I
 from leafmill.functions import text as T
 from leafmill.functions import urls as U
+from leafmill.operators import content as C
 from leafmill.session import cut
 from leafmill.sources.pages import BLOCK, page_nodes
 
@@ -137,12 +138,14 @@ def unlikely_nodes(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("tag") != "#text").where(tag | role | by_name).select("page_id", "node")
 
 
-def pruned(nodes: DataFrame) -> DataFrame:
-    """``nodes`` of the body outside of unlikely subtrees."""
+def pruned(nodes: DataFrame, strip: bool = True) -> DataFrame:
+    """``nodes`` of the body; with ``strip`` outside of unlikely subtrees."""
+    df = nodes.where(~_has(F.col("tags"), ["head"]) & ~F.col("tag").isin("head", "html", "meta", "link", "title", "base"))
+    if not strip:
+        return df
     bad = unlikely_nodes(nodes).groupBy("page_id").agg(F.collect_list("node").alias("bad"))  # of one page
-    df = nodes.join(bad, "page_id", "left")
     gone = F.coalesce(F.arrays_overlap(F.concat("path", F.array("node")), "bad"), F.lit(False))
-    return df.where(~gone & ~_has(F.col("tags"), ["head"]) & ~F.col("tag").isin("head", "html", "meta", "link", "title", "base")).drop("bad")
+    return df.join(bad, "page_id", "left").where(~gone).drop("bad")
 
 
 def subtree_text(nodes: DataFrame) -> DataFrame:
@@ -151,12 +154,12 @@ def subtree_text(nodes: DataFrame) -> DataFrame:
     return t.groupBy("page_id", "node").agg(F.sum("n").alias("chars"), F.sum(F.when(F.col("linked"), F.col("n")).otherwise(0)).alias("link_chars"), F.sum("c").alias("commas"))
 
 
-def content_roots(nodes: DataFrame) -> DataFrame:
-    """(page_id, node): the element with the best score, and its siblings that are content too.
+def scored_elements(nodes: DataFrame, weigh: Column) -> tuple[DataFrame, DataFrame]:
+    """(page_id, node, parent, tag, score) of elements with content below them, and the sums of their texts.
 
     Every leaf block with 25 characters scores by commas and length; its five
     nearest ancestors get 1, 1/2 and 1/(3 * level) of that, less their share of
-    link text.
+    link text. ``weigh``: whether class and id count.
     """
     stats = cut(subtree_text(nodes))
     leaf = nodes.where(F.col("tag").isin(LEAVES)).join(stats, ["page_id", "node"]).where("chars >= 25")
@@ -167,22 +170,99 @@ def content_roots(nodes: DataFrame) -> DataFrame:
     sums = spread.groupBy("page_id", "node").agg(F.sum(F.col("gain") * share).alias("gain"))
     name = F.concat_ws(" ", _attr("class"), _attr("id"))
     base = F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for k, x in TAG_SCORES.items() for v in (k, x)]), "tag"), F.lit(0))
-    base = base + F.when(name.rlike(LIKELY), 25).otherwise(0) - F.when(name.rlike(UNLIKELY), 25).otherwise(0)
-    elements = nodes.where("tag <> '#text'").select("page_id", "node", "parent", base.alias("base"))
+    base = base + F.when(weigh, F.when(name.rlike(LIKELY), 25).otherwise(0) - F.when(name.rlike(UNLIKELY), 25).otherwise(0)).otherwise(0)
+    elements = nodes.where("tag <> '#text'").select("page_id", "node", "parent", "tag", base.alias("base"))
     scored = sums.join(elements, ["page_id", "node"]).join(stats, ["page_id", "node"])
-    scored = scored.withColumn("score", (F.col("gain") + F.col("base")) * (1 - F.col("link_chars") / F.greatest("chars", F.lit(1))))
-    top = scored.groupBy("page_id").agg(F.max_by(F.struct("node", "parent", "score"), F.struct("score", -F.col("node"))).alias("top")).select("page_id", "top.*")
-    kin = scored.select("page_id", F.col("node").alias("kin"), "parent", F.col("score").alias("kin_score"))
-    near = top.where("parent >= 0").join(kin, ["page_id", "parent"]).where("kin = node or kin_score >= greatest(10, score * 0.2)").select("page_id", F.col("kin").alias("node"))
-    return top.select("page_id", "node").unionByName(near).distinct()
+    score = (F.col("gain") + F.col("base")) * (1 - F.col("link_chars") / F.greatest("chars", F.lit(1)))
+    return scored.select("page_id", "node", "parent", "tag", score.alias("score")), stats
+
+
+def content_roots(nodes: DataFrame, weigh: Column) -> DataFrame:
+    """(page_id, node): the element with the best score, an ancestor that scores more still, and siblings that are content too.
+
+    The body itself wins where its paragraphs stand in it directly: with twice
+    the best score. On the way up from the best element the first ancestor that
+    scores more than the one before it is taken, unless one below a third of
+    the best comes first. A sibling joins by its score (more easily if it has the
+    same class), by prose under the same class, or as a paragraph of prose.
+    """
+    scored, stats = scored_elements(nodes, weigh)
+    scored = cut(scored)
+    best = lambda df: df.groupBy("page_id").agg(F.max_by(F.struct("node", "parent", "score"), F.struct("score", -F.col("node"))).alias("top"))
+    body = best(scored.where("tag = 'body'")).select("page_id", F.col("top").alias("body"))
+    top = best(scored.where("tag <> 'body'")).join(body, "page_id", "full")
+    top = top.select("page_id", F.when(F.col("top").isNull() | (F.col("body.score") >= 2 * F.col("top.score")), F.col("body")).otherwise(F.col("top")).alias("top"))
+    above = top.select("page_id", "top.node").join(nodes.select("page_id", "node", "path"), ["page_id", "node"]).select("page_id", F.posexplode("path").alias("depth", "node"))
+    ladder = above.join(scored.where("tag <> 'body'"), ["page_id", "node"]).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("depth", "score", "node", "parent")), asc=False).alias("ladder"))  # of one element
+    top = top.join(ladder, "page_id", "left")
+    least = F.col("top.score") / 3
+    start = F.struct(F.col("top.score").alias("last"), F.lit(False).alias("over"), F.col("top").alias("pick"))
+
+    def climb(s: Column, x: Column) -> Column:
+        here = F.struct(x["node"].alias("node"), x["parent"].alias("parent"), x["score"].alias("score"))
+        return F.when(s["over"] | (x["score"] < least), F.struct(s["last"].alias("last"), F.lit(True).alias("over"), s["pick"].alias("pick"))).when(
+            x["score"] > s["last"], F.struct(x["score"].alias("last"), F.lit(True).alias("over"), here.alias("pick"))
+        ).otherwise(F.struct(x["score"].alias("last"), F.lit(False).alias("over"), s["pick"].alias("pick")))
+
+    picked = F.when(F.col("ladder").isNull(), F.col("top")).otherwise(F.aggregate("ladder", start, climb)["pick"])
+    top = top.select("page_id", picked.alias("top")).select("page_id", "top.*")
+    sibling = nodes.where("tag <> '#text'").select("page_id", F.col("node").alias("kin"), "parent", "tag", _attr("class").alias("class"))
+    own = sibling.select("page_id", F.col("kin").alias("node"), F.col("class").alias("own_class"))
+    kin = sibling.join(scored.select("page_id", F.col("node").alias("kin"), F.col("score").alias("kin_score")), ["page_id", "kin"], "left").join(stats.withColumnRenamed("node", "kin"), ["page_id", "kin"], "left")
+    near = top.where("parent >= 0").join(own, ["page_id", "node"]).join(kin, ["page_id", "parent"])
+    bonus = F.when((F.col("class") != "") & (F.col("class") == F.col("own_class")), F.col("score") * 0.2).otherwise(0.0)
+    chars, links = F.coalesce("chars", F.lit(0)), F.coalesce(F.col("link_chars") / F.nullif("chars", F.lit(0)), F.lit(0.0))
+    more = (F.col("kin_score") + bonus >= F.greatest(F.lit(10.0), F.col("score") * 0.2)) | ((bonus > 0) & (chars > 50) & (links < 0.3)) | ((F.col("tag") == "p") & (chars > 80) & (links < 0.25))
+    near = near.where((F.col("kin") == F.col("node")) | F.coalesce(more, F.lit(False)))
+    return top.select("page_id", "node").unionByName(near.select("page_id", F.col("kin").alias("node"))).distinct()
+
+
+#: A text of this many characters ends the attempts.
+ENOUGH = 500
+
+
+def _attempt(nodes: DataFrame, strip: bool, weigh: Column, clean: Column) -> DataFrame:
+    """The nodes of each page's content by one set of rules. A page without scored content keeps its body."""
+    body = cut(pruned(nodes, strip))  # five branches of the scoring read it
+    roots = content_roots(body, weigh).groupBy("page_id").agg(F.collect_list("node").alias("roots"))  # few to a page
+    df = body.join(roots, "page_id", "left")
+    kept = cut(df.where(F.col("roots").isNull() | F.arrays_overlap("path", "roots") | F.array_contains("roots", F.col("node"))).drop("roots"))
+    gone = C.clutter(kept, weigh).where("goes").select("page_id", "node").join(roots, "page_id", "left").where(clean & ~F.coalesce(F.array_contains("roots", F.col("node")), F.lit(False)))
+    gone = gone.groupBy("page_id").agg(F.collect_list("node").alias("gone"))  # of one page
+    return cut(kept.join(gone, "page_id", "left").where(~F.coalesce(F.arrays_overlap(F.concat("path", F.array("node")), "gone"), F.lit(False))).drop("gone"))
+
+
+def content_attempts(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes of each page's content, and (page_id, attempt, chars): by which set of rules it was found, with how much text.
+
+    0 leaves out unlikely elements, weighs names and removes clutter; 1 keeps
+    unlikely elements, 2 doesn't weigh names either, 3 removes no clutter. The
+    first that finds 500 characters counts, else the one that finds most, of
+    equals the first. Pages that 0 answers are not tried again; for the others 1
+    to 3 are one pass, in which an attempt is a page of its own.
+    """
+    chars = lambda df: df.groupBy("page_id").agg(F.sum(F.when(F.col("tag") == "#text", T.visible_length("text")).otherwise(0)).alias("chars"))
+    pages = nodes.select("page_id").distinct()
+    first = _attempt(nodes, True, F.lit(True), F.lit(True))
+    found = cut(pages.join(chars(first), "page_id", "left").select("page_id", F.lit(0).alias("attempt"), F.coalesce("chars", F.lit(0)).alias("chars")))
+    short = found.where(F.col("chars") < ENOUGH).select("page_id")
+    if short.isEmpty():
+        return first, found
+    tries = nodes.join(short, "page_id", "left_semi").withColumn("k_", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("page_id", F.col("page_id") * 4 + F.col("k_")).drop("k_")
+    k = F.pmod("page_id", F.lit(4))
+    again = _attempt(cut(tries), False, k == 1, k < 3)
+    plain = F.floor((F.col("page_id") - k) / 4)
+    more = chars(again).select(plain.alias("page_id"), k.cast("int").alias("attempt"), "chars")
+    enough = F.col("chars") >= ENOUGH
+    rank = F.struct(enough.cast("int").alias("enough"), F.when(enough, 0).otherwise(F.col("chars")).alias("most"), (-F.col("attempt")).alias("first"))
+    chosen = cut(found.unionByName(more).groupBy("page_id").agg(F.max_by(F.struct("attempt", "chars"), rank).alias("c")).select("page_id", "c.*"))
+    other = again.withColumn("attempt", k.cast("int")).withColumn("page_id", plain).join(chosen.select("page_id", "attempt"), ["page_id", "attempt"], "left_semi").drop("attempt")
+    return first.join(chosen.where("attempt = 0"), "page_id", "left_semi").unionByName(other.select(*first.columns)), chosen
 
 
 def content_nodes(nodes: DataFrame) -> DataFrame:
-    """The nodes below a page's content roots. A page without scored content keeps its pruned body."""
-    clean = cut(pruned(nodes))  # five branches of the scoring read it
-    roots = content_roots(clean).groupBy("page_id").agg(F.collect_list("node").alias("roots"))  # few to a page
-    df = clean.join(roots, "page_id", "left")
-    return df.where(F.col("roots").isNull() | F.arrays_overlap("path", "roots") | F.array_contains("roots", F.col("node"))).drop("roots")
+    """The nodes of each page's content (``content_attempts``)."""
+    return content_attempts(nodes)[0]
 
 
 def _nearest(names: list[str]) -> Column:

@@ -14,6 +14,7 @@ from leafmill.operators import articles as A
 from leafmill.operators import books as B
 from leafmill.operators import catalogs as C
 from leafmill.operators import changelog as L
+from leafmill.operators import content as CT
 from leafmill.operators import scoring as S
 from leafmill.session import cut, spread, table
 from leafmill.sources.pages import page_nodes
@@ -599,3 +600,24 @@ def conversation_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     mid = F.greatest(F.lit(1), F.expr("length(text) div 2"))
     quotes = c.select(F.col("key").alias("quote_id"), "key", F.substr("text", mid, F.lit(30)).alias("quote"), F.substr("text", F.greatest(F.lit(1), mid - 20), F.least(F.lit(20), mid - 1)).alias("before"), F.lit(0.5).alias("hint"))
     return B.anchor_quotes(quotes.where("quote <> ''"), c.select("key", "text"), "key")
+
+
+@query(
+    "page_clutter",
+    r"""with l as (select page_id, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) as items, regexp_extract(html, '<div class="ad">([^<]*)</div>', 1) as ad from pages where html is not null),
+    n as (select page_id, list_transform(items, lambda s: trim(regexp_replace(s, '[ \t\n\f\r]+', ' ', 'g'))) as items, trim(regexp_replace(ad, '[ \t\n\f\r]+', ' ', 'g')) as ad from l)
+    select page_id, 'ul' as tag, cast(list_sum(list_transform(items, lambda s: length(s))) as bigint) as text, cast(list_sum(list_transform(items, lambda s: length(s))) as bigint) as link, cast(len(items) as bigint) as li,
+        cast(list_sum(list_transform(items, lambda s: length(s) - length(replace(s, ',', '')))) as bigint) as commas, false as goes from n
+    union all select page_id, 'div', length(ad), 0, 0, length(ad) - length(replace(ad, ',', '')), length(ad) = 0 or lower(ad) in ('ad', 'advertising', 'advertisement', 'pub', 'publicité', 'werb', 'werbung', 'anuncio', 'loading', 'chargement', 'cargando') from n""",
+)
+def page_clutter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every element of a page that may go as clutter counts, and whether it goes; nothing is left out before."""
+    rows = CT.clutter(cut(A.pruned(cut(page_nodes(table(spark, sf_dir, "pages"))), strip=False)))
+    whole = [F.col(c).cast("long").alias(c) for c in ("text", "link", "li", "commas")]
+    return rows.select("page_id", "tag", *whole, "goes")
+
+
+@query("page_attempts")
+def page_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By which set of rules each page's content was found, and how much text that is."""
+    return A.content_attempts(cut(page_nodes(table(spark, sf_dir, "pages"))))[1]
