@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import dates as D
@@ -15,6 +15,7 @@ from leafmill.operators import books as B
 from leafmill.operators import catalogs as C
 from leafmill.operators import changelog as L
 from leafmill.operators import content as CT
+from leafmill.operators import grids as G
 from leafmill.operators import scoring as S
 from leafmill.session import cut, spread, table
 from leafmill.sources.pages import page_nodes
@@ -621,3 +622,37 @@ def page_clutter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By which set of rules each page's content was found, and how much text that is."""
     return A.content_attempts(cut(page_nodes(table(spark, sf_dir, "pages"))))[1]
+
+
+def _line_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tables: a row for each line, of two cells that span by what was ordered."""
+    row = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus", "l_returnflag")) - 1
+    df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag", "l_linestatus", row.alias("row"))
+    one = F.struct(F.lit(0).alias("at"), (F.col("l_suppkey") % 2 + 1).cast("int").alias("colspan"), (F.col("q") % 3 + 1).alias("rowspan"), F.col("l_linestatus").alias("text"))
+    two = F.struct(F.lit(1).alias("at"), (F.col("l_partkey") % 3 + 1).cast("int").alias("colspan"), F.lit(1).alias("rowspan"), F.col("l_returnflag").alias("text"))
+    return df.select("l_orderkey", "row", F.explode(F.array(one, two)).alias("c")).select("l_orderkey", "row", "c.*", (F.col("row") == 0).alias("header"), F.lit(None).cast("string").alias("align"))
+
+
+_LINE_CELLS = """with recursive l as (select l_orderkey as k, l_suppkey % 2 + 1 as c0, l_quantity::int % 3 + 1 as r0, l_partkey % 3 + 1 as c1, l_linestatus as t0, l_returnflag as t1, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_linestatus, l_returnflag) - 1 as r, count(*) over (partition by l_orderkey) as n from lineitem),
+    c as (select k, r, 0 as p, c0 as wide, least(r0, n - r) as high, t0 as t from l union all select k, r, 1, c1, 1, t1 from l), o as (select *, row_number() over (partition by k order by r, p) as i from c),
+    g as (select k, 0::bigint as i, -1::bigint as r, 0::bigint as p, 0::bigint as wide, 0::bigint as high, '' as t, 0::bigint as col, []::bigint[] as taken from (select distinct k from o)
+        union all select k, i, r, p, wide, high, t, col, list_concat(taken, flatten(list_transform(range(r, r + high), lambda y: list_transform(range(col, col + wide), lambda x: y * 1000 + x)))) from (
+            select o.k, o.i, o.r, o.p, o.wide, o.high, o.t, g.taken, list_min(list_filter(range(case when o.r = g.r then g.col + g.wide else 0 end, 300), lambda x: not list_contains(g.taken, o.r * 1000 + x))) as col
+            from g join o on o.k = g.k and o.i = g.i + 1) s)"""
+
+
+@query("table_cells", _LINE_CELLS + ' select k as l_orderkey, cast(r as int) as "row", cast(col as int) as col, cast(wide as int) as colspan, cast(high as int) as rowspan, t as text from g where i > 0')
+def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.place_cells(_line_cells(spark, sf_dir), "l_orderkey").select("l_orderkey", "row", "col", "colspan", "rowspan", "text")
+
+
+@query(
+    "table_markdown",
+    _LINE_CELLS
+    + """, w as (select k, max(col + wide) as w, max(r) as last from g where i > 0 group by k),
+    b as (select w.k, y.r, '|' || string_agg(coalesce(' ' || g.t || ' |', '  |'), '' order by x.c) as line, any_value(w.w) as w, any_value(w.last) as last
+        from w, lateral (select unnest(range(0, w.w)) as c) x, lateral (select unnest(range(0, w.last + 1)) as r) y left join g on g.k = w.k and g.i > 0 and g.r = y.r and g.col = x.c group by w.k, y.r)
+    select k as l_orderkey, string_agg(case when r > 0 then line when last = 0 then '|' || repeat('  |', w) || chr(10) || '|' || repeat(' --- |', w) || chr(10) || line else line || chr(10) || '|' || repeat(' --- |', w) end, chr(10) order by r) as markdown from b group by k""",
+)
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.markdown_tables(cut(G.place_cells(_line_cells(spark, sf_dir), "l_orderkey")), "l_orderkey")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import articles as A
 from leafmill.operators import content as C
+from leafmill.operators import grids as G
 from leafmill.session import cut
 from leafmill.sources.pages import page_nodes
 
@@ -230,3 +231,17 @@ def test_climb_and_siblings(spark):
     nodes = A.content_nodes(cut(page_nodes(spark.createDataFrame(page, "page_id long, html string"))))
     text = " ".join(r.text for r in nodes.where("tag = '#text'").collect())
     assert "Prose of the same kind" in text and "A loose paragraph" in text
+
+
+def test_grid_of_spans(spark):
+    html = """<table><thead><tr><th rowspan=2>a</th><th colspan=2 align=center>b</th></tr><tr><th>c</th><th>d|e</th></tr></thead>
+    <tr></tr><tr><td>1</td><td rowspan=9>2</td><td style="text-align: right">3</td></tr><tr><td> </td><td></td></tr><tr><td colspan=500>4</td></tr></table>
+    <table><tr><td>layout</td></tr></table>"""
+    cells = G.place_cells(G.page_cells(cut(page_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))), "page_id", "table")
+    got = [(r.row, r.col, r.colspan, r.rowspan, r.header, r.text) for r in cells.orderBy("row", "at").collect()]
+    assert got[:5] == [(0, 0, 1, 2, True, "a"), (0, 1, 2, 1, True, "b"), (1, 1, 1, 1, True, "c"), (1, 2, 1, 1, True, "d|e"), (2, 0, 1, 1, False, "1")]
+    assert got[5:] == [(2, 1, 1, 2, False, "2"), (2, 2, 1, 1, False, "3"), (3, 0, 100, 1, False, "4")]
+    r = G.header_rows(cells, "page_id", "table").collect()
+    assert [(x.rows, x.columns, x.header_rows) for x in r] == [(4, 100, 2)]
+    lines = G.markdown_tables(cells.where("row < 3"), "page_id", "table").first().markdown.split("\n")
+    assert lines == ["| a | b |  |", "| --- | :-: | --- |", "|  | c | d\\|e |", "| 1 | 2 | 3 |"]
