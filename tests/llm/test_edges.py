@@ -60,6 +60,16 @@ STAGES = {
 }
 
 
+def test_token_stage_of_clashing_names_and_no_rows(spark):
+    import corpus_pipeline
+
+    odd = docs(spark).withColumns({"ids": F.lit("i"), "n_tokens": F.lit("n"), "round_trip": F.lit(None).cast("string")})
+    out = corpus_pipeline.token_stage(spark, odd, "").collect()
+    assert len(out) == len(TEXTS) and all(r.round_trip for r in out if r.ids is not None)
+    assert corpus_pipeline.token_stage(spark, odd.limit(0), "").count() == 0
+
+
+
 @pytest.mark.parametrize("name", sorted(STAGES))
 def test_stages_keep_columns(name, spark, bench, labels):
     out = STAGES[name](docs(spark), bench, labels)
