@@ -130,7 +130,7 @@ def normalize_lines(x: Column | str) -> Column:
     # white space within lines at once, before the lines are told apart; what isn't a single space already is rare
     inner = rf"{SPACE}&&[^\n\r\x{{2028}}\x{{2029}}]"
     flat = F.regexp_replace(clean, rf"[{inner}&&[^ ]][{inner}]*| [{inner}]+", " ")
-    lines = F.transform(F.split(flat, r"\r\n|[\n\r\x{2028}\x{2029}]"), F.trim)
+    lines = F.transform(F.split(flat, r"\r\n|[\n\r\x{2028}\x{2029}]"), lambda s: F.trim(s))
     return F.array_join(F.filter(lines, lambda s: s != ""), "\n")
 
 
