@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; only a local session without one gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="leafmill-")
@@ -32,12 +34,14 @@ def merge_last_write(state: DataFrame | None, batch: DataFrame, keys: list[str],
 
 
 def start_last_write(stream: DataFrame, root: str, keys: list[str], values: list[str], **trigger):  # noqa: ANN201
-    """Starts the merge of a stream with columns keys, updated_us, change_id and values into ``root``/v<batch>."""
+    """Starts the merge of a stream with columns keys, updated_us, change_id and values into ``root``/v<batch>; the last two versions stay."""
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         state = spark.read.parquet(f"{root}/v{number - 1}") if number else None
         merge_last_write(state, batch, keys, values).write.mode("overwrite").parquet(f"{root}/v{number}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/v{number - 2}")  # a batch that runs again needs the version before it
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", f"{root}/offsets").trigger(**(trigger or {"availableNow": True})).start()
 
