@@ -18,6 +18,8 @@ PAGE_ENDINGS = "jpg jpeg png gif webp avif bmp".split()
 #: Segments start at multiples of ALIGN; a ZIP file's end is within its last TAIL bytes.
 ALIGN, TAIL = 64 * 1024, 22 + 65535
 MIN_SEGMENT, MAX_SEGMENT, TARGET_SEGMENTS, SINGLE = 4 << 20, 16 << 20, 32, 4 << 20
+#: How many ranges a run and a task make.
+RUN, TASK_RANGES = 4096, 1 << 21
 
 
 def source_kind(content: Column | str) -> Column:
@@ -216,17 +218,24 @@ def comic_spreads(pages: DataFrame, key: str = "path") -> DataFrame:
 
 
 def plan_segments(df: DataFrame, size: str) -> DataFrame:
-    """A row for each range [start, end) of a file, in the order of fetching: the aligned tail, then front to back."""
+    """A row for each range [start, end) of a file, in the order of fetching: the aligned tail, then front to back.
+
+    A small table of files may mean very many ranges: runs of at most ``RUN`` of
+    them, few rows still, are dealt out to tasks before they become rows.
+    """
     n = F.col(size)
-    tail = F.floor(F.greatest(F.lit(0), n - TAIL) / ALIGN) * ALIGN
-    step = F.ceil(F.least(F.lit(MAX_SEGMENT), F.greatest(F.lit(MIN_SEGMENT), F.ceil(tail / TARGET_SEGMENTS))) / ALIGN) * ALIGN
-    rest = F.when(tail > 0, F.transform(F.sequence(F.lit(0).cast("long"), tail - 1, step), lambda s: F.struct(s.alias("start"), F.least(s + step, tail).alias("end"))))
-    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    plan = F.when(n <= SINGLE, F.array(F.struct(F.lit(0).cast("long").alias("start"), n.cast("long").alias("end")))).otherwise(
-        F.concat(F.array(F.struct(tail.alias("start"), n.cast("long").alias("end"))), F.coalesce(rest, none))
-    )
-    out = df.where(n > 0).select(*df.columns, F.posexplode(plan).alias("fetch", "range"))
-    return out.select(*df.columns, "fetch", "range.start", "range.end")
+    tail = F.when(n <= SINGLE, 0).otherwise(F.floor(F.greatest(F.lit(0), n - TAIL) / ALIGN) * ALIGN).cast("long")
+    step = (F.ceil(F.least(F.lit(MAX_SEGMENT), F.greatest(F.lit(MIN_SEGMENT), F.ceil(F.col("tail_") / TARGET_SEGMENTS))) / ALIGN) * ALIGN).cast("long")
+    files = df.where(n > 0).withColumn("tail_", tail).withColumn("step_", step).withColumn("last_", F.ceil(F.col("tail_") / F.col("step_")).cast("long"))
+    total = files.agg(F.sum(F.col("last_") + 1)).first()[0] or 0
+    runs = files.withColumn("run_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_"), F.lit(RUN).cast("long"))))
+    tasks = min(1 + total // TASK_RANGES, 20_000)
+    if tasks > 1:
+        runs = runs.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
+    out = runs.withColumn("i_", F.explode(F.sequence(F.col("run_"), F.least(F.col("run_") + RUN - 1, F.col("last_")))))
+    i, front = F.col("i_"), (F.col("i_") - 1) * F.col("step_")
+    start, end = F.when(i == 0, F.col("tail_")).otherwise(front), F.when(i == 0, n.cast("long")).otherwise(F.least(front + F.col("step_"), F.col("tail_")))
+    return out.select(*df.columns, i.cast("int").alias("fetch"), start.alias("start"), end.alias("end"))
 
 
 def parse_range(header: Column | str, size: Column | str) -> Column:

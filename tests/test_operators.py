@@ -265,3 +265,12 @@ def test_merges_of_a_hot_key_against_folds(spark, monkeypatch):
     assert articles == {k: (r["url"], r["clock"][1], r["at"] if r["dead"] else None, r["place"] and r["place"][1], r["turn"]) for k, r in want.items()}
     assert highlights == {k: n[2:] for k, n in notes.items()}
     assert article_turns == turns and highlight_turns == note_turns and ids.count("hot") > 66_000
+
+
+def test_segments_of_few_large_files_are_dealt_out(spark):
+    files = spark.createDataFrame([(1, 3 << 45), (2, 5), (3, 0), (4, None)], "id long, size long").coalesce(1)
+    out = B.plan_segments(files, "size")
+    assert out.rdd.getNumPartitions() > 1
+    sums = {r.id: r for r in out.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.countDistinct("fetch").alias("places")).collect()}
+    assert {k: r.bytes for k, r in sums.items()} == {1: 3 << 45, 2: 5} and all(r.n == r.places for r in sums.values())
+    assert max(r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < sums[1].n / 2
