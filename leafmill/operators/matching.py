@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from leafmill.functions import geometry as G
 
 CELL = ["row", "col", "rowspan", "colspan", "text"]
+#: A rectangle over more cells of the grid is compared with all of its page.
+MOST_CELLS = 64
 
 
 def pair_scores(predicted: DataFrame, reference: DataFrame, page: list[str]) -> DataFrame:
@@ -49,12 +51,48 @@ def micro_scores(predicted: DataFrame, reference: DataFrame, matches: DataFrame,
     )
 
 
+def meeting_boxes(left: DataFrame, right: DataFrame, page: list[str]) -> DataFrame:
+    """The rows of both sides, side by side, whose rectangles ``a`` and ``b`` meet on a page.
+
+    Rectangles are met by the cells of a grid of their mean sides, each pair once:
+    in the cell where what they share begins. Those over more than ``MOST_CELLS``
+    cells meet all others of their page instead.
+    """
+    sides = left.select(F.col("a").alias("r")).unionByName(right.select(F.col("b").alias("r")))
+    wide, high = (n or 1.0 for n in sides.agg(F.avg(F.col("r.x1") - F.col("r.x0")), F.avg(F.col("r.y1") - F.col("r.y0"))).first())
+    at = lambda v, side: F.floor(v.cast("double") / F.lit(float(side)))
+    cells = lambda r, lo, hi, side: F.sequence(at(r[lo], side), at(r[hi], side))
+    number = lambda r: ((r["x1"] - r["x0"]) / F.lit(float(wide)) + 2.0) * ((r["y1"] - r["y0"]) / F.lit(float(high)) + 2.0)
+
+    def split(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        r = F.col(name)
+        small = df.where(number(r) <= MOST_CELLS)
+        return small, df.where(number(r) > MOST_CELLS)
+
+    def on_grid(df: DataFrame, name: str) -> DataFrame:
+        r = F.col(name)
+        return df.withColumn("cx_", F.explode(cells(r, "x0", "x1", wide))).withColumn("cy_", F.explode(cells(r, "y0", "y1", high)))
+
+    a, b = F.col("a"), F.col("b")
+    (small_a, large_a), (small_b, large_b) = split(left, "a"), split(right, "b")
+    begins = (F.col("cx_") == at(F.greatest(a["x0"], b["x0"]), wide)) & (F.col("cy_") == at(F.greatest(a["y0"], b["y0"]), high))
+    met = on_grid(small_a, "a").join(on_grid(small_b, "b"), [*page, "cx_", "cy_"]).where(G.intersects(a, b) & begins).drop("cx_", "cy_")
+    for x, y in ((large_a, right), (small_a, large_b)):
+        met = met.unionByName(x.join(y, page).where(G.intersects(a, b)))
+    return met
+
+
 def largest_overlap(regions: DataFrame, blocks: DataFrame, page: list[str]) -> DataFrame:
-    """(region, block, area): the block of the same page that shares most of each region's rectangle ``box``."""
-    joined = regions.withColumnRenamed("box", "a").join(blocks.withColumnRenamed("box", "b"), page).where(G.intersects(F.col("a"), F.col("b")))
+    """(region, block, area): the block of the same page that shares most of each region's rectangle ``box``.
+
+    Equal rectangles of a page are compared once: of equal blocks only the least can be the answer.
+    """
+    regions = regions.withColumnRenamed("box", "a")
+    first = blocks.groupBy(*page, F.col("box").alias("b")).agg(F.min("block").alias("block"))
     area = G.overlap(F.col("a"), F.col("b"))
-    best = F.max_by(F.struct("block", area.alias("area")), F.struct(area, -F.col("block")))
-    return joined.groupBy(*page, "region").agg(best.alias("m")).select(*page, "region", "m.*")
+    best = lambda block, area: F.max_by(F.struct(block.alias("block"), area.alias("area")), F.struct(area, -block)).alias("m")
+    most = meeting_boxes(regions.select(*page, "a").distinct(), first, page).groupBy(*page, "a").agg(best(F.col("block"), area))
+    return regions.join(most, [*page, "a"]).groupBy(*page, "region").agg(best(F.col("m.block"), F.col("m.area"))).select(*page, "region", "m.*")
 
 
 def link_spans(annotations: DataFrame, spans: DataFrame, page: list[str]) -> DataFrame:

@@ -4,10 +4,12 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from leafmill.functions import geometry as G
 from leafmill.operators import articles as A
 from leafmill.operators import books as B
 from leafmill.operators import catalogs as C
 from leafmill.operators import changelog as L
+from leafmill.operators import matching as M
 from leafmill.operators import scoring as S
 from leafmill.sources.pages import charset_of, page_nodes
 
@@ -274,3 +276,31 @@ def test_segments_of_few_large_files_are_dealt_out(spark):
     sums = {r.id: r for r in out.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.countDistinct("fetch").alias("places")).collect()}
     assert {k: r.bytes for k, r in sums.items()} == {1: 3 << 45, 2: 5} and all(r.n == r.places for r in sums.values())
     assert max(r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < sums[1].n / 2
+
+
+def test_boxes_meet_by_grid_as_by_comparing_all(spark):
+    rng = random.Random(4)
+    rows = lambda n: [(i % 3, i, float(rng.randrange(40)), float(rng.randrange(30)), rng.choice([0.0, 2.0, 6.0, 6.0, 6.0, 900.0]), rng.choice([1.0, 4.0, 300.0])) for i in range(n)]
+    a, b = rows(150), [*rows(200), (0, 900, 5.0, 5.0, 6.0, 4.0), (0, 901, 5.0, 5.0, 6.0, 4.0)]
+    df = lambda x, name: spark.createDataFrame(x, f"page int, {name} long, x double, y double, w double, h double").select("page", name, G.rect(F.col("x"), F.col("y"), F.col("x") + F.col("w"), F.col("y") + F.col("h")).alias("box"))
+    side = lambda p, q, r, s: min(p + q, r + s) - max(p, r)
+    meets = lambda p, q: p[0] == q[0] and p[2] < q[2] + q[4] and q[2] < p[2] + p[4] and p[3] < q[3] + q[5] and q[3] < p[3] + p[5]
+    area = lambda p, q: side(p[2], p[4], q[2], q[4]) * side(p[3], p[5], q[3], q[5])
+    want = {(p[0], p[1]): max((area(p, q), -q[1]) for q in b if meets(p, q)) for p in a if any(meets(p, q) for q in b)}
+    got = M.largest_overlap(df(a, "region"), df(b, "block"), ["page"])
+    assert {(r.page, r.region): (r.area, -r.block) for r in got.collect()} == want
+    spans = df(b, "seq").withColumn("text", F.col("seq").cast("string"))
+    # a link of two rectangles has the texts of both
+    links = df([*a, (0, 7000, 1.0, 1.0, 6.0, 4.0), (0, 7000, 3.0, 2.0, 6.0, 4.0)], "link").withColumn("uri", F.lit("u"))
+    pairs = {}
+    for p in [*a, (0, 7000, 1.0, 1.0, 6.0, 4.0), (0, 7000, 3.0, 2.0, 6.0, 4.0)]:
+        pairs.setdefault((p[0], p[1]), []).extend(q[1] for q in b if meets(p, q))
+    assert {(r.page, r.link): r.text for r in M.link_spans(links, spans, ["page"]).collect()} == {k: " ".join(map(str, sorted(v))) for k, v in pairs.items() if v}
+
+
+def test_equal_boxes_are_compared_once(spark):
+    """A page of 30,000 equal regions and as many equal blocks: 900 million pairs if each is compared."""
+    side = lambda name: spark.range(30_000).select(F.lit(1).alias("page"), F.col("id").alias(name), G.rect(F.lit(0.0), F.lit(0.0), F.lit(2.0), F.lit(3.0)).alias("box"))
+    pairs = M.meeting_boxes(side("region").select("page", F.col("box").alias("a")).distinct(), side("block").select("page", F.col("box").alias("b")).distinct(), ["page"])
+    assert pairs.count() == 1
+    assert M.largest_overlap(side("region"), side("block"), ["page"]).select(F.count("*"), F.max("block"), F.max("area")).first() == (30_000, 0, 6.0)
