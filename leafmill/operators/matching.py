@@ -96,7 +96,13 @@ def largest_overlap(regions: DataFrame, blocks: DataFrame, page: list[str]) -> D
 
 
 def link_spans(annotations: DataFrame, spans: DataFrame, page: list[str]) -> DataFrame:
-    """(page, link, uri, text): the texts that each link's rectangle touches, in drawing order."""
-    joined = annotations.withColumnRenamed("box", "a").join(spans.withColumnRenamed("box", "b"), page).where(G.intersects(F.col("a"), F.col("b")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]), " ")
-    return joined.groupBy(*page, "link", "uri").agg(text.alias("text"))
+    """(page, link, uri, text): the texts that each link's rectangle touches, in drawing order.
+
+    Links with the same rectangles on a page have the same text, which is put together once.
+    """
+    links = annotations.groupBy(*page, "link", "uri").agg(F.sort_array(F.collect_list("box")).alias("boxes"))
+    kinds = links.select(*page, "boxes").distinct().select(*page, "boxes", F.explode("boxes").alias("a"))
+    held = spans.groupBy(*page, F.col("box").alias("b")).agg(F.collect_list(F.struct("seq", "text")).alias("held"))
+    text = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("held"))), lambda s: s["text"]), " ")
+    texts = meeting_boxes(kinds, held, page).groupBy(*page, "boxes").agg(text.alias("text"))
+    return links.join(texts, [*page, "boxes"]).select(*page, "link", "uri", "text")
