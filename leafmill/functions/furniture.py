@@ -69,15 +69,16 @@ def clean_author(x: Column) -> Column:
         return F.when(~no_name & (F.size(F.split(s, " ")) < 9), F.trim(unmarked))
 
     found = _one(_one(T.collapse(x), after), name)
-    return F.when(F.length(found).between(2, 100), found)
+    return _one(found, lambda n: F.when(F.length(n).between(2, 100), n))
 
 
 def author_names(values: Column) -> Column:
     """The distinct names of an array of bylines, ignoring case, as first written."""
     apart = F.flatten(F.transform(values, lambda v: F.split(F.regexp_replace(v, rf"(?i)\b({'|'.join(NAME_JOINERS)})\b", "\n"), "[,;&،\n]")))
     names = F.array_compact(F.transform(apart, clean_author))
-    folded = F.transform(names, F.lower)
-    return F.filter(names, lambda n, i: F.array_position(folded, F.lower(n)) == i + 1)
+    # names and their folded forms are variables, worked out once and not once for each name
+    firsts = lambda ns: _one(F.transform(ns, F.lower), lambda folded: F.filter(ns, lambda n, i: F.array_position(folded, F.lower(n)) == i + 1))
+    return _one(names, firsts)
 
 
 def is_pointer(text: Column, link_share: Column, stacked: Column | None = None) -> Column:

@@ -22,7 +22,7 @@ from leafmill.operators import changelog as L
 from leafmill.operators import matching as M
 from leafmill.operators import scoring as S
 from leafmill.plans.catalogue import query
-from leafmill.session import numbered, table
+from leafmill.session import numbered, spread, table
 
 
 def pick(values: list[str], index: Column) -> Column:
@@ -661,7 +661,7 @@ def author_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k == 0, F.array(F.concat(F.lit("By  Ann Able and "), name, F.lit(" |")))).when(k == 1, F.array(name, F.lower(name), F.lit("@someone"), F.lit("Staff 2024")))
         .when(k == 2, F.array(F.concat(F.lit("Jo Doe; "), name, F.lit(", JO DOE")))).otherwise(F.array(F.concat(F.lit("Von: "), name), F.lit("https://example.org/jo"), F.lit("Email us")))
     )
-    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(N.author_names(line), "|").alias("names"))
+    return spread(table(spark, sf_dir, "part")).select("p_partkey", F.array_join(N.author_names(line), "|").alias("names"))
 
 
 _FURNITURE = [

@@ -97,3 +97,8 @@ def test_picture_sources_and_chrome(spark):
     pages = spark.createDataFrame([(1, "https://a.org/p/", html)], "page_id long, url string, html string")
     got = A.inlines(page_nodes(pages), pages).where("type = 'image'").orderBy("node").select("src", "small").collect()
     assert [tuple(r) for r in got] == [("https://a.org/s-900.jpg", False), ("https://a.org/e.png", True)]
+
+
+def test_author_names_are_worked_out_once(spark):
+    spelled = str(N.author_names(F.col("x")))
+    assert spelled.count("and|und|et|y") == 1 and spelled.count("http://") == 1
