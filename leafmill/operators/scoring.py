@@ -1,13 +1,15 @@
 """Extraction quality as DataFrame operators: shingle overlap, macro scores, bootstrap, curated checks, ranks.
 
-Texts are compared per id; shingles are exploded and counted map-side first, so
-neither a text nor a shingle is ever collected.
+Texts are compared per id where both of them meet in one row; shingles of texts
+that stand in different tables are exploded and counted map-side first. Neither a
+text nor a shingle is ever collected.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.session import broadcastable
+from leafmill.session import TASK_BYTES, broadcastable, pieces, text_batches
 
 #: Weights of the combined curated score; missing parts are dropped and the rest renormalised.
 COMBINED_WEIGHTS = {"include": 0.5, "exclude": 0.2, "title": 0.1, "structure": 0.2}
@@ -31,23 +33,71 @@ def shingle_counts(df: DataFrame, key: str, text: str, n: int = 4) -> DataFrame:
     return grams.groupBy(key, "shingle").agg(F.count(F.lit(1)).alias("n"))
 
 
-def shingle_match(outputs: DataFrame, truth: DataFrame, key: str = "id", text: str = "text", n: int = 4) -> DataFrame:
-    """(key, tp, fp, fn, exact) for every id of both sides; the counts are shares that sum to 1, or 0 for two empty texts.
+def shared_counts(rows: DataFrame, key: str, first: Column, second: Column, keep: list[str], n: int = 1) -> DataFrame:
+    """(row of key and keep, lead, shared, firsts, seconds, exact): the word n-grams that two texts share, as often as both hold them, and how many each has.
 
-    Both multisets are tagged, unioned and summed by one aggregation instead of a
-    full outer join; ids without shingles come back through the id list.
+    The counts are those of all rows of a key, which stand with each of them in
+    their order; ``lead`` marks one row a key. ``exact``: whether a row's texts
+    have the same words, null where one is null. Only the texts are shuffled: n-grams
+    are counted where a key's rows meet, and partitions grow in number, not in size.
     """
-    pairs = outputs.select(key, F.col(text).alias("p_text")).join(truth.select(key, F.col(text).alias("t_text")), key)
-    p, t = shingle_counts(pairs, key, "p_text", n), shingle_counts(pairs, key, "t_text", n)
-    both = p.select(key, "shingle", F.col("n").alias("p"), F.lit(0).cast("long").alias("t")).unionByName(t.select(key, "shingle", F.lit(0).cast("long").alias("p"), F.col("n").alias("t")))
-    met = both.groupBy(key, "shingle").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
-    sums = met.groupBy(key).agg(
-        F.sum(F.least("p", "t")).alias("tp"), F.sum(F.greatest(F.lit(0), F.col("p") - F.col("t"))).alias("fp"), F.sum(F.greatest(F.lit(0), F.col("t") - F.col("p"))).alias("fn")
-    )
-    exact = pairs.select(key, (T.tokens("p_text") == T.tokens("t_text")).alias("exact"))
-    total = F.col("tp") + F.col("fp") + F.col("fn")
-    share = lambda c: F.coalesce(F.col(c) / total, F.lit(0.0)).alias(c)
-    return exact.join(sums, key, "left").select(key, share("tp"), share("fp"), share("fn"), "exact")
+    placed = rows.repartition(pieces(rows, F.octet_length(first) + F.octet_length(second), TASK_BYTES), key).sortWithinPartitions(key)
+    words = lambda text: F.when(text.isNotNull(), F.array_join(T.tokens(text), " "))
+    carried = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys([key, *keep])]).alias("row")
+    kind = rows.select(carried).schema["row"].dataType.simpleString()
+    schema = f"row {kind}, lead boolean, shared long, firsts long, seconds long, exact boolean"
+    names = ["row", "lead", "shared", "firsts", "seconds", "exact"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one, two, held = Counter(), Counter(), []
+        last, types = None, None
+
+        def grams(words: list[str]) -> list | Iterator[tuple]:
+            return words if n == 1 else zip(*(words[i:] for i in range(n)), strict=False) if len(words) >= n else [tuple(words)] if words else []
+
+        def counted() -> list[tuple]:
+            shared = sum([min(c, two[g]) for g, c in one.items() if g in two])
+            sums = shared, one.total(), two.total()
+            return [(row, i == 0, *sums, exact) for i, (row, exact) in enumerate(held)]
+
+        def put(out: list[tuple]) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+        for batch in batches:
+            types = [batch.schema.field("row").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            out: list[tuple] = []
+            for k, row, x, y in zip(*(batch[c].to_pylist() for c in ("k", "row", "x", "y")), strict=True):
+                if held and k != last:
+                    out += counted()
+                    one, two, held = Counter(), Counter(), []
+                last = k
+                a, b = (t.split(" ") if t else [] for t in (x, y))
+                one.update(grams(a))
+                two.update(grams(b))
+                held.append((row, None if x is None or y is None else a == b))
+            if out:
+                yield put(out)
+        if held:
+            yield put(counted())
+
+    return text_batches(placed.select(F.col(key).alias("k"), carried, words(first).alias("x"), words(second).alias("y"))).mapInArrow(run, schema)
+
+
+def shingle_shares(rows: DataFrame, key: str, first: Column, second: Column, keep: list[str], n: int = 4) -> DataFrame:
+    """(key, keep..., tp, fp, fn, exact) of two texts of every row; the counts are shares that sum to 1, or 0 for two empty texts and without a key."""
+    names = list(dict.fromkeys([key, *keep]))
+    fp, fn = F.col("firsts") - F.col("shared"), F.col("seconds") - F.col("shared")
+    total = F.when(F.col(f"row.{key}").isNotNull(), F.nullif(F.col("shared") + fp + fn, F.lit(0)))
+    share = lambda c: F.coalesce(c / total, F.lit(0.0))
+    met = shared_counts(rows, key, first, second, keep, n)
+    return met.select(*[F.col(f"row.{c}") for c in names], share(F.col("shared")).alias("tp"), share(fp).alias("fp"), share(fn).alias("fn"), "exact")
+
+
+def shingle_match(outputs: DataFrame, truth: DataFrame, key: str = "id", text: str = "text", n: int = 4) -> DataFrame:
+    """(key, tp, fp, fn, exact) for every id of both sides, as ``shingle_shares``; a null text is an empty one."""
+    side = lambda df, name: df.select(key, F.coalesce(text, F.lit("")).alias(name))
+    pairs = side(outputs, "p_text").join(side(truth, "t_text"), key)
+    return shingle_shares(pairs, key, F.col("p_text"), F.col("t_text"), [], n)
 
 
 def shingle_overlap(docs: DataFrame, key: str, items: DataFrame, item: str, text: str = "text", n: int = 4) -> DataFrame:
@@ -151,14 +201,11 @@ def top_candidates(scores: DataFrame, key: str, n: int = 5) -> DataFrame:
     return scores.select(key, "place", "score", place.alias("rank")).where(F.col("rank") <= n)
 
 
-def counter_f1(a: DataFrame, b: DataFrame, key: str, item: str) -> DataFrame:
-    """(key, f1): overlap of two multisets of items, 1 for two empty ones."""
-    named = lambda df: df.select(F.col(key).alias("_key"), F.col(item).alias("_item"))  # noqa: E731  no clash with what is counted
-    tag = lambda df, x, y: named(df).groupBy("_key", "_item").agg(F.count(F.lit(1)).alias("n")).select("_key", "_item", (F.col("n") * x).alias("p"), (F.col("n") * y).alias("t"))
-    met = tag(a, 1, 0).unionByName(tag(b, 0, 1)).groupBy("_key", "_item").agg(F.sum("p").alias("p"), F.sum("t").alias("t"))
-    out = met.groupBy(F.col("_key").alias(key)).agg((2 * F.sum(F.least("p", "t")) / F.sum(F.col("p") + F.col("t"))).alias("f1"))
-    ids = a.select(key).unionByName(b.select(key)).distinct()
-    return ids.join(out, key, "left").select(key, F.coalesce("f1", F.lit(1.0)).alias("f1"))
+def counter_f1(rows: DataFrame, key: str, first: Column, second: Column) -> DataFrame:
+    """(key, f1): overlap of the multisets of words of two texts, for every key with a word; rows without a key share nothing."""
+    met = shared_counts(rows, key, first, second, []).where(F.col("lead") & (F.col("firsts") + F.col("seconds") > 0))
+    shared = F.when(F.col(f"row.{key}").isNotNull(), F.col("shared")).otherwise(0)
+    return met.select(F.col(f"row.{key}"), (2 * shared / (F.col("firsts") + F.col("seconds"))).alias("f1"))
 
 
 def uncovered_lines(df: DataFrame, key: str, text: str, other: str, n: int = 4) -> DataFrame:

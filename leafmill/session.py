@@ -46,6 +46,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: About what one task holds at most of a table that is dealt out by a key.
+TASK_BYTES, TASK_ROWS = 32 << 20, 250_000
+
+
+def pieces(df: DataFrame, size: Column, most: int) -> int:
+    """How many partitions hold about ``most`` of ``size`` each, added up over the rows; no fewer than Spark would make."""
+    held = df.agg(F.sum(size)).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(held) // most))
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """Keeps Arrow batches small, so that very long texts don't meet in one batch."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return df
+
+
 def numbered(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
     """``df`` with ``name``: its place in the order, from 1.
 
