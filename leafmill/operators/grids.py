@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators.content import data_tables
+from leafmill.session import TASK_ROWS, pieces
 
 #: How far a cell may span.
 MOST_COLUMNS, MOST_ROWS = 100, 1000
@@ -50,7 +51,8 @@ def page_cells(nodes: DataFrame) -> DataFrame:
 def place_cells(cells: DataFrame, *table: str) -> DataFrame:
     """``cells`` with ``col``: where each begins; ``rowspan`` ends with the table. ``cells``: the columns of ``table``, row, at, colspan, rowspan.
 
-    Tables come one after the other in the sorted rows of a partition.
+    The window deals the cells out by table, in as many partitions as ``cells`` if they
+    are by table already; tables come one after the other in the sorted rows of a partition.
     """
     whole = cells.withColumn("rowspan", F.least(F.col("rowspan"), F.max("row").over(Window.partitionBy(*table)) - F.col("row") + 1).cast("int")).withColumn("col", F.lit(0))
 
@@ -70,23 +72,40 @@ def place_cells(cells: DataFrame, *table: str) -> DataFrame:
                 c += wide
             yield batch.set_column(batch.schema.get_field_index("col"), "col", pa.array(cols, pa.int32()))
 
-    return whole.repartition(*table).sortWithinPartitions(*table, "row", "at").mapInArrow(run, whole.schema)
+    return whole.sortWithinPartitions(*table, "row", "at").mapInArrow(run, whole.schema)
+
+
+def _row() -> dict[str, Column]:
+    """Facts of a row by its cells."""
+    return {"head": F.bool_and("header"), "wide": F.max(F.col("col") + F.col("colspan"))}
+
+
+def _table() -> dict[str, Column]:
+    """Facts of a table by its rows."""
+    return {"rows": F.count(F.lit(1)), "columns": F.max("wide"), "last": F.max("row"), "body": F.min(F.when(~F.col("head"), F.col("row")))}
+
+
+def _heads() -> Column:
+    lead = F.coalesce("body", F.col("last") + 1)
+    return F.when(lead < F.col("rows"), lead).when(F.col("rows") > 1, 1).otherwise(0).cast("int").alias("header_rows")
 
 
 def header_rows(cells: DataFrame, *table: str) -> DataFrame:
     """(table, rows, columns, header_rows): leading rows of header cells alone; of a table that has no others, the first if there are more."""
-    rows = cells.groupBy(*table, "row").agg(F.bool_and("header").alias("head"), F.max(F.col("col") + F.col("colspan")).alias("wide"))
-    sums = rows.groupBy(*table).agg(F.count(F.lit(1)).alias("rows"), F.max("wide").alias("columns"), F.coalesce(F.min(F.when(~F.col("head"), F.col("row"))), F.max("row") + 1).alias("lead"))
-    heads = F.when(F.col("lead") < F.col("rows"), F.col("lead")).when(F.col("rows") > 1, 1).otherwise(0)
-    return sums.select(*table, "rows", "columns", heads.cast("int").alias("header_rows"))
+    rows = cells.groupBy(*table, "row").agg(*[c.alias(n) for n, c in _row().items()])
+    return rows.groupBy(*table).agg(*[c.alias(n) for n, c in _table().items()]).select(*table, "rows", "columns", _heads())
 
 
 def markdown_tables(cells: DataFrame, *table: str) -> DataFrame:
-    """(table, markdown) of placed cells: a pipe table; what a cell spans besides its first place stays empty, and a table without header rows has an empty one."""
-    sizes = header_rows(cells, *table)
+    """(table, markdown) of placed cells: a pipe table; what a cell spans besides its first place stays empty, and a table without header rows has an empty one.
+
+    Cells are dealt out by table once, and all that follows stays there.
+    """
+    cells = cells.repartition(pieces(cells, F.lit(1), TASK_ROWS), *table)
     text = F.replace(F.col("text"), F.lit("|"), F.lit("\\|"))
-    lines = cells.groupBy(*table, "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int"), text)))).alias("m"), F.map_from_entries(F.filter(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), F.col("align").alias("a")))), lambda x: x["a"].isNotNull())).alias("aligned"))
-    lines = lines.join(sizes, list(table))
+    lines = cells.groupBy(*table, "row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int"), text)))).alias("m"), F.map_from_entries(F.filter(F.array_sort(F.collect_list(F.struct(F.col("col").cast("int").alias("c"), F.col("align").alias("a")))), lambda x: x["a"].isNotNull())).alias("aligned"), *[c.alias(n) for n, c in _row().items()])
+    one = Window.partitionBy(*table)
+    lines = lines.select("*", *[c.over(one).alias(n) for n, c in _table().items()]).withColumn("header_rows", _heads())
     across = F.transform(F.sequence(F.lit(0), F.col("columns").cast("int") - 1), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))
     bar = F.concat(F.lit("|"), F.array_join(F.transform(across, lambda s: F.when(s == "", "  |").otherwise(F.concat(F.lit(" "), s, F.lit(" |")))), ""))
     how = lambda c: F.coalesce(F.try_element_at(F.col("aligned"), c), F.lit(""))

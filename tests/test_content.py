@@ -245,3 +245,17 @@ def test_grid_of_spans(spark):
     assert [(x.rows, x.columns, x.header_rows) for x in r] == [(4, 100, 2)]
     lines = G.markdown_tables(cells.where("row < 3"), "page_id", "table").first().markdown.split("\n")
     assert lines == ["| a | b |  |", "| --- | :-: | --- |", "|  | c | d\\|e |", "| 1 | 2 | 3 |"]
+
+
+def test_more_cells_are_more_tasks_of_tables(spark, monkeypatch):
+    """A task holds so many rows at most, with the tables as before."""
+    from leafmill.plans import catalogue
+    from tests.conftest import SF, rows_of
+
+    whole = {name: catalogue.QUERIES[name](spark, SF).toArrow() for name in ("table_cells", "table_markdown")}
+    for module in (catalogue, G):
+        monkeypatch.setattr(module, "TASK_ROWS", 200)
+    for name, want in whole.items():
+        df = catalogue.QUERIES[name](spark, SF)
+        assert df.rdd.getNumPartitions() >= 25
+        assert rows_of(df.toArrow(), sorted(want.column_names)) == rows_of(want, sorted(want.column_names))
