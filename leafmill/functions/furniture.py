@@ -93,12 +93,17 @@ def is_pointer(text: Column, link_share: Column, stacked: Column | None = None)
 
 def is_pitch(text: Column) -> Column:
     """A call to sign up, subscribe, download, follow or support, under 300 characters; quoted speech is none."""
-    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+|[^a-z0-9_ ]"), F.lit(0))  # marks are words of their own, so no phrase runs over them
-    app = F.exists(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.slice(words, i + 2, 3).alias("on"))), lambda x: (x["w"] == "get") & F.get(x["on"], F.lit(0)).isin("the", "our") & F.array_contains(F.slice(x["on"], 2, 2), "app") & ((F.get(x["on"], F.lit(1)) == "app") | _only(F.get(x["on"], F.lit(1)), _WORD)))
-    spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    said = _one(spaced, lambda line: F.exists(_list([f" {p} " for p in PITCHES]), lambda p: F.contains(line, p))) | F.coalesce(app, F.lit(False)) | F.exists(_list(PITCHES_ELSEWHERE), lambda p: F.contains(F.lower(text), p))
+
+    def said(words: Column) -> Column:
+        app = F.exists(F.transform(words, lambda w, i: F.struct(w.alias("w"), F.slice(words, i + 2, 3).alias("on"))), lambda x: (x["w"] == "get") & F.get(x["on"], F.lit(0)).isin("the", "our") & F.array_contains(F.slice(x["on"], 2, 2), "app") & ((F.get(x["on"], F.lit(1)) == "app") | _only(F.get(x["on"], F.lit(1)), _WORD)))
+        spaced = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+        return _one(spaced, lambda line: F.exists(_list([f" {p} " for p in PITCHES]), lambda p: F.contains(line, p))) | F.coalesce(app, F.lit(False))
+
+    # marks are words of their own, so no phrase runs over them; the words are a variable, or each of them would have the line cut again
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]+|[^a-z0-9_ ]"), F.lit(0))
+    elsewhere = _one(F.lower(text), lambda low: F.exists(_list(PITCHES_ELSEWHERE), lambda p: F.contains(low, p)))
     # only lines that are short enough are cut into words
-    return F.when((text != "") & (F.length(text) < 300) & ~F.array_contains(_list(list("\"“„«'‘")), F.left(text, F.lit(1))), said).otherwise(False)
+    return F.when((text != "") & (F.length(text) < 300) & ~F.array_contains(_list(list("\"“„«'‘")), F.left(text, F.lit(1))), _one(words, said) | elsewhere).otherwise(False)
 
 
 def is_contact(text: Column) -> Column:

@@ -14,6 +14,8 @@ from pyspark.sql.types import LongType, StringType
 
 SPACE = r"\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 HTML_SPACE = r"\t\n\f\r "
+#: The characters of ``SPACE`` one by one.
+_SPACES = "".join(chr(c) for c in (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))
 CJK = r"\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{AC00}-\x{D7AF}"
 ZERO_WIDTH = r"\x{AD}\x{200B}-\x{200D}\x{2060}\x{FEFF}"
 #: The ASCII comma and those of other scripts.
@@ -56,7 +58,7 @@ def _c(x: Column | str) -> Column:
 
 def trim_space(x: Column | str) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(_c(x), f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(_c(x), F.lit(_SPACES))  # looks at the ends alone, where a pattern tries every character
 
 
 def collapse(x: Column | str) -> Column:

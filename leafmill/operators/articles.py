@@ -150,7 +150,8 @@ def pruned(nodes: DataFrame, strip: bool = True) -> DataFrame:
 
 def subtree_text(nodes: DataFrame) -> DataFrame:
     """(page_id, node, chars, link_chars, commas) of every element: sums over the texts below it."""
-    t = nodes.where("tag = '#text'").select("page_id", F.explode("path").alias("node"), T.visible_length("text").alias("n"), T.comma_count("text").alias("c"), _has(F.col("tags"), ["a"]).alias("linked"))
+    t = nodes.where("tag = '#text'").select("page_id", "path", T.visible_length("text").alias("n"), T.comma_count("text").alias("c"), _has(F.col("tags"), ["a"]).alias("linked"))
+    t = t.select("page_id", F.explode("path").alias("node"), "n", "c", "linked")  # a text is counted once, not once for each element above it
     return t.groupBy("page_id", "node").agg(F.sum("n").alias("chars"), F.sum(F.when(F.col("linked"), F.col("n")).otherwise(0)).alias("link_chars"), F.sum("c").alias("commas"))
 
 
@@ -393,8 +394,10 @@ def tidy(block_rows: DataFrame, meta: DataFrame) -> DataFrame:
     pointer = plain & N.is_pointer(text, F.col("link_share"))
     pitch = ((F.col("place") <= 3) | (F.col("left") < 3)) & F.col("type").isin("paragraph", "list") & N.is_pitch(text)
     contact = (F.col("left") < 3) & plain & N.is_contact(text)
-    bad = [title, twice, dated, pointer, pitch, contact]
-    return df.where(~F.greatest(*[F.coalesce(b, F.lit(False)) for b in bad])).drop("title", "before", "place", "left")
+    bad = F.lit(False)
+    for b in (twice, title, contact, pointer, dated, pitch):
+        bad = bad | F.coalesce(b, F.lit(False))
+    return df.where(~bad).drop("title", "before", "place", "left")
 
 
 def articles(pages: DataFrame) -> tuple[DataFrame, DataFrame]:

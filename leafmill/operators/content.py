@@ -133,15 +133,19 @@ def _marked(nodes: DataFrame) -> DataFrame:
 def _regions(marked: DataFrame) -> DataFrame:
     """(page_id, owner, counts..., words): sums over what stands below an element and below no inner one that may go."""
     text, tag = F.col("tag") == "#text", F.col("tag")
-    n = F.when(text, T.visible_length("text")).otherwise(0).cast("double")
+    n, commas, ends = F.col("n"), F.col("n_commas"), F.col("n_ends")  # columns of their own: each text is read once, not once for each sum
+    marked = marked.withColumns({
+        "n": F.when(text, T.visible_length("text")).otherwise(0).cast("double"), "n_commas": F.when(text, T.comma_count("text")),
+        "n_ends": F.when(text, F.regexp_count("text", F.lit("[.!?。！？][\"'”’)\\]]*(?:\\s|$)"))),
+    })
     one = lambda test: F.sum(F.when(test, 1).otherwise(0)).cast("double")
     total = lambda what, test=None: F.sum(what if test is None else F.when(test, what).otherwise(0)).cast("double")
     frame = _is_content_frame()
     return marked.groupBy("page_id", "owner").agg(
-        total(n).alias("text"), total(n * F.col("linked")).alias("link"), total(T.comma_count("text"), text).alias("commas"), one(tag == "p").alias("p"), one(tag == "img").alias("img"), one(tag == "li").alias("li"),
+        total(n).alias("text"), total(n * F.col("linked")).alias("link"), total(commas, text).alias("commas"), one(tag == "p").alias("p"), one(tag == "img").alias("img"), one(tag == "li").alias("li"),
         one((tag == "input") & (F.lower(_attr("type")) != "checkbox")).alias("input"), one(tag.isin(PLAYERS) | frame).alias("shielded"), one(tag.isin(EMBEDDED) & ~frame).alias("embeds"),
         total(n, F.col("headed")).alias("heading_text"), F.lit(0.0).alias("list_text"), total(n, F.col("inner")).alias("inner_text"), one((tag == "figure") & F.col("picture") & ~F.col("shown")).alias("figures"),
-        total(n, F.col("shown")).alias("figure_text"), total(n * F.col("linked"), F.col("shown")).alias("figure_link"), total(F.regexp_count("text", F.lit("[.!?。！？][\"'”’)\\]]*(?:\\s|$)")), text).alias("ends"),
+        total(n, F.col("shown")).alias("figure_text"), total(n * F.col("linked"), F.col("shown")).alias("figure_link"), total(ends, text).alias("ends"),
         F.array_sort(F.collect_list(F.when(text, F.struct("node", "text")))).alias("words"),
     )
 

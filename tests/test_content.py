@@ -259,3 +259,20 @@ def test_more_cells_are_more_tasks_of_tables(spark, monkeypatch):
         df = catalogue.QUERIES[name](spark, SF)
         assert df.rdd.getNumPartitions() >= 25
         assert rows_of(df.toArrow(), sorted(want.column_names)) == rows_of(want, sorted(want.column_names))
+
+
+def test_texts_of_pages_are_read_once(spark):
+    """Words of a line are cut once, lengths come before the rows of ancestors, and ends are trimmed as the pattern says."""
+    from leafmill.functions import furniture as N
+    from leafmill.functions import text as T
+    from leafmill.operators import articles as A
+    from leafmill.sources.pages import NODE_SCHEMA
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    lines = spark.createDataFrame([("get our free app",), ("Get the app now",), ("we get there",), ("",), (None,)], "text string").repartition(1)
+    assert plan(lines.select(N.is_pitch(F.col("text")).alias("p"))).count("regexp_extract_all(") == 1
+    assert [r[0] for r in lines.select(N.is_pitch(F.col("text"))).collect()] == [True, True, False, False, False]
+    below = plan(A.subtree_text(spark.createDataFrame([], NODE_SCHEMA).repartition(1))).split("Generate", 1)
+    assert "regexp_replace" not in below[0] and "regexp_replace" in below[1]
+    odd = spark.createDataFrame([(a + "x　y" + b,) for a in ("", "﻿\n ", "​") for b in ("", " \x0b", " .")] + [(" \t",), ("",), (None,)], "s string")
+    assert odd.where(~T.trim_space("s").eqNullSafe(F.regexp_replace("s", f"^[{T.SPACE}]+|[{T.SPACE}]+$", ""))).count() == 0
