@@ -40,6 +40,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,12 +63,28 @@ _WIDE = "\u3005-\u3007\u3041-\u3096\u30a1-\u30fa\u30fc-\u30fe\u31f0-\u31ff\u3400
 _HAS_WIDE, _WIDE_WORD = re.compile(f"[{_WIDE}]"), re.compile(rf"[{_WIDE}][^\w\s]*|[^\s{_WIDE}]+")
 
 
+@lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
+
+
 def content_starts(words: list[str], width: int) -> list[int]:
     """Where the pieces of more than ``width`` words begin: at 0, and after the last least hash of every ``width`` words."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w in words], np.uint64)
-    windows = np.lib.stride_tricks.sliding_window_view(hashes[::-1], width)  # reversed: argmin takes the last of equal ones
-    at = len(words) - np.unique(np.arange(len(windows)) + windows.argmin(axis=1))
-    return [0, *at[at < len(words)][::-1].tolist()]
+    hashes = [*map(_word_hash, words)]
+    at = -1
+    cuts = [0]
+    for i in range(width - 1, len(words)):  # the window that ends with word i; its least hash is mostly the one of the window before
+        if at >= 0 and hashes[i] <= hashes[at]:
+            at = i
+        elif at <= i - width:
+            window = hashes[i - width + 1 : i + 1]
+            at = i - window[::-1].index(min(window))
+        else:
+            continue
+        cuts.append(at + 1)
+    if cuts[-1] == len(words):
+        cuts.pop()
+    return cuts
 
 
 def sentences(text: str, unit_words: int = UNIT_WORDS, content_cuts: bool = False) -> tuple[np.ndarray, np.ndarray, str, np.ndarray, np.ndarray]:

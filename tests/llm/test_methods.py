@@ -693,3 +693,19 @@ def test_recall_of_each_kind_on_sentences_of_another_make():
 def test_shapes_read_whole_tokens():
     a, b = ("ab1-" * 60 + x for x in ("c", "7"))
     assert pii.shapes(a) != pii.shapes(b) and len(pii.shapes(a)[0]) <= 24
+
+
+def test_content_cuts_are_the_least_hashes_of_all_windows():
+    """Against every window by itself, with equal words; a repeated word is hashed once."""
+    import random
+
+    from leafmill.llm import sentence_dedup as D
+
+    rng = random.Random(11)
+    D._word_hash.cache_clear()
+    for _ in range(200):
+        width, words = rng.randint(1, 24), [rng.choice("abcdefghij") for _ in range(rng.randint(25, 80))]
+        hashes = [D.xxhash.xxh3_64_intdigest(w.encode()) for w in words]
+        ends = {max(range(i, i + width), key=lambda k: (-hashes[k], k)) + 1 for i in range(len(words) - width + 1)}
+        assert D.content_starts(words, width) == [0, *sorted(ends - {len(words)})]
+    assert D._word_hash.cache_info().misses == 10
