@@ -530,18 +530,24 @@ def curated_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("tier", "category", "docs", "leaking", *[F.round(c, 6).alias(c) for c in ("include_recall", "leak_rate", "structure_pass", "combined")])
 
 
+_CELLS = "with l as (select *, unnest(['order', 'book']) as level from lineitem), c as (select level, case level when 'order' then l_orderkey else l_orderkey % 500 end as page, l_linenumber as t, l_quantity as r, cast(l_tax * 100 as int) as c, l_returnflag as f from l)"
+
+
 @query(
     "cell_scores",
-    """with p as (select l_orderkey % 500 as page, l_linenumber as t, l_quantity as r, cast(l_tax * 100 as int) as c, count(*) as n from lineitem where l_returnflag <> 'N' group by all), q as (select l_orderkey % 500 as page, l_linenumber as t, l_quantity as r, cast(l_tax * 100 as int) as c, count(*) as n from lineitem where l_returnflag <> 'A' group by all),
-    tp as (select p.page, p.t as p_table, q.t as r_table, sum(least(p.n, q.n)) as tp from p join q on p.page = q.page and p.r = q.r and p.c = q.c group by all), ps as (select page, t, sum(n) as n from p group by all), qs as (select page, t, sum(n) as n from q group by all)
-    select tp.page, p_table, r_table, round(2 * tp / (ps.n + qs.n), 6) as f1 from tp join ps on tp.page = ps.page and p_table = ps.t join qs on tp.page = qs.page and r_table = qs.t""",
+    _CELLS + """, p as (select level, page, t, r, c, count(*) as n from c where f <> 'N' group by all), q as (select level, page, t, r, c, count(*) as n from c where f <> 'A' group by all),
+    tp as (select p.level, p.page, p.t as p_table, q.t as r_table, sum(least(p.n, q.n)) as tp from p join q on p.level = q.level and p.page = q.page and p.r = q.r and p.c = q.c group by all), ps as (select level, page, t, sum(n) as n from p group by all), qs as (select level, page, t, sum(n) as n from q group by all)
+    select tp.level, tp.page, p_table, r_table, round(2 * tp / (ps.n + qs.n), 6) as f1 from tp join ps on tp.level = ps.level and tp.page = ps.page and p_table = ps.t join qs on tp.level = qs.level and tp.page = qs.page and r_table = qs.t""",
 )
 def cell_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of every order, which grow in number with the lines, and of 500 books of orders, whose tables grow."""
+    level = lambda name, page: F.struct(F.lit(name).alias("level"), page.alias("page"))
+    levels = F.array(level("order", F.col("l_orderkey")), level("book", F.col("l_orderkey") % 500))
     cells = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_orderkey") % 500).alias("page"), F.col("l_linenumber").alias("table"), F.col("l_quantity").alias("row"), (F.col("l_tax") * 100).cast("int").alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.lit("").alias("text"), "l_returnflag"
+        F.inline(levels), F.col("l_linenumber").alias("table"), F.col("l_quantity").alias("row"), (F.col("l_tax") * 100).cast("int").alias("col"), F.lit(1).alias("rowspan"), F.lit(1).alias("colspan"), F.lit("").alias("text"), "l_returnflag"
     )
-    out = M.pair_scores(cells.where("l_returnflag <> 'N'").drop("l_returnflag"), cells.where("l_returnflag <> 'A'").drop("l_returnflag"), ["page"])
-    return out.select("page", "p_table", "r_table", F.round("f1", 6).alias("f1"))
+    out = M.pair_scores(cells.where("l_returnflag <> 'N'").drop("l_returnflag"), cells.where("l_returnflag <> 'A'").drop("l_returnflag"), ["level", "page"])
+    return out.select("level", "page", "p_table", "r_table", F.round("f1", 6).alias("f1"))
 
 
 def _page_boxes(df: DataFrame, extra: str) -> DataFrame:
