@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import geometry as G
@@ -99,10 +99,17 @@ def link_spans(annotations: DataFrame, spans: DataFrame, page: list[str]) -> Dat
     """(page, link, uri, text): the texts that each link's rectangle touches, in drawing order.
 
     Links with the same rectangles on a page have the same text, which is put together once.
+    Texts of links are much longer than what they come from: links and spans meet by page, as
+    few as they are, and a link's text becomes a row where it is put together.
     """
     links = annotations.groupBy(*page, "link", "uri").agg(F.sort_array(F.collect_list("box")).alias("boxes"))
-    kinds = links.select(*page, "boxes").distinct().select(*page, "boxes", F.explode("boxes").alias("a"))
-    held = spans.groupBy(*page, F.col("box").alias("b")).agg(F.collect_list(F.struct("seq", "text")).alias("held"))
-    text = F.array_join(F.transform(F.array_sort(F.flatten(F.collect_list("held"))), lambda s: s["text"]), " ")
-    texts = meeting_boxes(kinds, held, page).groupBy(*page, "boxes").agg(text.alias("text"))
-    return links.join(texts, [*page, "boxes"]).select(*page, "link", "uri", "text")
+    kinds = links.groupBy(*page, "boxes").agg(F.collect_list(F.struct("link", "uri")).alias("links"))
+    placed = spans.withColumn("place", F.row_number().over(Window.partitionBy(*page).orderBy("seq", "text")))
+    held = placed.groupBy(*page, F.col("box").alias("b")).agg(F.collect_list("place").alias("places"))
+    held = held.groupBy(*page).agg(F.collect_list(F.struct("b", "places")).alias("held"))
+    drawn = placed.groupBy(*page).agg(F.sort_array(F.collect_list(F.struct("place", "text")))["text"].alias("drawn"))
+    touched = lambda a: F.flatten(F.filter("held", lambda h: G.intersects(a, h["b"]))["places"])
+    places = F.sort_array(F.flatten(F.transform("boxes", touched)))
+    met = kinds.join(held.join(drawn, page), page).select(*page, "links", "drawn", F.explode(F.filter(F.array(places), lambda p: F.size(p) > 0)).alias("places"))
+    text = F.array_join(F.transform("places", lambda i: F.get("drawn", i - 1)), " ")
+    return met.select(*page, "links", text.alias("text")).select(*page, F.inline("links"), "text")
