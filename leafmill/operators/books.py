@@ -19,7 +19,7 @@ PAGE_ENDINGS = "jpg jpeg png gif webp avif bmp".split()
 ALIGN, TAIL = 64 * 1024, 22 + 65535
 MIN_SEGMENT, MAX_SEGMENT, TARGET_SEGMENTS, SINGLE = 4 << 20, 16 << 20, 32, 4 << 20
 #: How many ranges a run and a task make.
-RUN, TASK_RANGES = 4096, 1 << 21
+RUN, TASK_RANGES = 512, 1 << 21
 
 
 def source_kind(content: Column | str) -> Column:
@@ -221,18 +221,23 @@ def plan_segments(df: DataFrame, size: str) -> DataFrame:
     """A row for each range [start, end) of a file, in the order of fetching: the aligned tail, then front to back.
 
     A small table of files may mean very many ranges: runs of at most ``RUN`` of
-    them, few rows still, are dealt out to tasks before they become rows.
+    them, few rows still, are dealt out to tasks before they become rows. A task
+    has the same places of many files: their numbers repeat from file to file, and
+    tables store them in a fraction of what a file at a time would take.
     """
     n = F.col(size)
     tail = F.when(n <= SINGLE, 0).otherwise(F.floor(F.greatest(F.lit(0), n - TAIL) / ALIGN) * ALIGN).cast("long")
     step = (F.ceil(F.least(F.lit(MAX_SEGMENT), F.greatest(F.lit(MIN_SEGMENT), F.ceil(F.col("tail_") / TARGET_SEGMENTS))) / ALIGN) * ALIGN).cast("long")
     files = df.where(n > 0).withColumn("tail_", tail).withColumn("step_", step).withColumn("last_", F.ceil(F.col("tail_") / F.col("step_")).cast("long"))
     total = files.agg(F.sum(F.col("last_") + 1)).first()[0] or 0
-    runs = files.withColumn("run_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last_"), F.lit(RUN).cast("long"))))
+    front_runs = F.when(F.col("last_") > 0, F.sequence(F.lit(1).cast("long"), F.col("last_"), F.lit(RUN).cast("long")))
+    tail_run = F.array(F.lit(0).cast("long"))  # alone, as its places are the file's own
+    runs = files.withColumn("run_", F.explode(F.concat(tail_run, F.coalesce(front_runs, F.array().cast("array<bigint>")))))
     tasks = min(1 + total // TASK_RANGES, 20_000)
     if tasks > 1:
-        runs = runs.repartition(max(tasks, df.sparkSession.sparkContext.defaultParallelism))
-    out = runs.withColumn("i_", F.explode(F.sequence(F.col("run_"), F.least(F.col("run_") + RUN - 1, F.col("last_")))))
+        runs = runs.repartitionByRange(max(tasks, df.sparkSession.sparkContext.defaultParallelism), "step_", "run_", n).sortWithinPartitions("step_", "run_")
+    of_run = F.when(F.col("run_") > 0, F.sequence(F.col("run_"), F.least(F.col("run_") + RUN - 1, F.col("last_")))).otherwise(tail_run)
+    out = runs.withColumn("i_", F.explode(of_run))
     i, front = F.col("i_"), (F.col("i_") - 1) * F.col("step_")
     start, end = F.when(i == 0, F.col("tail_")).otherwise(front), F.when(i == 0, n.cast("long")).otherwise(F.least(front + F.col("step_"), F.col("tail_")))
     return out.select(*df.columns, i.cast("int").alias("fetch"), start.alias("start"), end.alias("end"))

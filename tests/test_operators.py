@@ -279,6 +279,17 @@ def test_segments_of_few_large_files_are_dealt_out(spark):
     assert max(r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < sums[1].n / 2
 
 
+def test_segments_of_many_files_take_little_room(spark, tmp_path):
+    """Four million ranges of 1,000 large files: a task holds the same places of many files, so their numbers repeat."""
+    files = spark.range(1000).select("id", (F.lit(1 << 36) + F.col("id") * 300_007).alias("size"))
+    B.plan_segments(files, "size").select("id", "fetch", "start", "end").write.parquet(f"{tmp_path}/out")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    sums = back.groupBy("id").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.countDistinct("fetch").alias("places"), F.max("fetch").alias("last"))
+    assert sums.join(files, "id").where("bytes = size and n = places and last = n - 1").count() == 1000
+    held = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert held < 1.0 * back.count()
+
+
 def test_cell_scores_hold_every_order_and_every_book(spark, tmp_path):
     """More orders mean more pages, and the lines of a book's orders are scored together as well."""
     from leafmill.plans.catalogue import QUERIES
