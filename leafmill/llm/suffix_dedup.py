@@ -24,6 +24,10 @@ A corpus has no one suffix array; it is cut so that equal strings meet:
    so that a string that very many documents hold leaves a batch once.
 4. Covered strings return to their documents and are cut out.
 
+A text that a smaller document holds whole goes whole (``later_copies``): it is
+found by its digest and takes no part in these steps, where its smaller copy
+stands for it.
+
 A task remembers the least document of segments and strings that its batches
 repeat (``Seen``), so that a passage of a third of all documents reaches its
 shard about once for each task.
@@ -51,21 +55,26 @@ GRAM = 20
 #: Segments that one shard holds about, at every size; edges of one gram above which they are dealt out by their strings.
 SHARD_SEGMENTS = 400_000
 SPLIT = 4_096
-CHUNK = 1 << 20
+CHUNK, BLOCK = 1 << 20, 1 << 15
+#: Whole copies of a text are left out before it is cut: by a broadcast of so many, or by moving all texts where one in so many is a copy.
+FEW_COPIES, MANY_COPIES = 1 << 20, 4
 #: A segment's name: 40 bits of its gram and 24 of its own hash in one word, 64 of its hash in the other.
 GRAM_BITS = 40
 
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MUL = _rng.integers(0, 1 << 63, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLACE = np.arange(CHUNK, dtype=np.uint64)
 
 
-def suffix_order(data: np.ndarray, left: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def suffix_order(data: np.ndarray, left: np.ndarray, chosen: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(``chosen`` suffixes in order, length of the prefix that each shares with the one before it).
 
     ``data`` holds texts side by side; ``left`` counts the bytes from each place
     to the end of its text, where its suffix ends. Prefix doubling from seven
-    bytes a word; the ranks of each round give the common prefixes.
+    bytes a word; the ranks of each round give the common prefixes. With a
+    ``depth``, suffixes that share so many bytes are in any order, and a common
+    prefix may be given as no more than that.
     """
     n, width = len(data), 7
     key = np.zeros(n, np.uint64)
@@ -78,7 +87,7 @@ def suffix_order(data: np.ndarray, left: np.ndarray, chosen: np.ndarray) -> tupl
     while True:
         rank = np.unique(key, return_inverse=True)[1].astype(np.uint64) + np.uint64(1)
         ranks.append((width, rank))
-        if not n or width >= left.max():
+        if not n or width >= (left.max() if depth is None else min(depth, left.max())):
             break
         ahead = np.zeros(n, np.uint64)
         ahead[: max(0, n - width)] = rank[width:]
@@ -134,53 +143,98 @@ def longest_previous_factor(data: bytes) -> np.ndarray:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _MUL[8]
-    x = (x ^ (x >> np.uint64(29))) * _MUL[9]
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(31))
+    x *= _MUL[8]
+    x ^= x >> np.uint64(29)
+    x *= _MUL[9]
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """Hashes of all GRAM-byte grams."""
-    h, width = _BYTE[data], 1
+    """Hashes of all GRAM-byte grams: sixteen bytes by doubling, and four more."""
+    h, width, tail = _BYTE.take(data), 1, None
     for k in range(4):
-        h, width = h[:-width] * _MUL[k] + h[width:], 2 * width
-    tail = _BYTE[data]
-    tail = tail[:-1] * _MUL[4] + tail[1:]
-    tail = tail[:-2] * _MUL[5] + tail[2:]
-    return _mix(h[: len(data) - GRAM + 1] * _MUL[6] + tail[16 : 16 + len(data) - GRAM + 1])
+        left = h[:-width] * _MUL[k]
+        left += h[width:]
+        h, width = left, 2 * width
+        if width == GRAM - 16:
+            tail = h
+    h = h[: len(data) - GRAM + 1] * _MUL[6]
+    h += tail[16 : 16 + len(h)]
+    return _mix(h)
 
 
-def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(both words of its name, first string, gram's distance from it, strings) of each segment of a text."""
+def segments_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(number of its text, both words of its name, first string, gram's distance from it, strings) of each segment, text by text.
+
+    Short texts are worked on side by side, a BLOCK at a time; no string crosses from one to the next.
+    """
     parts = []
-    for at in range(0, max(1, len(text) - length + 1), CHUNK - length + 1):
-        data = np.frombuffer(text, np.uint8)[at : at + CHUNK]
-        if len(data) < length:
-            continue
-        h = _grams(data)
-        low = (h >> np.uint64(20) << np.uint64(20)) | np.arange(len(h), dtype=np.uint64)  # a tie goes to the left
-        window = length - GRAM + 1
-        w = 1
-        while 2 * w <= window:
-            low, w = np.minimum(low[:-w], low[w:]), 2 * w
-        if w < window:
-            low = np.minimum(low[: len(low) - (window - w)], low[window - w :])
-        gram = (low & np.uint64(CHUNK - 1)).astype(np.int64)
-        first = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
-        n = np.diff(np.r_[first, len(gram)])
-        gram = gram[first]
-        size = n + length - 1
-        seg = n.astype(np.uint64) * _MUL[7] + (gram - first).astype(np.uint64) * _MUL[10]
-        more = seg * _MUL[9]
-        for k in range(0, 2 * length, GRAM - 5):  # overlapping grams up to the segment's end
-            piece = h[first + np.minimum(k, size - GRAM)]
-            seg, more = _mix(seg * _MUL[11] + piece), (more + piece) * _MUL[8] ^ (more >> np.uint64(29))
-        parts.append((h[gram] << np.uint64(64 - GRAM_BITS) | _mix(more) >> np.uint64(GRAM_BITS), seg, first + at, gram - first, n))
+    at = 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= BLOCK):
+            held += len(texts[end])
+            end += 1
+        if end - at > 1:
+            parts.append(_block_segments(b"".join(texts[at:end]), np.array([len(t) for t in texts[at:end]]), length, at, 0))
+        else:
+            text = texts[at]
+            for begin in range(0, max(1, len(text) - length + 1), CHUNK - length + 1):
+                chunk = text[begin : begin + CHUNK]
+                parts.append(_block_segments(chunk, np.array([len(chunk)]), length, at, begin))
+        at = end
+    parts = [p for p in parts if p is not None]
     if not parts:
-        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _block_segments(block: bytes, sizes: np.ndarray, length: int, number: int, begin: int) -> tuple[np.ndarray, ...] | None:
+    """The segments of texts of these sizes that stand side by side; ``number``: that of the first, ``begin``: its place."""
+    if len(block) < length:
+        return None
+    h = _grams(np.frombuffer(block, np.uint8))
+    low = h & ~np.uint64(CHUNK - 1)
+    low |= _PLACE[: len(h)]  # a tie goes to the left
+    window = length - GRAM + 1
+    w = 1
+    while 2 * w <= window:
+        low, w = np.minimum(low[:-w], low[w:]), 2 * w
+    if w < window:
+        low = np.minimum(low[: len(low) - (window - w)], low[window - w :])
+    cut = np.empty(len(low), bool)
+    cut[0] = True
+    np.not_equal(low[1:], low[:-1], out=cut[1:])
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    stops = np.maximum(starts, ends - length + 1)  # from here to its end no string of a text begins
+    for a, b, c in zip(starts.tolist(), stops.tolist(), ends.tolist(), strict=True):
+        if a < c:
+            cut[a : a + 1] = True
+            cut[b:c] = False
+            cut[b : b + 1] = True
+    first = np.flatnonzero(cut)
+    n = np.diff(np.r_[first, len(low)])
+    owner = np.searchsorted(ends, first, "right")
+    real = first < stops[owner]
+    first, n, owner = first[real], n[real], owner[real]
+    gram = (low[first] & np.uint64(CHUNK - 1)).astype(np.int64)
+    size = n + length - 1
+    seg = n.astype(np.uint64) * _MUL[7] + (gram - first).astype(np.uint64) * _MUL[10]
+    more = seg * _MUL[9]
+    for k in range(0, 2 * length, GRAM - 5):  # overlapping grams up to the segment's end
+        piece = h[first + np.minimum(k, size - GRAM)]
+        seg, more = _mix(seg * _MUL[11] + piece), (more + piece) * _MUL[8] ^ (more >> np.uint64(29))
+    return owner + number, h[gram] << np.uint64(64 - GRAM_BITS) | _mix(more) >> np.uint64(GRAM_BITS), seg, first - starts[owner] + begin, gram - first, n
+
+
+def segments(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(both words of its name, first string, gram's distance from it, strings) of each segment of a text."""
+    return segments_of([text], length)[1:]
+
+
 def codes(first: np.ndarray, back: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Place, distance of the gram and number of strings of each segment in one long, in order of place."""
     return (first << 12) | (back << 6) | (n - 1)
@@ -206,16 +260,12 @@ def shard_segments(rows: DataFrame, length: int, shards: int, salted: bool) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Seen()
         for batch in batches:
-            docs, places, ones, twos = [], [], [], []
-            for doc_id, text in sorted(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True), key=lambda r: r[0]):
-                one, two, first, back, n = segments(text or b"", length)
-                docs.append(np.full(len(one), doc_id, np.int64))
-                places.append(codes(first, back, n) + place_base(text, salted))
-                ones.append(one)
-                twos.append(two)
-            if not docs:
+            rows_ = sorted(zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True), key=lambda r: r[0])
+            if not rows_:
                 continue
-            doc, at, one, two = (np.concatenate(x) for x in (docs, places, ones, twos))
+            owner, one, two, first, back, n = segments_of([text or b"" for _, text in rows_], length)
+            doc = np.array([d for d, _ in rows_], np.int64)[owner]
+            at = codes(first, back, n) + np.array([place_base(text, salted) for _, text in rows_], np.int64)[owner]
             often = np.flatnonzero(shared(two))
             often = often[np.lexsort((doc[often], two[often], one[often]))]
             later = np.zeros(len(doc), bool)
@@ -288,7 +338,7 @@ def covered_masks(segs: pa.Array, n: np.ndarray, doc: np.ndarray, length: int) -
     owner = np.repeat(np.arange(len(n)), size)
     left = np.cumsum(size)[owner] - np.arange(len(data))
     # a suffix of fewer than ``length`` bytes can neither go nor cover another
-    order, common = suffix_order(data, left, np.flatnonzero(left >= length))
+    order, common = suffix_order(data, left, np.flatnonzero(left >= length), length)
     who = owner[order]
     hit = previous_factors(doc[who], common, length) >= length
     who, at = who[hit], order[hit]
@@ -400,6 +450,27 @@ def cut_spans(text: bytes, whole: np.ndarray, part: list[tuple[int, int]], lengt
     return kept, int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum())
 
 
+def later_copies(named: DataFrame, length: int) -> DataFrame:
+    """doc_id of the texts of ``length`` bytes or more that a smaller doc_id holds whole; ``named``: doc_id, size and name (a digest) of every text."""
+    named = named.where((F.col("size") >= length) & F.col("doc_id").isNotNull()).select("doc_id", "name")
+    first = named.groupBy("name").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    return named.join(first, "name").where("doc_id > first").select("doc_id")
+
+
+def unsqueezed(rows: DataFrame) -> DataFrame:
+    """(doc_id, text) of rows whose texts were compressed to be moved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                texts = [None if z is None else unpack(z) for z in part["z"].to_pylist()]
+                yield pa.record_batch([part["doc_id"], pa.array(texts, pa.binary())], ["doc_id", "text"])
+
+    return rows.mapInArrow(run, "doc_id long, text binary")
+
+
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """The other columns of ``docs`` in struct ``row``, kept (binary), n_bytes, n_removed and n_spans.
 
@@ -410,23 +481,39 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     rows = text_batches(docs).select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")
     )
-    facts = rows.agg(F.sum(F.octet_length("text")), F.count("doc_id"), F.countDistinct("doc_id")).first()
+    named = stored(rows.select("doc_id", F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("name")), "names")
+    facts = named.agg(F.sum("size"), F.count("doc_id"), F.countDistinct("doc_id")).first()
     salted = facts[1] != facts[2]
-    shards = max(16, int((facts[0] or 0) / 14 / SHARD_SEGMENTS))  # a segment for about 14 bytes
     own = rows.where("doc_id is not null").select("doc_id", "text")
+    copies = None if salted else stored(later_copies(named, length), "copies")
+    if copies is not None:
+        n = copies.count()
+        if n <= FEW_COPIES:
+            own = own.join(F.broadcast(copies), "doc_id", "left_anti")
+        elif n * MANY_COPIES >= facts[1]:
+            own = unsqueezed(squeezed(own, "doc_id").join(copies.hint("shuffle_hash"), "doc_id", "left_anti"))
+        else:  # they cost less than moving all texts; their segments show the same
+            copies = None
+    shards = max(16, int((facts[0] or 0) / 14 / SHARD_SEGMENTS))  # a segment for about 14 bytes
     marks = stored(resolve_shards(shard_segments(own, length, shards, salted)), "marks")
-    segs = stored(edge_segments(squeezed(own, "doc_id"), marks.where("keys is not null"), length, salted), "segments")
+    segs = stored(edge_segments(squeezed(rows.where("doc_id is not null"), "doc_id"), marks.where("keys is not null"), length, salted), "segments")
     parts = covered_strings(segs, length).groupBy("doc_id").agg(F.collect_list(F.struct("place", "mask")).alias("parts"))
     whole = marks.where("keys is null").groupBy("doc_id").agg(F.collect_list("blob").alias("blobs"))
-    found = whole.join(parts, "doc_id", "full").withColumnRenamed("doc_id", "id").hint("shuffle_hash")
+    found = whole.join(parts, "doc_id", "full").withColumn("gone", F.lit(False))
+    if copies is not None:
+        found = found.unionByName(copies.withColumn("gone", F.lit(True)), allowMissingColumns=True)
+    found = found.withColumnRenamed("doc_id", "id").hint("shuffle_hash")
     kind = rows.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             out: list[tuple] = []
-            for z, blobs, part in zip(batch["z"].to_pylist(), batch["blobs"].to_pylist(), batch["parts"].to_pylist(), strict=True):
+            for z, blobs, part, gone in zip(*(batch[c].to_pylist() for c in ("z", "blobs", "parts", "gone")), strict=True):
                 text = unpack(z) if z else b""
+                if gone:
+                    out.append((b"", len(text), len(text), 1))
+                    continue
                 places = np.frombuffer(b"".join(blobs), "<i8") if blobs else np.empty(0, np.int64)
                 kept, removed, spans = cut_spans(text, places, [(p["place"], p["mask"]) for p in part or []], length, place_base(text, salted))
                 out.append((kept, len(text), removed, spans))
@@ -435,5 +522,5 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
             yield pa.record_batch([batch["row"], *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], ["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     small = squeezed(rows, "row", "doc_id")
-    joined = small.join(found, small["doc_id"] == found["id"], "left").select("row", "z", "blobs", "parts")
+    joined = small.join(found, small["doc_id"] == found["id"], "left").select("row", "z", "blobs", "parts", "gone")
     return joined.mapInArrow(run, f"row {kind}, kept binary, n_bytes long, n_removed long, n_spans long")

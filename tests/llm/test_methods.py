@@ -709,3 +709,45 @@ def test_content_cuts_are_the_least_hashes_of_all_windows():
         ends = {max(range(i, i + width), key=lambda k: (-hashes[k], k)) + 1 for i in range(len(words) - width + 1)}
         assert D.content_starts(words, width) == [0, *sorted(ends - {len(words)})]
     assert D._word_hash.cache_info().misses == 10
+
+
+@pytest.mark.parametrize("few,many", [(1 << 20, 4), (-1, 4), (-1, 0)])
+def test_suffix_dedup_cuts_no_whole_copies(spark, monkeypatch, few, many):
+    """Twelve copies of each text, of nothing and of 49, 50 and 51 bytes: copies are left out by a broadcast or by moving texts, or are cut like others."""
+    texts = [words(60), words(90), "", None, "y" * 49, "x" * 50, "".join(RNG.choices("abcdef", k=51)), "日本" * 30]
+    rows = [(100 * k + i, t) for k in range(12) for i, t in enumerate(texts)] + [(5, words(40)), (3000, "lead " + texts[0])]
+    rows = [(d, t) for d, t in rows if d != 5 or t != "x" * 50]  # no doc_id stands twice
+    marks = []
+
+    def stored(df, name, store=suffix_dedup.stored):
+        out = store(df, name)
+        if name == "marks":
+            marks.append(out.agg(F.count_distinct("doc_id")).first()[0])
+        return out
+
+    for name, value in (("stored", stored), ("FEW_COPIES", few), ("MANY_COPIES", many)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    first = {}
+    for d, t in sorted(rows, key=lambda r: r[0]):
+        b = (t or "").encode()
+        for i in range(len(b) - 49):
+            first.setdefault(b[i : i + 50], d)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        b = (dict(rows)[r.row.doc_id] or "").encode()
+        gone = {k for i in range(len(b) - 49) if first[b[i : i + 50]] < r.row.doc_id for k in range(i, i + 50)}
+        assert bytes(r.kept) == bytes(c for k, c in enumerate(b) if k not in gone), r.row.doc_id
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(b), len(gone), sum(k - 1 not in gone for k in gone))
+    # without the copies only the text that begins otherwise and its like have something to be cut or compared
+    assert marks[0] <= 2 if many or few > 0 else marks[0] > 40
+
+
+def test_segments_of_texts_side_by_side_are_those_of_each():
+    texts = [RNG.randbytes(n) if n % 2 else b"ab " * n for n in (0, 1, 49, 50, 51, 400, 7, 2000, 40_000, 0, 300, 63)]
+    for length in (36, 50, 64):
+        together = suffix_dedup.segments_of(texts, length)
+        for i, text in enumerate(texts):
+            one = suffix_dedup.segments(text, length)
+            assert all((x[together[0] == i] == y).all() for x, y in zip(together[1:], one, strict=True))
+            assert one[4].sum() == max(0, len(text) - length + 1) and (np.diff(one[2]) == one[4][:-1]).all()
