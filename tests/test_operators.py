@@ -292,12 +292,12 @@ def test_segments_of_many_files_take_little_room(spark, tmp_path):
 
 def test_cell_scores_hold_every_order_and_every_book(spark, tmp_path):
     """More orders mean more pages, and the lines of a book's orders are scored together as well."""
-    from leafmill.plans.catalogue import QUERIES
+    from leafmill.plans.rules import cell_scores
 
     line = lambda o, n, flag: (o, n, 1.0, 0.02, flag)
     lines = [line(o, 1, "R") for o in range(1200)] + [line(7, 2, "A"), line(507, 3, "N")]
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
-    rows = {(r.level, r.page, r.p_table, r.r_table): r.f1 for r in QUERIES["cell_scores"](spark, str(tmp_path)).collect()}
+    rows = {(r.level, r.page, r.p_table, r.r_table): r.f1 for r in cell_scores(spark, str(tmp_path)).collect()}
     assert {k[1] for k in rows if k[0] == "order"} == set(range(1200)) and {k[1] for k in rows if k[0] == "book"} == set(range(500))
     assert rows["order", 7, 1, 1] == rows["order", 7, 2, 1] == 1.0 and ("order", 7, 2, 3) not in rows
     assert (rows["book", 7, 1, 1], rows["book", 7, 2, 3], rows["book", 7, 2, 1]) == (1.0, 1.0, 0.5)
